@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.llm import cooccur, topn
+from graphloom.llm import cooccur, encode, topn
 from graphloom.session import table
 
 
@@ -28,7 +28,11 @@ def p5_found(spark, sf_dir):
     return topn.top_items(table(spark, sf_dir, "batch_results"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_lift": p1_lift, "p5_found": p5_found}
+def p7_ids(spark, sf_dir):
+    return encode.encode_texts(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_lift": p1_lift, "p5_found": p5_found, "p7_ids": p7_ids}
 
 _PAIRS = """
 WITH raw AS (
