@@ -172,6 +172,9 @@ def _lexer(words: dict[str, str], operators: dict[str, str], strings: str, numbe
 
 _NUMBER = r"(?:0[xX][\da-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|\d[\d_]*(?:\.\d[\d_]*)?(?:[eE][+-]?\d+)?|\.\d+(?:[eE][+-]?\d+)?){}(?![\w])"
 _COMMENTS = r"//[^\n]*|/\*.*?\*/"
+_FLAT_COMMENT = r"/\*(?:[^*/]+|\*(?!/)|/(?!\*))*+\*/"
+#: Comments that nest, two levels deep.
+_NESTED = r"//[^\n]*|/\*(?:[^*/]+|\*(?!/)|/(?!\*)|" + rf"/\*(?:[^*/]+|\*(?!/)|/(?!\*)|{_FLAT_COMMENT})*+\*/" + r")*+\*/"
 _STRING = r'"(?:[^"\\\n]|\\.)*"'
 
 
@@ -555,7 +558,7 @@ def _rust() -> Grammar:
     strings = strings.replace("(#*)", "(?P<raw>#*)")
     number = r"(?:0x[\da-fA-F_]+|0b[01_]+|0o[0-7_]+|\d[\d_]*(?:\.\d[\d_]*|\.(?![\w.]))?(?:[eE][+-]?\d+)?)(?:[iuf](?:8|16|32|64|128|size))?(?!\w)"
     names = "|".join(re.escape(o) for o in sorted(ops, key=len, reverse=True))
-    rx = re.compile(rf"\s*(?:({_COMMENTS})|({strings})|('[^\W\d]\w*(?!'))|((?:r\#)?[^\W\d]\w*)|({number})|({names})|(\S))", re.S)
+    rx = re.compile(rf"\s*(?:({_NESTED})|({strings})|('[^\W\d]\w*(?!'))|((?:r\#)?[^\W\d]\w*)|({number})|({names})|(\S))", re.S)
 
     def tokens(text: str) -> str | None:
         if text.startswith("#!") and not text.startswith("#!["):

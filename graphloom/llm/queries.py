@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.llm import cooccur, encode, topn
+from graphloom.llm import cooccur, encode, parsecheck, topn
 from graphloom.session import table
 
 
@@ -32,7 +32,15 @@ def p7_ids(spark, sf_dir):
     return encode.encode_texts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_lift": p1_lift, "p5_found": p5_found, "p7_ids": p7_ids}
+def p6_found(spark, sf_dir):
+    return parsecheck.unparsable(table(spark, sf_dir, "parse_work")).select("work_id")
+
+
+def p6_rates(spark, sf_dir):
+    return parsecheck.rates(table(spark, sf_dir, "parse_work"))
+
+
+QUERIES = {"p1_found": p1_found, "p1_lift": p1_lift, "p5_found": p5_found, "p6_found": p6_found, "p6_rates": p6_rates, "p7_ids": p7_ids}
 
 _PAIRS = """
 WITH raw AS (
