@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.llm import cooccur, encode, parsecheck, topn
+from graphloom.llm import cooccur, encode, handwritten, parsecheck, topn
 from graphloom.session import table
 
 
@@ -24,6 +24,14 @@ def p1_lift(spark, sf_dir):
     return cooccur.pair_counts(_symbol_rows(spark, sf_dir)).selectExpr("repo_id", "symbol_a", "symbol_b", "n_ab", "n_a", "n_b", "n_records", "round(lift, 6) AS lift")
 
 
+def p4_found(spark, sf_dir):
+    return handwritten.not_handwritten(table(spark, sf_dir, "parse_work")).select("work_id")
+
+
+def p4_kinds(spark, sf_dir):
+    return handwritten.not_handwritten(table(spark, sf_dir, "parse_work"))
+
+
 def p5_found(spark, sf_dir):
     return topn.top_items(table(spark, sf_dir, "batch_results"))
 
@@ -40,7 +48,7 @@ def p6_rates(spark, sf_dir):
     return parsecheck.rates(table(spark, sf_dir, "parse_work"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_lift": p1_lift, "p5_found": p5_found, "p6_found": p6_found, "p6_rates": p6_rates, "p7_ids": p7_ids}
+QUERIES = {"p1_found": p1_found, "p1_lift": p1_lift, "p4_found": p4_found, "p4_kinds": p4_kinds, "p5_found": p5_found, "p6_found": p6_found, "p6_rates": p6_rates, "p7_ids": p7_ids}
 
 _PAIRS = """
 WITH raw AS (
