@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.llm import cooccur, encode, handwritten, leakage, parsecheck, topn
+from graphloom.llm import cooccur, encode, handwritten, leakage, parsecheck, stuffing, topn
 from graphloom.session import table
 
 
@@ -52,7 +52,11 @@ def p8_found(spark, sf_dir):
     return leakage.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_lift": p1_lift, "p4_found": p4_found, "p4_kinds": p4_kinds, "p5_found": p5_found, "p6_found": p6_found, "p6_rates": p6_rates, "p7_ids": p7_ids, "p8_found": p8_found}
+def p9_found(spark, sf_dir):
+    return stuffing.find_stuffed(table(spark, sf_dir, "documents")).select("doc_id")
+
+
+QUERIES = {"p1_found": p1_found, "p1_lift": p1_lift, "p4_found": p4_found, "p4_kinds": p4_kinds, "p5_found": p5_found, "p6_found": p6_found, "p6_rates": p6_rates, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}
 
 _PAIRS = """
 WITH raw AS (
