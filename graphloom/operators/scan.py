@@ -22,7 +22,7 @@ def by_keys(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
 
 def top_per_key(df: DataFrame, keys: list[str], order: list[Column], limit: int, rank: str | None = None) -> DataFrame:
     """First `limit` rows of each key in a total order."""
-    numbered = df.withColumn(rank or "_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    numbered = df.withColumn(rank or "_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long"))
     kept = numbered.filter(F.col(rank or "_rank") <= limit)
     return kept if rank else kept.drop("_rank")
 
