@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.operators.scan import ignored
+from graphloom.session import spread
 
 NODES = "file string, kind string, name string, parent string, line int"
 
@@ -126,7 +127,7 @@ def parse_files(files: DataFrame) -> DataFrame:
             ]
             yield pd.DataFrame(rows, columns=["file", "kind", "name", "parent", "line"]).astype({"line": "int32"})
 
-    return files.select("file", "language", "content").mapInPandas(run, NODES)
+    return spread(files.select("file", "language", "content")).mapInPandas(run, NODES)
 
 
 def patch(old: str, new: str, path: str, context: int = 3) -> str:
