@@ -7,7 +7,7 @@ from graphloom.session import table
 
 
 def _symbol_rows(spark, sf_dir):
-    return cooccur.incidence(
+    return cooccur.records(
         [
             (table(spark, sf_dir, "semantic_links"), ["from_file", "to_file"], "via_symbols"),
             (table(spark, sf_dir, "file_concepts"), ["concept_id"], "shared_symbols"),

@@ -34,15 +34,15 @@ def test_pairs_against_brute_force(spark, seed, share, block):
     rnd = random.Random(seed)
     names = ["  all\t", "all", "b", "c", " d", "e", "f", "g", None, " ", ""]
     data = [(rnd.choice([1, 1, 1, 2, None]), f"f{rnd.randint(0, 20)}", rnd.choice(["t", None]), rnd.choice([None, [rnd.choice(names) for _ in range(rnd.randint(0, 6))]]), "x", 1) for _ in range(150)]
-    incidence = cooccur.incidence([(spark.createDataFrame(data, LINKS), ["from_file", "to_file"], "via_symbols")])
-    got = cooccur.pair_counts(incidence, heavy_share=share, block_records=block).select("repo_id", "symbol_a", "symbol_b", "n_ab", "n_a", "n_b", "n_records")
+    held = cooccur.records([(spark.createDataFrame(data, LINKS), ["from_file", "to_file"], "via_symbols")])
+    got = cooccur.pair_counts(held, heavy_share=share, block_records=block).select("repo_id", "symbol_a", "symbol_b", "n_ab", "n_a", "n_b", "n_records")
     assert set(rows(got)) == brute_pairs(data)
-    strict = cooccur.pair_counts(incidence, 3, 1.2, block, share).select("repo_id", "symbol_a", "symbol_b", "n_ab", "n_a", "n_b", "n_records")
+    strict = cooccur.pair_counts(held, 3, 1.2, block, share).select("repo_id", "symbol_a", "symbol_b", "n_ab", "n_a", "n_b", "n_records")
     assert set(rows(strict)) == {r for r in brute_pairs(data) if r[3] >= 3 and r[3] * r[6] >= 1.2 * r[4] * r[5]}
 
 
 def test_pairs_of_nothing(spark):
-    empty = cooccur.incidence([(spark.createDataFrame([], LINKS), ["from_file", "to_file"], "via_symbols")])
+    empty = cooccur.records([(spark.createDataFrame([], LINKS), ["from_file", "to_file"], "via_symbols")])
     assert rows(cooccur.pair_counts(empty, 6, 3)) == []
 
 
