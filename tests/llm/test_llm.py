@@ -325,7 +325,7 @@ def test_stuffed_pages(spark):
 def test_corpus_counts_are_whole(spark):
     data = [(k, f"alpha beta gamma{k % 3}. Beta alpha beta", datetime(2024, 1, 1)) for k in range(50)]
     frame = spark.createDataFrame(data, "doc_id long, text string, created_at timestamp")
-    counts = stuffing.corpus_counts(frame.repartition(5)).collect()
+    counts = stuffing.corpus_counts(stuffing.read_corpus(frame.repartition(5), 0.5)).collect()
     words = {r.code: r.n for r in counts if r.first is None}
     assert words[stuffing.hashes(["alpha"]).view(np.int64)[0]] == 100 and sum(words.values()) == 300
     assert sum(r.n for r in counts if r.first is not None) == 50 * 4
