@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from graphloom.session import spread
+
 #: Folder of the public vocabulary files; a parameter of every function that needs one.
 TOKENIZERS = os.environ.get("GRAPHLOOM_TOKENIZERS", "/opt/tokenizers")
 #: Fixed value of the public tokeniser: its pre-tokenisation pattern.
@@ -121,4 +123,4 @@ def encode_texts(documents: DataFrame, vocabulary: str = "byte_bpe_50k", folder:
             flat = np.fromiter(itertools.chain.from_iterable(ids), dtype=np.int32, count=int(ends[-1]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=["doc_id", "ids"])
 
-    return documents.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return spread(documents.select("doc_id", "text")).mapInArrow(run, "doc_id long, ids array<int>")

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.session import spread
+
 #: Consecutive words of an item that make a leak.
 RUN_WORDS = 24
 #: Words in the short matches that show where a changed copy may lie.
@@ -234,7 +236,7 @@ def find_leaks(documents: DataFrame, items: DataFrame, automaton_words: int = AU
     items = items.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text")
     total = items.agg(F.coalesce(F.sum(F.size(F.split("text", r"[\s_]+"))), F.lit(0))).first()[0]
     passes = max(1, -(-int(total) // automaton_words))
-    texts = documents.filter(F.col("text").isNotNull() & (F.col("text") != "")).select("doc_id", "text")
+    texts = spread(documents.filter(F.col("text").isNotNull() & (F.col("text") != "")).select("doc_id", "text"))
     parts = []
     for k in range(passes):
         mine = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.llm.grammars import LANGUAGES, is_valid, ranked
+from graphloom.session import spread
 
 #: Languages by extension. Fixed values.
 EXTENSIONS = {
@@ -57,7 +58,7 @@ def check_files(files: DataFrame) -> DataFrame:
             )
 
     rows = files.select("work_id", "repo_id", language_of(F.col("orig_language"), F.col("rel_path")).alias("language"), "bytes")
-    return rows.mapInArrow(run, "work_id long, repo_id long, language string, verdict string, parses_as string")
+    return spread(rows).mapInArrow(run, "work_id long, repo_id long, language string, verdict string, parses_as string")
 
 
 def unparsable(files: DataFrame) -> DataFrame:
