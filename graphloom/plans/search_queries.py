@@ -121,7 +121,7 @@ def _(g):
 
 @query("shingle_counts", sql(f"SELECT id, CASE WHEN len(t) = 0 THEN 0 WHEN len(t) < 5 THEN 1 ELSE len(list_distinct(list_transform(range(1, (len(t) - 3)::BIGINT), lambda i: array_to_string(t[i:i + 4], ' ')))) END::BIGINT AS shingles FROM (SELECT id, {_toks('content')} AS t FROM chunks)"))
 def _(g):
-    return g.chunks.select("id", F.size(T.shingles(T.tokens(F.col("content")), 5)).cast("long").alias("shingles"))
+    return g.chunks.select("id", T.tokens(F.col("content")).alias("t")).select("id", F.size(T.shingles(F.col("t"), 5)).cast("long").alias("shingles"))
 
 
 @query("chunk_ids", sql("SELECT id, sha256(encode(source) || '\\x00'::BLOB || encode(regexp_replace(content, '^\\s+|\\s+$', '', 'g'))) AS chunk_id FROM chunks WHERE source IS NOT NULL AND regexp_full_match(content, '[ -~\\n\\r\\t]*')"))
