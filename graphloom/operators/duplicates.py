@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.text import shingles
 from graphloom.operators.traverse import components
+from graphloom.session import cut_lineage
 
 #: Words that keep their spelling when code is normalised. Fixed values.
 KEYWORDS = "if else for while return match switch case break continue class struct enum trait impl fn func def function const let var static public private import from use package try catch except with as in not and or new this self null nil none true false"
@@ -38,7 +39,8 @@ def near_pairs(sets: DataFrame, key: str, least: float = 0.8) -> DataFrame:
     """
     items = sets.select(key, F.explode("items").alias("item"))
     df = items.groupBy("item").agg(F.count(F.lit(1)).alias("df"))
-    ranked = items.join(df, "item").groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "item"))), lambda x: x["item"]).alias("items")).withColumn("n", F.size("items"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("df", "item"))), lambda x: x["item"])
+    ranked = cut_lineage(items.join(df, "item").groupBy(key).agg(ordered.alias("items")).withColumn("n", F.size("items")))
     prefix = F.col("n") - F.ceil(F.col("n") * least - 1e-9).cast("int") + 1
     head = ranked.select(key, "n", F.explode(F.slice("items", 1, prefix)).alias("item"))
     a = head.select(F.col(key).alias("a"), F.col("n").alias("na"), "item")
@@ -46,7 +48,7 @@ def near_pairs(sets: DataFrame, key: str, least: float = 0.8) -> DataFrame:
     fits = (F.col("a") < F.col("b")) & (F.col("na") >= F.col("nb") * least) & (F.col("nb") >= F.col("na") * least)
     pairs = a.join(b, "item").filter(fits).select("a", "b").distinct()
     left, right = ranked.select(F.col(key).alias("a"), F.col("items").alias("ia")), ranked.select(F.col(key).alias("b"), F.col("items").alias("ib"))
-    both = pairs.join(left, "a").join(right, "b")
+    both = cut_lineage(pairs).join(left, "a").join(right, "b")
     shared = F.size(F.array_intersect("ia", "ib"))
     similarity = shared / (F.size("ia") + F.size("ib") - shared)
     return both.select("a", "b", F.round(similarity, 6).alias("similarity")).filter(F.col("similarity") >= least)
@@ -58,10 +60,11 @@ def near_classes(texts: DataFrame, key: str, tokens: Column, words: int = 5, lea
     Equal texts are one before pairs are sought, and get the class of their representative. Texts without tokens are alone.
     """
     # tokens get a projection of their own: inside the lambda they would be made again for every shingle
-    base = texts.select(key, tokens.alias("t")).select(key, shingles(F.col("t"), words).alias("s")).select(key, F.transform("s", lambda s: F.xxhash64(s)).alias("items"))
-    marked = base.withColumn("content", F.xxhash64(F.array_sort("items")))
-    rep = marked.join(marked.groupBy("content").agg(F.min(key).alias("rep")), "content")
-    firsts = rep.filter((F.col(key) == F.col("rep")) & (F.size("items") > 0)).select(key, "items")
+    tokenised = cut_lineage(texts.select(key, tokens.alias("t")))
+    base = tokenised.select(key, shingles(F.col("t"), words).alias("s")).select(key, F.transform("s", lambda s: F.xxhash64(s)).alias("items"))
+    marked = cut_lineage(base.withColumn("content", F.xxhash64(F.array_sort("items"))))  # read several times
+    rep = marked.select(key, "content").join(marked.groupBy("content").agg(F.min(key).alias("rep")), "content")
+    firsts = marked.join(rep.filter(F.col(key) == F.col("rep")).select(key), key, "left_semi").filter(F.size("items") > 0).select(key, "items")
     pairs = near_pairs(firsts, key, least)
     classes = components(pairs.select(F.col("a").alias("source"), F.col("b").alias("target"))).withColumnRenamed("qn", "rep")
     links = pairs.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("links"))

@@ -156,3 +156,69 @@ def grep(docs: DataFrame, key: str, content: str, pattern: str, context: int) ->
     lines = docs.select(key, F.posexplode(F.split(content, "\n")).alias("line", "raw")).withColumn("hit", F.col("raw").rlike(pattern))
     near = F.max("hit").over(Window.partitionBy(key).orderBy("line").rowsBetween(-context, context))
     return lines.withColumn("near", near).filter("near").select(key, F.col("line").alias("line"), "hit")
+
+
+def with_fallback(docs: DataFrame, key: str, fields: dict[str, float], phrase: str, limit: int, few: int = 3) -> DataFrame:
+    """Full text first; with few hits also substrings, fused by rank; with none at all once more with corrected words.
+
+    The choice needs the number of hits, of which at most `few` are counted.
+    """
+    spark = docs.sparkSession
+    index = postings(docs, key, fields)
+
+    def ask(words: list[str]) -> DataFrame:
+        asked = spark.createDataFrame([(1, w) for w in words], "query_id long, term string")
+        return bm25(index, docs, key, asked, limit)
+
+    words = [w for w in phrase.lower().split() if w]
+    first = ask(words)
+    hits = len(first.take(few))
+    if hits >= few:
+        return first.select(key, "score", "rank")
+    inside = docs.filter(F.lower(F.concat_ws(" ", *fields)).contains(phrase.lower())).select(F.lit(1).cast("long").alias("query_id"), key)
+    inside = inside.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(key)).cast("long")).filter(F.col("rank") <= limit)
+    fused = reciprocal_rank([first, inside], key, limit).select(key, "score", F.col("fused_rank").alias("rank"))
+    if fused.take(1):
+        return fused
+    vocabulary = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    better = {r.word: r.term for r in corrections(vocabulary, spark.createDataFrame([(w,) for w in words], "word string")).collect()}
+    return ask([better.get(w, w) for w in words]).select(key, "score", "rank")
+
+
+def hybrid(lexical: DataFrame, vector: DataFrame, key: str, limit: int) -> DataFrame:
+    """Lexical and vector ranks (query_id, key, rank) fused."""
+    return reciprocal_rank([lexical, vector], key, limit)
+
+
+def expanded(nodes: DataFrame, edges: DataFrame, phrase: str, limit: int, terms: int = 8) -> DataFrame:
+    """Symbol search with a second round by names of the hits' neighbours: qn, score (greater of both rounds).
+
+    At most `terms` words come to the driver between the rounds.
+    """
+    spark = nodes.sparkSession
+    docs = nodes.select("qn", F.array_join(T.split_camel(F.col("name")), " ").alias("content"))
+    index = postings(docs, "qn", {"content": 1.0})
+
+    def ask(words: list[str], n: int) -> DataFrame:
+        return bm25(index, docs, "qn", spark.createDataFrame([(1, w) for w in words], "query_id long, term string"), n).select("qn", "score")
+
+    first = ask([w for w in phrase.lower().split() if w], limit)
+    near = edges.join(first.withColumnRenamed("qn", "source"), "source", "left_semi").select(F.explode(T.split_camel(F.element_at(F.split("target", "::"), -1))).alias("w"))
+    extra = [r.w for r in near.distinct().orderBy("w").limit(terms).collect()]
+    if not extra:
+        return first
+    second = ask(extra, max(2 * limit, 40)).withColumn("score", F.col("score") * 0.5)
+    return first.unionByName(second).groupBy("qn").agg(F.max("score").alias("score")).orderBy(F.col("score").desc(), "qn").limit(limit)
+
+
+def embed(texts: DataFrame, key: str, text: str, provider) -> DataFrame:
+    """key and embedding of each text by provider(list of texts) -> list of vectors, called once for every batch. Null texts give null."""
+    import pandas as pd
+
+    def run(batches):
+        for pdf in batches:
+            known = pdf[text].notna()
+            vectors = iter(provider(pdf.loc[known, text].tolist()))
+            yield pd.DataFrame({key: pdf[key], "embedding": [next(vectors) if k else None for k in known]})
+
+    return texts.select(key, text).mapInPandas(run, f"{key} long, embedding array<float>")

@@ -52,3 +52,29 @@ def run_once(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame,
         query = writer.foreachBatch(lambda df, n: df.withColumn("batch", F.lit(n)).write.mode("append").parquet(f"{folder}/out")).start()
     query.awaitTermination()
     return spark.read.parquet(f"{folder}/out")
+
+
+def plan_batch(pending: int, overflowed: bool, most: int = 2048) -> str:
+    """What to do with a batch of watched changes: nothing, an incremental update, or a full scan after lost events."""
+    return "rescan" if overflowed or pending > most else "update" if pending else "idle"
+
+
+def staged(spark: SparkSession, folder: str, schema: str, types: list[str]) -> DataFrame:
+    """Envelopes dropped as JSON files into a folder, of known types only; files are deleted once they are read."""
+    stream = spark.readStream.schema(schema).option("cleanSource", "delete").json(folder)
+    return stream.filter(F.col("event_type").isin(*types))
+
+
+def apply_batch(current: Callable[[], DataFrame], publish: Callable[[DataFrame], None], key: str) -> Callable[[DataFrame, int], None]:
+    """foreachBatch function that replaces the slices of a table which a batch of rows holds and publishes the whole result at once."""
+    from graphloom.sources.store import replace_slices
+
+    def run(batch: DataFrame, number: int) -> None:
+        publish(replace_slices(current(), batch, key))
+
+    return run
+
+
+def build_state(rows: DataFrame) -> DataFrame:
+    """Latest state of each build from its transitions (build_id, seq, state): building, built or failed."""
+    return rows.groupBy("build_id").agg(F.max_by("state", "seq").alias("state"), F.max("seq").alias("seq"))
