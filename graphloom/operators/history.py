@@ -90,11 +90,10 @@ def build_chains(versions: DataFrame, calendar: DataFrame, block_reports: int =
 def touched_entities(base: DataFrame, late: DataFrame, new_reports: DataFrame) -> DataFrame:
     """Entities named by late rows, and those with a version that a newly known report falls into."""
     named = late.select(*KEY)
-    fell = base.join(
-        new_reports.select(F.col("repo_id").alias("r_repo"), F.col("as_of").alias("r_at")),
-        (F.col("repo_id") == F.col("r_repo")) & (F.col("r_at") > F.col("valid_from")) & (F.col("r_at") < F.col("valid_to")),
-        "left_semi",
-    ).select(*KEY)
+    # one row per repository on the right side, so that a repository with many chains can be split among tasks
+    times = new_reports.groupBy("repo_id").agg(F.collect_list("as_of").alias("reports"))
+    inside = F.exists("reports", lambda at: (at > F.col("valid_from")) & (at < F.col("valid_to")))
+    fell = base.join(times, "repo_id").filter(inside).select(*KEY)
     return named.union(fell).filter(F.col("repo_id").isNotNull() & F.col("qualified_name").isNotNull()).distinct()
 
 

@@ -107,10 +107,9 @@ def snapshot_changes(membership: DataFrame, snapshots: DataFrame, commits: DataF
     )
     listing = rows.groupBy("repo_id", "snapshot_id", "k1", "k2").agg(F.max("v").alias("v"))
     buckets = membership.groupBy("repo_id").agg(F.ceil(F.count(F.lit(1)) / bucket_rows).cast("int").alias("buckets"))
-    compact = (
-        listing.join(order, ["repo_id", "snapshot_id"])
-        .join(buckets, "repo_id")
-        .select("repo_id", "pos", "next_id", "k1", "k2", "v.content", "v.fhash", F.pmod(F.hash("k2"), "buckets").alias("bucket"))
+    # the two tables of snapshots and repositories are joined first, so the listing is joined once
+    compact = listing.join(order.join(buckets, "repo_id"), ["repo_id", "snapshot_id"]).select(
+        "repo_id", "pos", "next_id", "k1", "k2", "v.content", "v.fhash", F.pmod(F.hash("k2"), "buckets").alias("bucket")
     )
     differing = compact.groupBy("repo_id", "bucket").applyInPandas(_bucket, "repo_id long, pos long, k1 long, k2 long, change string")
     paths = rows.select("repo_id", "k1", "k2", "path").distinct()
