@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Records in one block of a repository.
-BLOCK_RECORDS = 65_536
+BLOCK_RECORDS = 262_144
 #: An item is heavy if at least one record in so many holds it.
 HEAVY_SHARE = 64
 #: Pairs of rare items held before they are merged.
