@@ -67,3 +67,26 @@ def query_mode(text: str, regex: str | None = None, semantic: bool = False, vect
     if regex:
         return "text_regex"
     return "semantic" if semantic else "full_text"
+
+
+def comments_above(texts: DataFrame, key: str, text: str, declaration: str, comment: str, most: int = 16) -> DataFrame:
+    """Comment lines straight above each declaration, at most the last so many: key, line of the declaration, lines, snippet."""
+    lines = texts.select(key, F.posexplode(F.split(text, "\n")).alias("line", "raw"))
+    w = Window.partitionBy(key).orderBy("line")
+    marked = lines.withColumn("is_comment", F.col("raw").rlike(comment)).withColumn("island", F.sum((~F.col("raw").rlike(comment)).cast("int")).over(w))
+    notes = marked.filter("is_comment").groupBy(key, "island").agg(F.max("line").alias("until"), F.array_sort(F.collect_list(F.struct("line", "raw"))).alias("body"))
+    kept = F.slice("body", F.greatest(F.size("body") - most + 1, F.lit(1)), most)
+    above = notes.select(key, (F.col("until") + 1).alias("line"), F.size(kept).alias("lines"), F.array_join(F.transform(kept, lambda x: F.btrim(x["raw"])), "\n").alias("snippet"))
+    return lines.filter(F.col("raw").rlike(declaration)).join(above, [key, "line"]).select(key, (F.col("line") + 1).alias("line"), "lines", "snippet")
+
+
+def overlapping(spans: DataFrame, group: str) -> DataFrame:
+    """Spans (start, end, id) that begin before an earlier one of their group has ended."""
+    w = Window.partitionBy(group).orderBy("start", "end", "id").rowsBetween(Window.unboundedPreceding, -1)
+    return spans.withColumn("reach", F.max("end").over(w)).filter(F.col("start") <= F.col("reach")).drop("reach")
+
+
+def strip_payload(payload: Column, dropped: list[str], longest: int) -> Column:
+    """Top-level fields of a JSON object without the named ones and without values longer than so many characters."""
+    fields = F.from_json(payload, "map<string,string>")
+    return F.to_json(F.map_filter(fields, lambda k, v: ~k.isin(*dropped) & (F.length(v) <= longest)))

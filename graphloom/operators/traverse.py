@@ -177,3 +177,10 @@ def rename_chain(renames: DataFrame, rounds: int = 10) -> DataFrame:
         if chain.filter(F.col("hops") == k + 2).isEmpty():
             break
     return chain
+
+
+def next_in_chain(edges: DataFrame, rounds: int = 12) -> DataFrame:
+    """Of each node the neighbour from which the longest path goes on, at equal length the greatest name: qn, next."""
+    depths = longest_depths(edges, rounds).select(F.col("qn").alias("target"), "depth")
+    steps = edges.filter("source <> target").select("source", "target").distinct().join(depths, "target")
+    return steps.groupBy(F.col("source").alias("qn")).agg(F.max_by("target", F.struct("depth", "target")).alias("next"))

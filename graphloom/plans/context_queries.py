@@ -246,3 +246,74 @@ def _complexity(batches):
 def _(g):
     rows = g.t("parse_work").filter("orig_language = 'python' and bytes is not null").select("work_id", "bytes")
     return spread(rows).mapInPandas(_complexity, "work_id long, name string, line long, complexity long")
+
+
+# ---- further public operators
+
+
+@query("comments_above", f"""WITH {_PLAIN}, l AS (SELECT work_id, unnest(string_split(t, chr(10))) AS raw, generate_subscripts(string_split(t, chr(10)), 1) AS line FROM pw WHERE t IS NOT NULL),
+c AS (SELECT *, regexp_matches(raw, '^\\s*//') AS is_comment, sum(CASE WHEN regexp_matches(raw, '^\\s*//') THEN 0 ELSE 1 END) OVER (PARTITION BY work_id ORDER BY line) AS island FROM l),
+n AS (SELECT work_id, max(line) + 1 AS line, count(*) AS lines FROM c WHERE is_comment GROUP BY work_id, island)
+SELECT work_id, line::INTEGER AS line, least(lines, 16)::INTEGER AS lines FROM n JOIN l USING (work_id, line) WHERE regexp_matches(raw, '^(pub fn|export function|func) ')""")
+def _(g):
+    return context.comments_above(readable(g), "work_id", "t", r"^(pub fn|export function|func) ", r"^\s*//").select("work_id", "line", "lines")
+
+
+@query("repo_graph", sql("SELECT 'repo:' || repo_id AS repo, count(*) AS files, count(DISTINCT language) AS languages FROM files GROUP BY 1"))
+def _(g):
+    return g.files.groupBy(F.concat(F.lit("repo:"), F.col("repo_id").cast("string")).alias("repo")).agg(F.count(F.lit(1)).alias("files"), F.count_distinct("language").alias("languages"))
+
+
+@query("stripped_payloads", "SELECT event_id, CASE WHEN length(json_extract_string(props, '$.k')) <= 1 THEN '{\"k\":\"' || json_extract_string(props, '$.k') || '\"}' ELSE '{}' END AS payload FROM events")
+def _(g):
+    return g.t("events").select("event_id", context.strip_payload(F.col("props"), ["content", "text"], 1).alias("payload"))
+
+
+@query("span_overlaps", sql("SELECT qn FROM (SELECT qn, line_start, max(line_end) OVER (PARTITION BY file_path ORDER BY line_start, line_end, qn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM nodes) WHERE line_start <= reach"))
+def _(g):
+    spans = g.nodes.select("file_path", F.col("line_start").alias("start"), F.col("line_end").alias("end"), F.col("qn").alias("id"))
+    return context.overlapping(spans, "file_path").select(F.col("id").alias("qn"))
+
+
+@query("snapshot_validation", sql("SELECT o.snapshot_id, coalesce(n.n, 0) AS counted, g.node_count AS claimed, coalesce(n.n, 0) = g.node_count AS valid FROM snap_order o JOIN (SELECT repo_id, snapshot_id, max(node_count) AS node_count FROM graph_snapshots GROUP BY 1, 2) g USING (repo_id, snapshot_id) LEFT JOIN (SELECT repo_id, snapshot_id, count(*) AS n FROM hnodes GROUP BY 1, 2) n USING (repo_id, snapshot_id)"))
+def _(g):
+    claimed = g.t("graph_snapshots").groupBy("repo_id", "snapshot_id").agg(F.max("node_count").alias("claimed"))
+    counted = g.node_rows(g.listing, "snapshot_id").groupBy("repo_id", "snapshot_id").agg(F.count(F.lit(1)).alias("n"))
+    found = F.coalesce("n", F.lit(0))
+    return g.order.join(claimed, ["repo_id", "snapshot_id"]).join(counted, ["repo_id", "snapshot_id"], "left").select("snapshot_id", found.alias("counted"), "claimed", (found == F.col("claimed")).alias("valid"))
+
+
+@query("nodes_by_hash", sql("SELECT hash, count(DISTINCT qn) AS nodes, count(DISTINCT snapshot_id) AS snapshots FROM hnodes WHERE hash IS NOT NULL GROUP BY 1"))
+def _(g):
+    return g.node_rows(g.listing, "snapshot_id").filter("hash is not null").groupBy("hash").agg(F.count_distinct("qn").alias("nodes"), F.count_distinct("snapshot_id").alias("snapshots"))
+
+
+@query("evidence_merge", "SELECT query_id, qualified_name, bool_or(kind = 'function') AS any_function, min(line_start) AS first_line, max(score) AS score FROM batch_results WHERE score IS NOT NULL AND NOT isnan(score) AND kind IS NOT NULL GROUP BY 1, 2")
+def _(g):
+    known = g.t("batch_results").filter("score is not null and not isnan(score) and kind is not null")
+    return known.groupBy("query_id", "qualified_name").agg(F.bool_or(F.col("kind") == "function").alias("any_function"), F.min("line_start").alias("first_line"), F.max("score").alias("score"))
+
+
+@query("next_in_chain", sql("SELECT source AS qn, arg_max(target, (depth, target)) AS next FROM (SELECT ee.source, ee.target, d.depth FROM ee JOIN (SELECT qn, max(depth) AS depth FROM kd GROUP BY 1) d ON d.qn = ee.target) GROUP BY 1",
+    "ee AS (SELECT DISTINCT source, target FROM edges WHERE source <> target)", "k0 AS (SELECT source AS qn FROM ee UNION SELECT target FROM ee)", *(f"k{d} AS (SELECT DISTINCT source AS qn FROM ee WHERE target IN (SELECT qn FROM k{d - 1}))" for d in range(1, 5)), "kd AS (" + " UNION ALL ".join(f"SELECT qn, {d} AS depth FROM k{d}" for d in range(5)) + ")"))
+def _(g):
+    return traverse.next_in_chain(g.edges, 4)
+
+
+@query("callable_prints", sql("SELECT qn, line_end - line_start + 1 AS loc, CASE coalesce(params, '()') WHEN '()' THEN 0 WHEN '(a)' THEN 1 ELSE 2 END AS arity, coalesce(n, 0) AS neighbours FROM nodes LEFT JOIN (SELECT qn, count(DISTINCT o) AS n FROM (SELECT source AS qn, target AS o FROM edges UNION ALL SELECT target, source FROM edges) GROUP BY 1) USING (qn) WHERE kind IN ('function', 'method')"))
+def _(g):
+    near = traverse.both_ways(g.edges).groupBy(F.col("src").alias("qn")).agg(F.count_distinct("dst").alias("n"))
+    picked = g.nodes.filter(F.col("kind").isin("function", "method")).join(near, "qn", "left")
+    return picked.select("qn", (F.col("line_end") - F.col("line_start") + 1).alias("loc"), T.arity(F.col("params")).alias("arity"), F.coalesce("n", F.lit(0)).alias("neighbours"))
+
+
+@query("architecture_findings", sql("""SELECT 'coupling' AS category, module AS subject, coupling AS value FROM (SELECT m AS module, count(*) AS coupling FROM (SELECT sm AS m FROM le WHERE sm <> tm UNION ALL SELECT tm FROM le WHERE sm <> tm) GROUP BY 1) WHERE coupling >= 8
+  UNION ALL SELECT 'mutual', a.sm || ' <> ' || a.tm, 2 FROM (SELECT DISTINCT sm, tm FROM le WHERE sm <> tm) a JOIN (SELECT DISTINCT sm, tm FROM le WHERE sm <> tm) b ON a.sm = b.tm AND a.tm = b.sm WHERE a.sm < a.tm""",
+    "le AS (SELECT e.*, a.m AS sm, b.m AS tm FROM edges e JOIN (SELECT qn, regexp_extract(file_path, '^(.*)/[^/]*$', 1) AS m FROM nodes) a ON a.qn = e.source JOIN (SELECT qn, regexp_extract(file_path, '^(.*)/[^/]*$', 1) AS m FROM nodes) b ON b.qn = e.target)"))
+def _(g):
+    apart = metrics.located(g.nodes, g.edges).filter("source_module <> target_module")
+    coupling = apart.select(F.explode(F.array("source_module", "target_module")).alias("subject")).groupBy("subject").agg(F.count(F.lit(1)).alias("value")).filter("value >= 8")
+    pairs = apart.select("source_module", "target_module").distinct()
+    back = pairs.select(F.col("target_module").alias("source_module"), F.col("source_module").alias("target_module"))
+    mutual = pairs.join(back, ["source_module", "target_module"], "left_semi").filter("source_module < target_module")
+    return coupling.select(F.lit("coupling").alias("category"), "subject", "value").unionByName(mutual.select(F.lit("mutual").alias("category"), F.concat_ws(" <> ", "source_module", "target_module").alias("subject"), F.lit(2).cast("long").alias("value")))
