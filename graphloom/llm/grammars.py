@@ -141,7 +141,7 @@ def _sequence(statement: str, prefix: str = r"(?!)", label: str = r"(?!)", end:
 def _lexer(words: dict[str, str], operators: dict[str, str], strings: str, number: str, comments: str, extra: str = r"(?!)", extra_class: str = "", word: str = r"[^\W\d]\w*"):
     """Token classes of a text, or None at a character that starts no token."""
     ops = "|".join(re.escape(o) for o in sorted(operators, key=len, reverse=True))
-    rx = re.compile(rf"[ \t\r\f]*(?:(\n)|({comments})|({extra})|({word})|({number})|({strings})|({ops})|([^ \t\r\f]))", re.S)
+    rx = re.compile(rf"[ \t\r\f]*(?:(\n)|({comments})|({extra})|({word})|({number})|({strings})|((?!/\*)(?:{ops}))|([^ \t\r\f]))", re.S)
 
     def run(text: str) -> list[tuple[int, str]] | None:
         out = []
@@ -320,7 +320,7 @@ def _js_tokens(typed: bool):
     ops |= dict.fromkeys("/ % ^ << <= >= == != === !== && || ?? **".split(), "o") | dict.fromkeys("+= -= *= /= %= &= |= ^= <<= **= &&= ||= ??=".split(), "A")
     names = "|".join(re.escape(o) for o in sorted(ops, key=len, reverse=True))
     rx = re.compile(
-        rf"[ \t\r\f﻿\xa0]*(?:(\n)|({_COMMENTS})|(\#?[^\W\d][\w$]*|\#?\$[\w$]*)|({_NUMBER.format('n?')})|({_STRING}|'(?:[^'\\\n]|\\.)*')|(`)|({_REGEX})|({names})|([^ \t\r\f﻿\xa0]))",
+        rf"[ \t\r\f﻿\xa0]*(?:(\n)|({_COMMENTS})|(\#?[^\W\d][\w$]*|\#?\$[\w$]*)|({_NUMBER.format('n?')})|({_STRING}|'(?:[^'\\\n]|\\.)*')|(`)|({_REGEX})|((?!/\*)(?:{names}))|([^ \t\r\f﻿\xa0]))",
         re.S,
     )
     ends = frozenset("i0s)]}p%")
@@ -558,7 +558,7 @@ def _rust() -> Grammar:
     strings = strings.replace("(#*)", "(?P<raw>#*)")
     number = r"(?:0x[\da-fA-F_]+|0b[01_]+|0o[0-7_]+|\d[\d_]*(?:\.\d[\d_]*|\.(?![\w.]))?(?:[eE][+-]?\d+)?)(?:[iuf](?:8|16|32|64|128|size))?(?!\w)"
     names = "|".join(re.escape(o) for o in sorted(ops, key=len, reverse=True))
-    rx = re.compile(rf"\s*(?:({_NESTED})|({strings})|('[^\W\d]\w*(?!'))|((?:r\#)?[^\W\d]\w*)|({number})|({names})|(\S))", re.S)
+    rx = re.compile(rf"\s*(?:({_NESTED})|({strings})|('[^\W\d]\w*(?!'))|((?:r\#)?[^\W\d]\w*)|({number})|((?!/\*)(?:{names}))|(\S))", re.S)
 
     def tokens(text: str) -> str | None:
         if text.startswith("#!") and not text.startswith("#!["):
@@ -578,7 +578,8 @@ def _rust() -> Grammar:
                 add("l")
             elif m[8] is not None:
                 return None
-        return "".join(out)
+        flat = "".join(out)
+        return None if "dd" in flat else flat  # no range follows a range
 
     args, params, types = (g.cls("(", n) for n in ("args", "params", "types"))
     array, btype = g.cls("[", "array"), g.cls("[", "type")
@@ -598,9 +599,12 @@ def _rust() -> Grammar:
     closure = f"(?:U?V?(?:\\|(?:{pat1}(?::{type_})?(?:,{pat1}(?::{type_})?)*,?)?\\||Q)(?:z{type_}(?={block}))?)"
     value = f"(?:0|s|{macro}|(?:{ANGLES}q)?q?i(?:qi|{turbo})*(?:{literal})?|{args}|{array})"
 
+    # where an operand that may be left out is left out
+    ends = f"(?=$|[,;Z]|{block}|{arms})"
+
     def expression(atom: str) -> str:
-        unary = f"(?:[-*!RB]|l:|&k?|b(?=[ik&])k?|d|{closure})*(?:{atom}|(?<=[RBd])l?)(?:\\.i(?:{turbo})?|\\.0|{args}|{array}|\\?)*(?:j{type_})*"
-        return f"{unary}(?:(?:[-+*&|<=tbQ]|>{{1,2}}=?){unary}|d(?:{unary})?)*"
+        unary = f"(?:[-*!RB]|l:|&k?|b(?=[ik&])k?|d|{closure})*(?:{atom}|(?<=[RBd])l?{ends})(?:\\.i(?:{turbo})?|\\.0|{args}|{array}|\\?)*(?:j{type_})*"
+        return f"{unary}(?:(?:[-+*&|<=tbQ]|>{{1,2}}=?){unary}|d(?:{unary}|{ends}))*"
 
     inner = expression(value)
     cond = f"(?:L{pat}={inner}(?:bL{pat}={inner})*|{inner})"
@@ -617,14 +621,16 @@ def _rust() -> Grammar:
     ).replace("(?:i q?)*", "(?!)")
     leaf = f"q?(?:i(?:qi)*(?:q(?:\\*|{tree}))?(?:ji)?|\\*|{tree})"
     param = f"{attr}*(?:(?:&l?)?k?i(?!:)|{pat1}:{type_})"
+    # an item that is both is not tried twice
+    either = f"(?>(?:{expr}|{pat})(?=,|$))"
     g.tests = {
-        ("(", "args"): _full(f"(?:(?:{expr}|{pat})(?:,(?:{expr}|{pat}))*,?)?|ni(?:qi)*"),
+        ("(", "args"): _full(f"(?:{either}(?:,{either})*,?)?|ni(?:qi)*"),
         ("(", "params"): _full(f"(?:{param}(?:,{param})*,?)?"),
         ("(", "types"): _full(f"(?:{attr}*{vis}(?:i:)?{type_}(?:,{attr}*{vis}(?:i:)?{type_})*,?)?"),
         ("[", "array"): _full(f"(?:{expr}(?:,{expr})*,?|{expr};{expr})?"),
         ("[", "type"): _full(f"{type_}(?:;{expr})?"),
         ("{", "fields"): _full(f"(?:{attr}*{vis}i:{type_}(?:,{attr}*{vis}i:{type_})*,?)?"),
-        ("{", "literal"): _full(f"(?:(?:r?k?i|0)(?::(?:{expr}|{pat}))?(?:,(?:r?k?i|0)(?::(?:{expr}|{pat}))?)*,?)?(?:(?:^|(?<=,))d(?:{expr})?)?"),
+        ("{", "literal"): _full(f"(?:(?:r?k?i|0)(?::{either})?(?:,(?:r?k?i|0)(?::{either})?)*,?)?(?:(?:^|(?<=,))d(?:{expr})?)?"),
         ("{", "tree"): _full(f"(?:{leaf}(?:,{leaf})*,?)?"),
         ("{", "enum"): _full(f"(?:{attr}*i(?:{types}|{fields})?(?:={expr})?(?:,{attr}*i(?:{types}|{fields})?(?:={expr})?)*,?)?"),
         ("{", "items"): _sequence(f"{item}|{macro};?|{attr}(?=.)"),
