@@ -28,14 +28,25 @@ def commit_key(sha: Column) -> Column:
     return F.lower(F.substring(sha, 1, 12))
 
 
-def raw_versions(churn: DataFrame) -> DataFrame:
-    """One row per entity and report; of several the last ingested_at counts, at equal times the greatest values."""
-    ver = F.struct(
+def attributes() -> Column:
+    """The four attributes in the form in which they compare."""
+    return F.struct(
         commit_key(F.col("first_commit_sha")).alias("first_commit"),
         commit_key(F.col("last_commit_sha")).alias("last_commit"),
         F.col("lifetime_snapshots"),
         F.coalesce(F.array_sort(F.array_distinct(F.array_compact("current_file_paths"))), F.array().cast("array<string>")).alias("paths"),
     )
+
+
+def fingerprint(ver: Column) -> Column:
+    """128 bits that stand for the attributes where only their equality matters; null differs from every value."""
+    parts = [x for c in ("first_commit", "last_commit", "lifetime_snapshots", "paths") for x in (ver[c].isNull(), ver[c])]
+    return F.struct(F.xxhash64(*parts).alias("h1"), F.xxhash64(F.lit(31), *parts).alias("h2"))
+
+
+def raw_versions(churn: DataFrame, compact: bool = False) -> DataFrame:
+    """One row per entity and report; of several the last ingested_at counts, at equal times the greatest values."""
+    ver = fingerprint(attributes()) if compact else attributes()
     return (
         churn.filter(F.col("repo_id").isNotNull() & F.col("qualified_name").isNotNull() & F.col("as_of").isNotNull())
         .groupBy("repo_id", "qualified_name", "as_of")
@@ -97,17 +108,17 @@ def touched_entities(base: DataFrame, late: DataFrame, new_reports: DataFrame) -
     return named.union(fell).filter(F.col("repo_id").isNotNull() & F.col("qualified_name").isNotNull()).distinct()
 
 
-def apply_updates(base: DataFrame, churn: DataFrame, late: DataFrame, base_calendar: DataFrame) -> DataFrame:
+def apply_updates(base: DataFrame, churn: DataFrame, late: DataFrame, base_calendar: DataFrame, compact: bool = False) -> DataFrame:
     """History after the late rows: untouched chains as they were, touched ones rebuilt from all their raw rows."""
     calendar = report_calendar(churn)
     new_reports = calendar.join(base_calendar, ["repo_id", "as_of"], "left_anti")
     touched = touched_entities(base, late, new_reports)
     raw = churn.join(touched, KEY, "left_semi")
-    return base.join(touched, KEY, "left_anti").unionByName(build_chains(raw_versions(raw), calendar))
+    return base.join(touched, KEY, "left_anti").unionByName(build_chains(raw_versions(raw, compact), calendar))
 
 
-def entity_history(churn: DataFrame, on_time_secs: int = ON_TIME_SECS) -> DataFrame:
-    """Full history from periodic reports: repo_id, qualified_name, valid_from, valid_to, ver.
+def entity_history(churn: DataFrame, on_time_secs: int = ON_TIME_SECS, compact: bool = False) -> DataFrame:
+    """Full history from periodic reports: repo_id, qualified_name, valid_from, valid_to, ver (with compact only its fingerprint).
 
     Reports delivered within on_time_secs of as_of make the base history; all later rows are applied to it by
     rebuilding the chains they touch. The result doesn't depend on where that line is drawn. Rows with a null
@@ -117,8 +128,8 @@ def entity_history(churn: DataFrame, on_time_secs: int = ON_TIME_SECS) -> DataFr
     is_late = F.coalesce(F.unix_timestamp(F.col("ingested_at").cast("timestamp")) - F.col("as_of") > on_time_secs, F.lit(False))
     on_time, late = churn.filter(~is_late), churn.filter(is_late)
     calendar = report_calendar(on_time)
-    base = build_chains(raw_versions(on_time), calendar)
-    return apply_updates(base, churn, late, calendar)
+    base = build_chains(raw_versions(on_time, compact), calendar)
+    return apply_updates(base, churn, late, calendar, compact)
 
 
 def publish_history(history: DataFrame, folder: str) -> str:

@@ -13,7 +13,7 @@ def p2_found(spark, sf_dir):
 
 
 def p3_found(spark, sf_dir):
-    return entity_history(table(spark, sf_dir, "symbol_churn")).select("repo_id", "qualified_name", "valid_from", "valid_to")
+    return entity_history(table(spark, sf_dir, "symbol_churn"), compact=True).select("repo_id", "qualified_name", "valid_from", "valid_to")
 
 
 QUERIES = {"p2_found": p2_found, "p3_found": p3_found}

@@ -123,8 +123,10 @@ def test_history_against_brute_force_with_late_rows(spark, seed):
                         late = n if rnd.random() < 0.7 else 5 * 86400 + n
                         data.append(churn_row(name, report * 100_000, rnd.choice(["A" * 40, "a" * 12, "b" * 40, None]), rnd.randint(1, 2), rnd.choice([["p", "q"], ["q", "p", "p"], None]), late, repo))
     rnd.shuffle(data)
-    got = history.entity_history(spark.createDataFrame(data, CHURN)).select("repo_id", "qualified_name", "valid_from", "valid_to")
-    assert rows(got) == brute_history(data)
+    frame = spark.createDataFrame(data, CHURN)
+    for compact in (False, True):
+        got = history.entity_history(frame, compact=compact).select("repo_id", "qualified_name", "valid_from", "valid_to")
+        assert rows(got) == brute_history(data)
 
 
 def test_long_runs_cross_blocks(spark):
