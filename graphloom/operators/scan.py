@@ -7,8 +7,10 @@ a DataFrame and the lookup a join, so that one plan serves one key or millions.
 from __future__ import annotations
 
 import re
+import unicodedata
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,6 +94,17 @@ def canonicalise(path: Column) -> Column:
     return F.array_join(folded, "/")
 
 
+def composed(df: DataFrame, column: str) -> DataFrame:
+    """The column in Unicode form NFC. Only values with other than ASCII letters go through Python, in Arrow batches."""
+
+    @F.pandas_udf("string")
+    def nfc(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: unicodedata.normalize("NFC", v), na_action="ignore")
+
+    plain = df.filter(F.col(column).isNull() | ~F.col(column).rlike(r"[^\x00-\x7f]"))
+    return plain.unionByName(df.filter(F.col(column).rlike(r"[^\x00-\x7f]")).withColumn(column, nfc(column)))
+
+
 def is_public(modifiers: Column) -> Column:
     return F.coalesce(F.lower(modifiers).rlike("pub|export"), F.lit(False))
 

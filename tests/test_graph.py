@@ -131,6 +131,7 @@ def test_predicates(spark):
     assert [r[0] for r in frame.select(scan.noncanonical("p")).collect()] == [True, True, False, None]
     assert [r[0] for r in frame.select(scan.is_public(F.col("m"))).collect()] == [False, True, False, True]
     assert frame.filter(scan.regex_match("(?i)^A", "p", "m")).count() == 1
+    assert rows(scan.composed(spark.createDataFrame([("e\u0301/x",), ("a",), (None,)], "p string"), "p")) == sorted([("\u00e9/x",), ("a",), (None,)], key=repr)
     for bad in ("", r"(a)\1"):
         with pytest.raises(ValueError):
             scan.regex_match(bad, "p")

@@ -157,3 +157,22 @@ def test_fusion(spark, limit):
     a = spark.createDataFrame([(1, 10, 1), (1, 11, 2)], "query_id long, id long, rank long")
     b = spark.createDataFrame([(1, 11, 1), (1, 12, 2)], "query_id long, id long, rank long")
     assert [r.id for r in search.reciprocal_rank([a, b], "id", limit).orderBy("fused_rank").collect()] == [11, 10, 12][:limit]
+
+
+def test_bounded_sessions_over_many_batches(spark, tmp_path):
+    from pyspark.sql import Window
+
+    from graphloom.streaming import state
+
+    rnd = random.Random(4)
+    data = [(k, f"s{rnd.randint(0, 2)}", rnd.choice([10, 30, 80]), rnd.randint(0, 1000)) for k in range(90)]
+    frame = spark.createDataFrame(data, "id long, session_id string, priority long, at long")
+    for part in range(3):
+        frame.filter(f"id % 3 = {part}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    out = events.run_once(state.bounded_sessions(stream, 7), "update")
+    latest = out.withColumn("n", F.row_number().over(Window.partitionBy("session_id", "id").orderBy(F.col("batch").desc()))).filter("n = 1 and kept")
+    w = Window.partitionBy("session_id").orderBy(F.col("priority").desc(), F.col("at").desc(), F.col("id").desc())
+    want = frame.withColumn("n", F.row_number().over(w)).filter("n <= 7")
+    assert out.select("batch").distinct().count() == 3
+    assert rows(latest.select("session_id", "id")) == rows(want.select("session_id", "id"))
