@@ -16,6 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 GROUP = ["query_id", "kind"]
+#: Buckets of groups: as many partitions as a cluster may want.
+BUCKETS = 1 << 20
+#: Rows that a task turns into Python objects at once.
+SLICE_ROWS = 20_000
 _RUN = "query_id long, kind string, score double, file_path string, qualified_name string, result_id long"
 
 
@@ -141,10 +145,11 @@ def merge_runs(top: int):
         table = pa.Table.from_batches(parts)
         del parts
         number = table["run"].to_numpy()
-        order = np.lexsort((np.arange(len(number)), number, table["bucket"].to_numpy()))  # stable: a run's rows stay in their order
+        slot = table["bucket"].to_numpy() % max(1, len(number) // SLICE_ROWS)  # parts of the partition that are merged one after another
+        order = np.lexsort((np.arange(len(number)), number, slot))  # stable: a run's rows stay in their order
         table = table.take(pa.array(order)).combine_chunks()
-        bucket, number = table["bucket"].to_numpy(), table["run"].to_numpy()
-        edges = np.flatnonzero(np.r_[True, np.diff(bucket) != 0, True])
+        slot, number = slot[order], number[order]
+        edges = np.flatnonzero(np.r_[True, np.diff(slot) != 0, True])
         for b0, b1 in zip(edges[:-1], edges[1:]):
             yield _merge_bucket(table.slice(b0, b1 - b0), number[b0:b1], top)
 
@@ -161,7 +166,9 @@ def _merge_bucket(table: pa.Table, number: np.ndarray, top: int) -> pa.RecordBat
         )
         for a, b, c, d, e, g in zip(q, k, s, f, n, r)
     ]
-    cuts = np.flatnonzero(np.r_[True, np.diff(number) != 0, True]).tolist()
+    # a task that reads several partitions gets a run in several sorted pieces, one after another
+    runs_of = number.tolist()
+    cuts = [0, *(i for i in range(1, len(rows)) if runs_of[i] != runs_of[i - 1] or rows[i] < rows[i - 1]), len(rows)]
     runs = [rows[x:y] for x, y in zip(cuts[:-1], cuts[1:])]
     following = []
     for part in runs:
@@ -200,5 +207,5 @@ def top_items(results: DataFrame, top: int = 5) -> DataFrame:
     ).filter(F.col("kind").isNotNull() & F.col("score").isNotNull() & ~F.isnan("score"))
     sort = [F.col("query_id").asc(), F.col("kind").asc(), F.col("score").desc(), F.col("file_path").asc_nulls_last(), F.col("qualified_name").asc_nulls_last(), F.col("result_id").asc_nulls_last()]
     runs = rows.sortWithinPartitions(*sort).mapInArrow(cut_runs(top), _RUN)
-    stored = runs.withColumn("run", F.spark_partition_id()).withColumn("bucket", F.pmod(F.hash(*GROUP), F.lit(4096))).repartition("bucket")
+    stored = runs.withColumn("run", F.spark_partition_id()).withColumn("bucket", F.pmod(F.hash(*GROUP), F.lit(BUCKETS))).repartition("bucket")
     return stored.mapInArrow(merge_runs(top), "query_id long, kind string, rank_no int, result_id long")
