@@ -222,3 +222,40 @@ def embed(texts: DataFrame, key: str, text: str, provider) -> DataFrame:
             yield pd.DataFrame({key: pdf[key], "embedding": [next(vectors) if k else None for k in known]})
 
     return texts.select(key, text).mapInPandas(run, f"{key} long, embedding array<float>")
+
+
+def query_terms(text: str) -> list[str]:
+    """Distinct search terms of a text in order: its words, the parts of camelCase and snake_case ones, and the words as they are."""
+    import re
+
+    out: dict[str, None] = {}
+    for word in re.findall(r"[A-Za-z0-9_]+", text):
+        parts = re.sub(r"([A-Z]+)([A-Z][a-z])", r"\1_\2", re.sub(r"([a-z0-9])([A-Z])", r"\1_\2", word)).lower().split("_")
+        for term in (word.lower().strip("_"), *parts):
+            if term and "_" not in term:
+                out[term] = None
+    return list(out)
+
+
+def relaxed_prefixes(text: str) -> list[str]:
+    """Prefixes for a fuzzy second try: none for words under four letters, three letters from six on, two in between."""
+    return [t[: 3 if len(t) >= 6 else 2] for t in query_terms(text) if len(t) >= 4]
+
+
+def execute(nodes: DataFrame, edges: DataFrame, text: str, regex: str | None = None, semantic: bool = False, limit: int = 20) -> DataFrame:
+    """Symbol search in the mode that the question asks for: qn, score. Boosts are added to full-text hits."""
+    from graphloom.operators.context import query_mode
+    from graphloom.operators.scan import regex_match
+
+    mode = query_mode(text, regex, semantic)
+    pool = nodes.filter(regex_match(regex, "name", "qn")) if regex else nodes
+    if mode == "structural_scan":
+        return pool.select("qn", F.lit(1.0).alias("score")).orderBy("qn").limit(limit)
+    if mode == "empty":
+        return nodes.select("qn", F.lit(0.0).alias("score")).limit(0)
+    if mode == "semantic":
+        return expanded(pool, edges, " ".join(query_terms(text)), limit)
+    docs = pool.select("qn", F.array_join(T.split_camel(F.col("name")), " ").alias("content"))
+    asked = nodes.sparkSession.createDataFrame([(1, t) for t in query_terms(text)], "query_id long, term string")
+    hits = bm25(postings(docs, "qn", {"content": 1.0}), docs, "qn", asked, limit * 3).select("qn", "score")
+    return hits.join(pool, "qn").select("qn", (F.col("score") + boosts(text)).alias("score")).orderBy(F.col("score").desc(), "qn").limit(limit)

@@ -317,3 +317,65 @@ def _(g):
     back = pairs.select(F.col("target_module").alias("source_module"), F.col("source_module").alias("target_module"))
     mutual = pairs.join(back, ["source_module", "target_module"], "left_semi").filter("source_module < target_module")
     return coupling.select(F.lit("coupling").alias("category"), "subject", "value").unionByName(mutual.select(F.lit("mutual").alias("category"), F.concat_ws(" <> ", "source_module", "target_module").alias("subject"), F.lit(2).cast("long").alias("value")))
+
+
+_FOLDER = "regexp_extract({}, '^(.*)/[^/]*$', 1)"
+_RISK = f"""ck0 AS (SELECT repo_id, bool_or(kind IN ('class', 'struct', 'trait', 'enum', 'interface') AND modifiers LIKE '%pub%' OR kind IN ('function', 'method') AND modifiers LIKE '%pub%' AND params IS NULL AND return_type IS NULL) AS api,
+  bool_or(kind IN ('function', 'method') AND modifiers LIKE '%pub%' AND (params IS NOT NULL OR return_type IS NOT NULL)) AS sig FROM cn GROUP BY 1),
+uc AS (SELECT repo_id, count(*) AS uncovered FROM cn WHERE NOT is_test AND qn NOT IN (SELECT dst FROM und JOIN nodes t ON t.qn = und.src WHERE t.is_test) GROUP BY 1),
+im AS (SELECT n.repo_id, count(*) AS impacted, count(*) FILTER ({_FOLDER.format('n.file_path')} NOT IN (SELECT {_FOLDER.format('file_path')} FROM cn)) AS outside FROM b JOIN nodes n USING (qn) WHERE depth > 0 GROUP BY 1)"""
+
+
+@query("advanced_impact", sql("""SELECT repo_id, coalesce(impacted, 0)::BIGINT AS impacted, coalesce(outside, 0)::BIGINT AS outside, coalesce(uncovered, 0)::BIGINT AS uncovered, CASE WHEN coalesce(api, false) AND coalesce(outside, 0) > 0 THEN 'critical' WHEN coalesce(api, false) THEN 'high' WHEN coalesce(sig, false) OR coalesce(outside, 0) > 0 OR coalesce(impacted, 0) > 20 OR coalesce(uncovered, 0) > 0 THEN 'medium' ELSE 'low' END AS risk
+  FROM ck0 LEFT JOIN uc USING (repo_id) LEFT JOIN im USING (repo_id)""", CHANGED, CN, UND, _bfs("cn", "und", 2), _RISK, recursive=True))
+def _(g):
+    from graphloom.plans.traverse_queries import change_kind
+
+    changed = changed_nodes(g)
+    kinds = changed.groupBy("repo_id").agg(F.bool_or(change_kind() == "api_change").alias("api"), F.bool_or(change_kind() == "signature_change").alias("sig"))
+    covered = traverse.both_ways(g.edges).join(g.nodes.filter("is_test").select(F.col("qn").alias("src")), "src", "left_semi").select(F.col("dst").alias("qn"))
+    bare = changed.filter("not is_test").join(covered, "qn", "left_anti").groupBy("repo_id").agg(F.count(F.lit(1)).alias("uncovered"))
+    homes = changed.select(metrics.folder("file_path").alias("folder")).distinct().withColumn("home", F.lit(True))
+    reached = scan.by_keys(g.nodes, traverse.impact_radius(changed, g.edges, 2).filter("depth > 0"), "qn").withColumn("folder", metrics.folder("file_path"))
+    spread_out = reached.join(homes, "folder", "left").groupBy("repo_id").agg(F.count(F.lit(1)).alias("impacted"), F.count_if(F.col("home").isNull()).alias("outside"))
+    all_ = kinds.join(bare, "repo_id", "left").join(spread_out, "repo_id", "left").fillna(0, ["uncovered", "impacted", "outside"])
+    risk = (
+        F.when(F.col("api") & (F.col("outside") > 0), "critical")
+        .when(F.col("api"), "high")
+        .when(F.col("sig") | (F.col("outside") > 0) | (F.col("impacted") > 20) | (F.col("uncovered") > 0), "medium")
+        .otherwise("low")
+    )
+    return all_.select("repo_id", "impacted", "outside", "uncovered", risk.alias("risk"))
+
+
+@query("import_cleanup", sql("SELECT DISTINCT i.source, i.target FROM edges i WHERE i.kind = 'imports' AND NOT EXISTS (SELECT 1 FROM edges u WHERE u.kind IN ('calls', 'references', 'implements', 'extends') AND u.file_path = i.file_path AND split_part(u.target, '::', 1) = split_part(i.target, '::', 1))"))
+def _(g):
+    home = F.split_part("target", F.lit("::"), F.lit(1))
+    imports = g.edges.filter("kind = 'imports'").select("source", "target", "file_path", home.alias("home"))
+    used = g.edges.filter(F.col("kind").isin("calls", "references", "implements", "extends")).select("file_path", home.alias("home"))
+    return imports.join(used, ["file_path", "home"], "left_anti").select("source", "target").distinct()
+
+
+@query("session_events", sql("SELECT session_id, id, created_at, row_number() OVER (PARTITION BY session_id ORDER BY created_at, id) AS place FROM ledger"))
+def _(g):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("session_id").orderBy("created_at", "id")
+    return g.ledger.select("session_id", "id", "created_at", F.row_number().over(w).cast("long").alias("place"))
+
+
+@query("recent_sources", sql("SELECT source, chunks, last FROM (SELECT source, count(*) AS chunks, max(created_at) AS last FROM chunks WHERE source LIKE 'wiki/%' GROUP BY 1) ORDER BY last DESC, source LIMIT 20"))
+def _(g):
+    per = g.chunks.filter(F.col("source").startswith("wiki/")).groupBy("source").agg(F.count(F.lit(1)).alias("chunks"), F.max("created_at").alias("last"))
+    return per.orderBy(F.col("last").desc(), "source").limit(20)
+
+
+@query("document_patches", None)
+def _(g):
+    from pyspark.sql import Window
+
+    from graphloom.sources import files
+
+    w = Window.partitionBy("source", "title").orderBy("id")
+    pairs = g.chunks.filter("title is not null and source is not null").select(F.col("id").cast("string").alias("path"), F.lag("content").over(w).alias("old"), F.col("content").alias("new"))
+    return files.patches(pairs.filter("old is not null")).select("path", F.length("patch").alias("length"))

@@ -42,7 +42,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """For work that is heavy for its bytes: rows over all cores if the scan has fewer parts than there are cores.
 
-    Scans of large inputs have more, and are left as they are, without a shuffle.
+    Scans of large inputs have more, and are left as they are, without a shuffle. So is what comes out of a shuffle, whose
+    parts aren't known before it runs.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
+    planned = df._jdf.queryExecution()
+    if planned.executedPlan().nodeName().startswith("AdaptiveSparkPlan"):
+        return df
+    return df if planned.toRdd().getNumPartitions() >= cores else df.repartition(cores)

@@ -78,3 +78,14 @@ def test_near_classes(spark):
     frame = spark.createDataFrame(data, "id long, t string")
     got = rows(duplicates.near_classes(frame, "id", F.filter(F.split("t", " "), lambda x: x != "")).select("id", "class_id", "links"))
     assert got == [(1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 4, 0), (5, 5, 0)]
+
+
+def test_query_terms_and_modes(spark):
+    assert search.query_terms("parseHTTPRequest in load_cache, load") == ["parsehttprequest", "parse", "http", "request", "in", "load", "cache"]
+    assert search.relaxed_prefixes("cache of snapshots") == ["ca", "sna"]
+    nodes = spark.createDataFrame([("a::fn::load_cache", "load_cache", "function", "pub"), ("a::fn::other", "other", "function", None)], "qn string, name string, kind string, modifiers string")
+    edges = spark.createDataFrame([], "source string, target string")
+    assert [r.qn for r in search.execute(nodes, edges, "load_cache").collect()] == ["a::fn::load_cache"]
+    assert [r.qn for r in search.execute(nodes, edges, "", regex="^oth").collect()] == ["a::fn::other"]
+    assert search.execute(nodes, edges, " ").count() == 0
+    assert [r.qn for r in search.execute(nodes, edges, "cache", semantic=True).collect()] == ["a::fn::load_cache"]
