@@ -13,6 +13,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphloom.session import cut_lineage
+
 #: valid_to of a version that no later report has ended.
 OPEN_END = 253402300799
 #: Seconds after as_of up to which a report counts as delivered on time.
@@ -112,7 +114,7 @@ def apply_updates(base: DataFrame, churn: DataFrame, late: DataFrame, base_calen
     """History after the late rows: untouched chains as they were, touched ones rebuilt from all their raw rows."""
     calendar = report_calendar(churn)
     new_reports = calendar.join(base_calendar, ["repo_id", "as_of"], "left_anti")
-    touched = touched_entities(base, late, new_reports)
+    touched = cut_lineage(touched_entities(base, late, new_reports))  # read twice
     raw = churn.join(touched, KEY, "left_semi")
     return base.join(touched, KEY, "left_anti").unionByName(build_chains(raw_versions(raw, compact), calendar))
 
@@ -128,7 +130,7 @@ def entity_history(churn: DataFrame, on_time_secs: int = ON_TIME_SECS, compact:
     is_late = F.coalesce(F.unix_timestamp(F.col("ingested_at").cast("timestamp")) - F.col("as_of") > on_time_secs, F.lit(False))
     on_time, late = churn.filter(~is_late), churn.filter(is_late)
     calendar = report_calendar(on_time)
-    base = build_chains(raw_versions(on_time, compact), calendar)
+    base = cut_lineage(build_chains(raw_versions(on_time, compact), calendar))  # as a stored history would be
     return apply_updates(base, churn, late, calendar, compact)
 
 
