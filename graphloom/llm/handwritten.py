@@ -2,7 +2,7 @@
 
 Copies are found by winnowing: the token stream without comments is hashed in k-grams, the least hash of every window
 is a fingerprint, and a file whose fingerprints largely recur in many other repositories is a vendored copy. A file's
-path, the banner in its head and the form of its text show the other kinds, and copies that only one repository holds.
+path, the banners in its comments and the form of its text show the other kinds, and copies that only one repository holds.
 """
 
 from __future__ import annotations
@@ -26,8 +26,6 @@ WINDOW = 16
 MIN_REPOS = 5
 MIN_SHARE = 0.8
 MIN_PRINTS = 6
-#: Bytes at the start of a file in which a banner counts.
-HEAD = 1200
 
 # Folders in which package managers and vendoring tools place copies.
 _VENDOR_PATH = re.compile(
@@ -41,7 +39,6 @@ _GENERATED_NAME = re.compile(
 _MIN_NAME = re.compile(r"[.-]min\.(?:js|mjs|cjs)$|\.bundle\.js$")
 _LOCK_NAME = re.compile(r"(?:^|/)(?:package-lock\.json|npm-shrinkwrap\.json|[^/]*[.-]lock\.(?:json|toml)|(?:Cargo|poetry|uv|Pipfile)\.lock)$")
 
-_COMMENT_LINE = rb"^[ \t]*(?:\xef\xbb\xbf)?(?://|#|/\*|\*|--|;|<!--)[^\n]*"
 # The phrases by which tools mark their output; each has to begin a comment line or name the tool.
 _GENERATED_BANNER = re.compile(
     rb"code generated by [^\n]{1,80}?\bdo not (?:edit|modify)|(?:this|the) (?:file|code|class|module) (?:was|is|has been) (?:auto(?:matically)?[- ]?)generated|"
@@ -58,6 +55,17 @@ _VENDOR_BANNER = re.compile(
     rb"redistribution in source and (?:compiled|binary) forms? is permitted",
     re.I | re.M,
 )
+# Of those phrases the ones that speak of the whole file wherever they stand; between lines of code the others may speak of the line below.
+_ANYWHERE_BANNER = re.compile(
+    rb"^\W*code generated by [^\n]{1,80}?\bdo not (?:edit|modify)|^\W*(?:this|the) file (?:was|is|has been) (?:auto(?:matically)?[- ]?)generated\b|^\W*auto[- ]?generated file\b|^\W*<auto-generated>|^\W*@generated\b|"
+    rb"^\W*generated file\b[^\n]{0,80}?\b(?:do not (?:edit|modify)|overwritten|lost)\b|^\W*(?:generated|machine[- ](?:written|generated|made)) (?:by|from|with) \S+ [^\n]{0,80}?\bdo not (?:edit|modify)",
+    re.I | re.M,
+)
+_ANYWHERE_VENDOR = re.compile(rb"^\W*(?:this file (?:was|is) )?(?:imported unchanged from|vendored (?:from|copy of) \S+[/@]\S+|upstream-version:|imported-by:)", re.I | re.M)
+# Every banner has one of these, lower-cased; a text without them needs no search for its comments.
+_BANNER_WORDS = re.compile(
+    rb"generat|do not (?:edit|modify)|machine[- ]|(?:be|are) (?:lost|overwritten)|automatisch|automatiquement|autom\xc3\xa1ticamente|upstream|imported|vendored|\(c\) the|copyright|released under|redistribution in"
+)
 _LOCK_JSON = re.compile(rb'\A\s*\{\s*(?:"[^"]*"\s*:\s*(?:"[^"]*"|\d+|true|false)\s*,\s*)*"lockfileVersion"\s*:')
 _LOCK_TOML = re.compile(rb'^\[\[package\]\]\s*\r?\nname = "[^"\n]*"\r?\nversion = "[^"\n]*"\r?\n(?:source = "[^"\n]*"\r?\n)?checksum = ', re.M)
 _LONG_STRING = re.compile(rb"[A-Za-z0-9+/=_-]{40,}|(?:\\x[0-9a-fA-F]{2}){12,}")
@@ -113,24 +121,89 @@ def evidence(raw: bytes, path: str | None, language: str | None) -> str | None:
         return "minified"
     if language in (None, "json", "toml") and _LOCK_NAME.search(path):
         return "lock"
-    head = raw[:HEAD]
-    comments = b"\n".join(_comment_head(head))
-    if comments:
-        if _GENERATED_BANNER.search(comments):
+    return banner(raw, language) or form_of(raw, language)
+
+
+def banner(raw: bytes, language: str | None) -> str | None:
+    """generated or vendored by the comments of the text, of any length, that stand on lines of their own.
+
+    Before the first and after the last line of code every banner counts; between lines of code the ones that name the whole
+    file. A comment mark within a string begins no comment.
+    """
+    if not _BANNER_WORDS.search(raw.lower()):
+        return None
+    ends, inner = _comments(raw, language)
+    if language in _COMMENTS:
+        ends += _comments(raw, None)[0]  # the extension may be wrong
+    for generated, vendored, lines in ((_GENERATED_BANNER, _VENDOR_BANNER, _comment_head(raw) + ends), (_ANYWHERE_BANNER, _ANYWHERE_VENDOR, inner)):
+        lines = [x for x in lines if _BANNER_WORDS.search(x.lower())]
+        if any(map(generated.search, lines)):
             return "generated"
-        if _VENDOR_BANNER.search(comments):
+        if any(map(vendored.search, lines)):
             return "vendored"
-    return form_of(raw, language)
+    return None
+
+
+_SLASHES = rb"(?P<comment>//[^\n]*|/\*(?:[^*]|\*(?!/))*+(?:\*/|\Z))"
+_HASHES = rb"(?P<comment>#[^\n]*)"
+# A string without end takes the rest of its line or text, so that no start is tried twice.
+_QUOTED = rb'"(?:\\.|[^"\\\n])*+"?'
+_SINGLE = rb"'(?:\\.|[^'\\\n])*+'?"
+_TRIPLE = rb'"""(?:\\.|[^"\\]|"(?!""))*+(?:"""|\Z)'
+_TRIPLE_SINGLE = rb"'''(?:\\.|[^'\\]|'(?!''))*+(?:'''|\Z)"
+_CHAR = rb"'(?:\\[^\n]{1,9}?|[^'\\\n]{1,4})'"  # Rust writes lifetimes with one mark
+_BACKTICK = rb"`(?:\\.|[^`\\])*+`?"
+_RAW_TICK = rb"`[^`]*+`?"
+_RAW_RUST = rb'\br(?P<h>#{0,8})"[\s\S]*?(?:"(?P=h)|\Z)'
+# Comments and strings by language; what begins first decides, so that each is skipped as a whole.
+_COMMENTS = {
+    name: re.compile(b"|".join(parts), re.S)
+    for name, parts in {
+        "python": (_TRIPLE, _TRIPLE_SINGLE, _QUOTED, _SINGLE, _HASHES),
+        "toml": (_TRIPLE, _TRIPLE_SINGLE, _QUOTED, rb"'[^'\n]*+'?", _HASHES),
+        "c": (_QUOTED, _CHAR, _SLASHES),
+        "java": (_TRIPLE, _QUOTED, _CHAR, _SLASHES),
+        "rust": (_RAW_RUST, rb'"(?:\\.|[^"\\])*+"?', _CHAR, _SLASHES),
+        "go": (_RAW_TICK, _QUOTED, _CHAR, _SLASHES),
+        "javascript": (_BACKTICK, _QUOTED, _SINGLE, _SLASHES),
+        "typescript": (_BACKTICK, _QUOTED, _SINGLE, _SLASHES),
+        "json": (_QUOTED, _SLASHES),
+        None: (_QUOTED, _SLASHES, rb"(?:(?<=\n)|\A)[ \t]*(?P<line>(?:#|--|;|<!--)[^\n]*)"),
+    }.items()
+}
+
+
+def _comments(raw: bytes, language: str | None) -> tuple[list[bytes], list[bytes]]:
+    """Lines of the comments after the last line of code, and of those between, that stand on lines of their own."""
+    found = []
+    for m in _COMMENTS.get(language, _COMMENTS[None]).finditer(raw):
+        if m.lastgroup in ("comment", "line"):
+            lo = m.start(m.lastgroup)
+            if not raw[raw.rfind(b"\n", 0, lo) + 1 : lo].strip(b" \t\xef\xbb\xbf"):
+                found.append((lo, m.end()))
+    end, tail = _code_end(raw, len(raw)), len(found)
+    while tail and found[tail - 1][1] >= end:
+        tail -= 1
+        end = _code_end(raw, found[tail][0])
+    lines = lambda parts: [x.strip() for lo, hi in parts for x in raw[lo:hi].split(b"\n")]
+    return lines(found[tail:]), lines(found[:tail])
 
 
-_IN_COMMENT = re.compile(_COMMENT_LINE, re.M)
+def _code_end(raw: bytes, at: int) -> int:
+    while at and raw[at - 1 : at].isspace():
+        at -= 1
+    return at
 
 
 def _comment_head(head: bytes) -> list[bytes]:
     """The comment lines before the first line of code."""
     out: list[bytes] = []
     block = False
-    for line in head.split(b"\n"):
+    at = 0
+    while at < len(head):
+        end = head.find(b"\n", at)
+        end = len(head) if end < 0 else end
+        line, at = head[at:end], end + 1
         bare = line.strip().removeprefix(b"\xef\xbb\xbf")
         if not bare:
             continue

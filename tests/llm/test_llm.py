@@ -194,6 +194,35 @@ def test_evidence():
         assert handwritten.evidence(raw, path, language) == kind, path
 
 
+CODE = {"go": b"package a\n" + b"func f() int { return 1 }\n" * 90, "python": b"import a\n" + b"def f(x):\n    return x\n" * 90, "c": b"int f(void);\n" * 150}
+
+
+def test_banners_anywhere():
+    go, py, c = CODE["go"], CODE["python"], CODE["c"]
+    for raw, language in [
+        (go + b"\n// Code generated by lexmill. DO NOT EDIT.\n", "go"),
+        (b"// Code generated by lexmill. DO NOT EDIT.\n".join((go, go[10:])), "go"),
+        (py + b"# @generated by graphgen v6.22.2\n", "python"),
+        (c + b"/* <auto-generated>\n * Output of ormkit\n * </auto-generated> */\n\n", "c"),
+        (b"// what this is\n" * 200 + b"// Code generated by lexmill. DO NOT EDIT.\n" + go, "go"),
+        (c + b"// Generated file - manual edits are overwritten (wirec)\n", None),
+        (py + b"# @generated by graphgen v6.22.2\n", "rust"),
+    ]:
+        assert handwritten.evidence(raw, "src/a", language) == "generated", raw[-80:]
+    assert handwritten.evidence(c + b"// imported unchanged from x/y\n", "src/a.c", "c") == "vendored"
+    for raw, language in [
+        (go + b"// values are generated by the caller\n", "go"),
+        (go + b"// the code generator in scope calls this\n", "go"),
+        (go + b"// DO NOT EDIT\nvar x = 1\n", "go"),
+        (go + b"// Generated by the caller below.\nvar x = 1\n", "go"),
+        (go + b"var t = `\n// Code generated by x. DO NOT EDIT.\n`\n", "go"),
+        (py + b'T = """\n# @generated by x\n"""\n', "python"),
+        (py + b"x = 1  # Code generated by x. DO NOT EDIT.\n", "python"),
+        (c + b'const char *s = "\\\n// @generated\\\n";\nint x;\n', "c"),
+    ]:
+        assert handwritten.evidence(raw, "src/a", language) is None, raw[-80:]
+
+
 def test_copies_by_fingerprint(spark):
     rnd = random.Random(1)
     word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
