@@ -1,8 +1,8 @@
 """Generated, minified and vendored source files, and data saved as code.
 
 Copies are found by winnowing: the token stream without comments is hashed in k-grams, the least hash of every window
-is a fingerprint, and a file whose fingerprints largely recur in many other repositories is a vendored copy. A file's
-path, the banners in its comments and the form of its text show the other kinds, and copies that only one repository holds.
+is a fingerprint, and a file whose fingerprints largely recur in many other repositories, or in files known to be vendored,
+is a vendored copy. A file's path, the banners in its comments and the form of its text show the other kinds, and copies that only one repository holds.
 """
 
 from __future__ import annotations
@@ -108,11 +108,13 @@ def form_of(raw: bytes, language: str | None) -> str | None:
     return None
 
 
+def utf8(raw: bytes) -> bytes:
+    return raw.decode("utf-16", "replace").encode() if raw[:2] in (b"\xff\xfe", b"\xfe\xff") else raw
+
+
 def evidence(raw: bytes, path: str | None, language: str | None) -> str | None:
     """Why a file isn't hand-written by its path, banner or form: generated, minified, vendored, lock or data; else None."""
-    path = path or ""
-    if raw[:2] in (b"\xff\xfe", b"\xfe\xff"):
-        raw = raw.decode("utf-16", "replace").encode()
+    path, raw = path or "", utf8(raw)
     if _VENDOR_PATH.search(path):
         return "vendored"
     if _GENERATED_NAME.search(path):
@@ -240,13 +242,14 @@ def fingerprints(raw: bytes) -> np.ndarray:
 
 
 def judge_files(files: DataFrame) -> DataFrame:
-    """work_id, repo_id, language, kind, prints: the evidence of each file with bytes, and its fingerprints where none was found yet."""
+    """work_id, repo_id, language, kind, prints: the evidence of each file with bytes, and its fingerprints."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             paths, langs, raws = (batch.column(i).to_pylist() for i in (2, 3, 4))
+            raws = [utf8(raw) for raw in raws]
             kinds = [evidence(raw, path, lang) for raw, path, lang in zip(raws, paths, langs)]
-            prints = [fingerprints(raw) if kind is None else None for raw, kind in zip(raws, kinds)]
+            prints = [fingerprints(raw) for raw in raws]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), batch.column(3), pa.array(kinds, pa.string()), pa.array(prints, pa.list_(pa.int64()))],
                 names=["work_id", "repo_id", "language", "kind", "prints"],
@@ -257,14 +260,17 @@ def judge_files(files: DataFrame) -> DataFrame:
 
 
 def copies(judged: DataFrame, min_repos: int = MIN_REPOS, min_share: float = MIN_SHARE) -> DataFrame:
-    """work_id of files whose fingerprints largely recur in at least min_repos repositories, their own among them."""
-    prints = judged.filter(F.size("prints") >= MIN_PRINTS).select("work_id", "repo_id", F.size("prints").alias("n"), F.explode("prints").alias("print"))
-    recurring = prints.select("print", "repo_id").distinct().groupBy("print").count().filter(F.col("count") >= min_repos).select("print")
+    """work_id of files without other evidence whose fingerprints largely recur: in at least min_repos repositories, counted over all
+    files whatever their evidence, their own among them; or in files that path or banner show to be vendored, of any repository."""
+    held = judged.select("repo_id", "kind", F.explode("prints").alias("print"))
+    spread_ = held.groupBy("print").agg(F.count_distinct(F.struct("repo_id")).alias("repos"), F.max(F.col("kind").eqNullSafe("vendored")).alias("known"))
+    recurring = spread_.filter((F.col("repos") >= min_repos) | F.col("known")).select("print", F.col("repos") >= min_repos, "known").toDF("print", "often", "known")
+    asked = judged.filter(F.col("kind").isNull() & (F.size("prints") >= MIN_PRINTS)).select("work_id", F.size("prints").alias("n"), F.explode("prints").alias("print"))
     return (
-        prints.join(recurring, "print")
+        asked.join(recurring, "print")
         .groupBy("work_id", "n")
-        .agg(F.count(F.lit(1)).alias("hits"))
-        .filter(F.col("hits") >= F.col("n") * min_share)
+        .agg(F.count_if("often").alias("often"), F.count_if("known").alias("known"))
+        .filter(F.greatest("often", "known") >= F.col("n") * min_share)
         .select("work_id")
         .distinct()
     )
@@ -274,7 +280,8 @@ def not_handwritten(files: DataFrame) -> DataFrame:
     """work_id and kind (generated, minified, vendored, lock or data) of the files that nobody wrote by hand.
 
     Only files with bytes take part. kind is the first that applies: path, banner, form, then fingerprints that recur
-    in other repositories. work_id is taken to be unique; null paths and languages only leave those signs out. Repeated
+    in other repositories or in files that path or banner show to be vendored (so also the original of a library, once
+    another file of the table is a marked copy of it). work_id is taken to be unique; null paths and languages only leave those signs out. Repeated
     rows are repeated in the result. Files of any length are read whole. An empty table gives an empty result.
     """
     judged = cut_lineage(judge_files(files))  # three branches read it; files are tokenised once

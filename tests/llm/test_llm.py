@@ -235,6 +235,19 @@ def test_copies_by_fingerprint(spark):
     assert rows(handwritten.not_handwritten(frame.limit(0))) == []
 
 
+def test_unmarked_copies_of_marked_files(spark):
+    rnd = random.Random(4)
+    text = lambda: " ".join(f"{''.join(rnd.choice('abcdefgh') for _ in range(5))}({rnd.choice('xyz')});" for _ in range(80))
+    lib, wide, own = text(), text(), text()
+    data = [(1, 1, "node_modules/l/a.js", lib), (2, 2, "src/a.js", f"// mine\n{lib}"), (3, 3, "src/b.js", f"{own} {lib[:400]}")]
+    data += [(10 + k, k, "a.pb.go" if k else "a.go", wide) for k in range(5)]  # written by a tool in four repositories, unmarked in a fifth
+    data += [(20 + k, k, "o.js", own) for k in range(4)]  # forks of hand-written code
+    data = [(w, r, path, body.encode(), None, None, None, None) for w, r, path, body in data]
+    data += [(4, 4, "src/c.js", ("\ufeff" + lib).encode("utf-16-le"), None, None, None, None)]
+    found = dict(rows(handwritten.not_handwritten(spark.createDataFrame(data, FILES))))
+    assert found == {1: "vendored", 2: "vendored", 4: "vendored", 10: "vendored", **{10 + k: "generated" for k in range(1, 5)}}
+
+
 def test_winnowing_guarantee():
     rnd = random.Random(2)
     text = lambda n: b" ".join(b"w%d" % rnd.randint(0, 10**6) for _ in range(n))
