@@ -46,8 +46,8 @@ def arity(params: Column) -> Column:
 
 
 def chunk_id(source: Column, content: Column) -> Column:
-    """SHA-256 of source, a zero byte and the trimmed content."""
-    return F.sha2(F.concat(F.encode(source, "UTF-8"), F.unhex(F.lit("00")), F.encode(F.regexp_replace(content, r"^\s+|\s+$", ""), "UTF-8")), 256)
+    """SHA-256 of source, a zero byte and the content without white space of Unicode at its ends."""
+    return F.sha2(F.concat(F.encode(source, "UTF-8"), F.unhex(F.lit("00")), F.encode(F.regexp_replace(content, r"(?U)^\s++|(?<!\s)\s++\z", ""), "UTF-8")), 256)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -65,11 +65,11 @@ def approx_tokens(text: Column, bytes_per_token: int = 4) -> Column:
     return F.ceil(F.octet_length(text) / bytes_per_token)
 
 
-#: Patterns of secrets and what replaces them. Fixed values.
+#: Patterns of secrets and what replaces them; words, blanks and letter case are those of Unicode. Fixed values.
 SECRETS = [
-    (r"(?i)\b(password|passwd|secret|token|api[_-]?key)(\s*[=:]\s*)[^\s,;]+", "$1$2[redacted]"),
-    (r"\b[0-9a-fA-F]{32,}\b", "[redacted]"),
-    (r"\b(?:ghp|gho|sk|pk|AKIA)[_-]?[A-Za-z0-9]{16,}\b", "[redacted]"),
+    (r"(?iU)\b(password|passwd|secret|token|api[_-]?key)(\s*[=:]\s*)[^\s,;]+", "$1$2[redacted]"),
+    (r"(?U)\b[0-9a-fA-F]{32,}\b", "[redacted]"),
+    (r"(?U)\b(?:ghp|gho|sk|pk|AKIA)[_-]?[A-Za-z0-9]{16,}\b", "[redacted]"),
 ]
 
 

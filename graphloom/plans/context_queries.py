@@ -94,8 +94,8 @@ def _(g):
 
 @query("rename_edits", sql("SELECT id, line::INTEGER AS line, before, regexp_replace(before, '\\bsnapshot\\b', 'capture', 'g') AS after FROM (SELECT id, unnest(string_split(content, chr(10))) AS before, generate_subscripts(string_split(content, chr(10)), 1) AS line FROM chunks WHERE regexp_full_match(content, '[ -~\\n\\r\\t]*')) WHERE regexp_matches(before, '\\bsnapshot\\b')"))
 def _(g):
-    plain = g.chunks.filter(F.col("content").rlike(r"^[ -~\n\r\t]*+\z"))
-    return context.rename_edits(plain, "id", "content", "snapshot", "capture")
+    # the SQL tells the texts of printable ASCII only
+    return context.rename_edits(g.chunks.filter("content is not null"), "id", "content", "snapshot", "capture")
 
 
 _LINES = "ln AS (SELECT id, unnest(string_split(content, chr(10))) AS raw, generate_subscripts(string_split(content, chr(10)), 1) AS line FROM chunks)"

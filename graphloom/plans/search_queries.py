@@ -126,8 +126,8 @@ def _(g):
 
 @query("chunk_ids", sql("SELECT id, sha256(encode(source) || '\\x00'::BLOB || encode(regexp_replace(content, '^\\s+|\\s+$', '', 'g'))) AS chunk_id FROM chunks WHERE source IS NOT NULL AND regexp_full_match(content, '[ -~\\n\\r\\t]*')"))
 def _(g):
-    plain = g.chunks.filter(F.col("source").isNotNull() & F.col("content").rlike(r"^[ -~\n\r\t]*\z"))
-    return plain.select("id", T.chunk_id(F.col("source"), F.col("content")).alias("chunk_id"))
+    # the SQL tells the texts of printable ASCII only
+    return g.chunks.filter("source is not null and content is not null").select("id", T.chunk_id(F.col("source"), F.col("content")).alias("chunk_id"))
 
 
 @query("paragraph_chunks", sql("SELECT id, count(*) AS parts, max(length(p)) AS longest FROM (SELECT id, unnest(list_filter(string_split_regex(replace(content, chr(13) || chr(10), chr(10)), '\\n[ \\t]*\\n'), lambda p: regexp_matches(p, '[^ \\t\\r\\n]'))) AS p FROM chunks WHERE content_type = 'markdown') GROUP BY 1"))
@@ -200,8 +200,8 @@ def _(g):
 
 @query("redaction", sql("SELECT id, regexp_replace(regexp_replace(content, '(?i)\\b(password|passwd|secret|token|api[_-]?key)(\\s*[=:]\\s*)[^\\s,;]+', '\\1\\2[redacted]', 'g'), '\\b[0-9a-fA-F]{32,}\\b', '[redacted]', 'g') AS content FROM chunks WHERE regexp_full_match(content, '[ -~\\n\\r\\t]*')"))
 def _(g):
-    plain = g.chunks.filter(F.col("content").rlike(r"^[ -~\n\r\t]*\z"))
-    return plain.select("id", T.redact(F.col("content")).alias("content"))
+    # the SQL tells the texts of printable ASCII only
+    return g.chunks.filter("content is not null").select("id", T.redact(F.col("content")).alias("content"))
 
 
 @query("node_texts", sql("SELECT qn, kind || ' ' || name || coalesce(params, '') || CASE WHEN return_type IS NULL THEN '' ELSE ' -> ' || return_type END || '  [' || qn || ']' AS text FROM nodes"))

@@ -41,6 +41,43 @@ def test_redaction(spark):
     assert [r[0] for r in f.select(T.redact(F.col("s"))).collect()] == ["token = [redacted], x", "id [redacted] ok", "plain"]
 
 
+TEXTS = {
+    1: "Prüfung: token = abc123é, weiter\u00a0 ",
+    2: "\u2003\u00a0élan snapshot\u3000\n\u2028",
+    3: f"é{'a' * 32} {'a' * 32}– password=x\u00a0y",
+    4: "snapshoté snapshots _snapshot ésnapshot\nder snapshot – “snapshot”\r\nende",
+    5: "plain snapshot",
+    6: None,
+    7: "",
+    8: "   \u0085",
+}
+
+
+def test_texts_outside_ascii_take_part(spark, tmp_path):
+    import hashlib
+    import re
+
+    import __spark_entry__
+
+    from pyspark.sql import types as ty
+
+    at = "doc_id long, text string, lang string, source string, n_chars long, title string, content_type string, chunk_index int, repo_id long, created_at timestamp_ntz, ingested_at timestamp_ntz"
+    data = [(k, t, None, "sé", None, None, "x", 0, 1, None, None) for k, t in TEXTS.items()]
+    spark.createDataFrame(data, ty._parse_datatype_string(at)).write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda name: rows(__spark_entry__.queries()[name](spark, str(tmp_path)))
+    full = {k: t for k, t in TEXTS.items() if t is not None}
+
+    def redacted(t):
+        t = re.sub(r"\b(password|passwd|secret|token|api[_-]?key)(\s*[=:]\s*)[^\s,;]+", r"\1\2[redacted]", t, flags=re.I)
+        return re.sub(r"\b[0-9a-fA-F]{32,}\b", "[redacted]", t)
+
+    assert run("redaction") == sorted(((k, redacted(t)) for k, t in full.items()), key=repr)
+    assert run("chunk_ids") == sorted(((k, hashlib.sha256("sé".encode() + b"\0" + t.strip().encode()).hexdigest()) for k, t in full.items()), key=repr)
+    name = re.compile(r"\bsnapshot\b", re.A)
+    edits = [(k, i, line, name.sub("capture", line)) for k, t in full.items() for i, line in enumerate(t.split("\n"), 1) if name.search(line)]
+    assert len(edits) == 4 and run("rename_edits") == sorted(edits, key=repr)
+
+
 def test_bm25_ranks_rare_terms_first(spark):
     data = spark.createDataFrame([(1, "common words here"), (2, "common rare"), (3, "common common"), (4, None)], "id long, content string")
     asked = spark.createDataFrame([(7, "rare"), (7, "common")], "query_id long, term string")
