@@ -69,11 +69,23 @@ def readable(g):
     return g.t("parse_work").select("work_id", F.try_validate_utf8(F.col("bytes").cast("string")).alias("t")).filter("t is not null")
 
 
+def decoded(g):
+    """Every file with bytes as text: UTF-8, else UTF-16 where a byte order mark tells so, else Latin-1, which reads any bytes. Marks are left out."""
+
+    @F.pandas_udf("string")
+    def other(raws: pd.Series) -> pd.Series:
+        return raws.map(lambda raw: raw.decode("utf-16", "replace") if raw[:2] in (b"\xff\xfe", b"\xfe\xff") else raw.decode("latin-1"))
+
+    files = g.t("parse_work").filter("bytes is not null").select("work_id", "bytes", F.is_valid_utf8(F.col("bytes").cast("string")).alias("utf8"))
+    rest = files.filter(~F.col("utf8")).select("work_id", other("bytes").alias("t"))
+    return files.filter("utf8").select("work_id", F.regexp_replace(F.col("bytes").cast("string"), "^\ufeff", "").alias("t")).unionByName(rest)
+
+
 @query("exact_code_groups", f"""WITH {_PLAIN}, k AS (SELECT work_id, list_transform(regexp_extract_all(t, '[A-Za-z_][0-9A-Za-z_]*|[0-9]+|[^\\s0-9A-Za-z_]'), lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN '<num>' WHEN regexp_matches(x, '^[A-Za-z_]') AND NOT list_contains([{_KW}], lower(x)) THEN '<id>' ELSE x END) AS s FROM pw WHERE t IS NOT NULL AND regexp_full_match(t, '[ -~\\n\\r\\t]*')),
 h AS (SELECT work_id, sha256(array_to_string(s, ' ')) AS signature FROM k WHERE len(s) >= 6) SELECT work_id, signature, members FROM h JOIN (SELECT signature, count(*) AS members FROM h GROUP BY 1 HAVING count(*) > 1) USING (signature)""")
 def _(g):
-    plain = readable(g).filter(F.col("t").rlike(r"^[ -~\n\r\t]*+\z"))
-    return duplicates.exact_groups(plain, "work_id", "t")
+    # the SQL tells the files of printable ASCII only
+    return duplicates.exact_groups(decoded(g), "work_id", "t")
 
 
 @query("near_code_classes", None)

@@ -78,6 +78,18 @@ def test_texts_outside_ascii_take_part(spark, tmp_path):
     assert len(edits) == 4 and run("rename_edits") == sorted(edits, key=repr)
 
 
+def test_code_in_any_encoding_is_grouped(spark, tmp_path):
+    import __spark_entry__
+
+    code = "x = f('é', 1)\n# größer\ny = x + 2\n"
+    other = code.replace("x", "zeta").replace("1", "77")
+    files = [code.encode(), other.encode(), b"\xef\xbb\xbf" + code.encode(), code.encode("utf-16"), code.encode("latin-1"), b"a = b(1, 2)\n", b"q = r(3, 4)\n", "ü = v(3, 4)\n".encode(), None, b""]
+    data = [(k, 1, f"a{k}.py", raw) for k, raw in enumerate(files)]
+    spark.createDataFrame(data, "work_id long, repo_id long, rel_path string, bytes binary").write.parquet(f"{tmp_path}/parse_work.parquet")
+    got = rows(__spark_entry__.queries()["exact_code_groups"](spark, str(tmp_path)))
+    assert [(k, n) for k, _, n in got] == [(0, 5), (1, 5), (2, 5), (3, 5), (4, 5), (5, 2), (6, 2)] and len({s for _, s, _ in got}) == 2
+
+
 def test_bm25_ranks_rare_terms_first(spark):
     data = spark.createDataFrame([(1, "common words here"), (2, "common rare"), (3, "common common"), (4, None)], "id long, content string")
     asked = spark.createDataFrame([(7, "rare"), (7, "common")], "query_id long, term string")
