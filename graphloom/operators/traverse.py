@@ -117,11 +117,11 @@ def longest_depths(edges: DataFrame, rounds: int = 12) -> DataFrame:
     return depths
 
 
-def closure(edges: DataFrame, rounds: int = 6) -> DataFrame:
-    """All pairs (a, b) with a path from a to b, by doubling: for module graphs, whose nodes are few."""
+def closure(edges: DataFrame) -> DataFrame:
+    """All pairs (a, b) with a path of any length from a to b, by doubling: for module graphs, whose nodes are few."""
     paths = cut_lineage(edges.select(F.col("source").alias("a"), F.col("target").alias("b")).distinct())
     size = paths.count()
-    for _ in range(rounds):
+    while True:
         longer = paths.join(paths.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b"))
         paths = cut_lineage(paths.union(longer).distinct())
         grown = paths.count()
@@ -131,9 +131,9 @@ def closure(edges: DataFrame, rounds: int = 6) -> DataFrame:
     return paths
 
 
-def strong_components(edges: DataFrame, rounds: int = 6) -> DataFrame:
+def strong_components(edges: DataFrame) -> DataFrame:
     """qn, component (least member) and size of cycles: nodes that reach each other."""
-    paths = closure(edges, rounds)
+    paths = closure(edges)
     mutual = paths.join(paths.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"])
     named = mutual.groupBy(F.col("a").alias("qn")).agg(F.min("b").alias("component"))
     return named.join(named.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "component").select("qn", "component", "size")
@@ -167,16 +167,22 @@ def shortest_cycles(edges: DataFrame, longest: int = 5) -> DataFrame:
     return found.groupBy(F.col("start").alias("qn")).agg(F.min(F.struct("size", "cycle")).alias("m")).select("qn", "m.size", "m.cycle")
 
 
-def rename_chain(renames: DataFrame, rounds: int = 10) -> DataFrame:
-    """First name of each current path through renames (old_path, path): path, origin, hops."""
-    renames = cut_lineage(renames.select("old_path", "path").distinct())
-    chain = renames.select("path", F.col("old_path").alias("origin"), F.lit(1).alias("hops"))
-    for k in range(rounds):
-        further = chain.join(renames.select(F.col("path").alias("origin"), F.col("old_path").alias("older")), "origin")
-        chain = cut_lineage(chain.join(further.select("path", "origin", "older"), ["path", "origin"], "left").select("path", F.coalesce("older", "origin").alias("origin"), (F.col("hops") + F.col("older").isNotNull().cast("int")).alias("hops")))
-        if chain.filter(F.col("hops") == k + 2).isEmpty():
-            break
-    return chain
+def rename_chain(renames: DataFrame) -> DataFrame:
+    """First name of each current path through renames (old_path, path): path, origin, hops.
+
+    Chains of any length, by doubling. Raises if renames form a cycle, which has no first name.
+    """
+    chain = cut_lineage(renames.select("path", F.col("old_path").alias("origin")).distinct().withColumn("hops", F.lit(1)))
+    links = chain.count()
+    while True:
+        further = chain.select(F.col("path").alias("origin"), F.col("origin").alias("older"), F.col("hops").alias("more"))
+        joined = chain.join(further, "origin", "left").select("path", F.coalesce("older", "origin").alias("origin"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"), F.col("older").isNotNull().alias("grown"))
+        joined = cut_lineage(joined.groupBy("path", "origin", "hops").agg(F.max("grown").alias("grown")))
+        chain = joined.select("path", "origin", "hops")
+        if joined.filter("grown").isEmpty():
+            return chain
+        if not joined.filter(F.col("hops") > links).isEmpty():
+            raise ValueError("renames form a cycle")
 
 
 def next_in_chain(edges: DataFrame, rounds: int = 12) -> DataFrame:

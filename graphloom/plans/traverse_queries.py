@@ -269,4 +269,4 @@ SELECT path, arg_max(origin, hops) AS origin, max(hops)::INTEGER AS hops FROM r
 def _(g):
     # the parent chain of commits has the form of a rename chain
     links = g.t("commits").filter("parent_sha is not null").select(F.concat_ws("#", "repo_id", "parent_sha").alias("old_path"), F.concat_ws("#", "repo_id", "commit_sha").alias("path"))
-    return traverse.rename_chain(links, 19)
+    return traverse.rename_chain(links)

@@ -145,3 +145,12 @@ def test_percentiles(spark):
     assert rows(metrics.nearest_rank(frame, "v", ["g"], 0.9)) == [("k", 100)]
     assert rows(metrics.nearest_rank(frame, "v", ["g"], 0.5)) == [("k", 3)]
     assert rows(metrics.outliers(frame, "v", ["g"], 50, 0.5).select("v")) == [(100,)]
+
+
+def test_long_cycles_and_rename_chains(spark):
+    ring = spark.createDataFrame([(f"m{k:03}", f"m{(k + 1) % 150:03}") for k in range(150)], "source string, target string")
+    assert rows(traverse.strong_components(ring)) == [(f"m{k:03}", "m000", 150) for k in range(150)]
+    chain = spark.createDataFrame([(f"v{k}", f"v{k + 1}") for k in range(40)], "old_path string, path string")
+    assert rows(traverse.rename_chain(chain)) == sorted(((f"v{k}", "v0", k) for k in range(1, 41)), key=repr)
+    with pytest.raises(ValueError):
+        traverse.rename_chain(spark.createDataFrame([("a", "b"), ("b", "a")], "old_path string, path string"))
