@@ -6,6 +6,7 @@ token-based ranking: a foreign parse shows a wrong extension, failure everywhere
 
 from __future__ import annotations
 
+import tomllib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,6 +29,13 @@ def language_of(orig_language: Column, rel_path: Column) -> Column:
     return F.coalesce(F.lower(F.btrim(orig_language)), by_ext[F.lower(F.regexp_extract(rel_path, r"\.([^./]+)$", 1))])
 
 
+def _tells(raw: bytes, language: str) -> bool:
+    """Whether a valid text shows its language: a bare value of json and comments of toml don't."""
+    if language == "json":
+        return raw.removeprefix(b"\xef\xbb\xbf").lstrip()[:1] in (b"{", b"[")
+    return language != "toml" or bool(tomllib.loads(raw.decode("utf-8-sig")))
+
+
 def verdict(raw: bytes | None, language: str | None) -> tuple[str, str | None]:
     """valid, wrong_language (with the one that parses), corrupt, or unknown for null bytes or another language."""
     if raw is None or language not in LANGUAGES:
@@ -35,8 +43,7 @@ def verdict(raw: bytes | None, language: str | None) -> tuple[str, str | None]:
     if is_valid(raw, language):
         return "valid", language
     for other in ranked(raw):
-        # nearly any short text is a document of these two, so they must look like one
-        if other != language and (other not in ("json", "toml") or raw.lstrip()[:1] in (b"{", b"[")) and raw.strip() and is_valid(raw, other):
+        if other != language and raw.strip() and is_valid(raw, other) and _tells(raw, other):
             return "wrong_language", other
     return "corrupt", None
 

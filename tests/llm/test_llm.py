@@ -168,6 +168,14 @@ def test_verdicts(spark):
     assert rows(parsecheck.check_files(frame.limit(0))) == []
 
 
+def test_toml_and_json_under_other_extensions():
+    day = b"day = 1979-05-27T07:32:00Z\n"  # no other grammar reads that
+    for raw in (day, b"# a list\n[[p]]\n" + day, b"\xef\xbb\xbfa.b = {c = 'x'}\n" + day):
+        assert parsecheck.verdict(raw, "rust") == ("wrong_language", "toml"), raw
+    assert not parsecheck._tells(b"# only words\n", "toml") and not parsecheck._tells(b"12", "json") and parsecheck._tells(b'\xef\xbb\xbf{"a": null}', "json")
+
+
+
 HAND = [
     (b"// the code generator in x calls this\nconst a = 1;\n" * 9, "src/generated_ids/a.js", "javascript"),
     (b"# DO NOT EDIT the order of this list without asking\nx = [1, 2, 3]\n" * 5, "src/vendors/a.py", "python"),
