@@ -1,8 +1,10 @@
 """Generated, minified and vendored source files, and data saved as code.
 
-Copies are found by winnowing: the token stream without comments is hashed in k-grams, the least hash of every window
-is a fingerprint, and a file whose fingerprints largely recur in many other repositories, or in files known to be vendored,
-is a vendored copy. A file's path, the banners in its comments and the form of its text show the other kinds, and copies that only one repository holds.
+Recurring text is found by winnowing: the token stream without comments, its literals normalised, is hashed in k-grams,
+and the least hash of every window is a fingerprint. A file whose fingerprints largely recur in many unrelated
+repositories, or in files known to be vendored, is a vendored copy; one that recurs because it is little else than
+literals, as an exact check of its text confirms, is dumped data. A file's path and the banners in its comments declare
+the other kinds, its form shows lock files, minified scripts and the counters of generators.
 """
 
 from __future__ import annotations
@@ -22,10 +24,18 @@ from graphloom.session import cut_lineage, spread
 #: Tokens in a hashed k-gram, and k-grams in a winnowing window: any copied run of K + WINDOW - 1 tokens shares a fingerprint.
 K = 16
 WINDOW = 16
-#: Repositories that must hold a fingerprint for it to recur, share of a file's fingerprints that must, and fewest fingerprints that tell.
+#: Repositories that must hold a fingerprint for it to recur, share of a file's windows that must, and fewest distinct fingerprints that tell a copy from a common phrase.
 MIN_REPOS = 5
+#: Repositories for the text of a dump, which is checked exactly afterwards: its own and another.
+DUMP_REPOS = 2
 MIN_SHARE = 0.8
 MIN_PRINTS = 6
+#: Parts into which the files that hold one fingerprint are split, so that a fingerprint of every second file is looked up in several tasks.
+SALTS = 8
+#: Numbers, or characters of encoded text, that a dump has at least; records of a table.
+DUMP_NUMBERS, DUMP_CHARS, DUMP_RECORDS = 60, 480, 8
+#: Tokens whose codes a worker remembers.
+CACHED_TOKENS = 1_000_000
 
 # Folders in which package managers and vendoring tools place copies.
 _VENDOR_PATH = re.compile(
@@ -76,26 +86,40 @@ _SHAPE = re.compile(rb"0[xX][0-9a-fA-F]+|\d+|\"[^\"\n]*\"|'[^'\n]*'")
 _COUNTER = re.compile(rb"[A-Za-z_]\w*?(\d{3,})\b")
 
 
+_RECORD = re.compile(rb"^[ \t]*\d+(?:,[^,\r\n\"'(){}\[\];=:]*){2,}$", re.M)
+_BINARY = re.compile(rb"[\x00-\x08\x0e-\x1a\x1c-\x1f]")
+
+
+def _is_table(raw: bytes) -> bool:
+    """Whether the text is a table without code: records of equally many fields under a running number."""
+    found = _RECORD.findall(raw)
+    if len(found) < DUMP_RECORDS:
+        return False
+    lines = sum(1 for x in raw.split(b"\n") if x.strip())
+    keys = [int(r.split(b",", 1)[0]) for r in found]
+    steps = sum(y - x == 1 for x, y in zip(keys, keys[1:]))
+    return len(found) >= 0.8 * lines and steps >= 0.8 * (len(keys) - 1) and len({r.count(b",") for r in found}) == 1
+
+
 def form_of(raw: bytes, language: str | None) -> str | None:
     """data, minified, lock or generated if the form of the text alone shows it."""
     size = len(raw)
-    if size < 200:
-        return None
     digits = size - len(raw.translate(None, _DIGITS))
     if digits > 0.12 * size:
         numbers = [len(n) for n in _NUMBER.findall(raw)]
         code = len(raw.translate(None, _BLANKS))
-        if len(numbers) >= 60 and sum(numbers) > 0.5 * code:
+        if len(numbers) >= DUMP_NUMBERS and sum(numbers) > 0.5 * code or _is_table(raw):
             return "data"
-    if size >= 800 and sum(map(len, _LONG_STRING.findall(raw))) > 0.6 * size:
+    encoded = sum(map(len, _LONG_STRING.findall(raw)))
+    if encoded >= DUMP_CHARS and encoded > 0.6 * size:
         return "data"
     if language == "json":
         return "lock" if _LOCK_JSON.match(raw) else None
     if language == "toml":
         return "lock" if _LOCK_TOML.search(raw) and raw.count(b"[[package]]") * 3 >= raw.count(b"\n[") else None
-    if language in ("javascript", "typescript") and size >= 500:
+    if language in ("javascript", "typescript"):
         blanks = size - len(raw.translate(None, _BLANKS))
-        if blanks < 0.06 * size and size > 120 * (raw.rstrip().count(b"\n") + 1):
+        if blanks < 0.06 * size and size > 120 * (raw.rstrip().count(b"\n") + 1) and not _BINARY.search(raw):
             return "minified"
     counters = _COUNTER.findall(raw) if digits > 0.04 * size else ()
     if len(counters) >= 8:
@@ -112,9 +136,9 @@ def utf8(raw: bytes) -> bytes:
     return raw.decode("utf-16", "replace").encode() if raw[:2] in (b"\xff\xfe", b"\xfe\xff") else raw
 
 
-def evidence(raw: bytes, path: str | None, language: str | None) -> str | None:
-    """Why a file isn't hand-written by its path, banner or form: generated, minified, vendored, lock or data; else None."""
-    path, raw = path or "", utf8(raw)
+def declared(raw: bytes, path: str | None, language: str | None) -> str | None:
+    """What path or banner (of a UTF-8 text) say a file is: generated, minified, vendored or lock; else None."""
+    path = path or ""
     if _VENDOR_PATH.search(path):
         return "vendored"
     if _GENERATED_NAME.search(path):
@@ -123,7 +147,13 @@ def evidence(raw: bytes, path: str | None, language: str | None) -> str | None:
         return "minified"
     if language in (None, "json", "toml") and _LOCK_NAME.search(path):
         return "lock"
-    return banner(raw, language) or form_of(raw, language)
+    return banner(raw, language)
+
+
+def evidence(raw: bytes, path: str | None, language: str | None) -> str | None:
+    """What path, banner or form of one file alone say, without a look at other files."""
+    raw = utf8(raw)
+    return declared(raw, path, language) or form_of(raw, language)
 
 
 def banner(raw: bytes, language: str | None) -> str | None:
@@ -219,16 +249,46 @@ def _comment_head(head: bytes) -> list[bytes]:
     return out
 
 
-_TOKEN = re.compile(rb"//[^\n]*|/\*.*?(?:\*/|\Z)|(?:^|(?<=\n))[ \t]*#(?!include|define|if|end|else|\[)[^\n]*|([A-Za-z_]\w*|\d+|[^\s\w])", re.S)
+_TOKEN = re.compile(
+    rb"//[^\n]*|/\*.*?(?:\*/|\Z)|(?:^|(?<=\n))[ \t]*#(?!include|define|if|end|else|\[)[^\n]*"
+    rb"|(\"(?:\\.|[^\"\\\n])*+\"(?:\s*:)?|'(?:\\.|[^'\\\n(){}\[\];<>])*+'|-?\d[\w.]*|[A-Za-z_]\w*|[^\s\w])",
+    re.S,
+)
 _POWERS = np.array([pow(0x9E3779B97F4A7C15, i, 1 << 64) for i in range(K)], dtype=np.uint64)
+_IS_NUMBER = re.compile(rb"\s*-?\d[\w.]*\s*\Z")
 
 
-def fingerprints(raw: bytes) -> np.ndarray:
-    """Distinct winnowed fingerprints (int64) of the token stream without comments and blanks."""
-    tokens = [t for t in _TOKEN.findall(raw) if t]
+class _Codes(dict):
+    """Token to number: all numbers alike, all strings but keys alike."""
+
+    def __missing__(self, token: bytes) -> int:
+        if token[:1].isdigit() or token[:1] == b"-" and len(token) > 1:
+            code = zlib.crc32(b"0")
+        elif token[:1] in (b'"', b"'") and len(token) > 1 and token[-1:] != b":":
+            code = zlib.crc32(b'""')
+        else:
+            code = zlib.crc32(token)
+        if len(token) <= 32:
+            if len(self) >= CACHED_TOKENS:
+                self.clear()
+            self[token] = code
+        return code
+
+
+_CODES = _Codes()
+
+
+def _record(found: re.Match) -> bytes:
+    """A record of a table as literals."""
+    return b",".join(b"0" if _IS_NUMBER.match(x) else b'""' for x in found[0].split(b","))
+
+
+def winnow(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct winnowed fingerprints (int64) of the token stream without comments and blanks, and how many windows chose each."""
+    tokens = [t for t in _TOKEN.findall(_RECORD.sub(_record, raw)) if t]
     if len(tokens) < K:
-        return np.zeros(0, dtype=np.int64)
-    codes = np.fromiter(map(zlib.crc32, tokens), dtype=np.uint64, count=len(tokens))
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    codes = np.fromiter(map(_CODES.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
     grams = np.zeros(len(codes) - K + 1, dtype=np.uint64)
     for i in range(K):
         grams += codes[i : i + len(grams)] * _POWERS[i]
@@ -238,52 +298,86 @@ def fingerprints(raw: bytes) -> np.ndarray:
         grams = np.lib.stride_tricks.sliding_window_view(grams, WINDOW).min(axis=1)
     else:
         grams = grams.min(keepdims=True)
-    return np.unique(grams).view(np.int64)
+    prints, windows = np.unique(grams, return_counts=True)
+    return prints.view(np.int64), windows
+
+
+def fingerprints(raw: bytes) -> np.ndarray:
+    return winnow(raw)[0]
+
+
+_JUDGED = "work_id long, repo_id long, declared string, form string, prints array<struct<print:long,windows:long>>"
 
 
 def judge_files(files: DataFrame) -> DataFrame:
-    """work_id, repo_id, language, kind, prints: the evidence of each file with bytes, and its fingerprints."""
+    """work_id, repo_id, declared, form, prints: what path or banner and what the form of each file with bytes say, and its fingerprints."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             paths, langs, raws = (batch.column(i).to_pylist() for i in (2, 3, 4))
             raws = [utf8(raw) for raw in raws]
-            kinds = [evidence(raw, path, lang) for raw, path, lang in zip(raws, paths, langs)]
-            prints = [fingerprints(raw) for raw in raws]
+            said = [declared(raw, path, lang) for raw, path, lang in zip(raws, paths, langs)]
+            forms = [form_of(raw, lang) if kind is None else None for raw, lang, kind in zip(raws, langs, said)]
+            found = [winnow(raw) for raw in raws]
+            ends = np.cumsum([0, *(len(p) for p, _ in found)])
+            none = [np.zeros(0, dtype=np.int64)]
+            flat = pa.StructArray.from_arrays([pa.array(np.concatenate(none + [x[i] for x in found])) for i in (0, 1)], names=["print", "windows"])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(3), pa.array(kinds, pa.string()), pa.array(prints, pa.list_(pa.int64()))],
-                names=["work_id", "repo_id", "language", "kind", "prints"],
+                [batch.column(0), batch.column(1), pa.array(said, pa.string()), pa.array(forms, pa.string()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)],
+                names=["work_id", "repo_id", "declared", "form", "prints"],
             )
 
     rows = files.filter(F.col("bytes").isNotNull()).select("work_id", "repo_id", "rel_path", language_of(F.col("orig_language"), F.col("rel_path")).alias("language"), "bytes")
-    return spread(rows).mapInArrow(run, "work_id long, repo_id long, language string, kind string, prints array<long>")
-
-
-def copies(judged: DataFrame, min_repos: int = MIN_REPOS, min_share: float = MIN_SHARE) -> DataFrame:
-    """work_id of files without other evidence whose fingerprints largely recur: in at least min_repos repositories, counted over all
-    files whatever their evidence, their own among them; or in files that path or banner show to be vendored, of any repository."""
-    held = judged.select("repo_id", "kind", F.explode("prints").alias("print"))
-    spread_ = held.groupBy("print").agg(F.count_distinct(F.struct("repo_id")).alias("repos"), F.max(F.col("kind").eqNullSafe("vendored")).alias("known"))
-    recurring = spread_.filter((F.col("repos") >= min_repos) | F.col("known")).select("print", F.col("repos") >= min_repos, "known").toDF("print", "often", "known")
-    asked = judged.filter(F.col("kind").isNull() & (F.size("prints") >= MIN_PRINTS)).select("work_id", F.size("prints").alias("n"), F.explode("prints").alias("print"))
-    return (
-        asked.join(recurring, "print")
-        .groupBy("work_id", "n")
-        .agg(F.count_if("often").alias("often"), F.count_if("known").alias("known"))
-        .filter(F.greatest("often", "known") >= F.col("n") * min_share)
-        .select("work_id")
-        .distinct()
+    return spread(rows).mapInArrow(run, _JUDGED)
+
+
+def recurring(judged: DataFrame, min_repos: int = MIN_REPOS, min_share: float = MIN_SHARE, min_prints: int = MIN_PRINTS, dump_repos: int = DUMP_REPOS) -> DataFrame:
+    """work_id and kind of the undeclared files whose fingerprints largely recur.
+
+    A fingerprint recurs if at least min_repos repositories hold it, counted over all files whatever they are, the file's
+    own repository among them. Files are data if min_share of their windows recur, here in dump_repos repositories, and
+    their form is that of a dump (form data); vendored if min_share of at least min_prints distinct fingerprints recur, or are held by files that path
+    or banner declare to be vendored, of any repository.
+    """
+    held = judged.select("repo_id", F.col("declared").eqNullSafe("vendored").alias("known"), F.explode("prints.print").alias("print"))
+    by_repo = held.groupBy("print", "repo_id").agg(F.max("known").alias("known"))
+    counted = by_repo.groupBy("print").agg((F.count(F.lit(1)) >= min_repos).alias("often"), (F.count(F.lit(1)) >= dump_repos).alias("again"), F.max("known").alias("known"))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    known = counted.filter("often OR again OR known").select("print", "often", "again", "known", salts)
+    asked = (
+        judged.filter(F.col("declared").isNull() & (F.col("form").isNull() | (F.col("form") == "data")))
+        .withColumn("row", F.monotonically_increasing_id())  # before the rows are multiplied
+        .select(
+            "row",
+            "work_id",
+            "form",
+            F.size("prints").alias("distinct"),
+            F.aggregate("prints.windows", F.lit(0).cast("long"), lambda a, n: a + n).alias("all_windows"),
+            F.explode("prints").alias("p"),
+        )
+        .select("row", "work_id", "form", "distinct", "all_windows", "p.print", "p.windows", F.pmod(F.hash("row"), F.lit(SALTS)).alias("salt"))
+    )
+    shares = (
+        asked.join(known, ["print", "salt"])
+        .groupBy("row", "work_id", "form", "distinct", "all_windows")
+        .agg(F.sum(F.when(F.col("again"), F.col("windows")).otherwise(0)).alias("windows"), F.count_if("often").alias("often"), F.count_if("known").alias("known"))
     )
+    dumped = (F.col("form") == "data") & (F.col("windows") >= F.col("all_windows") * min_share)
+    copied = (F.col("distinct") >= min_prints) & (F.greatest("often", "known") >= F.col("distinct") * min_share)
+    return shares.select("work_id", F.when(dumped, "data").when(copied, "vendored").alias("kind")).filter(F.col("kind").isNotNull())
 
 
-def not_handwritten(files: DataFrame) -> DataFrame:
+def not_handwritten(files: DataFrame, min_repos: int = MIN_REPOS, min_share: float = MIN_SHARE, min_prints: int = MIN_PRINTS, dump_repos: int = DUMP_REPOS) -> DataFrame:
     """work_id and kind (generated, minified, vendored, lock or data) of the files that nobody wrote by hand.
 
-    Only files with bytes take part. kind is the first that applies: path, banner, form, then fingerprints that recur
-    in other repositories or in files that path or banner show to be vendored (so also the original of a library, once
-    another file of the table is a marked copy of it). work_id is taken to be unique; null paths and languages only leave those signs out. Repeated
-    rows are repeated in the result. Files of any length are read whole. An empty table gives an empty result.
+    Only files with bytes take part. Path and banner are asked first, then the forms of lock files, minified scripts and
+    counters; everything else is decided by fingerprints that recur in other repositories or in files declared to be
+    vendored (so also the original of a library, once another file of the table is a marked copy of it). A dump counts
+    as data only if its fingerprints recur; one with fewer tokens than a fingerprint needs, such as a single encoded
+    string, has none, and its form decides. work_id is taken to be unique; null paths and languages only leave those
+    signs out. Repeated rows are repeated in the result. Files of any length are read whole. An empty table gives an
+    empty result.
     """
     judged = cut_lineage(judge_files(files))  # three branches read it; files are tokenised once
-    by_sign = judged.filter(F.col("kind").isNotNull()).select("work_id", "kind")
-    return by_sign.unionByName(copies(judged).select("work_id", F.lit("vendored").alias("kind")))
+    by_sign = judged.select("work_id", F.coalesce("declared", F.when((F.col("form") != "data") | (F.size("prints") == 0), F.col("form"))).alias("kind"))
+    return by_sign.filter(F.col("kind").isNotNull()).unionByName(recurring(judged, min_repos, min_share, min_prints, dump_repos))

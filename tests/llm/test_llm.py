@@ -256,6 +256,21 @@ def test_unmarked_copies_of_marked_files(spark):
     assert found == {1: "vendored", 2: "vendored", 4: "vendored", 10: "vendored", **{10 + k: "generated" for k in range(1, 5)}}
 
 
+def test_dumps_are_decided_by_fingerprints(spark):
+    rnd = random.Random(9)
+    numbers = lambda n: ", ".join(str(rnd.randint(0, 9999)) for _ in range(n))
+    table = lambda n: "id,label text,weight g\n" + "".join(f"{k},{rnd.choice('abcdef') * 4} {rnd.choice('xyz') * 5},{rnd.randint(0, 99)} g\n" for k in range(n))
+    data = [(k, k, f"t{k}.js", f"var data = [{numbers(200)}];") for k in range(2)]
+    data += [(10 + k, k, f"t{k}.py", table(40)) for k in range(2)]
+    data += [(20, 5, "b.py", f'DATA = "{"aGVsbG8gd29ybGQ" * 60}"'), (21, 5, "c.py", f"steps = [{numbers(20)}]\ndef f(x):\n    return steps[x]\n")]
+    data += [(22, 5, "only.c", "M(" + numbers(400).replace(", ", "); M(") + ");")]  # no other repository holds such text
+    frame = spark.createDataFrame([(w, r, path, body.encode(), None, None, None, None) for w, r, path, body in data], FILES)
+    assert rows(handwritten.not_handwritten(frame)) == [(k, "data") for k in (0, 1, 10, 11, 20)]
+    assert rows(handwritten.not_handwritten(frame, dump_repos=4)) == [(20, "data")]
+    assert handwritten.form_of(table(40).encode(), "python") == "data"
+    assert handwritten.form_of(b"path,kind,score\n" + b"a.go,fn name,3 pts\n" * 40, "python") is None
+
+
 def test_winnowing_guarantee():
     rnd = random.Random(2)
     text = lambda n: b" ".join(b"w%d" % rnd.randint(0, 10**6) for _ in range(n))
