@@ -387,10 +387,31 @@ def test_stuffed_pages(spark):
     assert rows(stuffing.find_stuffed(frame.limit(0))) == []
 
 
+def test_salad_and_single_keywords(spark):
+    rnd = random.Random(8)
+    talo = "Vanha talo seisoi joen rannalla jo ennen kuin kylä rakennettiin. Kukaan ei enää muista miksi se {} jätettiin tyhjäksi sodan jälkeen. "
+    names = ["mylly", "tupa", "sauna", "aitta", "navetta", "kirkko"]
+    salad = ["review", "cheap", "static", "merge"]
+    shuffled = lambda: " ".join(rnd.choice(salad) for _ in range(9)).capitalize() + ". "
+    docs = {k: talo.format(n) + "Ei {}.".format(n) for k, n in enumerate(names)}
+    docs |= {10: "".join(shuffled() for _ in range(12)), 11: "\n".join(rnd.choice(salad) for _ in range(60)), 12: talo.format("mylly") * 3}
+    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    assert rows(stuffing.find_stuffed(frame).select("doc_id")) == [(10,), (11,)]
+
+
+def test_links_of_any_length(spark):
+    long = "x" * 9000
+    page = stuffing.read_page(f'<a href="https://a.example/{long}">a b</a>\n[{"word " * 900}](https://a.example/{long})')
+    assert [line.links for line in page.lines] == [1, 1] and not len(page.codes)
+    assert [len(x) for x in page.labels] == [2, 900]
+    for text in ("[" * 200_000, "<a " * 60_000, "](" * 90_000, "![" * 90_000 + "https://"):
+        stuffing.read_page(text)  # in proportion to the length
+
+
 def test_corpus_counts_are_whole(spark):
     data = [(k, f"alpha beta gamma{k % 3}. Beta alpha beta", datetime(2024, 1, 1)) for k in range(50)]
     frame = spark.createDataFrame(data, "doc_id long, text string, created_at timestamp")
     counts = stuffing.corpus_counts(stuffing.read_corpus(frame.repartition(5), 0.5)).collect()
-    words = {r.code: r.n for r in counts if r.first is None}
+    words = {r.code: r.up for r in counts if r.down is None}
     assert words[stuffing.hashes(["alpha"]).view(np.int64)[0]] == 100 and sum(words.values()) == 300
-    assert sum(r.n for r in counts if r.first is not None) == 50 * 4
+    assert sum(r.up + r.down for r in counts if r.down is not None) == 50 * 5
