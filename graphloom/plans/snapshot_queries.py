@@ -13,10 +13,36 @@ def p2_found(spark, sf_dir):
 
 
 def p3_found(spark, sf_dir):
-    return entity_history(table(spark, sf_dir, "symbol_churn"), compact=True).select("repo_id", "qualified_name", "valid_from", "valid_to")
+    return entity_history(table(spark, sf_dir, "symbol_churn")).select("repo_id", "qualified_name", "valid_from", "valid_to")
 
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found}
+def p3_versions(spark, sf_dir):
+    """The versions with the values that held in them."""
+    return entity_history(table(spark, sf_dir, "symbol_churn")).selectExpr(
+        "repo_id", "qualified_name", "valid_from", "valid_to", "ver.first_commit", "ver.last_commit", "ver.lifetime_snapshots", "array_join(ver.paths, ',') AS paths"
+    )
+
+
+QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_versions": p3_versions}
+
+_HISTORY = """
+WITH d AS (
+  SELECT * EXCLUDE rn FROM (
+    SELECT repo_id, qualified_name, as_of, lower(left(first_commit_sha, 12)) AS a, lower(left(last_commit_sha, 12)) AS b,
+      lifetime_snapshots AS c, coalesce(list_sort(list_distinct(current_file_paths)), []) AS p,
+      row_number() OVER (PARTITION BY repo_id, qualified_name, as_of ORDER BY ingested_at DESC NULLS LAST) AS rn
+    FROM symbol_churn) WHERE rn = 1),
+r AS (
+  SELECT repo_id, as_of, row_number() OVER (PARTITION BY repo_id ORDER BY as_of) AS pos,
+    lead(as_of) OVER (PARTITION BY repo_id ORDER BY as_of) AS nxt
+  FROM (SELECT DISTINCT repo_id, as_of FROM symbol_churn)),
+x AS (SELECT d.*, r.pos, r.nxt FROM d JOIN r USING (repo_id, as_of)),
+y AS (
+  SELECT *, CASE WHEN lag(pos) OVER w = pos - 1 AND lag(a) OVER w IS NOT DISTINCT FROM a AND lag(b) OVER w IS NOT DISTINCT FROM b
+    AND lag(c) OVER w IS NOT DISTINCT FROM c AND lag(p) OVER w IS NOT DISTINCT FROM p THEN 0 ELSE 1 END AS st
+  FROM x WINDOW w AS (PARTITION BY repo_id, qualified_name ORDER BY pos)),
+z AS (SELECT *, sum(st) OVER (PARTITION BY repo_id, qualified_name ORDER BY pos) AS run FROM y)
+"""
 
 ORACLE = {
     "p2_found": """
@@ -47,24 +73,15 @@ SELECT repo_id, snapshot_id, file_path, change FROM (
   LEFT JOIN x n ON n.repo_id = p.repo_id AND n.pos = p.pos + 1 AND n.file_path = p.file_path
   WHERE n.file_path IS NULL)
 """,
-    "p3_found": """
-WITH d AS (
-  SELECT * EXCLUDE rn FROM (
-    SELECT repo_id, qualified_name, as_of, lower(left(first_commit_sha, 12)) AS a, lower(left(last_commit_sha, 12)) AS b,
-      lifetime_snapshots AS c, coalesce(list_sort(list_distinct(current_file_paths)), []) AS p,
-      row_number() OVER (PARTITION BY repo_id, qualified_name, as_of ORDER BY ingested_at DESC NULLS LAST) AS rn
-    FROM symbol_churn) WHERE rn = 1),
-r AS (
-  SELECT repo_id, as_of, row_number() OVER (PARTITION BY repo_id ORDER BY as_of) AS pos,
-    lead(as_of) OVER (PARTITION BY repo_id ORDER BY as_of) AS nxt
-  FROM (SELECT DISTINCT repo_id, as_of FROM symbol_churn)),
-x AS (SELECT d.*, r.pos, r.nxt FROM d JOIN r USING (repo_id, as_of)),
-y AS (
-  SELECT *, CASE WHEN lag(pos) OVER w = pos - 1 AND lag(a) OVER w IS NOT DISTINCT FROM a AND lag(b) OVER w IS NOT DISTINCT FROM b
-    AND lag(c) OVER w IS NOT DISTINCT FROM c AND lag(p) OVER w IS NOT DISTINCT FROM p THEN 0 ELSE 1 END AS st
-  FROM x WINDOW w AS (PARTITION BY repo_id, qualified_name ORDER BY pos)),
-z AS (SELECT *, sum(st) OVER (PARTITION BY repo_id, qualified_name ORDER BY pos) AS run FROM y)
+    "p3_found": _HISTORY
+    + """
 SELECT repo_id, qualified_name, min(as_of) AS valid_from, coalesce(arg_max(coalesce(nxt, 253402300799), pos), 253402300799) AS valid_to
 FROM z GROUP BY repo_id, qualified_name, run
+""",
+    "p3_versions": _HISTORY
+    + """
+SELECT repo_id, qualified_name, min(as_of) AS valid_from, coalesce(arg_max(coalesce(nxt, 253402300799), pos), 253402300799) AS valid_to,
+  any_value(a) AS first_commit, any_value(b) AS last_commit, any_value(c) AS lifetime_snapshots, array_to_string(any_value(p), ',') AS paths
+FROM z GROUP BY repo_id, qualified_name, run
 """,
 }

@@ -124,9 +124,8 @@ def test_history_against_brute_force_with_late_rows(spark, seed):
                         data.append(churn_row(name, report * 100_000, rnd.choice(["A" * 40, "a" * 12, "b" * 40, None]), rnd.randint(1, 2), rnd.choice([["p", "q"], ["q", "p", "p"], None]), late, repo))
     rnd.shuffle(data)
     frame = spark.createDataFrame(data, CHURN)
-    for compact in (False, True):
-        got = history.entity_history(frame, compact=compact).select("repo_id", "qualified_name", "valid_from", "valid_to")
-        assert rows(got) == brute_history(data)
+    got = history.entity_history(frame).select("repo_id", "qualified_name", "valid_from", "valid_to")
+    assert rows(got) == brute_history(data)
 
 
 def test_long_runs_cross_blocks(spark):
@@ -143,3 +142,29 @@ def test_publish_replaces_whole_history(spark, tmp_path):
     assert history.read_history(spark, folder).count() == 1
     history.publish_history(two, folder)
     assert history.read_history(spark, folder).count() == 2
+
+
+def test_update_replaces_only_touched_chains(spark, tmp_path):
+    folder = f"file://{tmp_path}/chains"
+    day = 86400
+    first = [churn_row(name, k * day, life=k // 2) for name in ("s", "t", "u") for k in range(1, 6)]
+    late = [churn_row("s", 3 * day, life=9, late=9 * day), churn_row("v", 2 * day, late=9 * day)]
+    base = spark.createDataFrame(first, CHURN)
+    history.publish_chains(history.build_chains(history.raw_versions(base), history.report_calendar(base)), folder, buckets=64)
+    files = lambda: {str(p): p.stat().st_mtime_ns for p in (tmp_path / "chains").rglob("*.parquet")}
+    before, reader = files(), history.read_chains(spark, folder)
+    both = spark.createDataFrame(first + late, CHURN)
+    written = history.update_chains(both, spark.createDataFrame(late, CHURN), history.report_calendar(base), folder)
+    assert written <= 2 and all(files()[p] == t for p, t in before.items())  # old files stay for readers that began before
+    flat = ["repo_id", "qualified_name", "valid_from", "valid_to", "ver"]
+    assert rows(history.read_chains(spark, folder).select(flat)) == rows(history.entity_history(both).select(flat))
+    assert reader.count() == 9
+    gone = spark.createDataFrame([(1, "t")], "repo_id long, qualified_name string")
+    assert history.replace_chains(gone, history.read_chains(spark, folder).limit(0), folder) == 1
+    assert {r[0] for r in history.read_chains(spark, folder).select("qualified_name").collect()} == {"s", "u", "v"}
+
+
+def test_versions_keep_their_values(spark):
+    frame = spark.createDataFrame([churn_row("s", 1, "A" * 40, 1, ["q", "p"]), churn_row("s", 2, "a" * 12, 1, ["p", "q", None]), churn_row("s", 3, None, None, None)], CHURN)
+    got = history.entity_history(frame).selectExpr("valid_from", "valid_to", "ver.first_commit", "ver.lifetime_snapshots", "ver.paths")
+    assert rows(got) == [(1, 3, "a" * 12, 1, ["p", "q"]), (3, history.OPEN_END, None, None, [])]
