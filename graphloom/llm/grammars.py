@@ -21,7 +21,7 @@ MEMO = 100_000
 
 _BASE = {"(": 0xE000, "[": 0xE400, "{": 0xE800}
 _CLOSE = {")": "(", "]": "[", "}": "{"}
-_BITS = 7
+_BITS = 8
 
 
 class Grammar:
@@ -107,6 +107,8 @@ _BRACKETS = re.compile(r"[()\[\]{}]")
 ANGLES = "\uf700"
 #: Stand for a function or class, an arrow with a block, the head of an arrow or closure, and a block-like expression.
 FUNCTION, ARROW, HEAD, BLOCKLIKE = "\uf701", "\uf702", "\uf703", "\uf704"
+#: A function or class without a name, which is no statement.
+NAMELESS = "\uf705"
 
 
 def _full(pattern: str) -> Callable[[str], object]:
@@ -170,7 +172,7 @@ def _lexer(words: dict[str, str], operators: dict[str, str], strings: str, numbe
     return run
 
 
-_NUMBER = r"(?:0[xX][\da-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|\d[\d_]*(?:\.\d[\d_]*)?(?:[eE][+-]?\d+)?|\.\d+(?:[eE][+-]?\d+)?){}(?![\w])"
+_NUMBER = r"(?:0[xX][\da-fA-F_]+(?:\.[\da-fA-F_]*)?(?:[pP][+-]?\d+)?|0[bB][01_]+|0[oO][0-7_]+|\d[\d_]*(?:\.\d[\d_]*)?(?:[eE][+-]?\d+)?|\.\d+(?:[eE][+-]?\d+)?){}(?![\w])"
 _COMMENTS = r"//[^\n]*|/\*.*?\*/"
 _FLAT_COMMENT = r"/\*(?:[^*/]+|\*(?!/)|/(?!\*))*+\*/"
 #: Comments that nest, two levels deep.
@@ -194,45 +196,54 @@ def _ternary(unary: str, binary: str) -> str:
 
 
 def _c() -> Grammar:
-    g = Grammar({"(": ["args", "params", "for", "type"], "[": ["index"], "{": ["block", "init", "fields", "enum"]})
+    g = Grammar({"(": ["args", "params", "for", "type", "generic", "pointer", "cond"], "[": ["index"], "{": ["block", "init", "fields", "enum"]})
     words = _table(
-        "T:int,char,void,float,double,long,short,unsigned,signed,_Bool Q:const,static,extern,volatile,inline,register,restrict U:struct,union E:enum "
-        "I:if L:else F:for W:while D:do S:switch C:case d:default B:break,continue R:return G:goto Y:typedef Z:sizeof,_Alignof"
+        "T:int,char,void,float,double,long,short,unsigned,signed,_Bool,_Complex,__int128,__signed__ "
+        "Q:const,static,extern,volatile,inline,register,restrict,auto,_Thread_local,_Noreturn,_Atomic,__inline,__inline__,__restrict,__restrict__,__volatile__,__const,__extension__ "
+        "U:struct,union E:enum I:if L:else F:for W:while D:do S:switch C:case d:default B:break,continue R:return G:goto Y:typedef Z:sizeof,_Alignof,__alignof__ "
+        "k:__attribute__,__declspec,_Alignas t:typeof,__typeof__,__typeof H:_Static_assert,static_assert r:_Generic M:asm,__asm__,__asm"
     )
     ops = _ops("( ) [ ] { } , ; : ? . + - * & = < >", {"->": ".", "++": "p", "--": "p", "!": "!", "~": "!", "...": "v"})
     ops |= dict.fromkeys("/ % ^ | << >> <= >= == != && ||".split(), "o") | dict.fromkeys("+= -= *= /= %= &= |= ^= <<= >>=".split(), "a")
     directive = r'(?:^|(?<=\n))[ \t]*\#[ \t]*(?:include[ \t]*(?:<[^>\n]+>|"[^"\n]+")[ \t]*(?://[^\n]*|/\*[^\n]*\*/)?\r?(?=\n|\Z)|(?:define|undef|if|ifdef|ifndef|elif|else|endif|pragma|error|line)\b(?:[^\n\\]|\\\r?\n|\\.)*)'
-    lex = _lexer(words, ops, rf"(?:L|u8|u|U)?{_STRING}|L?'(?:[^'\\\n]|\\[^\n'][\w]*|\\')+'", _NUMBER.format("[uUlLfF]*"), _COMMENTS, directive, "")
+    lex = _lexer(words, ops, rf"(?:L|u8|u|U)?{_STRING}|L?'(?:[^'\\\n]|\\[^\n'][\w]*|\\')+'", _NUMBER.format("[uUlLfF]*"), _COMMENTS, directive, "", word=r"(?!(?:L|u8|u|U)[\"'])[^\W\d]\w*")
 
     def tokens(text: str) -> str | None:
         out = lex(text)
         return None if out is None else "".join(out).replace("\n", "")
 
-    args, params, for_, cast = (g.cls("(", n) for n in ("args", "params", "for", "type"))
+    args, params, for_, cast, generic, pointer, cond = (g.cls("(", n) for n in ("args", "params", "for", "type", "generic", "pointer", "cond"))
     index, block, init, fields, enum = g.cls("[", "index"), g.cls("{", "block"), g.cls("{", "init"), g.cls("{", "fields"), g.cls("{", "enum")
-    prim = f"(?:i|0|s+|{args}|Z(?:{cast}|{args})|{cast}{init})"
+    # attributes stand wherever qualifiers do
+    g.parts = [(re.compile(f"k{g.any('(')}"), "Q"), (re.compile(f"t{g.any('(')}"), "T")]
+    prim = f"(?:i|0|s+|{args}|Z(?:{cast}|{args})|{cast}{init}|r{generic})"
     unary = f"(?:[-+*&!pZ]|{cast})*{prim}(?:{args}|{index}|\\.i|p)*"
     expr = _ternary(unary, "[-+*&o=a<>]")
     exprs = f"{expr}(?:,{expr})*"
-    base = f"Q*(?:T+(?:Q|T)*|U(?:i|i?{fields})|E(?:i|i?{enum})|i)Q*"
+    base = f"Q*(?:T+(?:Q|T)*|UQ*(?:i|i?{fields})|EQ*(?:i|i?{enum})|i)Q*"
     name = f"(?:\\*Q*)*(?:i|{args}{params})(?:{index})*(?:{params})?"
-    decl1 = f"{name}(?::{expr})?(?:=(?:{expr}|{init}))?"
+    decl1 = f"{name}(?:M{args})?Q*(?::{expr})?(?:=(?:{expr}|{init}))?"
     decl = f"Y?{base}(?:{decl1}(?:,{decl1})*)?;"
-    param = f"{base}(?:\\*Q*)*(?:i|{args}{params})?(?:{index})*"
+    param = f"{base}(?:\\*Q*)*(?:i|(?:{args}|{pointer}){params})?(?:{index})*Q*"
+    typed = f"{base}(?:\\*Q*)*(?:{pointer}{params})?(?:{index})*"
     g.tests = {
         ("(", "args"): _full(f"(?:{exprs})?"),
         ("(", "params"): _full(f"(?:{param}(?:,{param})*(?:,v)?)?"),
         ("(", "for"): _full(f"(?:{decl}|(?:{exprs})?;)(?:{exprs})?;(?:{exprs})?"),
-        ("(", "type"): _full(f"{base}(?:\\*Q*)*(?:{index})*"),
-        ("[", "index"): _full(f"(?:{expr})?"),
+        ("(", "type"): _full(typed),
+        ("(", "generic"): _full(f"{expr}(?:,(?:d|{typed}):{expr})+"),
+        ("(", "pointer"): _full(f"(?:\\*Q*)+(?:{index})*"),
+        ("(", "cond"): _full(exprs),
+        ("[", "index"): _full(f"Q*(?:{expr}|\\*)?"),
         ("{", "init"): _full(f"(?:(?:(?:\\.i|{index})+=)?(?:{expr}|{init})(?:,(?:(?:\\.i|{index})+=)?(?:{expr}|{init}))*,?)?"),
-        ("{", "fields"): _sequence(decl),
+        ("{", "fields"): _sequence(f"{decl}|H{args};"),
         ("{", "enum"): _full(f"i(?:={expr})?(?:,i(?:={expr})?)*,?"),
     }
-    prefix = f"I{args}|F{for_}|W{args}|S{args}|L|D"
-    g.tests["{", "block"] = _sequence(f";|{block}|R(?:{exprs})?;|B;|Gi;|{exprs};|{decl}", prefix, f"C{expr}:|d:|i:")
+    prefix = f"I{cond}|F{for_}|W{cond}|S{cond}|L|D"
+    inline = f"M(?:Q|G)*{g.any('(')};"
+    g.tests["{", "block"] = _sequence(f";|{block}|R(?:{exprs})?;|B;|G(?:i|\\*{expr});|H{args};|{inline}|{exprs};|{decl}", prefix, f"C{expr}(?:v{expr})?:|d:|i:")
     g.tokens = tokens
-    g.top = _sequence(f";|{base}(?:\\*Q*)*i{params}{block}|{decl}")
+    g.top = _sequence(f";|{base}(?:\\*Q*)*i{params}Q*{block}|{base}(?:\\*Q*)*i{args}(?:{decl})+{block}|H{args};|{inline}|{decl}")
     return g
 
 
@@ -240,34 +251,43 @@ def _c() -> Grammar:
 
 
 def _java() -> Grammar:
-    g = Grammar({"(": ["args", "params", "for", "type", "try"], "[": ["index", "empty"], "{": ["block", "init", "class", "enum", "cases"]})
+    g = Grammar({"(": ["args", "params", "for", "type", "try", "record"], "[": ["index", "empty"], "{": ["block", "init", "class", "enum", "cases", "module"]})
     words = _table(
         "T:int,boolean,byte,char,short,long,float,double,void M:public,private,protected,static,final,abstract,synchronized,native,transient,volatile,strictfp,default "
         "K:class,interface E:enum N:new X:extends,implements,throws P:package m:import I:if L:else F:for W:while D:do R:return O:throw y:try c:catch f:finally "
-        "S:switch C:case B:break,continue o:instanceof V:assert"
+        "S:switch C:case B:break,continue w:instanceof V:assert"
     )
     ops = _ops("( ) [ ] { } , ; : ? . + - * & = < > @", {"++": "p", "--": "p", "!": "!", "~": "!", "...": "v", "->": "Z", "::": "q"})
     ops |= dict.fromkeys("/ % ^ | << <= >= == != && ||".split(), "o") | dict.fromkeys("+= -= *= /= %= &= |= ^= <<=".split(), "a")
     lex = _lexer(words, ops, r'"""[ \t]*\r?\n(?:[^\\]|\\.)*?"""|' + _STRING + r"|'(?:[^'\\\n]|\\(?:u+[0-9a-fA-F]{4}|[0-7]{1,3}|.))'", _NUMBER.format("[lLfFdD]?"), _COMMENTS, word=r"[^\W\d][\w$]*|\$[\w$]*")
+    # words that mean something in one place only
+    sealed = re.compile(r"\b(?:non-)?sealed(?=\s+(?:public|private|protected|static|abstract|strictfp|class|interface)\b)")
+    permits = re.compile(r"\bpermits(?=\s+[\w.$]+(?:\s*,\s*[\w.$]+)*\s*\{)")
 
     def tokens(text: str) -> str | None:
+        if "sealed" in text or "permits" in text:
+            text = permits.sub("implements", sealed.sub("final", text))
         out = lex(text)
         return None if out is None else "".join(out).replace("\n", "")
 
-    args, params, for_, cast, res = (g.cls("(", n) for n in ("args", "params", "for", "type", "try"))
+    args, params, for_, cast, res, record = (g.cls("(", n) for n in ("args", "params", "for", "type", "try", "record"))
     index, empty = g.cls("[", "index"), g.cls("[", "empty")
-    block, init, body, enum, cases = (g.cls("{", n) for n in ("block", "init", "class", "enum", "cases"))
+    block, init, body, enum, cases, module = (g.cls("{", n) for n in ("block", "init", "class", "enum", "cases", "module"))
     note = f"(?:@i(?:\\.i)*(?:{args})?)"
     type_ = f"{note}*(?:i{ANGLES}?(?:\\.i{ANGLES}?)*|T)(?:{empty})*"
-    arg = f"(?:\\?(?:X{type_})?|{type_}(?:X{type_}(?:&{type_})*)?)"
+    arg = f"(?:{note}*\\?(?:[Xi]{type_})?|{type_}(?:X{type_}(?:&{type_})*)?)"
     g.angles = re.compile(f"(?<=[i.MN{{}};@q])<(?:{arg}(?:,{arg})*)?>|^<(?:{arg}(?:,{arg})*)?>|(?<=\\.)<{type_}>")
     generic = ANGLES
     lam = f"(?:i|{params}|{args})Z"
     prim = (
         f"(?:N{type_}(?:{index})*(?:{args}(?:{body})?|{init})?|(?:{lam}){block}|i|0|s|{args}|T(?:{empty})*\\.K|S{args}{cases}|{type_}q(?:i|N))"
     )
-    unary = f"(?:[-+!p]|{cast}|{lam})*{prim}(?:\\.{ANGLES}?i|\\.K|\\.N{type_}{args}|{args}|{index}|p|q(?:i|N))*"
-    expr = _ternary(unary, "(?:[-+*&o=a<]|>{1,3}=?)")
+    suffix = f"(?:\\.{ANGLES}?i|\\.K|\\.N{type_}{args}|{args}|{index}|p|q(?:i|N))"
+    unary = f"(?:[-+!p]|{cast}|{lam})*{prim}{suffix}*"
+    # a literal takes no assignment
+    pattern = f"M*{type_}(?:i|{record}i?)"
+    step = f"(?:(?:[-+*&o<]|(?<![0s])[=a]|>{{1,3}}=?){unary}|w(?:{pattern}|M*{type_}))"
+    expr = f"{unary}(?:{step}|\\?{unary}{step}*:{unary})*"
     exprs = f"{expr}(?:,{expr})*"
     value = f"(?:{expr}|{init})"
     var1 = f"i(?:{empty})*(?:={value})?"
@@ -282,30 +302,37 @@ def _java() -> Grammar:
         ("(", "for"): _full(f"(?:{var}|{exprs})?;(?:{expr})?;(?:{exprs})?|{param}:{expr}"),
         ("(", "type"): _full(f"{type_}(?:&{type_})*"),
         ("(", "try"): _full(f"(?:{var}|{expr})(?:;(?:{var}|{expr}))*;?|M*{type_}(?:o{type_})*i"),
+        ("(", "record"): _full(f"(?:{pattern}(?:,{pattern})*)?"),
         ("[", "index"): _full(f"(?:{expr})?"),
         ("[", "empty"): lambda s: not s,
         ("{", "init"): _full(f"(?:(?:{value}|{note})(?:,(?:{value}|{note}))*,?)?"),
     }
-    member = f";|{klass}|M?{block}|{mods}{generic}?(?:{type_})?i{params}(?:{empty})*(?:X{types})?(?:{block}|(?:M{value})?;)|{var};"
+    member = f";|{klass}|M?{block}|{mods}{generic}?(?:{type_})?i{params}(?:{empty})*(?:X{types})?(?:{block}|(?:M{value})?;)|{mods}i{block}|{var};"
     g.tests["{", "class"] = _sequence(member)
     const = f"{note}*i(?:{args})?(?:{body})?"
     head = re.compile(f"(?:{const}(?:,{const})*,?)?(?:;|$)")
     members = g.tests["{", "class"]
     g.tests["{", "enum"] = lambda s: (m := head.match(s)) is not None and members(s[m.end() :])
-    g.tests["{", "cases"] = _full(f"(?:(?:C{exprs}(?:Ii)?|M)Z(?:{expr};|{block}|O{expr};))*")
-    stmt = f";|{klass}|{block}|R(?:{expr})?;|O{expr};|B(?:i)?;|V{expr}(?::{expr})?;|y(?:{res})?{block}(?:c{res}{block})*(?:f{block})?|M{args}{block}|i{expr};|{exprs};|{var};"
-    g.tests["{", "block"] = _sequence(stmt, f"I{args}|F{for_}|W{args}|S{args}|L|D", f"C{expr}(?:,{expr})*:|M:|i:")
+    case = f"C(?:{pattern}(?:,{pattern})*|{exprs}(?:,M)?)(?:i{expr})?"
+    g.tests["{", "cases"] = _full(f"(?:(?:{case}|M)Z(?:{expr};|{block}|O{expr};))*")
+    called = f"i(?:\\.i)*"
+    g.tests["{", "module"] = _full(f"(?:iM?i?{called}(?:i{called}(?:,{called})*)?;)*")
+    # expressions that are statements: assignments, steps, calls and new objects
+    effect = f"(?:{unary}(?<![0s])[=a]{expr}|p{unary}|{unary}(?<=p)|{prim}{suffix}*(?<={args})(?<!^{args})|N{type_}{args}(?:{body})?)"
+    stmt = f";|{klass}|{block}|R(?:{expr})?;|O{expr};|B(?:i)?;|V{expr}(?::{expr})?;|y(?:{res}{block}(?:c{res}{block})*(?:f{block})?|{block}(?:(?:c{res}{block})+(?:f{block})?|f{block}))|S{args}{cases}|M{args}{block}|i{expr};|{effect};|{var};"
+    g.tests["{", "block"] = _sequence(stmt, f"I{args}|F{for_}|W{args}|S{args}|L|D", f"{case}:|M:|i:")
     g.tokens = tokens
-    g.top = _sequence(f";|{note}*Pi(?:\\.i)*;|mM?i(?:\\.i)*(?:\\.\\*)?;|{klass}")
+    g.top = _sequence(f";|{note}*i{{1,2}}i(?:\\.i)*{module}|{note}*Pi(?:\\.i)*;|mM?i(?:\\.i)*(?:\\.\\*)?;|{klass}")
     return g
 
 
 # ---------------------------------------------------------------- JavaScript, TypeScript
 
 _JS_WORDS = (
-    "f:function a:async c:class x:extends n:new u:typeof,void,delete,await,yield v:var,let,const I:if L:else F:for W:while D:do S:switch C:case d:default "
+    "f:function a:async c:class x:extends n:new u:typeof,void,delete,await Y:yield v:var,let K:const I:if L:else F:for W:while D:do S:switch C:case d:default "
     "B:break,continue R:return O:throw y:try h:catch z:finally m:import e:export N:in o:instanceof l:of g:get,set,static j:as,satisfies r:from "
-    "q:interface,type,namespace,declare,abstract,readonly,public,private,protected,implements,keyof,infer,is,override,module,asserts E:enum X:with,debugger"
+    "J:interface M:namespace,module q:type,declare,abstract,readonly,public,private,protected,implements,keyof,infer,is,override,asserts,unique,accessor,global "
+    "E:enum X:with,debugger"
 )
 _JS_STRICT = frozenset("interface implements public private protected".split())
 _REGEX = r"/(?![/*])(?:\\[^\n]|\[(?:\\[^\n]|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*"
@@ -392,7 +419,7 @@ def _js_tokens(typed: bool):
         return -1 if inner else size
 
     # a line end means nothing beside these tokens
-    drop = re.compile(r"\n+(?=[.,?:=o*&|A<>)\]ZNlj])|(?<=[-.,?:=o*+&|A<>(\[Z!uvnNxVfac])\n+|^\n+")
+    drop = re.compile(r"\n+(?=[.,?:=o*&|A<>)\]ZNlj])|(?<=[-.,?:=o*+&|A<>(\[Z!uvKnNxVfac])\n+|^\n+")
 
     def run(text: str) -> str | None:
         if text.startswith("#!"):
@@ -406,37 +433,42 @@ def _js_tokens(typed: bool):
 
 
 def _js(typed: bool) -> Grammar:
-    g = Grammar({"(": ["args", "params", "for", "type"], "[": ["array", "pattern", "empty", "tuple"], "{": ["block", "object", "class", "names", "type", "pattern", "enum"]}, soft_newlines=True)
+    g = Grammar({"(": ["args", "params", "for", "type"], "[": ["array", "pattern", "empty", "tuple"], "{": ["block", "object", "class", "names", "type", "pattern", "enum", "module"]}, soft_newlines=True)
     args, params, for_, ptype = (g.cls("(", n) for n in ("args", "params", "for", "type"))
     array, bpat, empty, tuple_ = (g.cls("[", n) for n in ("array", "pattern", "empty", "tuple"))
     block, obj, body, names, otype, opat, enum = (g.cls("{", n) for n in ("block", "object", "class", "names", "type", "pattern", "enum"))
-    ident = "[igjlqra]" if typed else "[igjlqra]"
-    word = "[igjlqracfxnuvILFWDSCdBROyhzmeNoEX%]"
+    module = g.cls("{", "module")
+    ident = "[igjlqraJM]"
+    word = "[igjlqraJMcfxnuvKYILFWDSCdBROyhzmeNoEX%]"
     never = "(?!)"
     if typed:
-        one = f"(?:[qu]\n?)*(?:(?:{ident}|u|m{args})(?:\\.{word})*{ANGLES}?|s|0|-0|{otype}|{tuple_}|{ptype}|n?{ANGLES}?{params}Z{ident}(?:\\.{word})*{ANGLES}?(?:{empty})*)(?:{empty}|{tuple_})*"
+        one = f"(?:[qu]\n?|n?{HEAD}|n?{ANGLES}?{params}Z)*(?:(?:{ident}|u|m{args})(?:\\.{word})*{ANGLES}?|s(?:{args}|{ptype})*|0|-0|{otype}|{tuple_}|{ptype})(?:{empty}|{tuple_})*"
         type_ = f"[|&]?{one}(?:[|&]{one})*"
-        given = f"{type_}(?:x{type_})?(?:={type_})?"
-        g.angles = re.compile(f"<\n?{given}(?:,\n?{given})*\n?>")
-        note, targs, cast = f"(?::{type_}(?:q{type_})?)?", ANGLES, f"(?:j(?:{type_}|v))"
+        either = f"{type_}(?:x{type_}\\?{type_}:{type_})*"
+        given = f"(?:K ?)?{either}(?:x{type_})?(?:={type_})?".replace(" ?", "")
+        g.angles = re.compile(f"<\n?{given}(?:,\n?{given})*,?\n?>")
+        note, targs, cast = f"(?::{type_}(?:q{type_})?)?", ANGLES, f"(?:j(?:{type_}|K))"
         generics = f"{ANGLES}?"
         optional, bang = "\\??", "!"
     else:
-        type_, note, targs, cast, generics, optional, bang = never, "", never, never, "", "", never
+        type_, either, note, targs, cast, generics, optional, bang = never, never, "", never, never, "", "", never
     binding = f"(?:{ident}|{bpat}|{opat})"
-    func = f"a?f\\*?(?:{ident})?{generics}{params}{note}{block}"
+    func = f"{generics}{params}{note}{block}"
     arrow = f"a?(?:{ident}|{generics}{params}{note})Z"
     heritage = f"(?:x{ident}(?:\\.{word})*(?:{args}|{targs})*)?" + (f"(?:q{type_}(?:,{type_})*)?" if typed else "")
-    klass = f"c(?:{ident})?{generics}{heritage}{body}"
+    klass = f"{generics}{heritage}{body}"
+    name = f"(?:{ident}|Y)"
     g.parts = [
-        (re.compile(func), FUNCTION),
+        (re.compile(f"a?f\\*?{name}{func}"), FUNCTION),
+        (re.compile(f"a?f\\*?{func}"), NAMELESS),
         (re.compile(f"{arrow}{block}"), ARROW),
         (re.compile(arrow), HEAD),
-        (re.compile(klass), FUNCTION),
+        (re.compile(f"c{ident}{klass}"), FUNCTION),
+        (re.compile(f"c{klass}"), NAMELESS),
     ]
-    prim = f"(?:[{FUNCTION}{ARROW}]|{ident}|0|s|{args}|{array}|{obj}|m(?={args}|\\.))"
-    unary = f"[-+!pun{HEAD}]*{prim}(?:\\.{word}|\\.(?={args}|{array})|{args}|{array}|s|p|{targs}{args}|{bang}(?![=]))*(?:{cast})*"
-    expr = _ternary(unary, "(?:[-+*&|o=A<N]|>{1,3}=?)")
+    prim = f"(?:[{FUNCTION}{NAMELESS}{ARROW}]|{ident}|0|s|{args}|{array}|{obj}|m(?={args}|\\.)|n\\.{word}|Y)"
+    unary = f"(?:[-+!pun{HEAD}{ANGLES if typed else ''}]|Y\\*?)*{prim}(?:\\.{word}|\\.(?={args}|{array})|{args}|{array}|s|p|{targs}{args}|{bang}(?![=]))*(?:{cast})*"
+    expr = _ternary(unary, "(?:[-+*&|o<N]|(?<![0s])[=A]|>{1,3}=?)")
     exprs = f"{expr}(?:,{expr})*"
     item = f"V?{expr}"
     default = f"(?:={expr})?"
@@ -446,16 +478,19 @@ def _js(typed: bool) -> Grammar:
     end = r"(?:;\n*|\n+|$)"
     key = f"(?:{word}|s|0|{array})"
     var1 = f"{binding}{'!?' if typed else ''}{note}{default}"
-    var = f"v{var1}(?:,\n?{var1})*"
+    const1 = f"{binding}{note}={expr}"
+    var = f"(?:v{var1}(?:,\n?{var1})*|K{const1}(?:,\n?{const1})*)"
+    ambient = f"K{binding}{note}(?:,\n?{binding}{note})*"
+    member = f"V?(?:{ident}\\??:)?{type_}\\??"
     g.tests = {
         ("(", "args"): _full(f"(?:{item}(?:,{item})*,?)?"),
         ("(", "params"): _full(f"(?:{param}(?:,{param})*,?)?"),
-        ("(", "for"): _full(f"(?:{var}|{exprs})?;(?:{exprs})?;(?:{exprs})?|(?:v{binding}|{expr})l{expr}|v{binding}N{expr}|{expr}"),
-        ("(", "type"): _full(type_ if typed else never),
+        ("(", "for"): _full(f"(?:{var}|{exprs})?;(?:{exprs})?;(?:{exprs})?|(?:[vK]{binding}|{expr})l{expr}|[vK]{binding}N{expr}|{expr}"),
+        ("(", "type"): _full(either if typed else never),
         ("[", "array"): _full(f"(?:(?:{item})?(?:,(?:{item})?)*)?"),
         ("[", "pattern"): _full(f"(?:V?{binding}{default})?(?:,(?:V?{binding}{default})?)*"),
         ("[", "empty"): lambda s: not s,
-        ("[", "tuple"): _full(f"(?:V?{type_})(?:,V?{type_})*,?|{ident}(?:N|:){type_}" if typed else never),
+        ("[", "tuple"): _full(f"{member}(?:,{member})*,?|{ident}N{type_}(?:j{type_})?" if typed else never),
         ("{", "names"): _full(f"\n?(?:q?{word}(?:j{word})?(?:,\n?q?{word}(?:j{word})?)*,?)?\n?"),
         ("{", "pattern"): _full(f"\n?(?:V?{ident}{default}|{key}:{binding}{default})?(?:,\n?(?:V?{ident}{default}|{key}:{binding}{default}))*,?\n?"),
         ("{", "enum"): _full(f"\n?(?:{ident}|s){default}(?:,\n?(?:{ident}|s){default})*,?\n?" if typed else never),
@@ -467,20 +502,30 @@ def _js(typed: bool) -> Grammar:
     g.tests["{", "class"] = _sequence(
         f"[;\n]|{deco}{mods}a?\\*?{key}{optional}{generics}{params}{note}(?:{block}|{end if typed else never})|{deco}{mods}{key}{'[?!]?' if typed else ''}{note}{default}{end}|g{block}"
     )
-    g.tests["{", "type"] = _sequence(f"[;,\n]|(?:q)?(?:{key}|g{key}){optional}(?:{generics}{params})?{note}(?:[;,\n]|$)|n?{generics}{params}{note}(?:[;,\n]|$)|{tuple_}:{type_}(?:[;,\n]|$)") if typed else (lambda s: False)
+    g.tests["{", "type"] = _sequence(f"[;,\n]|(?:q)?(?:{key}|g{key}){optional}(?:{generics}{params})?{note}(?:[;,\n]|$)|n?{generics}{params}{note}(?:[;,\n]|$)|(?:[-+]?q)?{tuple_}(?:[-+]?\\?)?:{type_}(?:[;,\n]|$)") if typed else (lambda s: False)
     stmt = (
-        f"[;\n]|{deco}(?:q)?{FUNCTION}\n?|y{block}\n?(?:h(?:{params})?{block}\n?)?(?:z{block}\n?)?|R(?:{exprs})?{end}|O{exprs}{end}|B(?:{ident})?{end}|X{end}|"
-        f"{'(?:q)?' if typed else ''}{var}{end}|{block}\n?|(?![{{]){exprs}{end}"
+        f"[;\n]|{deco}(?:q)?{FUNCTION}\n?|y{block}\n?(?:h(?:{params})?{block}\n?(?:z{block}\n?)?|z{block}\n?)|R(?:{exprs})?{end}|O{exprs}{end}|B(?:{ident})?{end}|X{end}|"
+        f"{'(?:q)?' if typed else ''}{var}{end}|{block}\n?|(?![{{{FUNCTION}{NAMELESS}]){exprs}{end}"
     )
     if typed:
-        stmt = f"(?:q)*(?:q{ident}{generics}(?:x{type_}(?:,{type_})*)?{otype}\n?|q{ident}{generics}={type_}(?:x{type_}\\?{type_}:{type_})?{end}|v?E{ident}{enum}\n?|q(?:{ident}(?:\\.{ident})*|s){block}\n?)|(?:q)*a?f\\*?{ident}{generics}{params}{note}{end}|" + stmt
+        stmt = (
+            f"q*(?:J{ident}{generics}(?:x{type_}(?:,{type_})*)?{otype}\n?|q{ident}{generics}={either}{end}|K?E{ident}{enum}\n?|(?:M(?:{ident}(?:\\.{ident})*|s)|q)(?:{block}|{module})\n?)|"
+            f"q*a?f\\*?{ident}{generics}{params}{note}{end}|q{ambient}{end}|" + stmt
+        )
     prefix = f"I{args}\n?|F(?:u)?{for_}\n?|W{args}\n?|S{args}|L\n?|D\n?"
     label = f"C{exprs}:|d:|{ident}:"
     g.tests["{", "block"] = _sequence(stmt, prefix, label)
     clause = f"q?(?:{ident}|{names}|\\*j{ident})(?:,(?:{names}|\\*j{ident}))?"
-    modules = f"m(?:s|{clause}rs){end}|ed(?:(?:q)?{FUNCTION}\n?|{exprs}{end})|eq?{names}(?:rs)?{end}|e\\*(?:j{word})?rs{end}|e(?=[fvcaq@E{FUNCTION}])(?:{stmt})"
+    modules = f"m(?:s|{clause}rs){end}|ed(?:(?:q)?[{FUNCTION}{NAMELESS}]\n?|{exprs}{end})|eq?{names}(?:rs)?{end}|e\\*(?:j{word})?rs{end}|e(?=[fvKcaqJM@E{FUNCTION}])(?:{stmt})"
+    if typed:
+        modules += f"|e?m{ident}={exprs}{end}|e={exprs}{end}"
     g.tokens = _js_tokens(typed)
     g.top = _sequence(f"{modules}|{stmt}", prefix, label)
+    if typed:  # within a declared module constants need no value
+        inside = _sequence(f"e?{ambient}{end}|{modules}|{stmt}", prefix, label)
+        g.tests["{", "module"] = lambda s: ("e" in s or "f" in s or "m" in s) and inside(s)
+    else:
+        g.tests["{", "module"] = lambda s: False
     return g
 
 
@@ -512,18 +557,20 @@ def _go() -> Grammar:
     unary = f"(?:[-+!^*&h])*{prim}(?:\\.i|\\.{args}|\\.{ptype}|{args}|{index}|{literal})*"
     expr = f"{unary}(?:[-+*&b|^<]{unary})*"
     exprs = f"{expr}(?:,{expr})*"
-    simple = f"(?:{exprs}[A=t]{exprs}|{expr}p|{expr}h{expr}|{expr})"
+    changes = f"(?:{exprs}(?<![0s])[A=t]{exprs}|{expr}p|{expr}h{expr})"
+    simple = f"(?:{changes}|{expr})"
     end = "(?:;|$)"
     arg = f"(?:{expr}|{type_})V?"
     param = f"(?:i(?:,i)*V?{type_}|V?{type_})"
     spec = f"i(?:,i)*(?:{type_})?(?:={exprs})?"
     tspec = f"i(?:{index})?=?{type_}"
+    bounded = f"i(?:,i)*~?{type_}(?:[|]~?{type_})*"
     g.tests = {
         ("(", "args"): _full(f"(?:{arg}(?:,{arg})*,?)?"),
         ("(", "params"): _full(f"(?:{param}(?:,{param})*,?)?"),
         ("(", "type"): _full(f"{type_}|T"),
         ("(", "group"): _full(f"(?:(?:{spec}|{tspec}|(?:i|\\.)?s){end})*"),
-        ("[", "index"): _full(f"(?:{expr}|{type_})(?:,(?:{expr}|{type_}))*|(?:{expr})?:(?:{expr})?(?::{expr})?|V|i[~]?{type_}(?:[|]~?{type_})*"),
+        ("[", "index"): _full(f"(?:{expr}|{type_})(?:,(?:{expr}|{type_}))*|(?:{expr})?:(?:{expr})?(?::{expr})?|V|{bounded}(?:,{bounded})*,?"),
         ("[", "empty"): lambda s: not s,
         ("{", "literal"): _full(f"(?:(?:(?:{expr}|{literal}):)?(?:{expr}|{literal})(?:,(?:(?:{expr}|{literal}):)?(?:{expr}|{literal}))*,?)?"),
         ("{", "fields"): _full(f"(?:(?:i(?:,i)*{type_}|\\*?i(?:\\.i)?)(?:s)?{end})*"),
@@ -533,11 +580,11 @@ def _go() -> Grammar:
     if_ = f"I{cond}{block}(?:LI{cond}{block})*(?:L{block})?"
     for_ = f"F(?:(?:{simple})?;(?:{expr})?;(?:{simple})?|(?:{exprs}[A=])?r{expr}|{expr})?{block}"
     decl = f"v(?:{spec}|{group})|T(?:{tspec}|{group})"
-    stmt = f";|(?:{if_}|{for_}|w(?:(?:{simple})?;)?(?:{simple})?{block}|R(?:{exprs})?|B(?:i)?|Gi|D{expr}|{decl}|{simple}|{block}){end}"
+    stmt = f";|(?:{if_}|{for_}|w(?:(?:{simple})?;)?(?:{simple})?{block}|R(?:{exprs})?|B(?:i)?|Gi|D{expr}|{decl}|{changes}|{expr}(?<={args})|h+{expr}|{block}){end}"
     g.tests["{", "block"] = _sequence(stmt, label=f"C(?:{simple}|(?:{expr}|{type_})(?:,(?:{expr}|{type_}))*):|d:|i:")
     g.tokens = tokens
-    rest = _sequence(f";|(?:m(?:(?:i|\\.)?s|{group})|f(?:{params})?i(?:{index})?{params}{result}(?:{block})?|{decl}){end}")
-    package = re.compile(";*Pi;")
+    rest = _sequence(f";|(?:f(?:{params})?i(?:{index})?{params}{result}(?:{block})?|{decl}){end}")
+    package = re.compile(f";*Pi;(?:;|m(?:(?:i|\\.)?s|{group}){end})*")
     g.top = lambda s: (m := package.match(s)) is not None and rest(s[m.end() :]) or not s.strip(";")
     return g
 
@@ -552,6 +599,7 @@ def _rust() -> Grammar:
         "R:return B:break,continue V:move D:dyn j:as"
     )
     words.pop("union")
+    union = re.compile(r"\s+[^\W\d]\w*\s*[<{]")
     ops = _ops("( ) [ ] { } , ; : ? . + - * & | = < > ! # @ $", {"::": "q", "->": "z", "=>": "Z", "..": "d", "..=": "d", "...": "d", "||": "Q"})
     ops |= dict.fromkeys("/ % ^ << <= >= == != &&".split(), "b") | dict.fromkeys("+= -= *= /= %= &= |= ^= <<=".split(), "t")
     strings = r'b?r(#*)".*?"(?P=raw)|' + r'[bc]?"(?:[^"\\]|\\.)*"|b?\'(?:[^\'\\\n]|\\(?:x[0-9a-fA-F]{2}|u\{[0-9a-fA-F_]+\}|.))\''
@@ -567,7 +615,7 @@ def _rust() -> Grammar:
         add = out.append
         for m in rx.finditer(text):
             if m[5] is not None:
-                add(words.get(m[5], "i"))
+                add("S" if m[5] == "union" and union.match(text, m.end()) else words.get(m[5], "i"))
             elif m[7] is not None:
                 add(ops[m[7]])
             elif m[2] is not None:
@@ -585,14 +633,16 @@ def _rust() -> Grammar:
     array, btype = g.cls("[", "array"), g.cls("[", "type")
     block, arms, fields, literal, tree, enum, items = (g.cls("{", n) for n in ("block", "arms", "fields", "literal", "tree", "enum", "items"))
     anything = f"(?:{g.any('(')}|{g.any('[')}|{g.any('{')})"
-    macro = f"(?:q?i(?:qi)*!{anything})"
-    path = f"(?:{ANGLES}q|q)?i(?:q?{ANGLES})?(?:qi(?:q?{ANGLES})?)*(?:{types}(?:zi{ANGLES}?)?)?"
-    bounds = f"(?:\\??{path}|l|{args})(?:\\+(?:\\??{path}|l))*"
-    type_ = f"(?:&l?k?|\\*[Ck])*(?:{macro}|(?:D|M){bounds}|{path}|{types}|{btype}|!|(?:U|X(?:s)?)*f{types}(?:z(?:{path}|{types}))?)"
+    macro = f"(?:q?i(?:qi)*!i?{anything})"
+    result = f"z(?:&l?k?|\\*[Ck])*(?:i(?:q?{ANGLES})?(?:qi(?:q?{ANGLES})?)*|{types}|{btype}|!)"
+    path = f"(?:{ANGLES}q|q)?i(?:q?{ANGLES})?(?:qi(?:q?{ANGLES})?)*(?:{types}(?:{result})?)?"
+    bound = f"\\??(?:F{ANGLES})?{path}"
+    bounds = f"(?:{bound}|l|{args})(?:\\+(?:{bound}|l|{args}))*"
+    type_ = f"(?:&l?k?|\\*[Ck])*(?:{macro}|(?:D|M){bounds}|{path}|{types}|{btype}|!|(?:F{ANGLES})?(?:U|X(?:s)?)*f{types}(?:{result})?)"
     garg = f"(?:l(?::l(?:\\+l)*)?|s|-?0|{block}|C?i:(?:{bounds})(?:={type_})?|{type_}(?:=(?:{type_}|0))?)"
     g.angles = re.compile(f"<(?:{garg}(?:,{garg})*,?|{type_}j{type_})?>")
     generics, gargs = f"{ANGLES}?", ANGLES
-    where = f"(?:W(?:(?:{type_}|l):(?:{bounds}),?)*)?"
+    where = f"(?:W(?:(?:F{ANGLES})?(?:{type_}|l):(?:{bounds})?,?)*)?"
     turbo = f"(?:q{gargs})"
     pat1 = f"(?:&k?)*(?:r?k?i@)?(?:r?k?{path}(?:{args}|{literal}|{fields})?|-?0(?:d(?:-?0)?)?|s(?:ds)?|{args}|{array}|d|{macro})"
     pat = f"\\|?{pat1}(?:\\|{pat1})*"
@@ -603,7 +653,7 @@ def _rust() -> Grammar:
     ends = f"(?=$|[,;Z]|{block}|{arms})"
 
     def expression(atom: str) -> str:
-        unary = f"(?:[-*!RB]|l:|&k?|b(?=[ik&])k?|d|{closure})*(?:{atom}|(?<=[RBd])l?{ends})(?:\\.i(?:{turbo})?|\\.0|{args}|{array}|\\?)*(?:j{type_})*"
+        unary = f"(?:[-*!R]|Bl?|l:|&k?|b(?=[ik&])k?|d|{closure})*(?:{atom}|(?<=[RBd])l?{ends})(?:\\.i(?:{turbo})?|\\.0|{args}|{array}|\\?)*(?:j{type_})*"
         return f"{unary}(?:(?:[-+*&|<=tbQ]|>{{1,2}}=?){unary}|d(?:{unary}|{ends}))*"
 
     inner = expression(value)
@@ -625,8 +675,8 @@ def _rust() -> Grammar:
     either = f"(?>(?:{expr}|{pat})(?=,|$))"
     g.tests = {
         ("(", "args"): _full(f"(?:{either}(?:,{either})*,?)?|ni(?:qi)*"),
-        ("(", "params"): _full(f"(?:{param}(?:,{param})*,?)?"),
-        ("(", "types"): _full(f"(?:{attr}*{vis}(?:i:)?{type_}(?:,{attr}*{vis}(?:i:)?{type_})*,?)?"),
+        ("(", "params"): _full(f"(?:{param}(?:,{param})*(?:,(?:i:)?d)?,?)?"),
+        ("(", "types"): _full(f"(?:{attr}*{vis}(?:i:)?{type_}(?:,{attr}*{vis}(?:i:)?{type_})*(?:,d)?,?)?"),
         ("[", "array"): _full(f"(?:{expr}(?:,{expr})*,?|{expr};{expr})?"),
         ("[", "type"): _full(f"{type_}(?:;{expr})?"),
         ("{", "fields"): _full(f"(?:{attr}*{vis}i:{type_}(?:,{attr}*{vis}i:{type_})*,?)?"),
@@ -661,8 +711,38 @@ def grammar(language: str) -> Grammar:
     return _BUILT[language]
 
 
-def is_valid(raw: bytes, language: str) -> bool:
-    """Whether raw is a syntactically valid file of the language; an empty file is, except in json."""
+_JSON_TOKEN = re.compile(r'[ \t\r\n]*(?:([\[{])|([\]}])|(,)|(:)|("(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+")|(-?(?:0|[1-9]\d*)(?:\.\d+)?(?:[eE][+-]?\d+)?(?![\w.])|(?:true|false|null)\b)|([^ \t\r\n]))')
+
+
+def _deep_json(text: str) -> bool:
+    """json nested to any depth, which the interpreter's parser doesn't read."""
+    stack: list[str] = []
+    before = ""  # "" a value has to follow, v it has ended, [ and { just opened, k after a key, : and , as they are
+    for m in _JSON_TOKEN.finditer(text):
+        kind = m.lastindex
+        wants_key = bool(stack) and stack[-1] == "{" and before in ("{", ",")
+        wants_value = not wants_key and before in ("", "[", ":", ",")
+        if kind == 1 and wants_value:
+            before = m[1]
+            stack.append(before)
+        elif kind == 2 and stack and (stack[-1] == "[") == (m[2] == "]") and before in ("v", stack[-1]):
+            stack.pop()
+            before = "v"
+        elif kind == 3 and stack and before == "v":
+            before = ","
+        elif kind == 4 and before == "k":
+            before = ":"
+        elif kind == 5 and (wants_key or wants_value):
+            before = "k" if wants_key else "v"
+        elif kind == 6 and wants_value:
+            before = "v"
+        else:
+            return False
+    return before == "v" and not stack
+
+
+def check(raw: bytes, language: str) -> bool | None:
+    """Whether raw is a syntactically valid file of the language; an empty file is, except in json. None if the parser ran out of its means."""
     try:
         if language == "python":
             with warnings.catch_warnings():
@@ -671,16 +751,25 @@ def is_valid(raw: bytes, language: str) -> bool:
             return True
         text = raw.decode("utf-8-sig")
         if language == "json":
-            _JSON.decode(text)
+            try:
+                _JSON.decode(text)
+            except RecursionError:
+                return _deep_json(text)
             return True
         if language == "toml":
             tomllib.loads(text)
             return True
         return "\0" not in text and grammar(language).parses(text)
-    except (SyntaxError, ValueError, OverflowError, RecursionError, MemoryError):
+    except (RecursionError, MemoryError):
+        return None
+    except (SyntaxError, ValueError, OverflowError):
         return False
 
 
+def is_valid(raw: bytes, language: str) -> bool:
+    return check(raw, language) is True
+
+
 #: Words and marks that tell languages apart in the ranking of candidates. Fixed values.
 MARKERS: dict[str, frozenset[bytes]] = {
     "python": frozenset(b"def self None elif except lambda import from True False raise with pass".split()),

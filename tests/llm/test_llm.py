@@ -10,6 +10,7 @@ import pytest
 
 from graphloom.llm import cooccur, encode, grammars, handwritten, leakage, parsecheck, stuffing, topn
 from tests.conftest import rows
+from tests.llm import snippets
 
 # ---------------------------------------------------------------- items that appear together
 
@@ -168,10 +169,27 @@ def test_verdicts(spark):
     assert rows(parsecheck.check_files(frame.limit(0))) == []
 
 
+@pytest.mark.parametrize("language", sorted(snippets.GOOD))
+def test_snippets(language):
+    assert [x for x in snippets.GOOD[language] if not grammars.is_valid(x.encode(), language)] == []
+    assert [x for x in snippets.BAD[language] if grammars.is_valid(x.encode(), language)] == []
+
+
+def test_every_grammar_and_means_that_run_out():
+    assert parsecheck.verdict(b"const a = 1;\n", "javascript") == ("valid", ["javascript", "typescript"])
+    assert parsecheck.verdict(b"let x = 1\n", "rust")[0] == "wrong_language"
+    deep = b"[" * 200_000 + b'{"a": [1, {"b": null}]}' + b"]" * 200_000
+    assert grammars.check(deep, "json") is True and grammars.check(deep[:-1], "json") is False
+    assert grammars.check(b"[" * 200_000 + b"1,]" + b"]" * 199_999, "json") is False
+    for text, good in (('{"a":1,"b":[]}', True), ('{"a" 1}', False), ("[1 2]", False), ('{1:2}', False), ("[,]", False), ('{"a":}', False), ("1 2", False), ("{}", True), ("[01]", False)):
+        assert grammars._deep_json(text) == good, text
+    assert grammars.check(b"x = " + b"-" * 2_000_000 + b"1\n", "python") is None
+
+
 def test_toml_and_json_under_other_extensions():
     day = b"day = 1979-05-27T07:32:00Z\n"  # no other grammar reads that
     for raw in (day, b"# a list\n[[p]]\n" + day, b"\xef\xbb\xbfa.b = {c = 'x'}\n" + day):
-        assert parsecheck.verdict(raw, "rust") == ("wrong_language", "toml"), raw
+        assert parsecheck.verdict(raw, "rust") == ("wrong_language", ["toml"]), raw
     assert not parsecheck._tells(b"# only words\n", "toml") and not parsecheck._tells(b"12", "json") and parsecheck._tells(b'\xef\xbb\xbf{"a": null}', "json")
 
 
