@@ -13,6 +13,7 @@ import json
 import re
 import tomllib
 import warnings
+from collections import Counter
 from collections.abc import Callable
 
 LANGUAGES = ("python", "rust", "javascript", "typescript", "go", "java", "c", "json", "toml")
@@ -21,6 +22,8 @@ MEMO = 100_000
 
 _BASE = {"(": 0xE000, "[": 0xE400, "{": 0xE800}
 _CLOSE = {")": "(", "]": "[", "}": "{"}
+#: Groups that fit no production.
+_NOTHING = frozenset(map(chr, _BASE.values()))
 _BITS = 8
 
 
@@ -30,8 +33,13 @@ class Grammar:
     def __init__(self, groups: dict[str, list[str]], soft_newlines: bool = False) -> None:
         self.groups = groups
         self.soft = soft_newlines
+        #: Tokens after which a group may hold anything; without them a group that fits no production ends the parse.
+        self.loose = ""
+        #: What a file can begin with, and the characters that it can end with; others are no file of the language, whatever stands between.
+        self.head = re.compile("")
+        self.last = ""
         self.angles: re.Pattern[str] | None = None
-        self.parts: list[tuple[re.Pattern[str], str]] = []
+        self.parts: list[tuple[re.Pattern[str], str | Callable[[re.Match[str]], str]]] = []
         self.memo: dict[str, dict[str, str]] = {b: {} for b in _BASE}
         self.tests: dict[tuple[str, str], Callable[[str], object]] = {}
         self.tokens: Callable[[str], str | None] = lambda text: None
@@ -75,14 +83,27 @@ class Grammar:
         return forms
 
     def parses(self, text: str) -> bool:
+        if not self.head.match(text) or not self._may_end(text):
+            return False
         flat = self.tokens(text)
         return flat is not None and (reduced := self.reduce(flat)) is not None and any(map(self.top, self._forms(reduced)))
 
+    def _may_end(self, text: str) -> bool:
+        if not self.last or text[-1:] in self.last:
+            return True
+        end = len(text.rstrip())
+        if not end or text[end - 1] in self.last or text[end - 1] == "/":
+            return True
+        line = text.rfind("\n", 0, end) + 1
+        # a comment, a directive or its continuation
+        return "//" in text[line:end] or text.startswith("#", line + len(text[line:end]) - len(text[line:end].lstrip())) or text[:line].rstrip().endswith("\\")
+
     def reduce(self, flat: str) -> str | None:
         """The tokens with every bracket group as one character; None if brackets don't match."""
         stack: list[tuple[str, list[str]]] = []
         parts: list[str] = []
         at = 0
+        strict = not any(c in flat for c in self.loose)
         for m in _BRACKETS.finditer(flat):
             c, k = m[0], m.start()
             parts.append(flat[at:k])
@@ -95,7 +116,10 @@ class Grammar:
                     return None
                 content = "".join(parts)
                 bracket, parts = stack.pop()
-                parts.append(self._group(bracket, content))
+                group = self._group(bracket, content)
+                if strict and group in _NOTHING:
+                    return None
+                parts.append(group)
         if stack:
             return None
         parts.append(flat[at:])
@@ -109,15 +133,20 @@ ANGLES = "\uf700"
 FUNCTION, ARROW, HEAD, BLOCKLIKE = "\uf701", "\uf702", "\uf703", "\uf704"
 #: A function or class without a name, which is no statement.
 NAMELESS = "\uf705"
+#: An if with its block, before its else.
+IF = "\uf706"
 
 
 def _full(pattern: str) -> Callable[[str], object]:
     return re.compile(pattern).fullmatch
 
 
-def _sequence(statement: str, prefix: str = r"(?!)", label: str = r"(?!)", end: str = "") -> Callable[[str], bool]:
-    """Matches statements one after another. After a prefix (if (x), for (...), else) a statement has to follow; else needs an if before it."""
-    step = re.compile(f"(?:(?P<p>{prefix})|(?P<l>{label})|(?P<s>{statement}))")
+def _sequence(statement: str = "", prefix: str = r"(?!)", label: str = r"(?!)", step: re.Pattern[str] | None = None, without: tuple[str, ...] = ()) -> Callable[[str], bool]:
+    """Matches statements one after another. After a prefix (if (x), for (...), else) a statement has to follow; else needs an if before it.
+
+    step: the pattern of a step with the groups p (prefix), l (label), and others for statements, of which those named in without may not occur.
+    """
+    step = step or re.compile(f"(?:(?P<p>{prefix})|(?P<l>{label})|(?P<s>{statement}))")
 
     def run(s: str) -> bool:
         at, open_prefix, chain, after_if = 0, False, False, False
@@ -125,14 +154,17 @@ def _sequence(statement: str, prefix: str = r"(?!)", label: str = r"(?!)", end:
             m = step.match(s, at)
             if not m or m.end() == at:
                 return False
-            if m["p"] is not None:
+            kind = m.lastgroup
+            if kind in without:
+                return False
+            if kind == "p" or kind == "e":
                 word = s[at]
                 if word == "L":
                     if not after_if:
                         return False
                 chain = chain or word == "I" if word != "L" else False
                 open_prefix, after_if = True, False
-            elif m["s"] is not None and m["s"].strip("\n"):
+            elif kind != "l" and m[0].strip("\n"):
                 after_if, chain, open_prefix = chain, False, False
             at = m.end()
         return not open_prefix
@@ -180,6 +212,13 @@ _NESTED = r"//[^\n]*|/\*(?:[^*/]+|\*(?!/)|/(?!\*)|" + rf"/\*(?:[^*/]+|\*(?!/)|/(
 _STRING = r'"(?:[^"\\\n]|\\.)*"'
 
 
+def _head(start: str, comments: str = r"//[^\n]*|/\*.*?\*/") -> re.Pattern[str]:
+    """What follows blanks and comments at the beginning: nothing, or start."""
+    return re.compile(rf"(?:#![^\[\n][^\n]*)?(?:\s|{comments})*+(?:\Z|{start})", re.S)
+
+
+
+
 def _table(spec: str) -> dict[str, str]:
     return {w: c for part in spec.split() for c, _, ws in [part.partition(":")] for w in ws.split(",")}
 
@@ -214,6 +253,8 @@ def _c() -> Grammar:
 
     args, params, for_, cast, generic, pointer, cond = (g.cls("(", n) for n in ("args", "params", "for", "type", "generic", "pointer", "cond"))
     index, block, init, fields, enum = g.cls("[", "index"), g.cls("{", "block"), g.cls("{", "init"), g.cls("{", "fields"), g.cls("{", "enum")
+    g.loose = "ktM"
+    g.head, g.last = _head(r"[;]|#(?!\s*[\[!])|(?!\w+\s+\w+\s*(?:::|\.)|(?!struct|union|enum)\w+\s*\{|const\s+\w+\s*=|export\s+(?:const|function|class|default|async|type|interface|enum)\b|(?:public|abstract|final)\s+(?:\w+\s+)?(?:class|interface|enum)\b|pub\s+(?:fn|struct|enum)\b)\w"), ";}"
     # attributes stand wherever qualifiers do
     g.parts = [(re.compile(f"k{g.any('(')}"), "Q"), (re.compile(f"t{g.any('(')}"), "T")]
     prim = f"(?:i|0|s+|{args}|Z(?:{cast}|{args})|{cast}{init}|r{generic})"
@@ -260,6 +301,7 @@ def _java() -> Grammar:
     ops = _ops("( ) [ ] { } , ; : ? . + - * & = < > @", {"++": "p", "--": "p", "!": "!", "~": "!", "...": "v", "->": "Z", "::": "q"})
     ops |= dict.fromkeys("/ % ^ | << <= >= == != && ||".split(), "o") | dict.fromkeys("+= -= *= /= %= &= |= ^= <<=".split(), "a")
     lex = _lexer(words, ops, r'"""[ \t]*\r?\n(?:[^\\]|\\.)*?"""|' + _STRING + r"|'(?:[^'\\\n]|\\(?:u+[0-9a-fA-F]{4}|[0-7]{1,3}|.))'", _NUMBER.format("[lLfFdD]?"), _COMMENTS, word=r"[^\W\d][\w$]*|\$[\w$]*")
+    g.head, g.last = _head(r"[@;]|(?:package|import|public|private|protected|static|abstract|final|strictfp|sealed|non-sealed|class|interface|enum|record|open|module)\b"), ";}"
     # words that mean something in one place only
     sealed = re.compile(r"\b(?:non-)?sealed(?=\s+(?:public|private|protected|static|abstract|strictfp|class|interface)\b)")
     permits = re.compile(r"\bpermits(?=\s+[\w.$]+(?:\s*,\s*[\w.$]+)*\s*\{)")
@@ -331,18 +373,16 @@ def _java() -> Grammar:
 _JS_WORDS = (
     "f:function a:async c:class x:extends n:new u:typeof,void,delete,await Y:yield v:var,let K:const I:if L:else F:for W:while D:do S:switch C:case d:default "
     "B:break,continue R:return O:throw y:try h:catch z:finally m:import e:export N:in o:instanceof l:of g:get,set,static j:as,satisfies r:from "
-    "J:interface M:namespace,module q:type,declare,abstract,readonly,public,private,protected,implements,keyof,infer,is,override,asserts,unique,accessor,global "
+    "J:interface M:namespace,module Q:implements,public,private,protected q:type,declare,abstract,readonly,keyof,infer,is,override,asserts,unique,accessor,global "
     "E:enum X:with,debugger"
 )
-_JS_STRICT = frozenset("interface implements public private protected".split())
 _REGEX = r"/(?![/*])(?:\\[^\n]|\[(?:\\[^\n]|[^\]\\\n])*\]|[^/\\\n\[])+/[a-z]*"
 _JS_COMMENT_OPEN = re.compile(r"\s*")
 
 
-def _js_tokens(typed: bool):
+def _js_tokens():
+    """Token classes of JavaScript and TypeScript. Reserved words that only the latter uses are J and Q."""
     words = _table(_JS_WORDS)
-    if not typed:
-        words |= dict.fromkeys(_JS_STRICT, "%")
     ops = _ops("( ) [ ] { } , ; : ? . + - * & | = < > @", {"++": "p", "--": "p", "!": "!", "~": "!", "...": "V", "=>": "Z", "?.": "."})
     ops |= dict.fromkeys("/ % ^ << <= >= == != === !== && || ?? **".split(), "o") | dict.fromkeys("+= -= *= /= %= &= |= ^= <<= **= &&= ||= ??=".split(), "A")
     names = "|".join(re.escape(o) for o in sorted(ops, key=len, reverse=True))
@@ -375,9 +415,9 @@ def _js_tokens(typed: bool):
 
     def scan(text: str, at: int, out: list[str], inner: bool) -> int:
         depth, size = 0, len(text)
-        match = rx.match
+        match = rx.scanner(text, at).match
         while at < size:
-            m = match(text, at)
+            m = match()
             if m is None:  # only blanks are left
                 return -1 if inner else size
             k = m.lastindex
@@ -406,12 +446,14 @@ def _js_tokens(typed: bool):
                 at = template(text, at, out)
                 if at < 0:
                     return -1
+                match = rx.scanner(text, at).match
             elif k == 7:
                 last = next((c for c in reversed(out) if c != "\n"), "")
                 if last in ends and last:
                     d = division.match(text, m.start(7))
                     out.append("A" if len(d[0]) == 2 else "o")
                     at = d.end()
+                    match = rx.scanner(text, at).match
                 else:
                     out.append("s")
             else:
@@ -421,22 +463,34 @@ def _js_tokens(typed: bool):
     # a line end means nothing beside these tokens
     drop = re.compile(r"\n+(?=[.,?:=o*&|A<>)\]ZNlj])|(?<=[-.,?:=o*+&|A<>(\[Z!uvKnNxVfac])\n+|^\n+")
 
+    last: list = [None, None]  # the text read last: both languages read it one after the other
+
     def run(text: str) -> str | None:
-        if text.startswith("#!"):
-            text = text[text.find("\n") if "\n" in text else len(text) :]
-        out: list[str] = []
-        if scan(text, 0, out, False) < 0:
-            return None
-        return drop.sub("", "".join(out))
+        if last[0] is not text:
+            body = text[text.find("\n") if "\n" in text else len(text) :] if text.startswith("#!") else text
+            out: list[str] = []
+            last[:] = text, None if scan(body, 0, out, False) < 0 else drop.sub("", "".join(out))
+        return last[1]
 
     return run
 
 
+_JS_TOKENS = _js_tokens()
+_TYPED = str.maketrans("Q", "q")
+_UNTYPED = str.maketrans("JQ", "%%")
+
+
 def _js(typed: bool) -> Grammar:
     g = Grammar({"(": ["args", "params", "for", "type"], "[": ["array", "pattern", "empty", "tuple"], "{": ["block", "object", "class", "names", "type", "pattern", "enum", "module"]}, soft_newlines=True)
     args, params, for_, ptype = (g.cls("(", n) for n in ("args", "params", "for", "type"))
     array, bpat, empty, tuple_ = (g.cls("[", n) for n in ("array", "pattern", "empty", "tuple"))
     block, obj, body, names, otype, opat, enum = (g.cls("{", n) for n in ("block", "object", "class", "names", "type", "pattern", "enum"))
+    # two names in a row begin no statement unless the first one is a keyword or the second an operator, nor does a key with its value
+    keyword = "for|function|async|class|var|let|const|import|export|new|typeof|void|delete|await|yield|do|return|throw|case|break|continue|type|interface|enum|namespace|module|declare|abstract"
+    twice = rf"(?!(?:{keyword})\b)[^\W\d][\w$]*[ \t]+(?!(?:in|of|instanceof|as|satisfies)\b)[^\W\d]"
+    imports = r"import\b(?!\s*[{*(\"'.]|\s+(?:type\s+)?[\w$]+\s+from\s*[\"']|\s+[\w$]+\s*[,=]|\s+type\s*[{*])|from\s+[\w.]+\s+import\b|class\s+[\w$]+\s*[:(]"
+    key = r"\{\s*\"(?:[^\"\\\n]|\\.)*+\"\s*:"
+    g.head = _head(rf"(?!{twice}|{imports}|{key}|\"\"\"|#(?!!)).")
     module = g.cls("{", "module")
     ident = "[igjlqraJM]"
     word = "[igjlqraJMcfxnuvKYILFWDSCdBROyhzmeNoEX%]"
@@ -514,18 +568,17 @@ def _js(typed: bool) -> Grammar:
         )
     prefix = f"I{args}\n?|F(?:u)?{for_}\n?|W{args}\n?|S{args}|L\n?|D\n?"
     label = f"C{exprs}:|d:|{ident}:"
-    g.tests["{", "block"] = _sequence(stmt, prefix, label)
     clause = f"q?(?:{ident}|{names}|\\*j{ident})(?:,(?:{names}|\\*j{ident}))?"
-    modules = f"m(?:s|{clause}rs){end}|ed(?:(?:q)?[{FUNCTION}{NAMELESS}]\n?|{exprs}{end})|eq?{names}(?:rs)?{end}|e\\*(?:j{word})?rs{end}|e(?=[fvKcaqJM@E{FUNCTION}])(?:{stmt})"
+    modules = f"m(?:s|{clause}rs){end}|ed(?:(?:q)?[{FUNCTION}{NAMELESS}]\n?|{exprs}{end})|eq?{names}(?:rs)?{end}|e\\*(?:j{word})?rs{end}"
     if typed:
         modules += f"|e?m{ident}={exprs}{end}|e={exprs}{end}"
-    g.tokens = _js_tokens(typed)
-    g.top = _sequence(f"{modules}|{stmt}", prefix, label)
-    if typed:  # within a declared module constants need no value
-        inside = _sequence(f"e?{ambient}{end}|{modules}|{stmt}", prefix, label)
-        g.tests["{", "module"] = lambda s: ("e" in s or "f" in s or "m" in s) and inside(s)
-    else:
-        g.tests["{", "module"] = lambda s: False
+    bare = f"e?{ambient}(?![=,:]){end}" if typed else never
+    step = re.compile(f"(?:(?P<p>{prefix})|(?P<m>{modules})|(?P<e>e(?=[fvKcaqJM@E{FUNCTION}]))|(?P<l>{label})|(?P<s>{stmt})|(?P<c>{bare}))")
+    # a file takes what a block takes, and imports and exports; a declared module takes constants without a value, too
+    g.tests["{", "block"] = _sequence(step=step, without=("e", "m", "c"))
+    g.top = _sequence(step=step, without=("c",))
+    g.tests["{", "module"] = _sequence(step=step) if typed else (lambda s: False)
+    g.tokens = lambda text: None if (flat := _JS_TOKENS(text)) is None else flat.translate(_TYPED if typed else _UNTYPED)
     return g
 
 
@@ -540,6 +593,7 @@ def _go() -> Grammar:
     ops = _ops("( ) [ ] { } , ; : . + - * & = ! | ^ ~ <", {"++": "p", "--": "p", ":=": "A", "...": "V", "<-": "h"})
     ops |= dict.fromkeys("/ % << >> <= >= == != && || > &^".split(), "b") | dict.fromkeys("+= -= *= /= %= &= |= ^= <<= >>= &^=".split(), "t")
     lex = _lexer(words, ops, r"`[^`]*`|" + _STRING + r"|'(?:[^'\\\n]|\\(?:x[0-9a-fA-F]{2}|u[0-9a-fA-F]{4}|U[0-9a-fA-F]{8}|[0-7]{3}|.))'", _NUMBER.format("i?"), _COMMENTS)
+    g.head = _head(r";*\s*package\s")
     auto = re.compile(r"(?<=[i0sBRp)\]}])\n")
 
     def tokens(text: str) -> str | None:
@@ -577,7 +631,8 @@ def _go() -> Grammar:
         ("{", "iface"): _full(f"(?:(?:i{params}{result}|~?{type_}(?:[|]~?{type_})*){end})*"),
     }
     cond = f"(?:(?:{simple})?;)?{expr}"
-    if_ = f"I{cond}{block}(?:LI{cond}{block})*(?:L{block})?"
+    g.parts = [(re.compile(f"I{cond}{block}"), IF)]
+    if_ = f"{IF}(?:L{IF})*(?:L{block})?"
     for_ = f"F(?:(?:{simple})?;(?:{expr})?;(?:{simple})?|(?:{exprs}[A=])?r{expr}|{expr})?{block}"
     decl = f"v(?:{spec}|{group})|T(?:{tspec}|{group})"
     stmt = f";|(?:{if_}|{for_}|w(?:(?:{simple})?;)?(?:{simple})?{block}|R(?:{exprs})?|B(?:i)?|Gi|D{expr}|{decl}|{changes}|{expr}(?<={args})|h+{expr}|{block}){end}"
@@ -598,6 +653,8 @@ def _rust() -> Grammar:
         "u:use P:pub f:fn S:struct,union E:enum M:impl T:trait m:mod C:const c:static Y:type U:unsafe,async X:extern W:where k:mut r:ref L:let I:if e:else F:for n:in w:while O:loop a:match "
         "R:return B:break,continue V:move D:dyn j:as"
     )
+    g.loose = "!#"
+    g.head, g.last = _head(r"#!?\[|;|(?:use|pub|fn|struct|enum|impl|trait|mod|const|static|type|unsafe|async|extern|union)\b|(?:::)?[^\W\d]\w*(?:\s*::\s*\w+)*\s*!", _NESTED), ";}])"
     words.pop("union")
     union = re.compile(r"\s+[^\W\d]\w*\s*[<{]")
     ops = _ops("( ) [ ] { } , ; : ? . + - * & | = < > ! # @ $", {"::": "q", "->": "z", "=>": "Z", "..": "d", "..=": "d", "...": "d", "||": "Q"})
@@ -657,9 +714,11 @@ def _rust() -> Grammar:
         return f"{unary}(?:(?:[-+*&|<=tbQ]|>{{1,2}}=?){unary}|d(?:{unary}|{ends}))*"
 
     inner = expression(value)
-    cond = f"(?:L{pat}={inner}(?:bL{pat}={inner})*|{inner})"
-    special = f"(?:(?:l:)?(?:I{cond}{block}(?:eI{cond}{block})*(?:e{block})?|O{block}|w{cond}{block}|F{pat}n{inner}{block}|a{inner}{arms}))"
-    g.parts = [(re.compile(special), BLOCKLIKE)]
+    cond = f"(?:(?:L{pat}=)?{inner}(?:b(?=L)|(?![b])))+"
+    g.parts = [
+        (re.compile(f"(?:l:)?[Iw]{cond}{block}"), lambda m: IF if m[0].lstrip("l:")[0] == "I" else BLOCKLIKE),
+        (re.compile(f"{IF}(?:e{IF})*(?:e{block})?|(?:l:)?(?:O{block}|F{pat}n{inner}{block}|a{inner}{arms})"), BLOCKLIKE),
+    ]
     special = f"(?:{BLOCKLIKE}|(?:UV?|C)?{block})"
     expr = expression(f"(?:{special}|{value})")
     vis = f"(?:P(?:{args})?)?"
@@ -684,7 +743,7 @@ def _rust() -> Grammar:
         ("{", "tree"): _full(f"(?:{leaf}(?:,{leaf})*,?)?"),
         ("{", "enum"): _full(f"(?:{attr}*i(?:{types}|{fields})?(?:={expr})?(?:,{attr}*i(?:{types}|{fields})?(?:={expr})?)*,?)?"),
         ("{", "items"): _sequence(f"{item}|{macro};?|{attr}(?=.)"),
-        ("{", "arms"): _full(f"(?:{attr}*{pat}(?:I{cond})?Z(?:{special},?(?=[^.?])|{special}$|{expr}(?:,|$)))*"),
+        ("{", "arms"): _full(f"(?:{attr}*{pat}(?:I{cond}(?=Z))?Z(?:{special},?(?=[^.?])|{special}$|{expr}(?:,|$)))*"),
     }
     stmt = f";|{attr}(?=.)|L{pat}(?::{type_})?(?:={expr}(?:e{block})?)?;|{item}|{special}(?:;|(?=[^-.?+*=<>&|bt])|$)|{macro}(?:;|(?=i))|{expr}(?:;|$)"
     g.tests["{", "block"] = _sequence(stmt)
@@ -741,15 +800,27 @@ def _deep_json(text: str) -> bool:
     return before == "v" and not stack
 
 
-def check(raw: bytes, language: str) -> bool | None:
-    """Whether raw is a syntactically valid file of the language; an empty file is, except in json. None if the parser ran out of its means."""
+def check_all(raw: bytes, order: list[str]) -> dict[str, bool | None]:
+    """check() of every language in order. The syntax of typescript includes that of javascript, so what the latter accepts isn't parsed again."""
+    try:
+        text = raw.decode("utf-8-sig")
+    except ValueError:
+        text = None
+    found: dict[str, bool | None] = {}
+    for language in sorted(order, key="typescript".__eq__):  # after javascript
+        found[language] = language == "typescript" and found.get("javascript") or check(raw, language, text)
+    return {language: found[language] for language in order}
+
+
+def check(raw: bytes, language: str, text: str | None = None) -> bool | None:
+    """Whether raw (text, if it is utf-8 and decoded before) is a syntactically valid file of the language; an empty file is, except in json. None if the parser ran out of its means."""
     try:
         if language == "python":
             with warnings.catch_warnings():
                 warnings.simplefilter("ignore")
                 compile(raw, "file", "exec", dont_inherit=True)
             return True
-        text = raw.decode("utf-8-sig")
+        text = raw.decode("utf-8-sig") if text is None else text
         if language == "json":
             try:
                 _JSON.decode(text)
@@ -788,7 +859,8 @@ _WORDS = re.compile(rb"[A-Za-z_]+")
 def ranked(raw: bytes) -> list[str]:
     """Languages by the share of their marker words among the tokens, best first; ties in the order of LANGUAGES."""
     words = _WORDS.findall(raw)
-    score = {lang: sum(w in marks for w in words) for lang, marks in MARKERS.items()}
+    held = Counter(words)
+    score = {lang: sum(held[w] for w in marks & held.keys()) for lang, marks in MARKERS.items()}
     start = raw.lstrip()[:1]
     if start in (b"{", b"["):
         score["json" if start == b"{" or b"=" not in raw else "toml"] += len(words) + 1

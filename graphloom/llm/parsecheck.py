@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphloom.llm.grammars import LANGUAGES, check, ranked
+from graphloom.llm.grammars import LANGUAGES, check_all, ranked
 from graphloom.session import spread
 
 #: Languages by extension. Fixed values.
@@ -44,7 +44,7 @@ def verdict(raw: bytes | None, language: str | None) -> tuple[str, list[str]]:
     """
     if raw is None or language not in LANGUAGES:
         return "unknown", []
-    found = {other: check(raw, other) for other in ranked(raw)}
+    found = check_all(raw, ranked(raw))
     tells = [other for other, fits in found.items() if fits and other != language and raw.strip() and _tells(raw, other)]
     if found[language] is None:
         return "undecided", tells
