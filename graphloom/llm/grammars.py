@@ -32,6 +32,8 @@ class Grammar:
 
     def __init__(self, groups: dict[str, list[str]], soft_newlines: bool = False) -> None:
         self.groups = groups
+        # names used most come first; with the highest bits their classes are few ranges
+        self.bit = {(bracket, name): len(names) - 1 - k for bracket, names in groups.items() for k, name in enumerate(names)}
         self.soft = soft_newlines
         #: Tokens after which a group may hold anything; without them a group that fits no production ends the parse.
         self.loose = ""
@@ -47,11 +49,11 @@ class Grammar:
 
     def cls(self, bracket: str, *names: str) -> str:
         """Character class of the groups that may stand for any of the names."""
-        want = sum(1 << self.groups[bracket].index(n) for n in names)
+        want = sum(1 << self.bit[bracket, n] for n in names)
         fits = [m for m in range(1 << len(self.groups[bracket])) if m & want]
         runs = [m for m in fits if m - 1 not in fits]
         ends = [m for m in fits if m + 1 not in fits]
-        return "[" + "".join(f"{chr(_BASE[bracket] + x)}-{chr(_BASE[bracket] + y)}" for x, y in zip(runs, ends)) + "]"
+        return "[" + "".join(chr(_BASE[bracket] + x) + (f"-{chr(_BASE[bracket] + y)}" if y > x else "") for x, y in zip(runs, ends)) + "]"
 
     def any(self, bracket: str) -> str:
         return f"[{chr(_BASE[bracket])}-{chr(_BASE[bracket] + (1 << _BITS) - 1)}]"
@@ -63,7 +65,7 @@ class Grammar:
             body = content.replace("\n", "") if self.soft and bracket != "{" else content
             mask = 0
             for form in self._forms(body):
-                mask = mask or sum(1 << k for k, name in enumerate(self.groups[bracket]) if self.tests[bracket, name](form))
+                mask = mask or sum(1 << self.bit[bracket, name] for name in self.groups[bracket] if self.tests[bracket, name](form))
             if len(memo) >= MEMO:
                 memo.clear()
             found = memo[content] = chr(_BASE[bracket] + mask)
@@ -254,7 +256,7 @@ def _c() -> Grammar:
     args, params, for_, cast, generic, pointer, cond = (g.cls("(", n) for n in ("args", "params", "for", "type", "generic", "pointer", "cond"))
     index, block, init, fields, enum = g.cls("[", "index"), g.cls("{", "block"), g.cls("{", "init"), g.cls("{", "fields"), g.cls("{", "enum")
     g.loose = "ktM"
-    g.head, g.last = _head(r"[;]|#(?!\s*[\[!])|(?!\w+\s+\w+\s*(?:::|\.)|(?!struct|union|enum)\w+\s*\{|const\s+\w+\s*=|export\s+(?:const|function|class|default|async|type|interface|enum)\b|(?:public|abstract|final)\s+(?:\w+\s+)?(?:class|interface|enum)\b|pub\s+(?:fn|struct|enum)\b)\w"), ";}"
+    g.head, g.last = _head(r"[;]|#(?!\s*[\[!])|(?!\w+\s+\w+\s*(?:::|\.)|(?!struct|union|enum)\w+\s*\{|const\s+\w+\s*=|export\s+(?:const|function|class|default|async|type|interface|enum)\b|(?:public|abstract|final)\s+(?:\w+\s+)?(?:class|interface|enum)\b|pub\s+(?:fn|struct|enum|static)\b|class\s+\w+\s*(?:\{|extends\b|implements\b)|package\s+\w+(?:\s+(?:import|func|type|var|const)\b|\s*;\s*import\s+\w+\s*\.))\w"), ";}"
     # attributes stand wherever qualifiers do
     g.parts = [(re.compile(f"k{g.any('(')}"), "Q"), (re.compile(f"t{g.any('(')}"), "T")]
     prim = f"(?:i|0|s+|{args}|Z(?:{cast}|{args})|{cast}{init}|r{generic})"
