@@ -23,6 +23,8 @@ BLOCK_RECORDS = 262_144
 HEAVY_SHARE = 64
 #: Pairs of rare items held before they are merged.
 PAIR_BUFFER = 4_000_000
+#: Words of the bit matrix that are read at once.
+MATRIX_WORDS = 2_000_000
 #: Large repositories whose ids may be sent to all workers; their number is checked first.
 BROADCAST_REPOS = 1_000_000
 #: Stands for the record itself among its items; a blank name is never an item.
@@ -63,6 +65,16 @@ def _merge(buffer: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray
     return [(codes[first], np.add.reduceat(counts, first))]
 
 
+def bit_rows(item: np.ndarray, rec: np.ndarray, dense: np.ndarray, n_item: int, n_rec: int) -> np.ndarray:
+    """The records of each of the dense items as one bit each, packed into words of 64."""
+    width = -(-n_rec // 64)
+    row_of = np.full(n_item, -1)
+    row_of[dense] = np.arange(len(dense))
+    words = np.zeros(len(dense) * width, dtype=np.uint64)
+    np.bitwise_or.at(words, row_of[item] * width + (rec >> 6), np.uint64(1) << (rec & 63).astype(np.uint64))
+    return words.reshape(len(dense), width)
+
+
 def count_block(rec: np.ndarray, item: np.ndarray, heavy: np.ndarray, pair_buffer: int = PAIR_BUFFER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of items (lower, higher code, count) in one block. rec, item: codes of distinct incidences; heavy: flag by item."""
     none = np.zeros(0, dtype=np.int64)
@@ -73,22 +85,23 @@ def count_block(rec: np.ndarray, item: np.ndarray, heavy: np.ndarray, pair_buffe
     dense = np.flatnonzero(heavy)
     is_heavy = heavy[item]
     if len(dense):
-        row_of = np.full(n_item, -1)
-        row_of[dense] = np.arange(len(dense))
-        bits = np.zeros((len(dense), -(-n_rec // 64) * 64), dtype=bool)
-        bits[row_of[item[is_heavy]], rec[is_heavy]] = True
-        words = np.packbits(bits, axis=1).view(np.uint64)
+        words = bit_rows(item[is_heavy], rec[is_heavy], dense, n_item, n_rec)
+        width = words.shape[1]
+        step = max(1, MATRIX_WORDS // width)
         for i in range(len(dense) - 1):
-            both = np.bitwise_count(words[i] & words[i + 1 :]).sum(axis=1, dtype=np.int64)
+            both = np.concatenate([np.bitwise_count(words[i] & words[k : k + step]).sum(axis=1, dtype=np.int64) for k in range(i + 1, len(dense), step)])
             hit = np.flatnonzero(both)
             found.append((dense[i] * n_item + dense[i + 1 :][hit], both[hit]))
         # a rare item's list of records probes the matrix
         at = np.argsort(item[~is_heavy], kind="stable")
         light, listed = item[~is_heavy][at], rec[~is_heavy][at]
-        by_record = np.ascontiguousarray(bits.T)
         starts = np.flatnonzero(np.r_[True, light[1:] != light[:-1]]) if len(light) else none
+        step = max(1, MATRIX_WORDS // len(dense))
         for s, e in zip(starts, np.r_[starts[1:], len(light)]):
-            held = by_record[listed[s:e]].sum(axis=0, dtype=np.int64)
+            held = np.zeros(len(dense), dtype=np.int64)
+            for k in range(s, e, step):
+                probe = listed[k : min(e, k + step)]
+                held += ((words[:, probe >> 6] >> (probe & 63).astype(np.uint64)) & np.uint64(1)).sum(axis=1, dtype=np.int64)
             hit = np.flatnonzero(held)
             other = dense[hit]
             found.append((np.minimum(light[s], other) * n_item + np.maximum(light[s], other), held[hit]))

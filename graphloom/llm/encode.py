@@ -23,7 +23,7 @@ from graphloom.session import spread
 TOKENIZERS = os.environ.get("GRAPHLOOM_TOKENIZERS", "/opt/tokenizers")
 #: Fixed value of the public tokeniser: its pre-tokenisation pattern.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Entries after which a worker's cache starts anew.
+#: Entries after which each of a worker's two caches starts anew.
 CACHE_ENTRIES = 1_000_000
 #: Characters of a text that are split into pieces at once.
 WINDOW_CHARS = 1_000_000
@@ -44,20 +44,35 @@ class Encoder(dict):
             inside[raw[:-1] << 8 | raw[1:]] = True
         self.inside = inside
         self.pieces = regex.compile(PATTERN).findall
-        self.bpe = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+        self.ranks = ranks
+        # the whole of a fragment is one piece
+        self.public = tiktoken.Encoding("public", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.fragments: dict[bytes, tuple[int, ...]] = {}
 
     def cuts(self, raw: bytes) -> list[bytes]:
-        """raw, cut between the bytes of every pair that no token holds."""
+        """raw, cut between the bytes of every pair that no token holds and that doesn't lie within a character."""
         if len(raw) < 2:
             return [raw]
         codes = np.frombuffer(raw, dtype=np.uint8).astype(np.int32)
-        at = np.flatnonzero(~self.inside[codes[:-1] << 8 | codes[1:]]) + 1
+        at = np.flatnonzero(~self.inside[codes[:-1] << 8 | codes[1:]] & (codes[1:] & 0xC0 != 0x80)) + 1
         if not len(at):
             return [raw]
         edges = [0, *at.tolist(), len(raw)]
         return [raw[a:b] for a, b in zip(edges, edges[1:])]
 
+    def bpe(self, raw: bytes) -> list[int]:
+        """Ids of one fragment; bytes that are no text, which no text gives, are merged here."""
+        try:
+            return self.public(raw.decode())
+        except UnicodeDecodeError:
+            parts = [raw[k : k + 1] for k in range(len(raw))]
+            while len(parts) > 1:
+                best = min(range(len(parts) - 1), key=lambda k: self.ranks.get(parts[k] + parts[k + 1], len(self.ranks)))
+                if parts[best] + parts[best + 1] not in self.ranks:
+                    break
+                parts[best : best + 2] = [parts[best] + parts[best + 1]]
+            return [self.ranks[p] for p in parts]
+
     def __missing__(self, piece: str) -> tuple[int, ...]:
         ids: list[int] = []
         for part in self.cuts(piece.encode()):
@@ -65,13 +80,14 @@ class Encoder(dict):
             if known is None:
                 known = tuple(self.bpe(part))
                 if len(part) <= 64:
+                    if len(self.fragments) >= CACHE_ENTRIES:
+                        self.fragments.clear()
                     self.fragments[part] = known
             ids += known
         found = tuple(ids)
         if len(piece) <= 64:
             if len(self) >= CACHE_ENTRIES:
                 self.clear()
-                self.fragments.clear()
             self[piece] = found
         return found
 

@@ -54,6 +54,24 @@ def test_pair_buffer_is_merged():
     assert len(lo) == 28 and set(n.tolist()) == {30}
 
 
+def test_a_full_block_stays_small():
+    import tracemalloc
+
+    rnd = np.random.default_rng(5)
+    records, heavy, light = 262_144, 400, 2_000
+    rec = np.concatenate([rnd.choice(records, 8_000, replace=False) for _ in range(heavy)] + [rnd.choice(records, 20, replace=False) for _ in range(light)])
+    item = np.concatenate([np.repeat(np.arange(heavy), 8_000), np.repeat(np.arange(heavy, heavy + light), 20)])
+    tracemalloc.start()
+    lo, hi, both = cooccur.count_block(rec, item, np.arange(heavy + light) < heavy)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 500e6
+    sets = {k: set(rec[item == k].tolist()) for k in (0, 7, heavy + 3, heavy + 4)}
+    got = {(a, b): n for a, b, n in zip(lo.tolist(), hi.tolist(), both.tolist())}
+    for a, b in itertools.combinations(sets, 2):
+        assert got.get((a, b), 0) == len(sets[a] & sets[b])
+
+
 # ---------------------------------------------------------------- top items
 
 RESULT = "result_id long, query_id long, score double, qualified_name string, kind string, file_path string, rank_no int, bucket int, run int"
@@ -324,6 +342,16 @@ def test_cuts_lie_in_no_token_and_round_trip():
     assert [i for w in encode.windows(text, 11) for i in coder.encode(w)] == coder.encode(text)
 
 
+def test_caches_stay_bounded(monkeypatch):
+    monkeypatch.setattr(encode, "CACHE_ENTRIES", 500)
+    coder = encode.Encoder(f"{encode.TOKENIZERS}/byte_bpe_50k.tiktoken")
+    rnd = random.Random(6)
+    for _ in range(60):  # no blanks, so that every piece is longer than those remembered
+        text = "".join(rnd.choice("äö日本語абвαβγ가나") + rnd.choice("xyzw") * rnd.randint(1, 5) for _ in range(120))
+        assert coder.encode(text) == coder.public(text) or len(coder.pieces(text)) > 1
+        assert len(coder.fragments) <= 500 and len(coder) <= 500
+
+
 # ---------------------------------------------------------------- leaks
 
 
