@@ -31,15 +31,34 @@ WORDS_PER_EDIT = 6
 #: Words of items in one automaton (about 500 bytes each); more items are searched in several passes.
 AUTOMATON_WORDS = 400_000
 
-_TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>|(?<=\])\([^()\s]{1,500}\)")
+# Tags of any length with their attributes, whatever has no blank between angle brackets, and the targets of links.
+_TAG = re.compile(
+    r"</?[A-Za-z](?:[\w:-]*+(?:\s++[\w:@.-]++(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'<>`]++))?+)*+\s*+/?>|[^<>\s]*+>)|(?<=\])\([^()\s]++\)"
+)
 _HIDDEN = re.compile("[­​-‏⁠﻿]")
 _WORD = re.compile(r"[^\W_]+")
+_CHUNK = re.compile(r"[^\s、。，！？]+")
 
 
 def words(text: str) -> list[str]:
     """Runs of letters and digits without markup, in one spelling: compatibility form, case folded."""
     if "<" in text or "](" in text:
         text = _TAG.sub(" ", text)
+    return _words(text)
+
+
+def located(text: str) -> tuple[list[str], list[tuple[int, int]]]:
+    """Words as in words(), and from where to where in the text each of them stands, with what adjoins it without a blank."""
+    found: list[str] = []
+    places: list[tuple[int, int]] = []
+    for m in _CHUNK.finditer(_TAG.sub(lambda tag: " " * len(tag[0]), text)):
+        own = _words(m[0])
+        found += own
+        places += [m.span()] * len(own)
+    return found, places
+
+
+def _words(text: str) -> list[str]:
     if not text.isascii():
         text = unicodedata.normalize("NFKC", _HIDDEN.sub("", text))
     if "&" in text:
@@ -179,6 +198,38 @@ class Automaton:
                         out.add(i)
         return np.array(sorted(out), dtype=np.int64)
 
+    def without_leaks(self, text: str) -> tuple[str, int]:
+        """The text without the spans that leaked, and how many words those had: matches of RUN_WORDS and more, and changed copies of whole items."""
+        leaked = self.leaks(text)
+        if not len(leaked):
+            return text, 0
+        found, places = located(text)
+        tokens = [self.vocabulary.get(w, -1) for w in found]
+        gone = np.zeros(len(tokens) + 1, dtype=np.int64)
+        words_ = np.array(tokens, dtype=np.int64)
+        state = length = 0
+        for at, w in enumerate(tokens):
+            while state and w not in self.steps[state]:
+                state = self.link[state]
+                length = self.size[state]
+            state = self.steps[state].get(w, 0)
+            length = length + 1 if state else 0
+            if length >= RUN_WORDS:
+                gone[at - length + 1] += 1
+                gone[at + 1] -= 1
+        for i in leaked.tolist():
+            for lo, hi in copies_of(self.items[i], words_):
+                gone[lo] += 1
+                gone[hi] -= 1
+        marked = np.flatnonzero(np.cumsum(gone)[:-1] > 0)
+        kept, at = [], 0
+        for run in np.split(marked, np.flatnonzero(np.diff(marked) > 1) + 1):
+            lo, hi = places[run[0]][0], places[run[-1]][1]
+            kept.append(text[at:lo])
+            at = max(at, hi)
+        kept.append(text[at:])
+        return "".join(kept), len(marked)
+
     def _copied(self, number: int, place: np.ndarray, needed: int, tokens: np.ndarray) -> bool:
         item = self.items[number]
         edits = len(item) // WORDS_PER_EDIT
@@ -198,6 +249,31 @@ class Automaton:
         return False
 
 
+def copies_of(item: np.ndarray, tokens: np.ndarray) -> list[tuple[int, int]]:
+    """From where to where the tokens hold a changed copy of the item, at each end the one with the fewest edits."""
+    edits = len(item) // WORDS_PER_EDIT
+    if len(item) < SEED_WORDS:
+        return []
+    row = np.zeros(len(tokens) + 1, dtype=np.int64)
+    start = np.arange(len(tokens) + 1)
+    for w in item:
+        changed, dropped = row[:-1] + (tokens != w), row + 1
+        nxt, begin = dropped.copy(), start.copy()
+        better = changed <= nxt[1:]
+        nxt[1:][better], begin[1:][better] = changed[better], start[:-1][better]
+        # words added: the best one before, one edit a word
+        level = nxt - np.arange(len(nxt))
+        best = np.maximum.accumulate(np.where(level == np.minimum.accumulate(level), np.arange(len(level)), 0))
+        row, start = level[best] + np.arange(len(nxt)), begin[best]
+    out = []
+    for end in np.flatnonzero(row <= edits).tolist():
+        if not out or row[end] < row[out[-1][1]] or start[end] >= out[-1][1]:
+            if out and start[end] < out[-1][1]:
+                out.pop()
+            out.append((int(start[end]), end))
+    return out
+
+
 def distance(item: np.ndarray, tokens: np.ndarray) -> int:
     """Least number of words to exchange, drop or add that make the item a part of the tokens."""
     along = np.arange(len(tokens) + 1)
@@ -225,6 +301,20 @@ def _search(documents: DataFrame, automaton: Automaton) -> DataFrame:
     return documents.mapInArrow(run, "doc_id long, item_id long")
 
 
+def automata(items: DataFrame, automaton_words: int) -> list[Automaton]:
+    """The items (item_id, text) in as many automata as their words, counted beforehand, need."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(len(words(t)) for t in batch.column(0).to_pylist())], pa.int64())], names=["n"])
+
+    items = items.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text")
+    total = items.select("text").mapInArrow(count, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    passes = max(1, -(-int(total) // automaton_words))
+    mine = lambda k: items.filter(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k).sort("item_id").collect()
+    return [Automaton([(r.item_id, r.text) for r in mine(k)]) for k in range(passes)]
+
+
 def find_leaks(documents: DataFrame, items: DataFrame, automaton_words: int = AUTOMATON_WORDS) -> DataFrame:
     """doc_id, item_id of every document that holds RUN_WORDS consecutive words of an item, or a slightly changed copy of the whole item.
 
@@ -233,12 +323,26 @@ def find_leaks(documents: DataFrame, items: DataFrame, automaton_words: int = AU
     give none. The automaton is sent to all workers, so its words are counted first: above automaton_words the items
     are spread over several automata and the documents searched once with each.
     """
-    items = items.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text")
-    total = items.agg(F.coalesce(F.sum(F.size(F.split("text", r"[\s_]+"))), F.lit(0))).first()[0]
-    passes = max(1, -(-int(total) // automaton_words))
     texts = spread(documents.filter(F.col("text").isNotNull() & (F.col("text") != "")).select("doc_id", "text"))
-    parts = []
-    for k in range(passes):
-        mine = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k)
-        parts.append(_search(texts, Automaton([(r.item_id, r.text) for r in mine.sort("item_id").collect()])))
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, [_search(texts, a) for a in automata(items, automaton_words)])
+
+
+def remove_leaks(documents: DataFrame, items: DataFrame, automaton_words: int = AUTOMATON_WORDS) -> DataFrame:
+    """doc_id, text without the spans of items that find_leaks() finds in it, and removed, the number of words taken out; one row for every row of documents.
+
+    A span is cut at blanks, so punctuation and markup that adjoin its words go with them. Null and empty texts, and those
+    without a leak, stay as they are. Of items spread over several automata one after the other is removed.
+    """
+    out = spread(documents.select("doc_id", "text", F.lit(0).cast("long").alias("removed")))
+    for automaton in automata(items, automaton_words):
+        shared = documents.sparkSession.sparkContext.broadcast(automaton)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                done = [shared.value.without_leaks(t) if t else (t, 0) for t in batch.column(1).to_pylist()]
+                before = batch.column(2).to_pylist()
+                columns = [batch.column(0), pa.array([t for t, _ in done], pa.string()), pa.array([n + m for n, (_, m) in zip(before, done)], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text", "removed"])
+
+        out = out.mapInArrow(run, "doc_id long, text string, removed long")
+    return out

@@ -52,11 +52,16 @@ def p8_found(spark, sf_dir):
     return leakage.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
+def p8_clean(spark, sf_dir):
+    """Every document, without the spans that leaked into it."""
+    return leakage.remove_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
 def p9_found(spark, sf_dir):
     return stuffing.find_stuffed(table(spark, sf_dir, "documents")).select("doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p1_lift": p1_lift, "p4_found": p4_found, "p4_kinds": p4_kinds, "p5_found": p5_found, "p6_found": p6_found, "p6_rates": p6_rates, "p7_ids": p7_ids, "p8_found": p8_found, "p9_found": p9_found}
+QUERIES = {"p1_found": p1_found, "p1_lift": p1_lift, "p4_found": p4_found, "p4_kinds": p4_kinds, "p5_found": p5_found, "p6_found": p6_found, "p6_rates": p6_rates, "p7_ids": p7_ids, "p8_found": p8_found, "p8_clean": p8_clean, "p9_found": p9_found}
 
 _PAIRS = """
 WITH raw AS (

@@ -400,6 +400,44 @@ def test_leaks_against_brute_force(spark, seed):
     assert rows(leakage.find_leaks(frame.limit(0), held)) == [] and rows(leakage.find_leaks(frame, held.limit(0))) == []
 
 
+def test_markup_of_any_length_is_no_word():
+    body = [f"w{k}" for k in range(40)]
+    item = [(7, " ".join(body))]
+    auto = leakage.Automaton(item)
+    href = "https://a.example/" + "x/y?" * 1500
+    for mark in (f'<a href="{href}" title="two words">', f"<{href}>", "<br\n class='a b' />", f"[x]({href})"):
+        text = " ".join(body[:20]) + f" {mark} " + " ".join(body[20:])
+        assert leakage.words(text) == body[:20] + (["x"] if mark.startswith("[") else []) + body[20:], mark[:20]
+    assert auto.leaks(" ".join(body[:20]) + f' <a href="{href}">' + " ".join(body[20:])).tolist() == [0]
+    for text in ("<a " * 60_000, "<a b=" * 60_000, "](" * 90_000, "<" * 200_000, "<a b='" * 50_000):
+        leakage.words(text)  # in proportion to the length
+    assert leakage.words("if a < b and c > d") == "if a b and c d".split()
+
+
+def test_spans_are_removed(spark):
+    rnd = random.Random(12)
+    item = [f"w{rnd.randint(0, 10**6)}" for _ in range(60)]
+    changed = list(item)
+    for k in (5, 17, 29, 41, 53):
+        changed[k] = "other"
+    docs = {
+        1: "Before it. " + " ".join(item[10:40]).title() + ", and after it.",
+        2: "One <b>" + " ".join(changed) + "</b> two.",
+        3: " ".join(item[:20]) + " is too short.",
+        4: None,
+        5: "",
+        6: " ".join(item) + " x " + " ".join(item),
+    }
+    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    held = spark.createDataFrame([(1, " ".join(item)), (2, None)], "item_id long, text string")
+    got = {r.doc_id: (r.text, r.removed) for r in leakage.remove_leaks(frame, held).collect()}
+    assert got == {1: ("Before it.  and after it.", 30), 2: ("One <b></b> two.", 60), 3: (docs[3], 0), 4: (None, 0), 5: ("", 0), 6: (" x ", 120)}
+    assert leakage.find_leaks(leakage.remove_leaks(frame, held), held).count() == 0
+    assert leakage.remove_leaks(frame.limit(0), held).count() == 0
+    for text in ("caf&eacute; ½ x\u00ady AT&amp;T <i>a</i> [b](c)", "日本語 e\u0301t"):
+        assert leakage.located(text)[0] == leakage.words(text)
+
+
 # ---------------------------------------------------------------- stuffing
 
 PROSE = "The {} keeps a list of all names, so that it can be read again when the {} is rebuilt. We have not seen why the {} fails. "
