@@ -1,16 +1,14 @@
 """What changed between consecutive full snapshots of a file listing.
 
 The rows are first cut down to compact arrays (two 64-bit hashes of the path, one of the content sets, one of the
-file hash). Each hash bucket of a repository is sorted once in numpy; searchsorted then yields the set differences
+file hash). Each hash bucket of paths is sorted once in numpy; searchsorted then yields the set differences
 of every pair of neighbouring snapshots together. Paths are fetched again only for keys that differ.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,7 +28,7 @@ def _set_hash(values: Column) -> Column:
 
 
 def ordered_snapshots(snapshots: DataFrame, commits: DataFrame) -> DataFrame:
-    """Complete snapshots with their position by author time: repo_id, snapshot_id, pos, prev_id is the one before."""
+    """Complete snapshots with their position by author time: repo_id, snapshot_id, pos, next_id and the last position of the repository."""
     snap = (
         snapshots.filter(F.col("completeness") == 1.0)
         .groupBy("repo_id", "snapshot_id")
@@ -40,20 +38,17 @@ def ordered_snapshots(snapshots: DataFrame, commits: DataFrame) -> DataFrame:
     order = Window.partitionBy("repo_id").orderBy("author_time", "snapshot_id")
     return (
         snap.join(when, ["repo_id", "commit_sha"])
-        .select("repo_id", "snapshot_id", F.row_number().over(order).cast("long").alias("pos"), F.lead("snapshot_id").over(order).alias("next_id"))
+        .select("repo_id", "snapshot_id", F.row_number().over(order).cast("long").alias("pos"), F.lead("snapshot_id").over(order).alias("next_id"), F.count(F.lit(1)).over(Window.partitionBy("repo_id")).alias("last"))
     )
 
 
-def difference_kernel(pos: np.ndarray, k1: np.ndarray, k2: np.ndarray, content: np.ndarray, fhash: np.ndarray, has_hash: np.ndarray):
-    """Differences inside one bucket: arrays (row, kind), kind 0 added in the row's snapshot, 1 removed in the next, 2 changed in the row's."""
-    order = np.lexsort((k2, k1))
-    a, b = k1[order], k2[order]
-    fresh = np.ones(len(a), dtype=bool)
-    fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    code = np.empty(len(a), dtype=np.int64)
-    code[order] = np.cumsum(fresh) - 1
-    width = int(fresh.sum())
-    cell = pos.astype(np.int64) * width + code  # one integer per (snapshot, path)
+def difference_kernel(last: np.ndarray, pos: np.ndarray, key: np.ndarray, content: np.ndarray, fhash: np.ndarray, has_hash: np.ndarray):
+    """Differences inside one bucket of distinct (snapshot, path) cells: arrays (row, kind), kind 0 added in the row's snapshot, 1 removed in the next, 2 changed in the row's.
+
+    pos: number of the snapshot in its repository, from 1; last: the last such number; key: code of repository and path.
+    """
+    width = int(key.max()) + 1 if len(key) else 1
+    cell = pos.astype(np.int64) * width + key  # one integer per (snapshot, path)
     by_cell = np.argsort(cell, kind="stable")
     cells = cell[by_cell]
 
@@ -64,22 +59,27 @@ def difference_kernel(pos: np.ndarray, k1: np.ndarray, k2: np.ndarray, content:
     before, prev = look(cell - width)
     after, _ = look(cell + width)
     differs = before & ((content != content[prev]) | (has_hash & has_hash[prev] & (fhash != fhash[prev])))
-    rows = [np.flatnonzero(~before), np.flatnonzero(~after), np.flatnonzero(differs)]
+    # the first listing has nothing before it, the last nothing after it
+    rows = [np.flatnonzero(~before & (pos > 1)), np.flatnonzero(~after & (pos < last)), np.flatnonzero(differs)]
     return np.concatenate(rows), np.repeat(np.arange(3), [len(r) for r in rows])
 
 
-def _bucket(pdf: pd.DataFrame) -> pd.DataFrame:
-    has = pdf["fhash"].notna().to_numpy()
-    fhash = pdf["fhash"].fillna(0).to_numpy().astype(np.int64)
-    pos = pdf["pos"].to_numpy()
-    row, kind = difference_kernel(pos, pdf["k1"].to_numpy(), pdf["k2"].to_numpy(), pdf["content"].to_numpy(), fhash, has)
-    took = pdf.iloc[row]
-    nxt = took["next_id"].to_numpy(dtype="float64", na_value=np.nan)
-    target = np.where(kind == 1, took["pos"].to_numpy() + 1, took["pos"].to_numpy())
-    # the first listing has nothing before it, the last nothing after it
-    keep = np.where(kind == 1, ~np.isnan(nxt), target > 1)
-    out = pd.DataFrame({"repo_id": took["repo_id"].to_numpy(), "pos": target, "k1": took["k1"].to_numpy(), "k2": took["k2"].to_numpy(), "change": _KINDS[kind]})
-    return out[keep]
+def _bucket(table: pa.Table) -> pa.Table:
+    take = lambda name: table[name].to_numpy()
+    repo, pos, last, k1, k2, at, content = (take(c) for c in ("repo_id", "pos", "last", "k1", "k2", "at", "content"))
+    has = ~np.asarray(table["fhash"].is_null())
+    fhash = table["fhash"].fill_null(0).to_numpy()
+    # of several rows of a cell the last one counts
+    order = np.lexsort((np.where(has, fhash, -1), has, content, at, pos, k2, k1, repo))
+    new = lambda *columns: np.r_[True, np.any([c[order][1:] != c[order][:-1] for c in columns], axis=0)]
+    path = np.cumsum(new(repo, k1, k2))
+    final = np.r_[new(repo, k1, k2, pos)[1:], True]
+    order, path = order[final], path[final]
+    row, kind = difference_kernel(last[order], pos[order], path, content[order], fhash[order], has[order])
+    took = order[row]
+    return pa.table(
+        {"repo_id": repo[took], "pos": pos[took] + (kind == 1), "k1": k1[took], "k2": k2[took], "change": pa.array(_KINDS[kind], pa.string())}
+    )
 
 
 def snapshot_changes(membership: DataFrame, snapshots: DataFrame, commits: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
@@ -93,28 +93,28 @@ def snapshot_changes(membership: DataFrame, snapshots: DataFrame, commits: DataF
     """
     order = ordered_snapshots(snapshots, commits)
     path = canonical_path(F.col("file_path"))
-    rows = membership.filter(F.col("file_path").isNotNull() & F.col("repo_id").isNotNull() & F.col("snapshot_id").isNotNull()).select(
+    named = membership.filter(F.col("file_path").isNotNull() & F.col("repo_id").isNotNull() & F.col("snapshot_id").isNotNull())
+    key = [F.xxhash64(path).alias("k1"), F.xxhash64(F.lit(7), path).alias("k2")]
+    compact = named.select(
         "repo_id",
         "snapshot_id",
-        path.alias("path"),
-        F.xxhash64(path).alias("k1"),
-        F.xxhash64(F.lit(7), path).alias("k2"),
-        F.struct(
-            F.col("ingested_at"),
-            F.xxhash64(_set_hash(F.col("qualified_names")), _set_hash(F.col("edge_keys"))).alias("content"),
-            F.when(F.col("file_hash").isNotNull(), F.xxhash64(F.lower("file_hash"))).alias("fhash"),
-        ).alias("v"),
+        *key,
+        F.coalesce(F.unix_micros(F.col("ingested_at").cast("timestamp")), F.lit(-(2**63))).alias("at"),
+        F.xxhash64(_set_hash(F.col("qualified_names")), _set_hash(F.col("edge_keys"))).alias("content"),
+        F.when(F.col("file_hash").isNotNull(), F.xxhash64(F.lower("file_hash"))).alias("fhash"),
     )
-    listing = rows.groupBy("repo_id", "snapshot_id", "k1", "k2").agg(F.max("v").alias("v"))
-    buckets = membership.groupBy("repo_id").agg(F.ceil(F.count(F.lit(1)) / bucket_rows).cast("int").alias("buckets"))
-    # the two tables of snapshots and repositories are joined first, so the listing is joined once
-    compact = listing.join(order.join(buckets, "repo_id"), ["repo_id", "snapshot_id"]).select(
-        "repo_id", "pos", "next_id", "k1", "k2", "v.content", "v.fhash", F.pmod(F.hash("k2"), "buckets").alias("bucket")
+    # a bucket holds paths of any repositories, so large and small ones need no different treatment
+    buckets = max(1, -(-membership.count() // bucket_rows))
+    placed = compact.join(order.drop("next_id"), ["repo_id", "snapshot_id"]).drop("snapshot_id")
+    differing = (
+        placed.withColumn("bucket", F.pmod(F.hash("repo_id", "k2"), F.lit(buckets)))
+        .groupBy("bucket")
+        .applyInArrow(_bucket, "repo_id long, pos long, k1 long, k2 long, change string")
     )
-    differing = compact.groupBy("repo_id", "bucket").applyInPandas(_bucket, "repo_id long, pos long, k1 long, k2 long, change string")
-    paths = rows.select("repo_id", "k1", "k2", "path").distinct()
+    # every path once, and of those only the ones that differ
+    paths = named.select("repo_id", *key, path.alias("file_path")).distinct()
     return (
         differing.join(order.select("repo_id", "pos", "snapshot_id"), ["repo_id", "pos"])
         .join(paths, ["repo_id", "k1", "k2"])
-        .select("repo_id", "snapshot_id", F.col("path").alias("file_path"), "change")
+        .select("repo_id", "snapshot_id", "file_path", "change")
     )
