@@ -30,7 +30,7 @@ class Graph:
     @cached_property
     def order(self) -> DataFrame:
         """repo_id, snapshot_id, pos, next_id of complete snapshots in commit order."""
-        return ordered_snapshots(self.t("graph_snapshots"), self.t("commits"))
+        return ordered_snapshots(self.t("graph_snapshots"), self.t("commits")).drop("last")
 
     @cached_property
     def listing(self) -> DataFrame:

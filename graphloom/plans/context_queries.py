@@ -81,10 +81,15 @@ def decoded(g):
     return files.filter("utf8").select("work_id", F.regexp_replace(F.col("bytes").cast("string"), "^\ufeff", "").alias("t")).unionByName(rest)
 
 
-@query("exact_code_groups", f"""WITH {_PLAIN}, k AS (SELECT work_id, list_transform(regexp_extract_all(t, '[A-Za-z_][0-9A-Za-z_]*|[0-9]+|[^\\s0-9A-Za-z_]'), lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN '<num>' WHEN regexp_matches(x, '^[A-Za-z_]') AND NOT list_contains([{_KW}], lower(x)) THEN '<id>' ELSE x END) AS s FROM pw WHERE t IS NOT NULL AND regexp_full_match(t, '[ -~\\n\\r\\t]*')),
+# UTF-16 by its mark and Latin-1, from the hex digits of the bytes
+_DECODED = r"""pw AS (SELECT work_id, regexp_replace(coalesce(try(decode(bytes)), array_to_string(list_transform(
+  CASE WHEN h[:4] = 'FFFE' THEN list_transform(regexp_extract_all(h[5:], '....'), lambda x: x[3:4] || x[1:2]) WHEN h[:4] = 'FEFF' THEN regexp_extract_all(h[5:], '....') ELSE regexp_extract_all(h, '..') END,
+  lambda x: chr(('0x' || x)::INTEGER)), '')), '^\x{feff}', '') AS t FROM (SELECT work_id, bytes, hex(bytes) AS h FROM parse_work WHERE bytes IS NOT NULL))"""
+
+
+@query("exact_code_groups", f"""WITH {_DECODED}, k AS (SELECT work_id, list_transform(regexp_extract_all(t, '[A-Za-z_][0-9A-Za-z_]*|[0-9]+|[^\\s\\x0b0-9A-Za-z_]'), lambda x: CASE WHEN regexp_matches(x, '^[0-9]') THEN '<num>' WHEN regexp_matches(x, '^[A-Za-z_]') AND NOT list_contains([{_KW}], lower(x)) THEN '<id>' ELSE x END) AS s FROM pw),
 h AS (SELECT work_id, sha256(array_to_string(s, ' ')) AS signature FROM k WHERE len(s) >= 6) SELECT work_id, signature, members FROM h JOIN (SELECT signature, count(*) AS members FROM h GROUP BY 1 HAVING count(*) > 1) USING (signature)""")
 def _(g):
-    # the SQL tells the files of printable ASCII only
     return duplicates.exact_groups(decoded(g), "work_id", "t")
 
 
@@ -104,9 +109,8 @@ def _(g):
 # ---- edits and excerpts
 
 
-@query("rename_edits", sql("SELECT id, line::INTEGER AS line, before, regexp_replace(before, '\\bsnapshot\\b', 'capture', 'g') AS after FROM (SELECT id, unnest(string_split(content, chr(10))) AS before, generate_subscripts(string_split(content, chr(10)), 1) AS line FROM chunks WHERE regexp_full_match(content, '[ -~\\n\\r\\t]*')) WHERE regexp_matches(before, '\\bsnapshot\\b')"))
+@query("rename_edits", sql("SELECT id, line::INTEGER AS line, before, regexp_replace(before, '\\bsnapshot\\b', 'capture', 'g') AS after FROM (SELECT id, unnest(string_split(content, chr(10))) AS before, generate_subscripts(string_split(content, chr(10)), 1) AS line FROM chunks) WHERE regexp_matches(before, '\\bsnapshot\\b')"))
 def _(g):
-    # the SQL tells the texts of printable ASCII only
     return context.rename_edits(g.chunks.filter("content is not null"), "id", "content", "snapshot", "capture")
 
 

@@ -124,9 +124,13 @@ def _(g):
     return g.chunks.select("id", T.tokens(F.col("content")).alias("t")).select("id", F.size(T.shingles(F.col("t"), 5)).cast("long").alias("shingles"))
 
 
-@query("chunk_ids", sql("SELECT id, sha256(encode(source) || '\\x00'::BLOB || encode(regexp_replace(content, '^\\s+|\\s+$', '', 'g'))) AS chunk_id FROM chunks WHERE source IS NOT NULL AND regexp_full_match(content, '[ -~\\n\\r\\t]*')"))
+# White space, and what words are made of, in Unicode; the other engine's classes are ASCII.
+_SPACE = r"\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_IN_WORD = r"\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\x{200c}\x{200d}"
+
+
+@query("chunk_ids", sql(f"SELECT id, sha256(encode(source) || '\\x00'::BLOB || encode(regexp_replace(content, '^[{_SPACE}]+|[{_SPACE}]+$', '', 'g'))) AS chunk_id FROM chunks WHERE source IS NOT NULL AND content IS NOT NULL"))
 def _(g):
-    # the SQL tells the texts of printable ASCII only
     return g.chunks.filter("source is not null and content is not null").select("id", T.chunk_id(F.col("source"), F.col("content")).alias("chunk_id"))
 
 
@@ -198,9 +202,17 @@ def _(g):
     return hits.groupBy("query_id").agg(F.round(F.count_if(F.col("rank") <= 5) / F.count(F.lit(1)), 6).alias("recall_at_5"), F.round(F.coalesce(1.0 / F.min("rank"), F.lit(0.0)), 6).alias("reciprocal_rank"))
 
 
-@query("redaction", sql("SELECT id, regexp_replace(regexp_replace(content, '(?i)\\b(password|passwd|secret|token|api[_-]?key)(\\s*[=:]\\s*)[^\\s,;]+', '\\1\\2[redacted]', 'g'), '\\b[0-9a-fA-F]{32,}\\b', '[redacted]', 'g') AS content FROM chunks WHERE regexp_full_match(content, '[ -~\\n\\r\\t]*')"))
+def _redacted(text: str) -> str:
+    """SQL of the three patterns. Marks at both ends of a word are taken along, so that one applied twice meets neighbours that share theirs."""
+    text = f"regexp_replace({text}, '(?i)(^|[^{_IN_WORD}])(password|passwd|secret|token|api[_-]?key)([{_SPACE}]*[=:][{_SPACE}]*)[^{_SPACE},;]+', '\\1\\2\\3[redacted]', 'g')"
+    for word in ("[0-9a-fA-F]{32,}", "(?:ghp|gho|sk|pk|AKIA)[_-]?[A-Za-z0-9]{16,}"):
+        for _ in range(2):
+            text = f"regexp_replace({text}, '(^|[^{_IN_WORD}]){word}($|[^{_IN_WORD}])', '\\1[redacted]\\2', 'g')"
+    return text
+
+
+@query("redaction", sql(f"SELECT id, {_redacted('content')} AS content FROM chunks WHERE content IS NOT NULL"))
 def _(g):
-    # the SQL tells the texts of printable ASCII only
     return g.chunks.filter("content is not null").select("id", T.redact(F.col("content")).alias("content"))
 
 
