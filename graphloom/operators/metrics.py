@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.operators.traverse import longest_depths, strong_components
 from graphloom.schema import REFERENCE_KINDS
 
 #: Thresholds of findings, and weights of the factors of risk. Fixed values.
-THRESHOLDS = {"loc": 80, "fan_in": 20, "fan_out": 10, "coupling": 15, "depth": 6}
-RISK_WEIGHTS = {"public_api": 1.5, "fan_in": 1.25, "fan_out": 0.75, "cross_module": 1.0, "depth": 0.75, "unresolved": 1.25, "large": 0.5, "loc": 0.75}
+THRESHOLDS = {"loc": 80, "fan_in": 20, "fan_out": 10, "coupling": 15, "depth": 6, "cyclomatic": 15, "cognitive": 20, "nesting": 4}
+RISK_WEIGHTS = {
+    "public_api": 1.5, "fan_in": 1.25, "fan_out": 0.75, "cross_module": 1.0, "depth": 0.75, "unresolved": 1.25, "large": 0.5, "loc": 0.75,
+    "cyclomatic": 1.0, "cognitive": 1.0, "nesting": 0.75, "cycle": 1.0,
+}
+#: Weight by which tests lessen the risk, and how much each way of being tested counts. Fixed values.
+TEST_WEIGHT, TEST_SHARE = 1.0, {"direct": 1.0, "through_callers": 0.75, "same_file": 0.5, "none": 0.0}
 RISK_BANDS = (35.0, 70.0)
 
 
@@ -157,14 +163,37 @@ def unresolved(edges: DataFrame) -> DataFrame:
     return low.select(F.explode(F.array("source", "target")).alias("qn")).groupBy("qn").agg(F.count(F.lit(1)).alias("unresolved"))
 
 
+def outside_callers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Edges into each symbol from symbols of other files."""
+    at = nodes.select("qn", "file_path")
+    return (
+        edges.select("source", "target")
+        .join(at.select(F.col("qn").alias("source"), F.col("file_path").alias("from_file")), "source")
+        .join(at.select(F.col("qn").alias("target"), F.col("file_path").alias("to_file")), "target")
+        .filter("from_file <> to_file")
+        .groupBy(F.col("target").alias("qn"))
+        .agg(F.count(F.lit(1)).alias("outside"))
+    )
+
+
+def neighbour_modules(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """How many other modules the neighbours of each symbol, in either direction, are in."""
+    at = located(nodes, edges).filter("source_module <> target_module")
+    ends = F.array(F.struct(F.col("source").alias("qn"), F.col("target_module").alias("module")), F.struct(F.col("target").alias("qn"), F.col("source_module").alias("module")))
+    return at.select(F.explode(ends).alias("e")).select("e.*").distinct().groupBy("qn").agg(F.count(F.lit(1)).alias("modules"))
+
+
 def safety(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Safety of changing a symbol: 1 less a penalty for each risk, and its band (safe from 0.7, caution from 0.4, risky)."""
-    m = node_metrics(nodes, edges).join(unresolved(edges), "qn", "left").join(crossings(nodes, edges), "qn", "left").fillna(0, ["unresolved", "crossings"])
+    """Safety of changing a symbol: 1 less a penalty for each risk, and its band (safe from 0.7, caution from 0.4, risky).
+
+    Only callers from other files count as users across modules.
+    """
+    m = node_metrics(nodes, edges).join(unresolved(edges), "qn", "left").join(outside_callers(nodes, edges), "qn", "left").fillna(0, ["unresolved", "outside"])
     public = F.coalesce(F.col("modifiers").rlike("pub|export"), F.lit(False))
     loss = (
         F.when(public, 0.25).otherwise(0.0)
         + F.least(F.col("fan_in") * 0.04, F.lit(0.3))
-        + F.least(F.col("crossings") * 0.05, F.lit(0.25))
+        + F.least(F.col("outside") * 0.05, F.lit(0.25))
         + F.when(F.col("fan_out") > 10, 0.1).otherwise(0.0)
         + F.when(F.col("tests") == 0, 0.15).when(F.col("tests") >= 3, -0.05).otherwise(0.0)
         + F.least(F.col("unresolved") * 0.03, F.lit(0.2))
@@ -188,25 +217,47 @@ def change_risk(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def risk_factors(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Long form of the risk of each symbol: qn, factor, normalized (0 to 1), weight."""
-    m = node_metrics(nodes, edges).join(unresolved(edges), "qn", "left").join(crossings(nodes, edges), "qn", "left").fillna(0, ["unresolved", "crossings"])
+    """Long form of the risk of each symbol: qn, factor, normalized (0 to 1), weight (negative for tests, which lessen it).
+
+    The depth counts steps of references away from the symbol, up to the threshold, beyond which it makes no difference. A
+    symbol takes part in a cycle if its module does. Complexities are taken from the columns cyclomatic, cognitive and nesting
+    of nodes where there are such; their weights count in the total all the same.
+    """
+    used = edges.filter(F.col("kind").isin(*REFERENCE_KINDS))
+    depths = longest_depths(used, THRESHOLDS["depth"])
+    cycles = strong_components(module_edges(nodes, edges).select(F.col("source_module").alias("source"), F.col("target_module").alias("target"))).select(F.col("qn").alias("module"), F.lit(True).alias("cyclic"))
+    known = [c for c in ("cyclomatic", "cognitive", "nesting") if c in nodes.columns]
+    beside = nodes.filter("is_test").groupBy("file_path").agg(F.count(F.lit(1)).alias("file_tests"))
+    m = node_metrics(nodes, edges)
+    for side, by in ((unresolved(edges), "qn"), (neighbour_modules(nodes, edges), "qn"), (depths, "qn"), (coverage(nodes, edges), "qn"), (beside, "file_path"), (cycles, "module")):
+        m = m.join(side, by, "left")
+    if known:
+        m = m.join(nodes.select("qn", *known), "qn", "left")
+    m = m.fillna(0, ["unresolved", "modules", "depth", "file_tests", *known]).fillna("none", ["coverage"])
     ratio = lambda c, top: F.least(F.col(c) / float(top), F.lit(1.0))
+    share = F.create_map(*(F.lit(x) for kv in TEST_SHARE.items() for x in kv))[F.col("coverage")]
+    tests = F.when(F.col("tests") > 0, F.col("tests")).otherwise(F.col("file_tests"))
     factors = {
         "public_api": F.when(F.coalesce(F.col("modifiers").rlike("pub|export"), F.lit(False)), 1.0).otherwise(0.0),
         "fan_in": ratio("fan_in", THRESHOLDS["fan_in"]),
         "fan_out": ratio("fan_out", THRESHOLDS["fan_out"]),
-        "cross_module": ratio("crossings", THRESHOLDS["coupling"]),
+        "cross_module": ratio("modules", THRESHOLDS["coupling"]),
+        "depth": ratio("depth", THRESHOLDS["depth"]),
         "unresolved": ratio("unresolved", 3),
-        "large": F.when(F.col("loc") >= THRESHOLDS["loc"], 1.0).otherwise(0.0),
+        "large": ratio("loc", THRESHOLDS["loc"]),
         "loc": ratio("loc", THRESHOLDS["loc"]),
+        "cycle": F.when(F.col("cyclic"), 1.0).otherwise(0.0),
+        **{c: ratio(c, THRESHOLDS[c]) for c in known},
     }
     rows = [F.struct(F.lit(k).alias("factor"), v.alias("normalized"), F.lit(RISK_WEIGHTS[k]).alias("weight")) for k, v in factors.items()]
+    rows.append(F.struct(F.lit("tests").alias("factor"), (share * F.least(tests / 3.0, F.lit(1.0))).alias("normalized"), F.lit(-TEST_WEIGHT).alias("weight")))
     return m.select("qn", F.explode(F.array(*rows)).alias("f")).select("qn", "f.*")
 
 
 def weighted_risk(factors: DataFrame) -> DataFrame:
-    """Score of 0 to 100 from the weighted factors, and its class."""
-    score = F.round(F.sum(F.col("normalized") * F.col("weight")) / F.sum("weight") * 100, 4)
+    """Score of 0 to 100 from the weighted factors, of the total weight of all that raise it, and its class."""
+    raw = F.sum(F.col("normalized") * F.col("weight")) / sum(RISK_WEIGHTS.values()) * 100
+    score = F.round(F.least(F.greatest(raw, F.lit(0.0)), F.lit(100.0)), 4)
     return factors.groupBy("qn").agg(score.alias("score")).withColumn("risk", F.when(F.col("score") >= RISK_BANDS[1], "high").when(F.col("score") >= RISK_BANDS[0], "medium").otherwise("low"))
 
 

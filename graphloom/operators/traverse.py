@@ -20,16 +20,18 @@ def both_ways(edges: DataFrame, *keep: str) -> DataFrame:
 
 
 def bfs(seeds: DataFrame, steps: DataFrame, depth: int) -> DataFrame:
-    """qn and least depth of everything within `depth` steps (src, dst) of the seeds (qn), the seeds at depth 0."""
-    visited = cut_lineage(seeds.select("qn").distinct().withColumn("depth", F.lit(0)))
+    """qn and least depth of everything within `depth` steps (src, dst) of the seeds (qn), the seeds at depth 0.
+
+    Only the frontier of each round is written; what was visited before is the union of them.
+    """
+    frontier = visited = cut_lineage(seeds.select("qn").distinct().withColumn("depth", F.lit(0)))
     steps = cut_lineage(steps.select("src", "dst").distinct())
-    frontier = visited
     for d in range(1, depth + 1):
-        found = frontier.join(steps, F.col("qn") == F.col("src")).select(F.col("dst").alias("qn")).distinct().join(visited, "qn", "left_anti")
+        found = frontier.join(steps, F.col("qn") == F.col("src")).select(F.col("dst").alias("qn")).distinct().join(visited.select("qn"), "qn", "left_anti")
         frontier = cut_lineage(found.withColumn("depth", F.lit(d)))
         if frontier.isEmpty():
             break
-        visited = cut_lineage(visited.unionByName(frontier))
+        visited = visited.unionByName(frontier)
     return visited
 
 
@@ -57,16 +59,18 @@ def first_cause(seeds: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     return visited
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, decay: float = 0.25, rounds: int = 10) -> DataFrame:
+def propagate(seeds: DataFrame, edges: DataFrame, decay: float = 0.25, rounds: int | None = None) -> DataFrame:
     """Greatest product of seed score, decay and weight times confidence along any path: qn, score.
 
-    Weights are at most 3, so each step shrinks a score and rounds end; `rounds` bounds the path length.
+    Weights are at most 3, so each step shrinks a score, the best path repeats no node, and the rounds end by themselves.
+    rounds, if given, bounds the length of the path.
     """
     weight = F.create_map(*(F.lit(x) for kv in EDGE_WEIGHTS.items() for x in kv))
     steps = cut_lineage(both_ways(edges.withColumn("w", F.coalesce(weight[F.col("kind")], F.lit(1.0)) * F.col("confidence") * decay), "w"))
-    best = cut_lineage(seeds.groupBy("qn").agg(F.max("score").alias("score")))
-    frontier = best
-    for _ in range(rounds):
+    frontier = best = cut_lineage(seeds.groupBy("qn").agg(F.max("score").alias("score")))
+    done = 0
+    while rounds is None or done < rounds:
+        done += 1
         reached = frontier.join(steps, F.col("qn") == F.col("src")).groupBy(F.col("dst").alias("found")).agg(F.max(F.col("score") * F.col("w")).alias("new"))
         merged = best.join(reached, F.col("qn") == F.col("found"), "full").select(
             F.coalesce("qn", "found").alias("qn"), F.greatest("score", "new").alias("score"), (F.col("score").isNull() | (F.col("new") > F.col("score"))).alias("better")
@@ -102,19 +106,36 @@ def components(edges: DataFrame) -> DataFrame:
     return members.union(links.select("v", "v")).distinct()
 
 
-def longest_depths(edges: DataFrame, rounds: int = 12) -> DataFrame:
-    """Length of the longest path of distinct rounds leaving each node, at most `rounds`: exact on acyclic graphs no deeper than that."""
-    steps = cut_lineage(edges.filter("source <> target").select("source", "target").distinct())
-    depths = cut_lineage(steps.select(F.col("target").alias("qn")).union(steps.select("source")).distinct().withColumn("depth", F.lit(0)))
-    for d in range(1, rounds + 1):
-        # after round d a node has depth d exactly if a path of d edges leaves it
-        live = depths.filter(F.col("depth") == d - 1).select(F.col("qn").alias("target"))
-        grown = steps.join(live, "target", "left_semi").select(F.col("source").alias("qn")).distinct().withColumn("grown", F.lit(d))
-        nxt = cut_lineage(depths.join(grown, "qn", "left").select("qn", F.coalesce("grown", "depth").alias("depth")))
-        if nxt.filter(F.col("depth") == d).isEmpty():
+def longest_depths(edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """Length of the longest path that leaves each node: qn, depth.
+
+    With rounds, steps are counted up to that many, around cycles too: a depth of rounds means that or more. Without, paths
+    may be of any length, and a cycle counts as one node: its nodes have the depth of what leaves it.
+    """
+    steps = edges.filter("source <> target").select("source", "target").distinct()
+    if rounds is not None:
+        return _walks(cut_lineage(steps), rounds)
+    steps = cut_lineage(steps)
+    of = strong_components(steps).select("qn", "component")
+    place = cut_lineage(steps.select(F.col("source").alias("qn")).union(steps.select("target")).distinct().join(of, "qn", "left").select("qn", F.coalesce("component", "qn").alias("place")))
+    outer = steps.join(place.select(F.col("qn").alias("source"), F.col("place").alias("a")), "source").join(place.select(F.col("qn").alias("target"), F.col("place").alias("b")), "target")
+    depths = _walks(cut_lineage(outer.filter("a <> b").select(F.col("a").alias("source"), F.col("b").alias("target")).distinct()), None)
+    return place.join(depths.withColumnRenamed("qn", "place"), "place", "left").select("qn", F.coalesce("depth", F.lit(0)).alias("depth"))
+
+
+def _walks(steps: DataFrame, rounds: int | None) -> DataFrame:
+    """Longest walk from each node, at most rounds; without a bound the steps must have no cycle."""
+    depths = steps.select(F.col("target").alias("qn")).union(steps.select("source")).distinct().withColumn("depth", F.lit(0))
+    live, d = None, 0
+    while rounds is None or d < rounds:
+        # after round d a node is alive exactly if a walk of d steps leaves it
+        d += 1
+        onward = steps if live is None else steps.join(live.select(F.col("qn").alias("target")), "target", "left_semi")
+        live = cut_lineage(onward.select(F.col("source").alias("qn")).distinct().withColumn("depth", F.lit(d)))
+        if live.isEmpty():
             break
-        depths = nxt
-    return depths
+        depths = depths.unionByName(live)
+    return cut_lineage(depths.groupBy("qn").agg(F.max("depth").alias("depth")))
 
 
 def closure(edges: DataFrame) -> DataFrame:
@@ -131,25 +152,64 @@ def closure(edges: DataFrame) -> DataFrame:
     return paths
 
 
+def in_cycles(edges: DataFrame) -> DataFrame:
+    """Edges between nodes that have both one coming in and one going out, again and again: all cycles, and paths between them."""
+    left = cut_lineage(edges.filter("source <> target").select("source", "target").distinct())
+    size = left.count()
+    while size:
+        kept = left.join(left.select(F.col("target").alias("source")).distinct(), "source", "left_semi").join(left.select(F.col("source").alias("target")).distinct(), "target", "left_semi")
+        kept = cut_lineage(kept.select("source", "target"))
+        now = kept.count()
+        left = kept
+        if now == size:
+            break
+        size = now
+    return left
+
+
 def strong_components(edges: DataFrame) -> DataFrame:
-    """qn, component (least member) and size of cycles: nodes that reach each other."""
-    paths = closure(edges)
+    """qn, component (least member) and size of cycles: nodes that reach each other. Edges outside cycles are cut off first, cycles of any length are found."""
+    paths = closure(in_cycles(edges))
     mutual = paths.join(paths.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"])
     named = mutual.groupBy(F.col("a").alias("qn")).agg(F.min("b").alias("component"))
     return named.join(named.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "component").select("qn", "component", "size")
 
 
-def call_chains(edges: DataFrame, length: int) -> DataFrame:
-    """Simple paths of `length` nodes over the edges: the array path."""
+def cycle_paths(edges: DataFrame) -> DataFrame:
+    """One shortest cycle through the least node of each strongly connected component, of any length: component, size, cycle.
+
+    Of equally short ones the least by the names along it. A breadth-first search within all components at once.
+    """
+    of = cut_lineage(strong_components(edges).select("qn", "component"))
+    steps = edges.filter("source <> target").select("source", "target").distinct()
+    steps = steps.join(of.select(F.col("qn").alias("source"), "component"), "source").join(of.select(F.col("qn").alias("target"), F.col("component").alias("same")), "target")
+    steps = cut_lineage(steps.filter("component = same").select("component", "source", "target"))
+    frontier = of.filter("qn = component").select("component", F.col("qn").alias("at"), F.array("qn").alias("path"))
+    seen, found = frontier.select("component", "at"), None
+    while True:
+        onward = cut_lineage(frontier.join(steps.withColumnRenamed("source", "at"), ["component", "at"]).groupBy("component", F.col("target").alias("at")).agg(F.min("path").alias("path")))
+        closed = onward.filter("at = component").select("component", F.size("path").alias("size"), F.array_join("path", " > ").alias("cycle"))
+        found = closed if found is None else found.unionByName(closed)
+        frontier = cut_lineage(onward.join(seen, ["component", "at"], "left_anti").join(closed.select("component"), "component", "left_anti").select("component", "at", F.concat("path", F.array("at")).alias("path")))
+        if frontier.isEmpty():
+            return found
+        seen = seen.unionByName(frontier.select("component", "at"))
+
+
+def call_chains(edges: DataFrame, length: int, longest: int | None = None) -> DataFrame:
+    """Simple paths of `length` nodes, or of all lengths from it to `longest`, over the edges: the array path."""
     steps = edges.select("source", "target").distinct()
     chains = steps.filter("source <> target").select(F.array("source", "target").alias("path"))
-    for _ in range(length - 2):
+    out = chains if length <= 2 else None
+    for size in range(3, max(length, longest or length) + 1):
         chains = (
             chains.join(steps, F.element_at("path", -1) == F.col("source"))
             .filter(~F.array_contains("path", F.col("target")))
             .select(F.concat("path", F.array("target")).alias("path"))
         )
-    return chains
+        if size >= length:
+            out = chains if out is None else out.unionByName(chains)
+    return out
 
 
 def shortest_cycles(edges: DataFrame, longest: int = 5) -> DataFrame:
@@ -185,8 +245,25 @@ def rename_chain(renames: DataFrame) -> DataFrame:
             raise ValueError("renames form a cycle")
 
 
-def next_in_chain(edges: DataFrame, rounds: int = 12) -> DataFrame:
+def next_in_chain(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """Of each node the neighbour from which the longest path goes on, at equal length the greatest name: qn, next."""
     depths = longest_depths(edges, rounds).select(F.col("qn").alias("target"), "depth")
     steps = edges.filter("source <> target").select("source", "target").distinct().join(depths, "target")
     return steps.groupBy(F.col("source").alias("qn")).agg(F.max_by("target", F.struct("depth", "target")).alias("next"))
+
+
+def longest_paths(edges: DataFrame) -> DataFrame:
+    """The nodes of a longest path from each node, at equal length by way of the greatest names: qn, path. Cycles are not entered twice; edges within them are left out."""
+    of = strong_components(edges).select("qn", "component")
+    side = lambda c: of.select(F.col("qn").alias(c), F.col("component").alias(f"{c}_in"))
+    outer = edges.filter("source <> target").select("source", "target").distinct().join(side("source"), "source", "left").join(side("target"), "target", "left")
+    outer = cut_lineage(outer.filter(~F.coalesce(F.col("source_in") == F.col("target_in"), F.lit(False))).select("source", "target"))
+    paths = outer.select(F.col("source").alias("qn")).union(outer.select("target")).distinct().withColumn("path", F.array("qn"))
+    live = cut_lineage(paths)
+    found = live
+    while True:
+        grown = outer.join(live.withColumnRenamed("qn", "target"), "target").groupBy(F.col("source").alias("qn")).agg(F.max("path").alias("rest"))
+        live = cut_lineage(grown.select("qn", F.concat(F.array("qn"), "rest").alias("path")))
+        if live.isEmpty():
+            return found.groupBy("qn").agg(F.max_by("path", F.size("path")).alias("path"))
+        found = found.unionByName(live)

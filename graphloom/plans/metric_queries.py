@@ -28,8 +28,11 @@ nm AS (SELECT n.repo_id, n.qn, n.name, n.kind, n.file_path, n.modifiers, n.is_te
   CASE WHEN n.kind IN ('function', 'method') THEN line_end - line_start + 1 ELSE 0 END::BIGINT AS loc FROM nodes n LEFT JOIN fi USING (qn) LEFT JOIN fo USING (qn) LEFT JOIN nt USING (qn))"""
 LOC = f"""le AS (SELECT e.*, a.m AS sm, b.m AS tm FROM edges e JOIN (SELECT qn, {FOLD.format('file_path')} AS m FROM nodes) a ON a.qn = e.source JOIN (SELECT qn, {FOLD.format('file_path')} AS m FROM nodes) b ON b.qn = e.target)"""
 SIDE = """un AS (SELECT qn, count(*) AS c FROM (SELECT source AS qn FROM edges WHERE tier = 'low' OR confidence < 0.5 UNION ALL SELECT target FROM edges WHERE tier = 'low' OR confidence < 0.5) GROUP BY 1),
+oc AS (SELECT e.target AS qn, count(*) AS c FROM edges e JOIN nodes a ON a.qn = e.source JOIN nodes b ON b.qn = e.target WHERE a.file_path <> b.file_path GROUP BY 1),
+nmod AS (SELECT qn, count(DISTINCT m) AS c FROM (SELECT source AS qn, tm AS m FROM le WHERE sm <> tm UNION ALL SELECT target, sm FROM le WHERE sm <> tm) GROUP BY 1),
 cr AS (SELECT qn, count(*) AS c FROM (SELECT source AS qn FROM le WHERE sm <> tm UNION ALL SELECT target FROM le WHERE sm <> tm) GROUP BY 1),
-mx AS (SELECT nm.*, coalesce(un.c, 0) AS unresolved, coalesce(cr.c, 0) AS crossings, coalesce(regexp_matches(modifiers, 'pub|export'), false) AS pub FROM nm LEFT JOIN un USING (qn) LEFT JOIN cr USING (qn))"""
+mx AS (SELECT nm.*, coalesce(un.c, 0) AS unresolved, coalesce(cr.c, 0) AS crossings, coalesce(oc.c, 0) AS outside, coalesce(nmod.c, 0) AS modules, coalesce(regexp_matches(modifiers, 'pub|export'), false) AS pub
+  FROM nm LEFT JOIN un USING (qn) LEFT JOIN cr USING (qn) LEFT JOIN oc USING (qn) LEFT JOIN nmod USING (qn))"""
 
 
 @query("graph_stats", sql("SELECT kind, count(*) AS n, (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges, (SELECT count(*) FROM files) AS files FROM nodes GROUP BY 1"))
@@ -117,7 +120,7 @@ def _(g):
 
 
 @query("safety_score", sql("""SELECT qn, score, CASE WHEN score >= 0.7 THEN 'safe' WHEN score >= 0.4 THEN 'caution' ELSE 'risky' END AS band FROM (SELECT qn, round(least(greatest(1.0 - (
-  CASE WHEN pub THEN 0.25 ELSE 0 END::DOUBLE + least(fan_in * 0.04::DOUBLE, 0.3) + least(crossings * 0.05::DOUBLE, 0.25) + CASE WHEN fan_out > 10 THEN 0.1 ELSE 0 END::DOUBLE + CASE WHEN tests = 0 THEN 0.15 WHEN tests >= 3 THEN -0.05 ELSE 0 END::DOUBLE + least(unresolved * 0.03::DOUBLE, 0.2)), 0.0), 1.0), 6) AS score FROM mx)""", NM, LOC, SIDE))
+  CASE WHEN pub THEN 0.25 ELSE 0 END::DOUBLE + least(fan_in * 0.04::DOUBLE, 0.3) + least(outside * 0.05::DOUBLE, 0.25) + CASE WHEN fan_out > 10 THEN 0.1 ELSE 0 END::DOUBLE + CASE WHEN tests = 0 THEN 0.15 WHEN tests >= 3 THEN -0.05 ELSE 0 END::DOUBLE + least(unresolved * 0.03::DOUBLE, 0.2)), 0.0), 1.0), 6) AS score FROM mx)""", NM, LOC, SIDE))
 def _(g):
     return metrics.safety(g.nodes, g.edges)
 
@@ -128,8 +131,23 @@ def _(g):
     return metrics.change_risk(g.nodes, g.edges)
 
 
-@query("weighted_risk", sql("""SELECT qn, score, CASE WHEN score >= 70 THEN 'high' WHEN score >= 35 THEN 'medium' ELSE 'low' END AS risk FROM (SELECT qn, round((CASE WHEN pub THEN 1.5 ELSE 0 END::DOUBLE + least(fan_in / 20.0::DOUBLE, 1) * 1.25::DOUBLE + least(fan_out / 10.0::DOUBLE, 1) * 0.75::DOUBLE + least(crossings / 15.0::DOUBLE, 1) * 1.0::DOUBLE
-  + least(unresolved / 3.0::DOUBLE, 1) * 1.25::DOUBLE + CASE WHEN loc >= 80 THEN 0.5 ELSE 0 END::DOUBLE + least(loc / 80.0::DOUBLE, 1) * 0.75::DOUBLE) / 7.0::DOUBLE * 100, 4) AS score FROM mx)""", NM, LOC, SIDE))
+def _depths(rounds: int) -> str:
+    """How many steps of references lead away from each symbol, up to so many."""
+    parts = [f"r0 AS (SELECT DISTINCT source, target FROM edges WHERE {REF} AND source <> target)", "d1 AS (SELECT DISTINCT source AS qn FROM r0)"]
+    parts += [f"d{d} AS (SELECT DISTINCT source AS qn FROM r0 WHERE target IN (SELECT qn FROM d{d - 1}))" for d in range(2, rounds + 1)]
+    return ",\n".join([*parts, "dd AS (SELECT qn, max(depth) AS depth FROM (" + " UNION ALL ".join(f"SELECT qn, {d} AS depth FROM d{d}" for d in range(1, rounds + 1)) + ") GROUP BY 1)"])
+
+
+_CYCLES = """me AS (SELECT DISTINCT sm AS source, tm AS target FROM le WHERE sm <> tm),
+cl AS (SELECT source AS a, target AS b FROM me UNION SELECT cl.a, me.target FROM cl JOIN me ON me.source = cl.b),
+direct AS (SELECT e.target AS qn FROM edges e JOIN nodes t ON t.qn = e.source AND t.is_test WHERE e.kind = 'calls'),
+ft AS (SELECT file_path, count(*) AS c FROM nodes WHERE is_test GROUP BY 1)"""
+
+
+@query("weighted_risk", sql("""SELECT qn, score, CASE WHEN score >= 70 THEN 'high' WHEN score >= 35 THEN 'medium' ELSE 'low' END AS risk FROM (SELECT qn, round(least(greatest((CASE WHEN pub THEN 1.5 ELSE 0 END::DOUBLE + least(fan_in / 20.0::DOUBLE, 1) * 1.25::DOUBLE + least(fan_out / 10.0::DOUBLE, 1) * 0.75::DOUBLE + least(modules / 15.0::DOUBLE, 1) * 1.0::DOUBLE
+  + least(coalesce(depth, 0) / 6.0::DOUBLE, 1) * 0.75::DOUBLE + least(unresolved / 3.0::DOUBLE, 1) * 1.25::DOUBLE + least(loc / 80.0::DOUBLE, 1) * 1.25::DOUBLE + CASE WHEN module IN (SELECT a FROM cl WHERE a = b) THEN 1.0 ELSE 0 END::DOUBLE
+  - least(CASE WHEN tests > 0 THEN tests ELSE coalesce(ft.c, 0) END / 3.0::DOUBLE, 1) * CASE WHEN kind NOT IN ('function', 'method') OR is_test THEN 0 WHEN qn IN (SELECT qn FROM direct) THEN 1 WHEN qn IN (SELECT e.target FROM edges e WHERE e.kind = 'calls' AND e.source IN (SELECT qn FROM direct)) THEN 0.75 WHEN ft.c IS NOT NULL THEN 0.5 ELSE 0 END::DOUBLE
+  ) / 11.5::DOUBLE * 100, 0), 100), 4) AS score FROM mx LEFT JOIN dd USING (qn) LEFT JOIN ft USING (file_path))""", NM, LOC, SIDE, _depths(6), _CYCLES, recursive=True))
 def _(g):
     return metrics.weighted_risk(metrics.risk_factors(g.nodes, g.edges))
 
