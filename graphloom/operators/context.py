@@ -37,8 +37,10 @@ def replay(changes: DataFrame) -> DataFrame:
 
 
 def rename_edits(texts: DataFrame, key: str, text: str, old: str, new: str) -> DataFrame:
-    """Lines that hold the old name between characters that aren't ASCII letters, digits or _, and what they become: key, line, before, after."""
-    whole = rf"(?<![A-Za-z0-9_]){old}(?![A-Za-z0-9_])"
+    """Lines that hold the old name between characters that aren't ASCII letters, digits or _, and what they become: key, line, before, after. Names are taken literally."""
+    quoted = "\\Q" + old.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+    whole = rf"(?<![A-Za-z0-9_]){quoted}(?![A-Za-z0-9_])"
+    new = new.replace("\\", "\\\\").replace("$", "\\$")
     lines = texts.select(key, F.posexplode(F.split(text, "\n")).alias("line", "before"))
     return lines.filter(F.col("before").rlike(whole)).select(key, (F.col("line") + 1).alias("line"), "before", F.regexp_replace("before", whole, new).alias("after"))
 

@@ -172,13 +172,13 @@ def read_history(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{_pointer(spark, folder, 'CURRENT')['version']}")
 
 
-def _bucket_of(buckets: int) -> Column:
-    return F.pmod(F.hash(*KEY), F.lit(buckets))
+def _bucket_of(key: list[str], buckets: int) -> Column:
+    return F.pmod(F.hash(*key), F.lit(buckets))
 
 
-def _write_buckets(chains: DataFrame, folder: str, buckets: int) -> str:
+def _write_buckets(chains: DataFrame, folder: str, key: list[str], buckets: int) -> str:
     version = f"v-{uuid.uuid4().hex}"
-    chains.withColumn("bucket", _bucket_of(buckets)).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{folder}/{version}")
+    chains.withColumn("bucket", _bucket_of(key, buckets)).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{folder}/{version}")
     return version
 
 
@@ -189,11 +189,11 @@ def _buckets_in(spark: SparkSession, folder: str) -> list[int]:
     return [int(n.removeprefix("bucket=")) for n in names if n.startswith("bucket=")]
 
 
-def publish_chains(history: DataFrame, folder: str, buckets: int = STORE_BUCKETS) -> None:
-    """Store a history in buckets of entities, under a manifest that names the version of every bucket."""
-    spark = history.sparkSession
-    version = _write_buckets(history, folder, buckets)
-    _swap(spark, folder, "MANIFEST", {"buckets": buckets, "schema": history.schema.jsonValue(), "at": {str(k): version for k in _buckets_in(spark, f"{folder}/{version}")}})
+def publish_chains(history: DataFrame, folder: str, buckets: int = STORE_BUCKETS, key: list[str] | None = None) -> None:
+    """Store a history, or another table of slices by key, in buckets under a manifest that names the version of every bucket."""
+    spark, key = history.sparkSession, key or KEY
+    version = _write_buckets(history, folder, key, buckets)
+    _swap(spark, folder, "MANIFEST", {"buckets": buckets, "key": key, "schema": history.schema.jsonValue(), "at": {str(k): version for k in _buckets_in(spark, f"{folder}/{version}")}})
 
 
 def read_chains(spark: SparkSession, folder: str, only: set[int] | None = None) -> DataFrame:
@@ -212,12 +212,12 @@ def replace_chains(touched: DataFrame, rebuilt: DataFrame, folder: str) -> int:
     """
     spark = touched.sparkSession
     manifest = _pointer(spark, folder, "MANIFEST")
-    buckets = manifest["buckets"]
-    hit = {r.bucket for r in touched.select(_bucket_of(buckets).alias("bucket")).distinct().collect()}  # at most as many as there are buckets
+    key, buckets = manifest["key"], manifest["buckets"]
+    hit = {r.bucket for r in touched.select(_bucket_of(key, buckets).alias("bucket")).distinct().collect()}  # at most as many as there are buckets
     if not hit:
         return 0
-    kept = read_chains(spark, folder, hit).join(touched.select(*KEY), KEY, "left_anti")
-    version = _write_buckets(kept.unionByName(rebuilt), folder, buckets)
+    kept = read_chains(spark, folder, hit).join(touched.select(*key), key, "left_anti")
+    version = _write_buckets(kept.unionByName(rebuilt.select(*kept.columns)), folder, key, buckets)
     at = {k: v for k, v in manifest["at"].items() if int(k) not in hit} | {str(k): version for k in _buckets_in(spark, f"{folder}/{version}")}
     _swap(spark, folder, "MANIFEST", manifest | {"at": at})
     return len(hit)

@@ -23,8 +23,8 @@ def postings(docs: DataFrame, key: str, fields: dict[str, float]) -> DataFrame:
 
 def bm25(index: DataFrame, docs: DataFrame, key: str, queries: DataFrame, limit: int) -> DataFrame:
     """Best documents of each query (query_id, term): score, rank. idf has a floor of 1e-6; ties go to the smaller key."""
-    lengths = index.groupBy(key).agg(F.first("len").alias("len"))
-    totals = docs.agg(F.count(F.lit(1)).alias("n_docs")).crossJoin(lengths.agg(F.sum("len").alias("sum_len")))
+    # the lengths of all documents: each posting adds the frequency that it has of its document's length
+    totals = docs.agg(F.count(F.lit(1)).alias("n_docs")).crossJoin(index.groupBy(key, "len").agg(F.lit(1)).agg(F.sum("len").alias("sum_len")))
     wanted = index.join(queries.select("term").distinct(), "term", "left_semi")
     df = wanted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
@@ -65,15 +65,25 @@ def corrections(vocabulary: DataFrame, words: DataFrame, distance: int = 2) -> D
     return top_per_key(near, ["word"], [F.col("distance"), F.col("df").desc(), F.col("term")], 1)
 
 
+#: Numbers that the queries of one broadcast hold at most.
+BROADCAST_NUMBERS = 4_000_000
+
+
 def vector_top(vectors: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
     """Best vectors of each query by cosine. queries: query_id, q; a stated set of queries against all vectors.
 
-    Vectors are scanned once; the queries are sent along only after their count was checked, else joined in blocks.
+    The queries are sent to the vectors in blocks of a checked size, so that vectors are scanned once for each block and
+    never shuffled; every block keeps its best ones before the next.
     """
-    n = queries.count()
-    side = F.broadcast(queries) if n <= 2000 else queries
-    scored = vectors.crossJoin(side).select("query_id", "vec_id", F.round(T.cosine(F.col("q"), F.col("embedding")), 4).alias("score"))
-    return top_per_key(scored, ["query_id"], [F.col("score").desc(), F.col("vec_id")], limit, "rank")
+    size = queries.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("q")), F.lit(0)).alias("numbers")).first()
+    blocks = max(1, -(-size["numbers"] // BROADCAST_NUMBERS))
+    best = None
+    for k in range(blocks):
+        mine = queries if blocks == 1 else queries.filter(F.pmod(F.hash("query_id"), F.lit(blocks)) == k)
+        scored = vectors.crossJoin(F.broadcast(mine)).select("query_id", "vec_id", F.round(T.cosine(F.col("q"), F.col("embedding")), 4).alias("score"))
+        top = top_per_key(scored, ["query_id"], [F.col("score").desc(), F.col("vec_id")], limit, "rank")
+        best = top if best is None else best.unionByName(top)
+    return best
 
 
 def boosts(query: str) -> Column:
@@ -97,41 +107,61 @@ def boosts(query: str) -> Column:
     )
 
 
+#: Weights of what two functions have in common, and the least of body, neighbours or signature that a match needs. Fixed values.
+SIMILAR = {"name": 0.18, "signature": 0.20, "body": 0.34, "near": 0.18, "module": 0.05, "size": 0.05}
+SIMILAR_GATE = {"body": 0.15, "near": 0.15, "signature": 0.30}
+
+
 def similar_functions(nodes: DataFrame, edges: DataFrame, min_score: float, limit: int) -> DataFrame:
-    """Most similar callables of another file with the language, kind and nearly the arity of each one that share a name part.
+    """Most similar callables of another file with the language, kind and nearly the arity of each one: qn, match_qn, score, rank.
 
-    The weights of name, signature, neighbours, module and size follow in the expression. Pairs come from an equality join
-    on name parts; parts in more than a tenth of a block are still joined, but only from their rarer side of the pair.
+    Compared are the parts of the name, the words of the signature, the body (column body of nodes: an array of shingles;
+    without it this counts nothing), the names of neighbours, the module and the number of lines. Pairs come from equality
+    joins on name parts, neighbours and shingles, whose ids alone are joined; the rest is looked up for them. Pairs without
+    any of these in common reach 0.3 at most, so min_score must be greater, and no pair is lost.
     """
+    if min_score <= SIMILAR["signature"] + SIMILAR["module"] + SIMILAR["size"]:
+        raise ValueError("min_score must be above 0.3: below, pairs that share nothing to join on would count")
     near = edges.select(F.col("source").alias("qn"), F.element_at(F.split("target", "::"), -1).alias("n")).unionByName(edges.select(F.col("target").alias("qn"), F.element_at(F.split("source", "::"), -1).alias("n")))
     neighbours = near.groupBy("qn").agg(F.array_sort(F.collect_set("n")).alias("near"))
     none = F.array().cast("array<string>")
+    body = F.coalesce(F.col("body").cast("array<string>"), none) if "body" in nodes.columns else none
     prints = (
         nodes.filter(F.col("kind").isin("function", "method"))
         .join(neighbours, "qn", "left")
         .select(
             "qn",
             "file_path",
+            "line_start",
             "language",
             "kind",
-            T.split_camel(F.col("name")).alias("parts"),
-            F.filter(F.split(F.coalesce("params", F.lit("")), "[^a-z]+"), lambda t: t != "").alias("sig"),
+            F.array_distinct(T.split_camel(F.col("name"))).alias("name"),
+            F.array_distinct(F.filter(F.split(F.coalesce("params", F.lit("")), "[^a-z]+"), lambda t: t != "")).alias("signature"),
             T.arity(F.col("params")).alias("arity"),
+            body.alias("body"),
             F.coalesce("near", none).alias("near"),
+            F.regexp_extract("file_path", r"^(.*)/[^/]*$", 1).alias("module"),
             (F.col("line_end") - F.col("line_start") + 1).alias("loc"),
         )
     )
-    a = prints.select(*(F.col(c).alias(f"a_{c}") for c in prints.columns), F.explode(F.array_distinct("parts")).alias("part"))
-    b = prints.select(*(F.col(c).alias(f"b_{c}") for c in prints.columns), F.explode(F.array_distinct("parts")).alias("part"))
-    same = (F.col("a_language") == F.col("b_language")) & (F.col("a_kind") == F.col("b_kind")) & (a["part"] == b["part"])
-    pairs = a.join(b, same).filter((F.col("a_file_path") != F.col("b_file_path")) & (F.abs(F.col("a_arity") - F.col("b_arity")) <= 1))
-    # a pair is kept at the least part that it shares, so that it comes once
-    pairs = pairs.filter(a["part"] == F.array_min(F.array_intersect("a_parts", "b_parts")))
-    jac = lambda c: T.jaccard(F.col(f"a_{c}"), F.col(f"b_{c}"))
-    folder = lambda c: F.regexp_extract(c, r"^(.*)/[^/]*$", 1)
-    score = jac("parts") * 0.4 + jac("sig") * 0.2 + jac("near") * 0.3 + F.when(folder("a_file_path") == folder("b_file_path"), 0.05).otherwise(0.0) + T.overlap_ratio(F.col("a_loc"), F.col("b_loc")) * 0.05
-    scored = pairs.select(F.col("a_qn").alias("qn"), F.col("b_qn").alias("match_qn"), F.round(score, 6).alias("score")).filter(F.col("score") >= min_score)
-    return top_per_key(scored, ["qn"], [F.col("score").desc(), F.col("match_qn")], limit, "rank")
+    mark = lambda column, tag: F.transform(column, lambda x: F.concat(F.lit(tag), x))
+    held = prints.select("qn", "language", "kind", "arity", "file_path", F.explode(F.array_distinct(F.concat(mark("name", "p"), mark("near", "n"), mark("body", "b")))).alias("shared"))
+    a, b = (held.select("language", "kind", "shared", *(F.col(c).alias(f"{side}_{c}") for c in ("qn", "arity", "file_path"))) for side in "ab")
+    pairs = a.join(b, ["language", "kind", "shared"]).filter((F.col("a_file_path") != F.col("b_file_path")) & (F.abs(F.col("a_arity") - F.col("b_arity")) <= 1) & (F.col("a_qn") < F.col("b_qn"))).select("a_qn", "b_qn").distinct()
+    wanted = ["file_path", "line_start", "name", "signature", "body", "near", "module", "loc"]
+    for side in "ab":
+        pairs = pairs.join(prints.select(F.col("qn").alias(f"{side}_qn"), *(F.col(c).alias(f"{side}_{c}") for c in wanted)), f"{side}_qn")
+    parts = {c: T.jaccard(F.col(f"a_{c}"), F.col(f"b_{c}")) for c in ("name", "signature", "body", "near")}
+    parts["module"] = F.when(F.col("a_module") == F.col("b_module"), 1.0).otherwise(0.0)
+    parts["size"] = T.overlap_ratio(F.col("a_loc"), F.col("b_loc"))
+    score = sum((parts[c] * w for c, w in SIMILAR.items()), F.lit(0.0))
+    passes = F.lit(False)
+    for c, least in SIMILAR_GATE.items():
+        passes = passes | (parts[c] >= least)
+    scored = pairs.withColumn("score", F.round(score, 6)).filter((F.col("score") >= min_score) & passes)
+    one = lambda x, y: F.struct(F.col(f"{x}_qn").alias("qn"), F.col(f"{y}_qn").alias("match_qn"), F.col(f"{y}_file_path").alias("file_path"), F.col(f"{y}_line_start").alias("line_start"), "score")
+    both = scored.select(F.explode(F.array(one("a", "b"), one("b", "a"))).alias("m")).select("m.*")
+    return top_per_key(both, ["qn"], [F.col("score").desc(), F.col("file_path"), F.col("line_start"), F.col("match_qn")], limit, "rank").select("qn", "match_qn", "score", "rank")
 
 
 def paragraphs(docs: DataFrame, key: str, content: str) -> DataFrame:

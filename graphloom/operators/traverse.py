@@ -154,7 +154,7 @@ def closure(edges: DataFrame) -> DataFrame:
 
 def in_cycles(edges: DataFrame) -> DataFrame:
     """Edges between nodes that have both one coming in and one going out, again and again: all cycles, and paths between them."""
-    left = cut_lineage(edges.filter("source <> target").select("source", "target").distinct())
+    left = cut_lineage(edges.select("source", "target").distinct())
     size = left.count()
     while size:
         kept = left.join(left.select(F.col("target").alias("source")).distinct(), "source", "left_semi").join(left.select(F.col("source").alias("target")).distinct(), "target", "left_semi")
@@ -168,7 +168,7 @@ def in_cycles(edges: DataFrame) -> DataFrame:
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
-    """qn, component (least member) and size of cycles: nodes that reach each other. Edges outside cycles are cut off first, cycles of any length are found."""
+    """qn, component (least member) and size of cycles: nodes that reach each other, or themselves by an edge. Edges outside cycles are cut off first, cycles of any length are found."""
     paths = closure(in_cycles(edges))
     mutual = paths.join(paths.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"])
     named = mutual.groupBy(F.col("a").alias("qn")).agg(F.min("b").alias("component"))
@@ -180,7 +180,7 @@ def cycle_paths(edges: DataFrame) -> DataFrame:
 
     Of equally short ones the least by the names along it. A breadth-first search within all components at once.
     """
-    of = cut_lineage(strong_components(edges).select("qn", "component"))
+    of = cut_lineage(strong_components(edges.filter("source <> target")).select("qn", "component"))
     steps = edges.filter("source <> target").select("source", "target").distinct()
     steps = steps.join(of.select(F.col("qn").alias("source"), "component"), "source").join(of.select(F.col("qn").alias("target"), F.col("component").alias("same")), "target")
     steps = cut_lineage(steps.filter("component = same").select("component", "source", "target"))
@@ -254,7 +254,7 @@ def next_in_chain(edges: DataFrame, rounds: int | None = None) -> DataFrame:
 
 def longest_paths(edges: DataFrame) -> DataFrame:
     """The nodes of a longest path from each node, at equal length by way of the greatest names: qn, path. Cycles are not entered twice; edges within them are left out."""
-    of = strong_components(edges).select("qn", "component")
+    of = strong_components(edges.filter("source <> target")).select("qn", "component")
     side = lambda c: of.select(F.col("qn").alias(c), F.col("component").alias(f"{c}_in"))
     outer = edges.filter("source <> target").select("source", "target").distinct().join(side("source"), "source", "left").join(side("target"), "target", "left")
     outer = cut_lineage(outer.filter(~F.coalesce(F.col("source_in") == F.col("target_in"), F.lit(False))).select("source", "target"))

@@ -41,7 +41,7 @@ class Graph:
             self.t("snapshot_membership")
             .withColumn("path", path)
             .groupBy("repo_id", "snapshot_id", "path")
-            .agg(F.max_by(value, "ingested_at").alias("v"))
+            .agg(F.max_by(value, F.struct("ingested_at", F.lower("file_hash"))).alias("v"))
         )
         return rows.join(self.order, ["repo_id", "snapshot_id"]).select(
             "repo_id", "pos", "snapshot_id", F.concat_ws("#", "repo_id", "path").alias("path"), "v.file_hash", "v.language", "v.size", "v.qualified_names", "v.edge_keys"

@@ -91,9 +91,9 @@ def _(g):
     return g.order.withColumn("next_id", F.coalesce("next_id", F.lit(-1)))
 
 
-@query("latest_commit", sql("SELECT repo_id, arg_max(commit_sha, author_time) AS commit_sha FROM c0 GROUP BY 1"))
+@query("latest_commit", sql("SELECT repo_id, arg_max(commit_sha, (author_time, commit_sha)) AS commit_sha FROM c0 GROUP BY 1"))
 def _(g):
-    return g.t("commits").groupBy("repo_id").agg(F.max_by("commit_sha", "author_time").alias("commit_sha"))
+    return g.t("commits").groupBy("repo_id").agg(F.max_by("commit_sha", F.struct("author_time", "commit_sha")).alias("commit_sha"))
 
 
 @query("change_set", sql("""SELECT coalesce(n.path, p.path) AS path, CASE WHEN p.path IS NULL THEN 'added' WHEN n.path IS NULL THEN 'deleted' ELSE 'modified' END AS change_type

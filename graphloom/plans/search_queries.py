@@ -158,14 +158,14 @@ def _(g):
     return g.chunks.groupBy(F.md5("content").alias("body")).agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("first_id")).filter("copies > 1")
 
 
-_SIM = f"""np AS (SELECT qn, file_path, language, kind, line_end - line_start + 1 AS loc, coalesce(near, []) AS near, list_filter(string_split_regex(lower(regexp_replace(regexp_replace(name, '([a-z0-9])([A-Z])', '\\1_\\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1_\\2', 'g')), '[^a-z0-9]+'), lambda t: t <> '') AS parts,
-  list_filter(string_split_regex(coalesce(params, ''), '[^a-z]+'), lambda t: t <> '') AS sig, CASE coalesce(params, '()') WHEN '()' THEN 0 WHEN '(a)' THEN 1 ELSE 2 END AS arity FROM nodes LEFT JOIN (SELECT qn, list_distinct(list(n)) AS near FROM (SELECT source AS qn, split_part(target, '::', -1) AS n FROM edges UNION ALL SELECT target, split_part(source, '::', -1) FROM edges) GROUP BY 1) USING (qn) WHERE kind IN ('function', 'method')),
-sp AS (SELECT a.qn, b.qn AS match_qn, {{a}} FROM np a JOIN np b ON a.language = b.language AND a.kind = b.kind AND a.file_path <> b.file_path AND abs(a.arity - b.arity) <= 1 AND list_has_any(a.parts, b.parts))"""
+_SIM = f"""np AS (SELECT qn, file_path, line_start, language, kind, line_end - line_start + 1 AS loc, coalesce(near, []) AS near, list_distinct(list_filter(string_split_regex(lower(regexp_replace(regexp_replace(name, '([a-z0-9])([A-Z])', '\\1_\\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1_\\2', 'g')), '[^a-z0-9]+'), lambda t: t <> '')) AS parts,
+  list_distinct(list_filter(string_split_regex(coalesce(params, ''), '[^a-z]+'), lambda t: t <> '')) AS sig, CASE coalesce(params, '()') WHEN '()' THEN 0 WHEN '(a)' THEN 1 ELSE 2 END AS arity FROM nodes LEFT JOIN (SELECT qn, list_distinct(list(n)) AS near FROM (SELECT source AS qn, split_part(target, '::', -1) AS n FROM edges UNION ALL SELECT target, split_part(source, '::', -1) FROM edges) GROUP BY 1) USING (qn) WHERE kind IN ('function', 'method')),
+sp AS (SELECT *, round(jn * 0.18::DOUBLE + js * 0.2::DOUBLE + 0.0::DOUBLE + jr * 0.18::DOUBLE + jm * 0.05::DOUBLE + jl * 0.05::DOUBLE, 6) AS score FROM (SELECT a.qn, b.qn AS match_qn, b.file_path, b.line_start, {{a}} FROM np a JOIN np b ON a.language = b.language AND a.kind = b.kind AND a.file_path <> b.file_path AND abs(a.arity - b.arity) <= 1))"""
 _J = "CASE WHEN len(a.{c}) = 0 OR len(b.{c}) = 0 THEN 0 ELSE len(list_intersect(a.{c}, b.{c})) / len(list_distinct(list_concat(a.{c}, b.{c})))::DOUBLE END::DOUBLE"
-_SCORE = f"round({_J.format(c='parts')} * 0.4::DOUBLE + {_J.format(c='sig')} * 0.2::DOUBLE + {_J.format(c='near')} * 0.3::DOUBLE + CASE WHEN regexp_extract(a.file_path, '^(.*)/[^/]*$', 1) = regexp_extract(b.file_path, '^(.*)/[^/]*$', 1) THEN 0.05 ELSE 0 END::DOUBLE + least(a.loc, b.loc) / greatest(a.loc, b.loc)::DOUBLE * 0.05::DOUBLE, 6) AS score"
+_PARTS = f"{_J.format(c='parts')} AS jn, {_J.format(c='sig')} AS js, {_J.format(c='near')} AS jr, CASE WHEN regexp_extract(a.file_path, '^(.*)/[^/]*$', 1) = regexp_extract(b.file_path, '^(.*)/[^/]*$', 1) THEN 1.0 ELSE 0 END::DOUBLE AS jm, least(a.loc, b.loc) / greatest(a.loc, b.loc)::DOUBLE AS jl"
 
 
-@query("similar_functions", sql("SELECT qn, match_qn, score, row_number() OVER (PARTITION BY qn ORDER BY score DESC, match_qn) AS rank FROM sp WHERE score >= 0.35 QUALIFY rank <= 3", _SIM.replace("{a}", _SCORE)))
+@query("similar_functions", sql("SELECT qn, match_qn, score, row_number() OVER (PARTITION BY qn ORDER BY score DESC, file_path, line_start, match_qn) AS rank FROM sp WHERE score >= 0.35 AND (jr >= 0.15 OR js >= 0.3) QUALIFY rank <= 3", _SIM.replace("{a}", _PARTS)))
 def _(g):
     return search.similar_functions(g.nodes, g.edges, 0.35, 3)
 
@@ -241,9 +241,9 @@ def _(g):
     return g.t("parse_work").select("work_id", T.content_type(F.col("rel_path")).alias("kind"))
 
 
-@query("intents", "SELECT item_id, CASE WHEN regexp_matches(t, 'affect|impact|break') THEN 'impact' WHEN regexp_matches(t, 'rename') THEN 'rename' WHEN regexp_matches(t, 'unused|dead code') THEN 'dead_code' WHEN regexp_matches(t, 'review|check') THEN 'review' WHEN regexp_matches(t, 'who calls|callers of|used by') THEN 'usage' WHEN regexp_matches(t, 'explain|how does|see how|why') THEN 'explain' ELSE 'search' END AS intent, coalesce(nullif(regexp_extract(text, '`([^`]+)`', 1), ''), nullif(regexp_extract(text, '([A-Za-z_]+::[A-Za-z_:]+)', 1), ''), nullif(regexp_extract(text, '\\b([a-z]+(?:_[a-z0-9]+)+)\\b', 1), ''), '') AS target FROM (SELECT *, lower(text) AS t FROM eval_items WHERE lang = 'en')")
+@query("intents", "SELECT item_id, CASE WHEN regexp_matches(t, 'affect|impact|break') THEN 'impact' WHEN regexp_matches(t, 'rename') THEN 'rename' WHEN regexp_matches(t, 'unused|dead code') THEN 'dead_code' WHEN regexp_matches(t, 'review|check') THEN 'review' WHEN regexp_matches(t, 'who calls|callers of|used by') THEN 'usage' WHEN regexp_matches(t, 'explain|how does|see how|why') THEN 'explain' ELSE 'search' END AS intent, coalesce(nullif(regexp_extract(text, '`([^`]+)`', 1), ''), nullif(regexp_extract(text, '([A-Za-z_]+::[A-Za-z_:]+)', 1), ''), nullif(regexp_extract(text, '\\b([a-z]+(?:_[a-z0-9]+)+)\\b', 1), ''), '') AS target FROM (SELECT *, lower(text) AS t FROM eval_items)")
 def _(g):
-    return g.t("eval_items").filter("lang = 'en'").select("item_id", T.intent(F.col("text")).alias("intent"), T.target_of(F.col("text")).alias("target"))
+    return g.t("eval_items").select("item_id", T.intent(F.col("text")).alias("intent"), T.target_of(F.col("text")).alias("target"))
 
 
 @query("arities", sql("SELECT qn, CASE coalesce(params, '()') WHEN '()' THEN 0 WHEN '(a)' THEN 1 ELSE 2 END AS arity, length(name) AS n, CASE WHEN length(name) <= 3 THEN 0 WHEN length(name) <= 5 THEN 1 WHEN length(name) <= 8 THEN 2 ELSE 3 END AS fuzzy FROM nodes"))

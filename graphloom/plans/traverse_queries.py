@@ -270,3 +270,33 @@ def _(g):
     # the parent chain of commits has the form of a rename chain
     links = g.t("commits").filter("parent_sha is not null").select(F.concat_ws("#", "repo_id", "parent_sha").alias("old_path"), F.concat_ws("#", "repo_id", "commit_sha").alias("path"))
     return traverse.rename_chain(links)
+
+
+@query("reference_depths", sql("""SELECT pl.qn, max(w.d)::INTEGER AS depth FROM pl JOIN w ON w.place = pl.place GROUP BY 1""", _EE,
+    "cl AS (SELECT source AS a, target AS b FROM ee UNION SELECT cl.a, ee.target FROM cl JOIN ee ON ee.source = cl.b)",
+    "pl AS (SELECT n.qn, coalesce(min(x.b), n.qn) AS place FROM (SELECT source AS qn FROM ee UNION SELECT target FROM ee) n LEFT JOIN (SELECT x.a, x.b FROM cl x JOIN cl y ON x.a = y.b AND x.b = y.a) x ON x.a = n.qn GROUP BY n.qn)",
+    "co AS (SELECT DISTINCT p.place AS a, q.place AS b FROM ee JOIN pl p ON p.qn = ee.source JOIN pl q ON q.qn = ee.target WHERE p.place <> q.place)",
+    "w AS (SELECT DISTINCT place, 0 AS d FROM pl UNION SELECT co.a, w.d + 1 FROM w JOIN co ON co.b = w.place)", recursive=True))
+def _(g):
+    """Longest path of references from each symbol, of any length, a cycle counting as one symbol."""
+    return traverse.longest_depths(g.edges)
+
+
+@query("reference_paths", None)
+def _(g):
+    """The symbols along it."""
+    return traverse.longest_paths(g.edges).select("qn", F.size("path").alias("nodes"), F.array_join("path", " > ").alias("path"))
+
+
+@query("cycle_paths", None)
+def _(g):
+    """One shortest cycle of modules through the first module of each strongly connected component."""
+    return traverse.cycle_paths(module_edges(g))
+
+
+@query("call_chain_lengths", sql("SELECT names, nodes, count(*) AS n FROM (SELECT split_part(a.source, '::', 2) || ' > ' || split_part(a.target, '::', 2) || ' > ' || split_part(b.target, '::', 2) AS names, 3 AS nodes FROM ee a JOIN ee b ON b.source = a.target WHERE b.target <> a.source UNION ALL SELECT split_part(a.source, '::', 2) || ' > ' || split_part(a.target, '::', 2) || ' > ' || split_part(b.target, '::', 2) || ' > ' || split_part(c.target, '::', 2), 4 FROM ee a JOIN ee b ON b.source = a.target JOIN ee c ON c.source = b.target WHERE b.target <> a.source AND c.target NOT IN (a.source, a.target)) GROUP BY 1, 2 HAVING count(*) > 1", _EE))
+def _(g):
+    """Sequences of kinds along call chains of three and four symbols that come more than once."""
+    kinds = F.array_join(F.transform("path", lambda q: F.split_part(q, F.lit("::"), F.lit(2))), " > ")
+    chains = traverse.call_chains(g.edges, 3, 4)
+    return chains.groupBy(kinds.alias("names"), F.size("path").alias("nodes")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")

@@ -18,6 +18,7 @@ def local_session(cpus: int = 8, shuffle: int = 8) -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
@@ -27,15 +28,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """checkpoint() into the shared folder that the cluster names in spark.checkpoint.dir.
+def shared_root(spark: SparkSession, purpose: str) -> str:
+    """The shared folder that the cluster names in spark.checkpoint.dir. A folder of this machine is taken only in local mode; elsewhere its absence is an error."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix=f"graphloom-{purpose}-")
 
-    Only where that setting is absent, as in local tests, a folder of this machine is taken.
-    """
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """checkpoint() into the shared folder. With spark.cleaner.referenceTracking.cleanCheckpoints the files go when nothing refers to them any more."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="graphloom-checkpoint-"))
+        sc.setCheckpointDir(shared_root(df.sparkSession, "checkpoint"))
     return df.checkpoint(eager=True)
 
 

@@ -26,7 +26,7 @@ def inventory(spark: SparkSession, folder: str, pattern: str = "*", max_bytes: i
     local = F.regexp_replace("path", r"^file:/*", "/")
     return (
         files.filter((F.col("length") <= max_bytes) & ~ignored(F.regexp_replace(local, f"^{re.escape(folder.rstrip('/'))}/", ""), list(ignore)))
-        .select(local.alias("path"), F.col("length").alias("size"), F.sha2("content", 256).alias("hash"), (F.instr(F.hex(F.substring("content", 1, 8192)), "00") % 2 == 1).alias("binary"))
+        .select(local.alias("path"), F.col("length").alias("size"), F.sha2("content", 256).alias("hash"), F.hex(F.substring("content", 1, 8192)).rlike("^(?:..)*?00").alias("binary"))
     )
 
 
@@ -79,10 +79,16 @@ def _python(text: str) -> list[tuple[str, str, str, int]]:
     return out
 
 
-def _keys(value: object, parent: str, depth: int = 0) -> list[tuple[str, str, str, int]]:
-    if not isinstance(value, dict) or depth > 8:
-        return []
-    return [row for k, v in value.items() for row in [("key", str(k), parent, 0), *_keys(v, f"{parent}.{k}".strip("."), depth + 1)]]
+def _keys(value: object, parent: str) -> list[tuple[str, str, str, int]]:
+    """Keys at any depth with the path of those above them."""
+    out: list[tuple[str, str, str, int]] = []
+    open_ = [(value, parent)]
+    while open_:
+        value, parent = open_.pop()
+        if isinstance(value, dict):
+            out += [("key", str(k), parent, 0) for k in value]
+            open_ += [(v, f"{parent}.{k}".strip(".")) for k, v in value.items()]
+    return out
 
 
 #: Declarations by language. Fixed values.

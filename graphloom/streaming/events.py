@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.session import shared_root
+
 #: How late an event may come before its state is dropped.
 WATERMARK = "1 hour"
 
@@ -35,8 +36,7 @@ def coalesce_changes(batch: DataFrame) -> DataFrame:
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the shared one that the cluster names, or of this machine in local tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="graphloom-stream-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_root(spark, 'stream')}/{name}-{uuid.uuid4().hex}"
 
 
 def run_once(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame, int], None] | None = None) -> DataFrame:
@@ -75,6 +75,16 @@ def apply_batch(current: Callable[[], DataFrame], publish: Callable[[DataFrame],
     return run
 
 
+def apply_to_buckets(folder: str) -> Callable[[DataFrame, int], None]:
+    """foreachBatch function that replaces the slices which a batch holds in a stored, bucketed table (publish_chains): only their buckets are written again."""
+    from graphloom.operators.history import replace_chains
+
+    def run(batch: DataFrame, number: int) -> None:
+        replace_chains(batch, batch, folder)
+
+    return run
+
+
 def build_state(rows: DataFrame) -> DataFrame:
     """Latest state of each build from its transitions (build_id, seq, state): building, built or failed."""
     return rows.groupBy("build_id").agg(F.max_by("state", "seq").alias("state"), F.max("seq").alias("seq"))

@@ -154,3 +154,46 @@ def test_long_cycles_and_rename_chains(spark):
     assert rows(traverse.rename_chain(chain)) == sorted(((f"v{k}", "v0", k) for k in range(1, 41)), key=repr)
     with pytest.raises(ValueError):
         traverse.rename_chain(spark.createDataFrame([("a", "b"), ("b", "a")], "old_path string, path string"))
+
+
+def test_long_cycles_chains_and_paths(spark):
+    ring = [(f"r{k:03}", f"r{(k + 1) % 140:03}") for k in range(140)]
+    chain = [(f"c{k:02}", f"c{k + 1:02}") for k in range(30)]
+    more = [("c30", "r000"), ("x", "y"), ("y", "x"), ("y", "z"), ("z", "x"), ("s", "s"), ("r005", "c99")]
+    e = spark.createDataFrame(ring + chain + more, "source string, target string")
+    found = {r.qn: (r.component, r.size) for r in traverse.strong_components(e).collect()}
+    assert found["r007"] == ("r000", 140) and found["z"] == ("x", 3) and found["s"] == ("s", 1) and "c00" not in found
+    depth = {r.qn: r.depth for r in traverse.longest_depths(e).collect()}
+    assert depth["c00"] == 32 and depth["c30"] == 2 and depth["r000"] == 1 and depth["c99"] == 0 and depth["x"] == 0
+    assert {r.qn: r.depth for r in traverse.longest_depths(e, 5).collect()}["c00"] == 5
+    small = spark.createDataFrame([(f"r{k:02}", f"r{(k + 1) % 14:02}") for k in range(14)] + more, "source string, target string")
+    cycles = {r.component: (r.size, r.cycle) for r in traverse.cycle_paths(small).collect()}
+    assert cycles["x"] == (2, "x > y") and cycles["r00"][0] == 14 and set(cycles) == {"x", "r00"}
+    path = {r.qn: r.path for r in traverse.longest_paths(spark.createDataFrame(chain + [("c03", "c05"), ("b", "c29")], "source string, target string")).collect()}
+    assert path["c00"] == [f"c{k:02}" for k in range(31)] and path["b"] == ["b", "c29", "c30"] and path["c30"] == ["c30"]
+    assert traverse.cycle_paths(e.limit(0)).count() == 0 and traverse.longest_depths(e.limit(0)).count() == 0
+
+
+def test_names_are_taken_literally(spark):
+    from graphloom.operators import context
+
+    t = spark.createDataFrame([(1, "a.b(c) $x\naXb(c)\n\\Ea.b(c)")], "id long, text string")
+    got = {r.line: r.after for r in context.rename_edits(t, "id", "text", "a.b(c)", "n$1\\").collect()}
+    assert got[1] == "n$1\\ $x" and 2 not in got
+
+
+def test_scores_of_the_published_formulas(spark):
+    from graphloom.operators import metrics
+
+    nodes = spark.createDataFrame(
+        [(1, q, q, "function", f, m, t, 1, n) for q, f, m, t, n in [("a", "m1/x", "pub", False, 40), ("b", "m1/x", None, False, 10), ("c", "m2/y", None, False, 10), ("t", "m2/t", None, True, 5)]],
+        "repo_id long, qn string, name string, kind string, file_path string, modifiers string, is_test boolean, line_start int, line_end int",
+    )
+    edges = spark.createDataFrame([("b", "a", "calls", 0.9, "high"), ("c", "a", "calls", 0.9, "high"), ("t", "a", "calls", 0.4, "low"), ("a", "c", "calls", 0.9, "high")], "source string, target string, kind string, confidence double, tier string")
+    safe = {r.qn: r.score for r in metrics.safety(nodes, edges).collect()}
+    # a: public 0.25, three callers 0.12, two of them from other files 0.10, one test, one low edge 0.03
+    assert safe["a"] == 0.5 and safe["b"] == 0.85
+    f = {(r.qn, r.factor): (r.normalized, r.weight) for r in metrics.risk_factors(nodes, edges).collect()}
+    assert f["a", "tests"] == (pytest.approx(1 / 3), -1.0) and f["a", "large"] == (0.5, 0.5) and f["a", "cycle"] == (1.0, 1.0) and f["a", "cross_module"][0] == pytest.approx(1 / 15)
+    want = (1.5 + 3 / 20 * 1.25 + 1 / 10 * 0.75 + 1 / 15 + 1.0 * 0.75 + 1 / 3 * 1.25 + 0.5 * 1.25 + 1.0 - 1 / 3) / 11.5 * 100
+    assert {r.qn: r.score for r in metrics.weighted_risk(metrics.risk_factors(nodes, edges)).collect()}["a"] == pytest.approx(want, abs=1e-3)
