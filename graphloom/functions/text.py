@@ -121,3 +121,18 @@ def target_of(text: Column) -> Column:
     """Quoted name, path-like name or snake_case word of a question, in that order; empty if there is none."""
     found = [F.regexp_extract(text, p, 1) for p in (r"`([^`]+)`", r"([A-Za-z_]+::[A-Za-z_:]+)", r"\b([a-z]+(?:_[a-z0-9]+)+)\b")]
     return F.coalesce(*(F.when(f != "", f) for f in found), F.lit(""))
+
+
+def search_words(text: Column) -> Column:
+    """Words as full-text search sees them: runs of letters, digits and underscores, in their own case."""
+    return F.filter(F.split(text, r"[^\p{L}\p{N}_]+"), lambda t: t != "")
+
+
+def escape_query(text: Column) -> Column:
+    """A query that can't break the grammar of a full-text search: plain terms, with * at their ends, and OR pass; all else becomes one quoted phrase."""
+    plain = text.rlike(r"^\s*[A-Za-z0-9_]+\*?(?:\s+[A-Za-z0-9_]+\*?)*\s*\z")
+    return F.when(plain, text).otherwise(F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"')))
+
+
+def band(score: Column, medium: float, high: float) -> Column:
+    return F.when(score >= high, "high").when(score >= medium, "medium").otherwise("low")

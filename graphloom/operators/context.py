@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphloom.operators.scan import top_per_key
+
 #: Priority of the reason for which a node is in a context. Fixed values.
 PRIORITY = {"target": 100, "caller": 80, "callee": 80, "importer": 60, "imported": 60, "sibling": 50, "test": 40, "impacted": 30}
 
@@ -93,3 +95,71 @@ def strip_payload(payload: Column, dropped: list[str], longest: int) -> Column:
     """Top-level fields of a JSON object without the named ones and without values longer than so many characters."""
     fields = F.from_json(payload, "map<string,string>")
     return F.to_json(F.map_filter(fields, lambda k, v: ~k.isin(*dropped) & (F.length(v) <= longest)))
+
+
+def token_counter(path: str | None = None, bytes_per_token: int = 4):
+    """A counter for count_tokens(): the tokenizer file at path, or None with the reason why bytes are counted instead."""
+    if path is None:
+        return None, "no tokenizer is set", bytes_per_token
+    try:
+        from tokenizers import Tokenizer
+
+        Tokenizer.from_file(path)
+    except Exception as failed:  # the library tells any trouble with a plain Exception
+        return None, str(failed), bytes_per_token
+    return path, None, bytes_per_token
+
+
+def count_tokens(texts: DataFrame, key: str, text: str, counter) -> DataFrame:
+    """key, tokens, method (tokenizer or heuristic) and why the heuristic was used. A null text has none."""
+    path, reason, per = counter
+    if path is None:
+        return texts.select(key, F.ceil(F.coalesce(F.octet_length(text), F.lit(0)) / per).cast("long").alias("tokens"), F.lit("heuristic").alias("method"), F.lit(reason).alias("reason"))
+    import pandas as pd
+
+    @F.pandas_udf("long")
+    def counted(column: pd.Series) -> pd.Series:
+        from tokenizers import Tokenizer
+
+        found = Tokenizer.from_file(path).encode_batch(column.fillna("").tolist(), add_special_tokens=False)
+        return pd.Series([len(f.ids) for f in found])
+
+    return texts.select(key, counted(text).alias("tokens"), F.lit("tokenizer").alias("method"), F.lit(None).cast("string").alias("reason"))
+
+
+def suppressed(groups: DataFrame, patterns: list[str]) -> DataFrame:
+    """Groups of duplicates (group_id, summary, path) that some pattern silences: it is in the group's id or summary, or begins a member's path."""
+    hit = F.lit(False)
+    for p in sorted({x.strip() for x in patterns} - {""}):
+        hit = hit | F.col("group_id").contains(p) | F.col("summary").contains(p) | F.col("path").startswith(p)
+    return groups.groupBy("group_id").agg(F.max(hit).alias("suppressed")).filter("suppressed").select("group_id")
+
+
+def follow_reexports(exports: DataFrame, starts: DataFrame, depth: int = 4) -> DataFrame:
+    """Where symbols come from: qn, origin and steps through re-exports (symbol, from_symbol), at most `depth` of them, each place once, at its least number of steps."""
+    from graphloom.session import cut_lineage
+
+    steps = cut_lineage(exports.select("symbol", "from_symbol").distinct())
+    seen = frontier = cut_lineage(starts.select("qn", F.col("qn").alias("origin")).distinct().withColumn("steps", F.lit(0)))
+    for k in range(1, depth + 1):
+        found = frontier.join(steps, F.col("origin") == F.col("symbol")).select("qn", F.col("from_symbol").alias("origin")).distinct().join(seen, ["qn", "origin"], "left_anti")
+        frontier = cut_lineage(found.withColumn("steps", F.lit(k)))
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+    return seen.filter("steps > 0")
+
+
+def ripple(kept: DataFrame, dropped: DataFrame) -> DataFrame:
+    """What a change reaches, by scope: kept nodes (scope, qn, file_path, component, direct) and dropped ones (scope, qn): retained, dropped, components, files beside, and the two sentences on them."""
+    near = F.when(~F.col("direct"), F.col("file_path"))
+    sums = kept.groupBy("scope").agg(F.count(F.lit(1)).alias("retained"), F.count_distinct("component").alias("components"), F.count_distinct(near).alias("beside"))
+    size = kept.groupBy("scope", "component").agg(F.count(F.lit(1)).alias("n"))
+    first = top_per_key(size, ["scope"], [F.col("n").desc(), F.col("component")], 3, "place")
+    names = first.groupBy("scope").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "component"))), lambda x: x["component"]), ", ").alias("names"))
+    lost = dropped.groupBy("scope").agg(F.count(F.lit(1)).alias("dropped"))
+    all_ = sums.join(names, "scope").join(lost, "scope", "left")
+    spans = F.when(F.col("components") > 1, F.concat(F.lit("Impact spans "), F.col("components").cast("string"), F.lit(" components: "), "names"))
+    reach = F.when(F.col("beside") > 0, F.concat(F.lit("Change reaches "), F.col("beside").cast("string"), F.lit(" neighboring file(s).")))
+    said = F.concat_ws(" | ", spans, reach)
+    return all_.select("scope", "retained", F.coalesce("dropped", F.lit(0)).cast("long").alias("dropped"), "components", "beside", F.when(said == "", "Impact remains local to selected nodes.").otherwise(said).alias("effects"))

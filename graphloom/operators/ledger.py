@@ -77,3 +77,28 @@ def size_limited(rows: DataFrame, key: str, order: list[Column], size: Column, c
 def canonical_json(pairs: Column) -> Column:
     """JSON of a map<string,string> with its keys in order."""
     return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(pairs))))
+
+
+def put_snapshots(stored: DataFrame, new: DataFrame, cap: int) -> DataFrame:
+    """Resume snapshots (session_id, seq, snapshot, consumed) after newer ones are put: the latest of each session, not consumed yet. One of more than cap bytes is left out."""
+    fresh = new.filter(F.octet_length("snapshot") <= cap).select("session_id", "seq", "snapshot", F.lit(False).alias("consumed"))
+    both = stored.select("session_id", "seq", "snapshot", "consumed").unionByName(fresh)
+    return both.groupBy("session_id").agg(F.max_by(F.struct("seq", "snapshot", "consumed"), F.struct("seq", ~F.col("consumed"), "snapshot")).alias("s")).select("session_id", "s.*")
+
+
+def consume_snapshots(stored: DataFrame, sessions: DataFrame) -> DataFrame:
+    """The same with those of the sessions (session_id) marked as consumed."""
+    used = sessions.select("session_id").distinct().withColumn("_used", F.lit(True))
+    return stored.join(used, "session_id", "left").select("session_id", "seq", "snapshot", (F.col("consumed") | F.coalesce("_used", F.lit(False))).alias("consumed"))
+
+
+def run_states(events: DataFrame) -> DataFrame:
+    """State of the latest run of each scope (scope, seq, event: begin, finish or fail; at): scope, state, began, ended. A begin starts anew."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("scope").orderBy("seq")
+    runs = events.withColumn("run", F.sum(F.when(F.col("event") == "begin", 1).otherwise(0)).over(w)).filter("run > 0")
+    latest = runs.groupBy("scope", "run").agg(F.min("at").alias("began"), F.max_by("event", "seq").alias("event"), F.max(F.when(F.col("event") != "begin", F.col("at"))).alias("ended"))
+    last = latest.groupBy("scope").agg(F.max_by(F.struct("began", "event", "ended"), "run").alias("r"))
+    state = F.when(F.col("r.event") == "finish", "succeeded").when(F.col("r.event") == "fail", "failed").otherwise("running")
+    return last.select("scope", state.alias("state"), "r.began", "r.ended")

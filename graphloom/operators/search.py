@@ -11,29 +11,69 @@ from graphloom.operators.scan import top_per_key
 K1, B, RRF_K = 1.2, 0.75, 60
 
 
-def postings(docs: DataFrame, key: str, fields: dict[str, float]) -> DataFrame:
-    """term, key, f (weighted frequency) and len (tokens of all fields). Counted map-side per document before any shuffle."""
+def postings(docs: DataFrame, key: str, fields: dict[str, float], terms: list[str] | None = None) -> DataFrame:
+    """term, key, f (weighted frequency) and len (tokens of all fields), of all terms or some. Counted map-side per document before any shuffle."""
     def weighed(column: str, weight: float) -> Column:
         return F.transform(T.tokens(F.coalesce(column, F.lit(""))), lambda t: F.struct(t.alias("term"), F.lit(float(weight)).alias("w")))
 
     parts = F.concat(*(weighed(c, w) for c, w in fields.items()))
-    rows = docs.select(key, parts.alias("p")).select(key, F.size("p").alias("len"), F.explode("p").alias("x"))
+    some = (lambda p: p) if terms is None else lambda p: F.filter(p, lambda x: x["term"].isin(terms))
+    rows = docs.select(key, parts.alias("p")).select(key, F.size("p").alias("len"), some(F.col("p")).alias("p")).select(key, "len", F.explode("p").alias("x"))
     return rows.groupBy(F.col("x.term").alias("term"), key, "len").agg(F.sum("x.w").alias("f"))
 
 
-def bm25(index: DataFrame, docs: DataFrame, key: str, queries: DataFrame, limit: int) -> DataFrame:
-    """Best documents of each query (query_id, term): score, rank. idf has a floor of 1e-6; ties go to the smaller key."""
-    # the lengths of all documents: each posting adds the frequency that it has of its document's length
-    totals = docs.agg(F.count(F.lit(1)).alias("n_docs")).crossJoin(index.groupBy(key, "len").agg(F.lit(1)).agg(F.sum("len").alias("sum_len")))
+def text_totals(docs: DataFrame, fields: dict[str, float]) -> DataFrame:
+    """Documents and tokens in all, counted without a shuffle of postings."""
+    length = sum((F.size(T.tokens(F.coalesce(c, F.lit("")))) for c in fields), F.lit(0))
+    return docs.agg(F.count(F.lit(1)).alias("n_docs"), F.sum(length).alias("sum_len"))
+
+
+def bm25(index: DataFrame, docs: DataFrame, key: str, queries: DataFrame, limit: int, totals: DataFrame | None = None) -> DataFrame:
+    """Best documents of each query (query_id, term): score, rank. idf has a floor of 1e-6; ties go to the smaller key.
+
+    index: from postings(); totals: from text_totals(), without which the whole index is read once more for them.
+    """
+    if totals is None:
+        totals = docs.agg(F.count(F.lit(1)).alias("n_docs")).crossJoin(index.select(key, "len").distinct().agg(F.sum("len").alias("sum_len")))
     wanted = index.join(queries.select("term").distinct(), "term", "left_semi")
     df = wanted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return _scored(wanted.join(queries.distinct(), "term").join(df, "term"), key, totals, limit)
+
+
+def _scored(hits: DataFrame, key: str, totals: DataFrame, limit: int) -> DataFrame:
+    """hits: query_id, key, f, len, df, one row for each term of a query in a document."""
     idf = F.greatest(F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     norm = K1 * (1 - B + B * F.col("len") / (F.col("sum_len") / F.col("n_docs")))
-    hits = wanted.join(queries.distinct(), "term").join(df, "term").crossJoin(F.broadcast(totals))
-    scored = hits.groupBy("query_id", key).agg(F.round(F.sum(idf * F.col("f") * (K1 + 1) / (F.col("f") + norm)), 6).alias("score"))
+    scored = hits.crossJoin(F.broadcast(totals)).groupBy("query_id", key).agg(F.round(F.sum(idf * F.col("f") * (K1 + 1) / (F.col("f") + norm)), 6).alias("score"))
     return top_per_key(scored, ["query_id"], [F.col("score").desc(), F.col(key)], limit, "rank")
 
 
+#: Different terms of all queries that are looked for before documents are taken apart; more are joined with the whole index.
+PUSHED_TERMS = 1_000
+
+
+def ask(docs: DataFrame, key: str, fields: dict[str, float], queries: DataFrame, limit: int) -> DataFrame:
+    """bm25() without a stored index: only tokens that some query asks for are counted, so that one scan makes few postings."""
+    totals = text_totals(docs, fields)
+    terms = [r.term for r in queries.select("term").distinct().limit(PUSHED_TERMS + 1).collect()]
+    return bm25(postings(docs, key, fields, terms if len(terms) <= PUSHED_TERMS else None), docs, key, queries, limit, totals)
+
+
+def substring_ranked(docs: DataFrame, key: str, content: str, queries: DataFrame, limit: int) -> DataFrame:
+    """Best documents of each query (query_id, phrase of at least three characters) that hold the phrase, letter case ignored: score, rank.
+
+    BM25 over trigrams, of which a phrase is one run: its frequency is the number of times it occurs, a document's length
+    the number of its trigrams. The stated phrases are sent to the documents, which are scanned once.
+    """
+    low = docs.filter(F.col(content).isNotNull()).select(key, F.lower(content).alias("low"), F.greatest(F.length(content) - 2, F.lit(0)).alias("len"))
+    asked = queries.select("query_id", F.lower("phrase").alias("phrase")).filter(F.length("phrase") >= 3)
+    totals = low.agg(F.count(F.lit(1)).alias("n_docs"), F.sum("len").alias("sum_len"))
+    times = (F.length("low") - F.length(F.replace("low", F.col("phrase")))) / F.length("phrase")
+    hits = low.join(F.broadcast(asked), F.contains("low", "phrase")).select("query_id", key, times.alias("f"), "len")
+    df = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("df"))
+    return _scored(hits.join(F.broadcast(df), "query_id"), key, totals, limit)
+
+
 def reciprocal_rank(lists: list[DataFrame], key: str, limit: int, k: int = RRF_K) -> DataFrame:
     """Fused ranking of lists with query_id, key and rank."""
     rows = lists[0].select("query_id", key, "rank")
@@ -194,14 +234,12 @@ def with_fallback(docs: DataFrame, key: str, fields: dict[str, float], phrase: s
     The choice needs the number of hits, of which at most `few` are counted.
     """
     spark = docs.sparkSession
-    index = postings(docs, key, fields)
 
-    def ask(words: list[str]) -> DataFrame:
-        asked = spark.createDataFrame([(1, w) for w in words], "query_id long, term string")
-        return bm25(index, docs, key, asked, limit)
+    def find(words: list[str]) -> DataFrame:
+        return ask(docs, key, fields, spark.createDataFrame([(1, w) for w in words], "query_id long, term string"), limit)
 
     words = [w for w in phrase.lower().split() if w]
-    first = ask(words)
+    first = find(words)
     hits = len(first.take(few))
     if hits >= few:
         return first.select(key, "score", "rank")
@@ -210,9 +248,9 @@ def with_fallback(docs: DataFrame, key: str, fields: dict[str, float], phrase: s
     fused = reciprocal_rank([first, inside], key, limit).select(key, "score", F.col("fused_rank").alias("rank"))
     if fused.take(1):
         return fused
-    vocabulary = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    vocabulary = postings(docs, key, fields).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     better = {r.word: r.term for r in corrections(vocabulary, spark.createDataFrame([(w,) for w in words], "word string")).collect()}
-    return ask([better.get(w, w) for w in words]).select(key, "score", "rank")
+    return find([better.get(w, w) for w in words]).select(key, "score", "rank")
 
 
 def hybrid(lexical: DataFrame, vector: DataFrame, key: str, limit: int) -> DataFrame:
@@ -227,17 +265,16 @@ def expanded(nodes: DataFrame, edges: DataFrame, phrase: str, limit: int, terms:
     """
     spark = nodes.sparkSession
     docs = nodes.select("qn", F.array_join(T.split_camel(F.col("name")), " ").alias("content"))
-    index = postings(docs, "qn", {"content": 1.0})
 
-    def ask(words: list[str], n: int) -> DataFrame:
-        return bm25(index, docs, "qn", spark.createDataFrame([(1, w) for w in words], "query_id long, term string"), n).select("qn", "score")
+    def find(words: list[str], n: int) -> DataFrame:
+        return ask(docs, "qn", {"content": 1.0}, spark.createDataFrame([(1, w) for w in words], "query_id long, term string"), n).select("qn", "score")
 
-    first = ask([w for w in phrase.lower().split() if w], limit)
+    first = find([w for w in phrase.lower().split() if w], limit)
     near = edges.join(first.withColumnRenamed("qn", "source"), "source", "left_semi").select(F.explode(T.split_camel(F.element_at(F.split("target", "::"), -1))).alias("w"))
     extra = [r.w for r in near.distinct().orderBy("w").limit(terms).collect()]
     if not extra:
         return first
-    second = ask(extra, max(2 * limit, 40)).withColumn("score", F.col("score") * 0.5)
+    second = find(extra, max(2 * limit, 40)).withColumn("score", F.col("score") * 0.5)
     return first.unionByName(second).groupBy("qn").agg(F.max("score").alias("score")).orderBy(F.col("score").desc(), "qn").limit(limit)
 
 
@@ -287,5 +324,19 @@ def execute(nodes: DataFrame, edges: DataFrame, text: str, regex: str | None = N
         return expanded(pool, edges, " ".join(query_terms(text)), limit)
     docs = pool.select("qn", F.array_join(T.split_camel(F.col("name")), " ").alias("content"))
     asked = nodes.sparkSession.createDataFrame([(1, t) for t in query_terms(text)], "query_id long, term string")
-    hits = bm25(postings(docs, "qn", {"content": 1.0}), docs, "qn", asked, limit * 3).select("qn", "score")
+    hits = ask(docs, "qn", {"content": 1.0}, asked, limit * 3).select("qn", "score")
     return hits.join(pool, "qn").select("qn", (F.col("score") + boosts(text)).alias("score")).orderBy(F.col("score").desc(), "qn").limit(limit)
+
+
+def context_boosted(nodes: DataFrame, edges: DataFrame, text: str, files: DataFrame, symbols: DataFrame, limit: int = 20, boost: float = 5.0) -> DataFrame:
+    """Search within what is being worked on: qn, score. Known symbols (qn) join the hits with a score of 1, symbols in the context's files (path)
+    gain a boost, and neighbours of the best `limit` hits follow with half of the score of the best one that they are next to."""
+    asked = nodes.sparkSession.createDataFrame([(1, t) for t in query_terms(text)], "query_id long, term string")
+    docs = nodes.select("qn", F.array_join(T.split_camel(F.col("name")), " ").alias("content"))
+    hits = ask(docs, "qn", {"content": 1.0}, asked, limit).select("qn", "score")
+    known = symbols.select("qn").distinct().join(hits, "qn", "left_anti").join(nodes.select("qn"), "qn", "left_semi").withColumn("score", F.lit(1.0))
+    seeds = hits.unionByName(known).join(nodes.select("qn", "name", "kind", "modifiers", "file_path"), "qn").join(files.select(F.col("path").alias("file_path")).distinct().withColumn("near", F.lit(True)), "file_path", "left")
+    best = seeds.select("qn", (F.col("score") + boosts(text) + F.when(F.col("near"), boost).otherwise(0.0)).alias("score")).orderBy(F.col("score").desc(), "qn").limit(limit)
+    steps = edges.select("source", "target").union(edges.select("target", "source")).toDF("qn", "other").distinct()
+    around = best.join(steps, "qn").groupBy(F.col("other").alias("qn")).agg((F.max("score") / 2).alias("score"))
+    return best.unionByName(around).groupBy("qn").agg(F.max("score").alias("score")).orderBy(F.col("score").desc(), "qn").limit(limit)

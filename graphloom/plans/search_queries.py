@@ -47,12 +47,12 @@ def _bm25(name: str, weighted: list[tuple[str, float]], key: str = "id", limit:
 
 @query("bm25_top", sql("SELECT * FROM b", _ASK, _bm25("b", [("content", 1)])))
 def _(g):
-    return search.bm25(search.postings(g.chunks, "id", {"content": 1}), g.chunks, "id", asked(g), 10)
+    return search.ask(g.chunks, "id", {"content": 1}, asked(g), 10)
 
 
 @query("bm25_weighted", sql("SELECT * FROM b", _ASK, _bm25("b", [("title", 10), ("content", 1)])))
 def _(g):
-    return search.bm25(search.postings(g.chunks, "id", {"title": 10, "content": 1}), g.chunks, "id", asked(g), 10)
+    return search.ask(g.chunks, "id", {"title": 10, "content": 1}, asked(g), 10)
 
 
 @query("substring_search", sql("SELECT id FROM chunks WHERE contains(lower(content), 'ledger impact') OR contains(lower(content), 'stale cache')"))
@@ -64,8 +64,8 @@ def _(g):
 @query("rrf", sql("SELECT query_id, id, score, fused_rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS fused_rank FROM (SELECT query_id, id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT query_id, id, rank FROM x UNION ALL SELECT query_id, id, rank FROM b) GROUP BY 1, 2)) WHERE fused_rank <= 10",
     _ASK, _bm25("x", [("title", 1)]), _bm25("b", [("content", 1)])))
 def _(g):
-    one = search.bm25(search.postings(g.chunks, "id", {"title": 1}), g.chunks, "id", asked(g), 10)
-    two = search.bm25(search.postings(g.chunks, "id", {"content": 1}), g.chunks, "id", asked(g), 10)
+    one = search.ask(g.chunks, "id", {"title": 1}, asked(g), 10)
+    two = search.ask(g.chunks, "id", {"content": 1}, asked(g), 10)
     return search.reciprocal_rank([one, two], "id", 10)
 
 
