@@ -93,9 +93,15 @@ def _(g):
     return duplicates.exact_groups(decoded(g), "work_id", "t")
 
 
-@query("near_code_classes", None)
-def _(g):
-    return duplicates.near_classes(readable(g), "work_id", duplicates.code_tokens(F.col("t")))
+@query("near_code_classes", f"""WITH RECURSIVE {_DECODED}, tk AS (SELECT work_id, regexp_extract_all(t, '[A-Za-z_][0-9A-Za-z_]*|[0-9]+|[^\\s\\x0b0-9A-Za-z_]') AS k FROM pw),
+sh AS (SELECT work_id, list_sort(list_distinct(CASE WHEN len(k) = 0 THEN [] WHEN len(k) < 5 THEN [array_to_string(k, ' ')] ELSE list_transform(range(1, len(k) - 3), lambda i: array_to_string(k[i:i + 4], ' ')) END)) AS s FROM tk),
+re AS (SELECT work_id, min(work_id) OVER (PARTITION BY s) AS rep, s FROM sh), fi AS (SELECT rep, s, len(s) AS n FROM re WHERE work_id = rep AND len(s) > 0), it AS (SELECT rep, n, unnest(s) AS g FROM fi),
+pr AS (SELECT x.rep AS a, y.rep AS b FROM it x JOIN it y ON x.g = y.g AND x.rep < y.rep AND x.n >= 0.8 * y.n - 1e-9 AND y.n >= 0.8 * x.n - 1e-9 GROUP BY x.rep, y.rep, x.n, y.n HAVING round(count(*) / (x.n + y.n - count(*))::DOUBLE, 6) >= 0.8),
+un AS (SELECT a, b FROM pr UNION ALL SELECT b, a FROM pr), co AS (SELECT a AS rep, a AS c FROM un UNION SELECT co.rep, un.b FROM co JOIN un ON un.a = co.c),
+cl AS (SELECT rep, min(c) AS class_id FROM co GROUP BY 1), ln AS (SELECT a AS rep, count(*) AS links FROM un GROUP BY 1)
+SELECT work_id, coalesce(class_id, rep) AS class_id, coalesce(links, 0) AS links FROM re LEFT JOIN cl USING (rep) LEFT JOIN ln USING (rep)""")
+def _(g):
+    return duplicates.near_classes(decoded(g), "work_id", duplicates.code_tokens(F.col("t")))
 
 
 @query("near_item_pairs", r"""WITH t AS (SELECT item_id, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM eval_items),

@@ -228,7 +228,26 @@ def _(g):
     return files.parse_files(rows).groupBy("file", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("html_links", None)
+def _sources(g):
+    """Files that are text, named by repository and path."""
+    path = F.concat_ws("#", "repo_id", F.regexp_replace("rel_path", r"^(\./)+", ""))
+    rows = g.t("parse_work").filter("bytes is not null and orig_language is not null").groupBy(path.alias("file")).agg(F.min_by(F.struct("orig_language", "bytes"), "work_id").alias("r"))
+    return rows.select("file", F.col("r.orig_language").alias("language"), F.col("r.bytes").alias("content"))
+
+
+@query("source_nodes", None)
+def _(g):
+    """Declarations of all files, as nodes of a graph."""
+    return files.parse_graph(_sources(g))[0]
+
+
+@query("source_edges", None)
+def _(g):
+    """What they contain, import and call."""
+    return files.parse_graph(_sources(g))[1].select("source", "target", "kind", "confidence", "tier")
+
+
+@query("html_links", sql("SELECT id::VARCHAR AS file, unnest(regexp_extract_all(content, '(?i)<a href=\"([^\"]+)\"', 1)) AS name, 'a[' || (generate_subscripts(regexp_extract_all(content, '(?i)<a href=\"([^\"]+)\"', 1), 1) - 1) || ']' AS parent FROM chunks WHERE regexp_matches(content, '<[a-zA-Z]')"))
 def _(g):
     rows = g.chunks.filter(F.col("content").rlike("<[a-zA-Z]")).select(F.col("id").cast("string").alias("file"), F.lit("html").alias("language"), F.encode("content", "UTF-8").alias("content"))
     return files.parse_files(rows).filter("kind = 'import'").select("file", "name", "parent")

@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.operators.scan import ignored
-from graphloom.session import spread
+from graphloom.session import cut_lineage, spread
+from graphloom.sources import declarations
 
 NODES = "file string, kind string, name string, parent string, line int"
 
@@ -91,36 +92,25 @@ def _keys(value: object, parent: str) -> list[tuple[str, str, str, int]]:
     return out
 
 
-#: Declarations by language. Fixed values.
-_DECLARED = {
-    "rust": r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:(fn|struct|enum|trait|mod|use)\s+([A-Za-z_][\w:]*))",
-    "go": r"^(?:(func|type|package)\s+(?:\([^)]*\)\s*)?([A-Za-z_]\w*))",
-    "javascript": r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?(function|class|const)\s+([A-Za-z_$][\w$]*)",
-    "typescript": r"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?(function|class|interface|enum|type|const)\s+([A-Za-z_$][\w$]*)",
-    "java": r"^\s*(?:public|private|protected)?\s*(?:static\s+|final\s+|abstract\s+)*(class|interface|enum|package|import)\s+([A-Za-z_][\w.]*)",
-    "c": r"^\s*(?:static\s+)?(struct|enum|int|void|char|#include)\s+\**([<\"\w][\w./]*)",
-}
+def _html(text: str) -> list[tuple[str, str, str, int]]:
+    parser = _Html()
+    parser.feed(text)
+    return parser.rows
+
+
+declarations.register("python", _python, ["py", "pyi"])
+declarations.register("json", lambda text: _keys(json.loads(text), ""), ["json"])
+declarations.register("toml", lambda text: _keys(tomllib.loads(text), ""), ["toml"])
+declarations.register("html", _html, ["html", "htm"])
 
 
 def parse_text(raw: bytes, language: str) -> list[tuple[str, str, str, int]]:
-    """(kind, name, parent, line) of what a file declares; nothing if it isn't UTF-8 or doesn't parse."""
+    """(kind, name, parent, line) of what a file declares, imports and calls; nothing if it isn't UTF-8, doesn't parse or no handler is registered."""
+    handle = declarations.handler(language)
     try:
-        text = raw.decode("utf-8-sig")
-        if language == "python":
-            return _python(text)
-        if language == "json":
-            return _keys(json.loads(text), "")
-        if language == "toml":
-            return _keys(tomllib.loads(text), "")
-        if language == "html":
-            parser = _Html()
-            parser.feed(text)
-            return parser.rows
-        if language in _DECLARED:
-            return [(m[1], m[2], "", n) for n, line in enumerate(text.split("\n"), 1) if (m := re.match(_DECLARED[language], line))]
+        return handle(raw.decode("utf-8-sig")) if handle else []
     except (SyntaxError, ValueError, RecursionError):
-        pass
-    return []
+        return []
 
 
 def parse_files(files: DataFrame) -> DataFrame:
@@ -136,6 +126,33 @@ def parse_files(files: DataFrame) -> DataFrame:
     return spread(files.select("file", "language", "content")).mapInPandas(run, NODES)
 
 
+def parse_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes (qn, kind, name, file_path, line_start) and edges (source, target, kind, file_path, confidence, tier) of files: file, language, content.
+
+    qn is file::kind::name; of equal ones the first line counts. A file and each declaration contain what is declared in
+    them. Imports go from the file to the name as it stands. Calls are bound to the callable of that name in the same file
+    (confidence 0.9), else to the only one of the name in all files of the language (0.65), else to the bare name (0.3).
+    """
+    language = files.select(F.col("file").alias("file_path"), "language").distinct()
+    rows = cut_lineage(parse_files(files).withColumnRenamed("file", "file_path").join(language, "file_path"))
+    name = F.concat_ws("::", "file_path", "kind", "name")
+    declared = rows.filter(~F.col("kind").isin("import", "call")).groupBy("file_path", "language", "kind", "name").agg(F.min("line").alias("line_start"), F.min_by("parent", "line").alias("parent"))
+    top = language.select("file_path", "language", F.lit("file").alias("kind"), F.regexp_extract("file_path", r"([^/]*)$", 1).alias("name"), F.lit(1).alias("line_start"), F.lit("").alias("parent"))
+    nodes = declared.unionByName(top).withColumn("qn", F.when(F.col("kind") == "file", F.col("file_path")).otherwise(name))
+    holders = declared.select("file_path", F.col("name").alias("parent"), name.alias("holder"), "line_start").groupBy("file_path", "parent").agg(F.min_by("holder", "line_start").alias("holder"))
+    inside = lambda df: df.join(holders, ["file_path", "parent"], "left").withColumn("source", F.coalesce("holder", "file_path"))
+    edge = lambda df, target, kind, confidence: df.select("source", target.alias("target"), F.lit(kind).alias("kind"), "file_path", confidence.alias("confidence"))
+    contains = edge(inside(declared.withColumn("target", name)), F.col("target"), "contains", F.lit(1.0))
+    imports = edge(rows.filter("kind = 'import'").withColumn("source", F.col("file_path")), F.col("name"), "imports", F.lit(0.9))
+    callables = declared.filter(F.col("kind").isin("function", "method")).select("language", "file_path", "name", name.alias("qn"))
+    here = callables.groupBy("file_path", "name").agg(F.min("qn").alias("here"))
+    only = callables.groupBy("language", "name").agg(F.count(F.lit(1)).alias("n"), F.min("qn").alias("there")).filter("n = 1").drop("n")
+    called = inside(rows.filter("kind = 'call'")).join(here, ["file_path", "name"], "left").join(only, ["language", "name"], "left")
+    sure = F.when(F.col("here").isNotNull(), 0.9).when(F.col("there").isNotNull(), 0.65).otherwise(0.3)
+    edges = contains.unionByName(imports).unionByName(edge(called, F.coalesce("here", "there", "name"), "calls", sure)).distinct()
+    return nodes.select("qn", "kind", "name", "file_path", "language", "line_start"), edges.withColumn("tier", F.when(F.col("confidence") >= 0.8, "high").when(F.col("confidence") >= 0.5, "medium").otherwise("low"))
+
+
 def patch(old: str, new: str, path: str, context: int = 3) -> str:
     """Unified diff of two texts."""
     return "".join(difflib.unified_diff(old.splitlines(True), new.splitlines(True), f"a/{path}", f"b/{path}", n=context))
