@@ -36,11 +36,16 @@ def either_way(nodes: DataFrame, edges: DataFrame, kinds: list[str]) -> DataFram
     return neighbours(nodes, picked, "target", "source").withColumn("direction", F.lit("in")).unionByName(neighbours(nodes, picked, "source", "target").withColumn("direction", F.lit("out")))
 
 
-def siblings(nodes: DataFrame) -> DataFrame:
-    """Pairs of different nodes with one parent: here those of one kind in one file; one row per ordered pair."""
-    a = nodes.select("file_path", "kind", F.col("qn").alias("seed"))
-    b = nodes.select("file_path", "kind", F.col("qn").alias("sibling"))
-    return a.join(b, ["file_path", "kind"]).filter(F.col("seed") != F.col("sibling")).select("seed", "sibling")
+def siblings(nodes: DataFrame, edges: DataFrame, limit: int) -> DataFrame:
+    """The first `limit` other nodes of each node's file with the same parent (the least that contains it, or none), by name: seed, sibling.
+
+    Only the first limit + 1 members of a group are joined to its nodes, never all with all.
+    """
+    parents = edges.filter("kind = 'contains'").groupBy(F.col("target").alias("qn")).agg(F.min("source").alias("parent"))
+    placed = nodes.select("qn", "file_path").join(parents, "qn", "left").select(F.col("qn").alias("seed"), "file_path", F.coalesce("parent", F.lit("")).alias("parent"))
+    first = top_per_key(placed.select(F.col("seed").alias("sibling"), "file_path", "parent"), ["file_path", "parent"], [F.col("sibling")], limit + 1)
+    pairs = placed.join(first, ["file_path", "parent"]).filter(F.col("seed") != F.col("sibling")).select("seed", "sibling")
+    return top_per_key(pairs, ["seed"], [F.col("sibling")], limit)
 
 
 def edge_files(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -77,11 +82,14 @@ def referencing_files(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return edge_files(nodes, edges).filter(F.col("source_file") != F.col("target_file")).groupBy("target_file", "source_file").agg(F.count(F.lit(1)).alias("edges"))
 
 
-def co_referencing_files(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Pairs of files that refer to the same target, smaller path first, with the number of shared targets."""
-    refs = edge_files(nodes, edges).select("source_file", "target").distinct()
-    a, b = refs.select(F.col("source_file").alias("file_a"), "target"), refs.select(F.col("source_file").alias("file_b"), "target")
-    return a.join(b, "target").filter(F.col("file_a") < F.col("file_b")).groupBy("file_a", "file_b").agg(F.count(F.lit(1)).alias("shared"))
+def co_referencing_files(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, limit: int) -> DataFrame:
+    """The `limit` other files that share most referenced symbols with each seed (path): file_a, file_b, shared. A stated set of files against all."""
+    held = edge_files(nodes, edges).select("source_file", "target").distinct()
+    mine = held.join(seeds.select(F.col("path").alias("source_file")).distinct(), "source_file", "left_semi").select(F.col("source_file").alias("file_a"), "target")
+    pairs = mine.join(held.withColumnRenamed("source_file", "file_b"), "target").filter("file_a <> file_b")
+    counts = pairs.groupBy("file_a", "file_b").agg(F.count(F.lit(1)).alias("shared"))
+    return top_per_key(counts, ["file_a"], [F.col("shared").desc(), F.col("file_b")], limit)
+
 
 
 def unused(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -7,14 +7,58 @@ confidence) are computed from the names, alike in both forms.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from functools import cached_property
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.snapshots import canonical_path, ordered_snapshots
-from graphloom.session import table
+from graphloom.session import shared_root, table
+
+
+#: Tables from which the graph is made; it is made again when one of their files changes.
+_SOURCES = ("snapshot_membership", "graph_snapshots", "commits")
+#: Rows of the listing for each stored bucket.
+_BUCKET_ROWS = 2_000_000
+_STORED: dict[tuple, str] = {}
+
+
+def _stamp(graph: Graph) -> tuple:
+    """Files of the source tables with their sizes and times."""
+    jvm = graph.spark.sparkContext._jvm
+    conf = graph.spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for name in _SOURCES:
+        path = jvm.org.apache.hadoop.fs.Path(f"{graph.sf_dir}/{name}.parquet")
+        fs = path.getFileSystem(conf)
+        files = fs.listStatus(path) if fs.exists(path) else []
+        out += [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files]
+    return (graph.spark.sparkContext.applicationId, graph.sf_dir, *sorted(out))
+
+
+def stored(graph: Graph, name: str, make, key: str) -> DataFrame:
+    """A table of the graph, written once for each state of its sources into the shared folder, in buckets of a key, and read from there by every query of the application.
+
+    As the index of a prebuilt graph does, this spares queries the listing of the snapshots, and joins on the key a shuffle.
+    """
+    at = (*_stamp(graph), name)
+    if at not in _STORED:
+        rows = make()
+        buckets = max(graph.spark.sparkContext.defaultParallelism, -(-graph.t("snapshot_membership").count() // _BUCKET_ROWS))
+        table_name = f"graphloom_{name}_{uuid.uuid4().hex}"
+        root = shared_root(graph.spark, "graph")
+        placed = rows.repartition(buckets, key)
+        try:
+            placed.write.bucketBy(buckets, key).sortBy(key).option("path", f"{root}/{table_name}").saveAsTable(table_name)
+            _STORED[at] = table_name
+        except Py4JJavaError:  # a catalog without a place of its own: the same files, without their buckets
+            placed.sortWithinPartitions(key).write.parquet(f"{root}/{table_name}-files")
+            _STORED[at] = f"{root}/{table_name}-files"
+    name = _STORED[at]
+    return graph.spark.read.parquet(name) if "/" in name else graph.spark.table(name)
 
 
 @dataclass
@@ -73,6 +117,13 @@ class Graph:
 
     @cached_property
     def nodes(self) -> DataFrame:
+        return stored(self, "nodes", self._nodes, "qn")
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        return stored(self, "edges", self._edges, "source")
+
+    def _nodes(self) -> DataFrame:
         n = F.length("name")
         start = F.length("qn") * 3 % 400 + 1
         callables = F.col("kind").isin("function", "method")
@@ -92,8 +143,7 @@ class Graph:
         rows = listing.select("repo_id", *keep, "path", e.alias("e")).select("repo_id", *keep, "path", "e.*").filter(F.col("source_qn").isNotNull() & F.col("target_qn").isNotNull())
         return rows.select("repo_id", *keep, F.concat_ws("#", "repo_id", "source_qn").alias("source"), F.concat_ws("#", "repo_id", "target_qn").alias("target"), "kind", F.col("path").alias("file_path"))
 
-    @cached_property
-    def edges(self) -> DataFrame:
+    def _edges(self) -> DataFrame:
         confidence = F.round(0.3 + (F.length("source") * 3 + F.length("target")) % 8 / 10, 1)
         return self.edge_rows(self.last).select(
             "*", confidence.alias("confidence"), F.when(confidence < 0.5, "low").when(confidence < 0.8, "medium").otherwise("high").alias("tier")

@@ -193,9 +193,10 @@ def _(g):
     return joins.either_way(g.nodes.filter("is_test"), g.edges, ["calls"]).select("seed", "qn")
 
 
-@query("siblings", sql("SELECT a.qn AS seed, b.qn AS sibling FROM nodes a JOIN nodes b USING (file_path, kind) WHERE a.qn <> b.qn"))
+@query("siblings", sql("SELECT a.qn AS seed, b.qn AS sibling FROM pn a JOIN pn b USING (file_path, parent) WHERE a.qn <> b.qn QUALIFY row_number() OVER (PARTITION BY a.qn ORDER BY b.qn) <= 10",
+    "pn AS (SELECT qn, file_path, coalesce((SELECT min(source) FROM edges e WHERE e.kind = 'contains' AND e.target = n.qn), '') AS parent FROM nodes n)"))
 def _(g):
-    return joins.siblings(g.nodes)
+    return joins.siblings(g.nodes, g.edges, 10)
 
 
 _EF = "ef AS (SELECT e.source, e.target, e.kind, a.file_path AS sf, b.file_path AS tf FROM edges e JOIN nodes a ON a.qn = e.source JOIN nodes b ON b.qn = e.target)"
@@ -217,9 +218,9 @@ def _(g):
     return joins.referencing_files(g.nodes, g.edges)
 
 
-@query("shared_refs", sql("SELECT a.sf AS file_a, b.sf AS file_b, count(*) AS shared FROM (SELECT DISTINCT sf, target FROM ef) a JOIN (SELECT DISTINCT sf, target FROM ef) b USING (target) WHERE a.sf < b.sf GROUP BY 1, 2", _EF))
+@query("shared_refs", sql("SELECT * FROM (SELECT a.sf AS file_a, b.sf AS file_b, count(*) AS shared FROM (SELECT DISTINCT sf, target FROM ef WHERE sf IN (SELECT path FROM changed)) a JOIN (SELECT DISTINCT sf, target FROM ef) b USING (target) WHERE a.sf <> b.sf GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY file_a ORDER BY shared DESC, file_b) <= 20", _EF, CHANGED))
 def _(g):
-    return joins.co_referencing_files(g.nodes, g.edges)
+    return joins.co_referencing_files(g.nodes, g.edges, changed_files(g), 20)
 
 
 DEAD = "dead AS (SELECT * FROM nodes n WHERE NOT coalesce(modifiers LIKE '%pub%', false) AND NOT is_test AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.target = n.qn AND e.kind IN ('calls', 'references', 'imports', 'extends', 'implements')))"

@@ -250,6 +250,9 @@ def _(g):
     calls = g.edges.filter("kind = 'calls'")
     a = calls.select(F.col("source").alias("caller"), F.col("target").alias("middle"), F.col("confidence").alias("c1"))
     b = calls.select(F.col("source").alias("middle"), F.col("target").alias("callee"), F.col("confidence").alias("c2"))
+    # the best five paths run through the best five callers and callees
+    a = scan.top_per_key(a, ["middle"], [F.col("c1").desc(), F.col("caller")], 5)
+    b = scan.top_per_key(b, ["middle"], [F.col("c2").desc(), F.col("callee")], 5)
     paths = a.join(b, "middle").select("caller", "middle", "callee", F.round(F.col("c1") + F.col("c2"), 6).alias("score"))
     return scan.top_per_key(paths, ["middle"], [F.col("score").desc(), F.col("caller"), F.col("callee")], 5)
 
