@@ -5,7 +5,7 @@ Either-direction joins are unions of two equi-joins, never a join on OR, so that
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.operators.scan import top_per_key
@@ -149,3 +149,11 @@ def owners(paths: DataFrame, roots: DataFrame) -> DataFrame:
     folders = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
     found = paths.select("path", F.explode(folders).alias("root")).join(roots, "root")
     return found.groupBy("path").agg(F.max_by("owner", F.length("root")).alias("owner"))
+
+
+def renames(now: DataFrame, old: DataFrame) -> DataFrame:
+    """old_path and path of files (repo_id, path, file_hash) that are in only one of two listings and have the same hash; several of one hash are paired in order of their paths. A null hash equals none."""
+    order = Window.partitionBy("repo_id", "file_hash").orderBy("path")
+    came = now.filter("file_hash is not null").join(old.select("path"), "path", "left_anti").withColumn("n", F.row_number().over(order))
+    went = old.filter("file_hash is not null").join(now.select("path"), "path", "left_anti").withColumn("n", F.row_number().over(order))
+    return came.join(went.withColumnRenamed("path", "old_path"), ["repo_id", "file_hash", "n"]).select("old_path", "path")

@@ -126,10 +126,15 @@ def vector_top(vectors: DataFrame, queries: DataFrame, limit: int) -> DataFrame:
     return best
 
 
+def fuzzy_cap(text: str) -> int:
+    """Edits that a name may be away from a text of this length."""
+    return 0 if len(text) <= 3 else 1 if len(text) <= 5 else 2 if len(text) <= 8 else 3
+
+
 def boosts(query: str) -> Column:
     """Score added to a name hit: exact 20, prefix 5, full name 15, kind 3/2/1, public 2, fuzzy 24/18/12/8 with kind bonus where neither exact nor prefix."""
     q = query.strip().lower()
-    cap = 0 if len(q) <= 3 else 1 if len(q) <= 5 else 2 if len(q) <= 8 else 3
+    cap = fuzzy_cap(q)
     name = F.lower("name")
     exact, prefix = name == q, (name != q) & name.startswith(q)
     d = F.levenshtein(name, F.lit(q))
@@ -231,26 +236,46 @@ def grep(docs: DataFrame, key: str, content: str, pattern: str, context: int) ->
 def with_fallback(docs: DataFrame, key: str, fields: dict[str, float], phrase: str, limit: int, few: int = 3) -> DataFrame:
     """Full text first; with few hits also substrings, fused by rank; with none at all once more with corrected words.
 
+    Phrases of several words are then put in order of how near their words stand (in the last field, with the first as title).
     The choice needs the number of hits, of which at most `few` are counted.
     """
     spark = docs.sparkSession
+    title, content = next(iter(fields)), list(fields)[-1]
 
     def find(words: list[str]) -> DataFrame:
-        return ask(docs, key, fields, spark.createDataFrame([(1, w) for w in words], "query_id long, term string"), limit)
+        text = " ".join(words)
+        first = ask(docs, key, fields, spark.createDataFrame([(1, w) for w in words], "query_id long, term string"), limit)
+        lists = [first]
+        if len(first.take(few)) < few:
+            lists.append(substring_ranked(docs.select(key, F.concat_ws(" ", *fields).alias("all_text")), key, "all_text", spark.createDataFrame([(1, text)], "query_id long, phrase string"), limit))
+        fused = reciprocal_rank(lists, key, limit).select(key, "score", "fused_rank")
+        if len(words) < 2:
+            return fused.select(key, "score", F.col("fused_rank").alias("rank"))
+        near = fused.join(proximity(docs.join(fused.select(key), key, "left_semi"), key, content, title, words), key)
+        return near.select(key, "score", F.row_number().over(Window.orderBy(F.col("near").desc(), "fused_rank")).cast("long").alias("rank"))
 
     words = [w for w in phrase.lower().split() if w]
-    first = find(words)
-    hits = len(first.take(few))
-    if hits >= few:
-        return first.select(key, "score", "rank")
-    inside = docs.filter(F.lower(F.concat_ws(" ", *fields)).contains(phrase.lower())).select(F.lit(1).cast("long").alias("query_id"), key)
-    inside = inside.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(key)).cast("long")).filter(F.col("rank") <= limit)
-    fused = reciprocal_rank([first, inside], key, limit).select(key, "score", F.col("fused_rank").alias("rank"))
-    if fused.take(1):
-        return fused
+    found = find(words)
+    if found.take(1):
+        return found
     vocabulary = postings(docs, key, fields).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     better = {r.word: r.term for r in corrections(vocabulary, spark.createDataFrame([(w,) for w in words], "word string")).collect()}
-    return find([better.get(w, w) for w in words]).select(key, "score", "rank")
+    return find([better.get(w, w) for w in words])
+
+
+def proximity(docs: DataFrame, key: str, content: str, title: str, terms: list[str], window: int = 50) -> DataFrame:
+    """key and near: pairs of words that hold two different terms at most `window` words apart, and 5 for each term in the title; letter case ignored. key is taken to be unique.
+
+    Only words that hold a term leave the scan.
+    """
+    low = F.array(*(F.lit(t.lower()) for t in terms))
+    words = docs.select(key, F.posexplode(F.filter(F.split(F.lower(content), r"(?U)\s+"), lambda w: w != "")).alias("pos", "word"))
+    held = F.filter(F.sequence(F.lit(1), F.lit(len(terms))), lambda k: F.contains("word", F.get(low, k - 1)))
+    hits = words.withColumn("held", held).filter(F.size("held") > 0).select(key, "pos", F.explode("held").alias("term"))
+    placed = hits.groupBy(key).agg(F.collect_list(F.struct("pos", "term")).alias("at"))
+    beside = F.aggregate("at", F.lit(0), lambda n, x: n + F.size(F.filter("at", lambda y: (y["term"] > x["term"]) & (F.abs(y["pos"] - x["pos"]) <= window))))
+    named = sum((F.when(F.lower(title).contains(t.lower()), 5).otherwise(0) for t in terms), F.lit(0))
+    return docs.select(key, named.alias("named")).join(placed.select(key, beside.alias("beside")), key, "left").select(key, (F.col("named") + F.coalesce("beside", F.lit(0))).alias("near"))
 
 
 def hybrid(lexical: DataFrame, vector: DataFrame, key: str, limit: int) -> DataFrame:
@@ -309,8 +334,12 @@ def relaxed_prefixes(text: str) -> list[str]:
     return [t[: 3 if len(t) >= 6 else 2] for t in query_terms(text) if len(t) >= 4]
 
 
-def execute(nodes: DataFrame, edges: DataFrame, text: str, regex: str | None = None, semantic: bool = False, limit: int = 20) -> DataFrame:
-    """Symbol search in the mode that the question asks for: qn, score. Boosts are added to full-text hits."""
+def execute(nodes: DataFrame, edges: DataFrame, text: str, regex: str | None = None, semantic: bool = False, limit: int = 20, fuzzy: bool = False) -> DataFrame:
+    """Symbol search in the mode that the question asks for: qn, score.
+
+    Exact names (100 for the full one, 80 for the short one), full-text hits and, if fuzzy, names within the edit distance
+    that the text's length allows, whose words begin as the text's do, are put together, and boosts added to them.
+    """
     from graphloom.operators.context import query_mode
     from graphloom.operators.scan import regex_match
 
@@ -324,7 +353,14 @@ def execute(nodes: DataFrame, edges: DataFrame, text: str, regex: str | None = N
         return expanded(pool, edges, " ".join(query_terms(text)), limit)
     docs = pool.select("qn", F.array_join(T.split_camel(F.col("name")), " ").alias("content"))
     asked = nodes.sparkSession.createDataFrame([(1, t) for t in query_terms(text)], "query_id long, term string")
+    q = text.strip().lower()
     hits = ask(docs, "qn", {"content": 1.0}, asked, limit * 3).select("qn", "score")
+    hits = hits.unionByName(pool.filter(F.lower("qn") == q).select("qn", F.lit(100.0).alias("score"))).unionByName(pool.filter(F.lower("name") == q).select("qn", F.lit(80.0).alias("score")))
+    cap, starts = fuzzy_cap(q), relaxed_prefixes(text)
+    if fuzzy and cap and starts:
+        begins = F.exists(T.split_camel(F.col("name")), lambda w: F.array_contains(F.array(*map(F.lit, starts)), F.substring(w, 1, 3)) | F.array_contains(F.array(*map(F.lit, starts)), F.substring(w, 1, 2)))
+        hits = hits.unionByName(pool.filter(begins & (F.levenshtein(F.lower("name"), F.lit(q)) <= cap)).select("qn", F.lit(0.0).alias("score")))
+    hits = hits.groupBy("qn").agg(F.max("score").alias("score"))
     return hits.join(pool, "qn").select("qn", (F.col("score") + boosts(text)).alias("score")).orderBy(F.col("score").desc(), "qn").limit(limit)
 
 

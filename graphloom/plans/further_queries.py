@@ -72,10 +72,31 @@ def _(g):
     return search.with_fallback(g.chunks, "id", {"content": 1.0}, "snapshto ledgr", 20)
 
 
-@query("symbol_search", None)
+_SPACE = r"[\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+_AT = "list_filter(range(1, len(w) + 1), lambda i: contains(w[i], '{}'))"
+_BY = "coalesce(list_sum(list_transform({}, lambda a: len(list_filter({}, lambda b: abs(a - b) <= 50)))), 0)"
+
+
+@query("proximity_scores", sql(f"SELECT id, ({_BY.format('p1', 'p2')} + {_BY.format('p1', 'p3')} + {_BY.format('p2', 'p3')} + CASE WHEN contains(lower(title), 'stale') THEN 5 ELSE 0 END + CASE WHEN contains(lower(title), 'cache') THEN 5 ELSE 0 END + CASE WHEN contains(lower(title), 'ledger') THEN 5 ELSE 0 END)::INTEGER AS near FROM pp WHERE near > 0",
+    f"ws AS (SELECT id, title, list_filter(string_split_regex(lower(content), '{_SPACE}'), lambda x: x <> '') AS w FROM chunks)", f"pp AS (SELECT id, title, {_AT.format('stale')} AS p1, {_AT.format('cache')} AS p2, {_AT.format('ledger')} AS p3 FROM ws)"))
+def _(g):
+    """How near the words of a phrase stand in each text."""
+    return search.proximity(g.chunks, "id", "content", "title", ["stale", "Cache", "ledger"]).filter("near > 0")
+
+
+_LOAD = "list_filter(string_split_regex(lower(regexp_replace(regexp_replace(name, '([a-z0-9])([A-Z])', '\\1_\\2', 'g'), '([A-Z]+)([A-Z][a-z])', '\\1_\\2', 'g')), '[^a-z0-9]+'), lambda t: t <> '')"
+
+
+@query("symbol_search", sql(f"""SELECT qn, round(base + CASE WHEN n = 'load_node' THEN 20 ELSE 0 END + CASE WHEN n <> 'load_node' AND starts_with(n, 'load_node') THEN 5 ELSE 0 END + CASE WHEN levenshtein(n, 'load_node') <= 3 AND NOT starts_with(n, 'load_node') THEN CASE levenshtein(n, 'load_node') WHEN 0 THEN 24 WHEN 1 THEN 18 WHEN 2 THEN 12 ELSE 8 END + CASE WHEN kind IN ('function', 'method') THEN 10 WHEN kind IN ('module', 'package') THEN 5 ELSE 8 END ELSE 0 END
+  + CASE WHEN kind IN ('function', 'method') THEN 3 WHEN kind IN ('class', 'struct', 'trait', 'interface') THEN 2 WHEN kind = 'enum' THEN 1 ELSE 0 END + CASE WHEN regexp_matches(coalesce(modifiers, ''), 'pub|export') THEN 2 ELSE 0 END, 6)::DOUBLE AS score
+  FROM (SELECT qn, max(score) AS base FROM al GROUP BY 1) JOIN nn USING (qn) ORDER BY score DESC, qn LIMIT 20""",
+    f"nn AS (SELECT *, lower(name) AS n, {_LOAD} AS parts FROM nodes)", "q AS (SELECT * FROM (VALUES (1::BIGINT, 'load'), (1, 'node')) v(query_id, term))", "tt AS (SELECT qn, unnest(parts) AS term FROM nn)",
+    "tf AS (SELECT qn, term, count(*) AS f FROM tt GROUP BY 1, 2)", "df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1)", "ln AS (SELECT qn, count(*) AS len FROM tt GROUP BY 1)", "tn AS (SELECT (SELECT count(*) FROM nodes) AS n_docs, (SELECT count(*) FROM tt) AS sum_len)",
+    f"ft AS (SELECT qn, score FROM (SELECT query_id, qn, {_BM25} AS score FROM q JOIN tf USING (term) JOIN df USING (term) JOIN ln USING (qn), tn GROUP BY 1, 2) ORDER BY score DESC, qn LIMIT 60)",
+    "al AS (SELECT * FROM ft UNION ALL SELECT qn, 100 FROM nn WHERE lower(qn) = 'load_node' UNION ALL SELECT qn, 80 FROM nn WHERE n = 'load_node' UNION ALL SELECT qn, 0 FROM nn WHERE levenshtein(n, 'load_node') <= 3 AND len(list_filter(parts, lambda w: w[:3] IN ('loa', 'no', 'lo') OR w[:2] IN ('loa', 'no', 'lo'))) > 0)"))
 def _(g):
-    """Full text with boosts, as the dispatcher runs it."""
-    return search.execute(g.nodes, g.edges, "load_node cache")
+    """Exact names, full text and near names with boosts, as the dispatcher runs them."""
+    return search.execute(g.nodes, g.edges, "load_node", fuzzy=True).select("qn", F.round("score", 6).alias("score"))
 
 
 @query("context_search", None)

@@ -108,6 +108,20 @@ def _(g):
     return now.join(old, "path", "full").select("path", kind.alias("change_type")).filter(F.col("change_type").isNotNull())
 
 
+_TWO = """nw AS (SELECT * FROM last_listing WHERE (repo_id, pos) IN (SELECT (repo_id, pos) FROM snap_order WHERE pos > 1)),
+ol AS (SELECT l.* FROM listing l JOIN snap_order o ON o.repo_id = l.repo_id AND o.next_id IS NULL AND l.pos = o.pos - 1),
+ad AS (SELECT n.repo_id, n.path, n.file_hash FROM nw n WHERE n.path NOT IN (SELECT path FROM ol) AND n.file_hash IS NOT NULL), de AS (SELECT o.repo_id, o.path, o.file_hash FROM ol o WHERE o.path NOT IN (SELECT path FROM nw) AND o.file_hash IS NOT NULL)"""
+
+
+@query("renamed_files", sql("SELECT d.path AS old_path, a.path FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, file_hash ORDER BY path) AS n FROM ad) a JOIN (SELECT *, row_number() OVER (PARTITION BY repo_id, file_hash ORDER BY path) AS n FROM de) d USING (repo_id, file_hash, n)", _TWO))
+def _(g):
+    """Files that went and came under another path with the same hash since the snapshot before; several of one hash in order of their paths."""
+    last = g.order.filter(F.col("next_id").isNull() & (F.col("pos") > 1)).select("repo_id", "pos")
+    now = g.last.join(last, ["repo_id", "pos"], "left_semi").select("repo_id", "path", "file_hash")
+    old = g.listing.join(last.withColumn("pos", F.col("pos") - 1), ["repo_id", "pos"], "left_semi").select("repo_id", "path", "file_hash")
+    return joins.renames(now, old)
+
+
 @query("search_filters", sql("SELECT qn FROM nodes WHERE kind = 'function' AND language = 'rust' AND NOT is_test AND lower(split_part(file_path, '#', 2)) LIKE 'src/%' AND kind <> 'file'"))
 def _(g):
     nodes = g.nodes.withColumn("file_path", F.split_part("file_path", F.lit("#"), F.lit(2)))

@@ -225,3 +225,23 @@ def test_bounded_sessions_over_many_batches(spark, tmp_path):
     want = frame.withColumn("n", F.row_number().over(w)).filter("n <= 7")
     assert out.select("batch").distinct().count() == 3
     assert rows(latest.select("session_id", "id")) == rows(want.select("session_id", "id"))
+
+
+def test_parts_follow_the_planned_size(spark, monkeypatch):
+    from graphloom import session
+
+    rows_ = spark.range(1000)
+    assert session.parts_for(rows_) is None
+    monkeypatch.setattr(session, "PART_BYTES", 100)
+    assert session.parts_for(rows_) == 80
+
+
+def test_near_words_and_renames(spark):
+    from graphloom.operators import joins, search
+
+    far = "x " * 60
+    docs = spark.createDataFrame([(1, "T", "Stale a cache"), (2, "stale", f"stale {far}cache"), (3, None, None), (4, "Cache", ""), (5, "t", "stale stale cachette")], "id long, title string, content string")
+    assert rows(search.proximity(docs, "id", "content", "title", ["stale", "cache"])) == [(1, 1), (2, 5), (3, 0), (4, 5), (5, 2)]
+    now = spark.createDataFrame([(1, "b", "h"), (1, "c", "h"), (1, "same", "h"), (1, "n", None), (2, "x", "h")], "repo_id long, path string, file_hash string")
+    old = spark.createDataFrame([(1, "a", "h"), (1, "same", "h"), (1, "o", None)], "repo_id long, path string, file_hash string")
+    assert rows(joins.renames(now, old)) == [("a", "b")]
