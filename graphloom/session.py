@@ -66,6 +66,6 @@ PART_BYTES = 128 << 20
 
 def parts_for(df: DataFrame) -> int | None:
     """Parts for a shuffle of df where the session's number would make them too large for a task; None leaves the number to the session and its adaptive planning."""
-    planned = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    planned = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     wanted = -(-planned // PART_BYTES)
     return wanted if wanted > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) and planned < 1 << 62 else None
