@@ -15,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphloom.session import parts_for
+
 GROUP = ["query_id", "kind"]
 #: Buckets of groups: as many partitions as a cluster may want.
 BUCKETS = 1 << 20
@@ -207,5 +209,7 @@ def top_items(results: DataFrame, top: int = 5) -> DataFrame:
     ).filter(F.col("kind").isNotNull() & F.col("score").isNotNull() & ~F.isnan("score"))
     sort = [F.col("query_id").asc(), F.col("kind").asc(), F.col("score").desc(), F.col("file_path").asc_nulls_last(), F.col("qualified_name").asc_nulls_last(), F.col("result_id").asc_nulls_last()]
     runs = rows.sortWithinPartitions(*sort).mapInArrow(cut_runs(top), _RUN)
-    stored = runs.withColumn("run", F.spark_partition_id()).withColumn("bucket", F.pmod(F.hash(*GROUP), F.lit(BUCKETS))).repartition("bucket")
+    stored = runs.withColumn("run", F.spark_partition_id()).withColumn("bucket", F.pmod(F.hash(*GROUP), F.lit(BUCKETS)))
+    parts = parts_for(results)
+    stored = stored.repartition(parts, "bucket") if parts else stored.repartition("bucket")
     return stored.mapInArrow(merge_runs(top), "query_id long, kind string, rank_no int, result_id long")
