@@ -80,6 +80,38 @@ def test_near_classes(spark):
     assert got == [(1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 4, 0), (5, 5, 0)]
 
 
+def test_near_classes_store_neither_tokens_nor_shingles(spark, monkeypatch):
+    import random
+
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(1)
+    base = [[f"w{rnd.randrange(500)}" for _ in range(80)] for _ in range(5)]
+    data = []
+    for k in range(30):
+        own = list(base[k % 5])
+        for _ in range(k % 3):
+            own[rnd.randrange(80)] = "zz"
+        data.append((k, " ".join(own)))
+    stored, real = [], duplicates.cut_lineage
+    monkeypatch.setattr(duplicates, "cut_lineage", lambda df: stored.append(df.dtypes) or real(df))
+    frame = spark.createDataFrame([*data, (30, "a b"), (31, "a b"), (32, "a b c")], "id long, t string").repartition(3)
+    got = rows(duplicates.near_classes(frame, "id", F.split("t", " ")).select("id", "class_id", "links"))
+    sets = {k: frozenset(tuple(t.split()[i : i + 5]) for i in range(76)) for k, t in data}
+    reps = {k: min(x for x in sets if sets[x] == sets[k]) for k in sets}
+    links = {k: {r for r in reps.values() if r != reps[k] and len(sets[k] & sets[r]) / len(sets[k] | sets[r]) >= 0.8} for k in sets}
+    found = {}
+    for k in sets:
+        seen, todo = {reps[k]}, [reps[k]]
+        while todo:
+            new = links[todo.pop()] - seen
+            seen |= new
+            todo += new
+        found[k] = (k, min(seen), len(links[k]))
+    assert got == sorted([*found.values(), (30, 30, 0), (31, 30, 0), (32, 32, 0)], key=repr)
+    assert stored and not [kind for of in stored for _, kind in of if kind.startswith("array")]
+
+
 def test_query_terms_and_modes(spark):
     assert search.query_terms("parseHTTPRequest in load_cache, load") == ["parsehttprequest", "parse", "http", "request", "in", "load", "cache"]
     assert search.relaxed_prefixes("cache of snapshots") == ["ca", "sna"]
