@@ -162,8 +162,9 @@ def similar_functions(nodes: DataFrame, edges: DataFrame, min_score: float, limi
 
     Compared are the parts of the name, the words of the signature, the body (column body of nodes: an array of shingles;
     without it this counts nothing), the names of neighbours, the module and the number of lines. Pairs come from equality
-    joins on name parts, neighbours and shingles, whose ids alone are joined; the rest is looked up for them. Pairs without
-    any of these in common reach 0.3 at most, so min_score must be greater, and no pair is lost.
+    joins on neighbours and shingles, and on name parts; of the latter only those go on that reach the score by name,
+    signature, module and size. Pairs without any of these in common reach 0.3 at most, so min_score must be greater, and
+    no pair is lost.
     """
     if min_score <= SIMILAR["signature"] + SIMILAR["module"] + SIMILAR["size"]:
         raise ValueError("min_score must be above 0.3: below, pairs that share nothing to join on would count")
@@ -189,20 +190,31 @@ def similar_functions(nodes: DataFrame, edges: DataFrame, min_score: float, limi
             (F.col("line_end") - F.col("line_start") + 1).alias("loc"),
         )
     )
+    sides = lambda rows, *more: (rows.select("language", "kind", "shared", *(F.col(c).alias(f"{side}_{c}") for c in ("qn", "arity", "file_path", *more))) for side in "ab")
+    other = (F.col("a_file_path") != F.col("b_file_path")) & (F.abs(F.col("a_arity") - F.col("b_arity")) <= 1) & (F.col("a_qn") < F.col("b_qn"))
+
+    def parts(*columns: str) -> dict[str, Column]:
+        own = {c: T.jaccard(F.col(f"a_{c}"), F.col(f"b_{c}")) for c in columns}
+        own["module"] = F.when(F.col("a_module") == F.col("b_module"), 1.0).otherwise(0.0)
+        return own | {"size": T.overlap_ratio(F.col("a_loc"), F.col("b_loc"))}
+
+    total = lambda of: sum((of[c] * w for c, w in SIMILAR.items() if c in of), F.lit(0.0))
+    # pairs that share a neighbour or a shingle; all others have to reach the score by the rest, which is told while they are joined on name parts
     mark = lambda column, tag: F.transform(column, lambda x: F.concat(F.lit(tag), x))
-    held = prints.select("qn", "language", "kind", "arity", "file_path", F.explode(F.array_distinct(F.concat(mark("name", "p"), mark("near", "n"), mark("body", "b")))).alias("shared"))
-    a, b = (held.select("language", "kind", "shared", *(F.col(c).alias(f"{side}_{c}") for c in ("qn", "arity", "file_path"))) for side in "ab")
-    pairs = a.join(b, ["language", "kind", "shared"]).filter((F.col("a_file_path") != F.col("b_file_path")) & (F.abs(F.col("a_arity") - F.col("b_arity")) <= 1) & (F.col("a_qn") < F.col("b_qn"))).select("a_qn", "b_qn").distinct()
+    a, b = sides(prints.select("*", F.explode(F.array_distinct(F.concat(mark(F.col("near"), "n"), mark(F.col("body"), "b")))).alias("shared")))
+    near_pairs = a.join(b, ["language", "kind", "shared"]).filter(other).select("a_qn", "b_qn")
+    # without a common word of the signature such a pair reaches 0.28 at most
+    a, b = sides(prints.filter(F.size("signature") > 0).select("*", F.explode("name").alias("shared")), "name", "signature", "module", "loc")
+    named = a.join(b, ["language", "kind", "shared"]).filter(other).filter(total(parts("name", "signature")) >= min_score - 1e-6).select("a_qn", "b_qn")
+    pairs = near_pairs.unionByName(named).distinct()
     wanted = ["file_path", "line_start", "name", "signature", "body", "near", "module", "loc"]
     for side in "ab":
         pairs = pairs.join(prints.select(F.col("qn").alias(f"{side}_qn"), *(F.col(c).alias(f"{side}_{c}") for c in wanted)), f"{side}_qn")
-    parts = {c: T.jaccard(F.col(f"a_{c}"), F.col(f"b_{c}")) for c in ("name", "signature", "body", "near")}
-    parts["module"] = F.when(F.col("a_module") == F.col("b_module"), 1.0).otherwise(0.0)
-    parts["size"] = T.overlap_ratio(F.col("a_loc"), F.col("b_loc"))
-    score = sum((parts[c] * w for c, w in SIMILAR.items()), F.lit(0.0))
+    compared = parts("name", "signature", "body", "near")
+    score = total(compared)
     passes = F.lit(False)
     for c, least in SIMILAR_GATE.items():
-        passes = passes | (parts[c] >= least)
+        passes = passes | (compared[c] >= least)
     scored = pairs.withColumn("score", F.round(score, 6)).filter((F.col("score") >= min_score) & passes)
     one = lambda x, y: F.struct(F.col(f"{x}_qn").alias("qn"), F.col(f"{y}_qn").alias("match_qn"), F.col(f"{y}_file_path").alias("file_path"), F.col(f"{y}_line_start").alias("line_start"), "score")
     both = scored.select(F.explode(F.array(one("a", "b"), one("b", "a"))).alias("m")).select("m.*")

@@ -245,3 +245,40 @@ def test_near_words_and_renames(spark):
     now = spark.createDataFrame([(1, "b", "h"), (1, "c", "h"), (1, "same", "h"), (1, "n", None), (2, "x", "h")], "repo_id long, path string, file_hash string")
     old = spark.createDataFrame([(1, "a", "h"), (1, "same", "h"), (1, "o", None)], "repo_id long, path string, file_hash string")
     assert rows(joins.renames(now, old)) == [("a", "b")]
+
+
+def test_similar_functions_drop_pairs_as_they_are_joined(spark):
+    from itertools import combinations
+
+    size = 300
+    data = [(f"r#f{k}::fn::get_{k}", f"get_{k}", "function", f"d{k}/f.py", "python", k, k + 4, "(left)" if k < 2 else "()") for k in range(size)]
+    data += [("r#x::fn::get_0", "get_0", "function", "y/x.py", "python", 1, 5, "(left)"), ("r#x::fn::some", "some", "function", "y/x.py", "python", 1, 5, "()"), ("r#z::fn::else", "else", "function", "y/z.py", "python", 1, 5, "()")]
+    nodes = spark.createDataFrame(data, "qn string, name string, kind string, file_path string, language string, line_start int, line_end int, params string")
+    edges = spark.createDataFrame([("r#x::fn::some", "r#f1::fn::get_1"), ("r#z::fn::else", "r#f1::fn::get_1")], "source string, target string")
+
+    def jaccard(x, y):
+        return len(x & y) / len(x | y) if x and y else 0
+
+    of = {d[0]: (set(d[1].split("_")), {w for w in [d[7].strip("()")] if w}, d[3].rpartition("/")[0], d[3]) for d in data}
+    near = {q: set() for q in of}
+    for s, t in (("r#x::fn::some", "r#f1::fn::get_1"), ("r#z::fn::else", "r#f1::fn::get_1")):
+        near[s].add(t.split("::")[-1])
+        near[t].add(s.split("::")[-1])
+    want = set()
+    for x, y in combinations(of, 2):
+        a, b = of[x], of[y]
+        jn, js, jr = jaccard(a[0], b[0]), jaccard(a[1], b[1]), jaccard(near[x], near[y])
+        if a[3] != b[3] and abs(len(a[1]) - len(b[1])) <= 1 and round(0.18 * jn + 0.2 * js + 0.18 * jr + 0.05 * (a[2] == b[2]) + 0.05, 6) >= 0.35 and (js >= 0.3 or jr >= 0.15):
+            want |= {(x, y), (y, x)}
+    store = spark.sparkContext._jsc.sc().statusStore()
+    gateway = spark.sparkContext._gateway
+
+    def written():
+        stages = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+    before = written()
+    got = {(r.qn, r.match_qn) for r in search.similar_functions(nodes, edges, 0.35, size).collect()}
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    assert got == want and want
+    assert written() - before < size * (size - 1) / 2 / 4
