@@ -2,10 +2,11 @@
 
 Words and neighbouring pairs of words are counted over the running text of the whole corpus. The order of running text
 carries information: a pair has more pointwise mutual information than its words in reverse. A window of a page is
-stuffed if the mean of that gain over its neighbouring words is less than the corpus usually has, times the share of the
-window's words in pairs that the page repeats: without any order (word salad) little repetition suffices. It is
+stuffed if the mean information of its neighbouring words, or the mean of that gain, is less than the corpus usually has,
+times the share of the window's words in pairs that the page repeats, or of words that it repeats if these are nearly all
+of the window: without any order (word salad) little repetition suffices, and no pair has to occur twice. It is
 stuffed, too, if nearly all of it is repeated collocations, pairs of high information. Where most of a window is in
-punctuated sentences, only a third of that gain is asked for, so that a repeated sentence is not taken for keywords, but
+punctuated sentences, only a third of both means is asked for, so that a repeated sentence is not taken for keywords, but
 salad with full stops is. Tags, and links without a description, are stuffed too. Code, tables and log lines never are.
 No list of words of any language is used.
 """
@@ -34,6 +35,8 @@ MIN_PMI = 1.0
 WINDOW_WORDS = 20
 #: Share of a window in repeated collocations that is excessive, however usual their order.
 EXCESS = 0.8
+#: Share of a window in words that the page holds REPEATS times, from which it may be salad though none of its pairs is repeated.
+SALAD = 0.8
 #: Words, and share of distinct ones, that a segment with a full stop has at least to be a sentence; the part of the usual gain that is asked for there.
 SENTENCE_WORDS, SENTENCE_DISTINCT, SENTENCE_GAIN = 8, 0.6, 1 / 3
 #: Words whose hashes a worker remembers.
@@ -168,7 +171,7 @@ def read_page(text: str) -> Page:
 
 @dataclass
 class Known:
-    """Counts of words, and of pairs in ascending and descending order of their hashes, by code; totals and usual gain of the corpus."""
+    """Counts of words, and of pairs in ascending and descending order of their hashes, by code; totals, and usual gain and mutual information of the corpus."""
 
     code: np.ndarray
     up: np.ndarray
@@ -176,6 +179,7 @@ class Known:
     words: int
     pairs: int
     usual: float
+    mutual: float
 
     def of(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(self.code):
@@ -184,17 +188,55 @@ class Known:
         hit = self.code[at] == codes
         return np.where(hit, self.up[at], 0), np.where(hit, self.down[at], 0)
 
-    def information(self, first: np.ndarray, second: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of each pair its mutual information (the greater one of both orders), and the gain of its order over the reverse."""
+    def information(self, first: np.ndarray, second: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each pair its mutual information (the greater one of both orders, and the one of its own), and the gain of its order over the reverse."""
         up, down = self.of(pair)
         chance = np.log(np.maximum(self.of(first)[0], 1) / self.words) + np.log(np.maximum(self.of(second)[0], 1) / self.words)
-        told = np.log(np.maximum(np.maximum(up, down), 0.5) / self.pairs) - chance
+        told, own = (np.log(np.maximum(k, 0.5) / self.pairs) - chance for k in (np.maximum(up, down), np.where(first <= second, up, down)))
         gain = np.log((up + 0.5) / (down + 0.5)) * np.sign(second.astype(np.float64) - first.astype(np.float64))
-        return told, gain
+        return told, own, gain
+
+
+def _windows(page: Page) -> Iterator[tuple[np.ndarray, int]]:
+    """Starts and width of the windows of each sequence."""
+    n = len(page.codes)
+    bounds = [0, *(k for k in page.starts if 0 < k < n), n]
+    for lo, hi in zip(bounds, bounds[1:]):
+        width = min(WINDOW_WORDS, hi - lo)
+        yield np.arange(lo, hi - width + 1), width
+
+
+def _cover(starts: np.ndarray, width: int, n: int) -> np.ndarray:
+    """Which of n words are in windows that begin at starts."""
+    edges = np.zeros(n + 1, dtype=np.int64)
+    np.add.at(edges, starts, 1)
+    np.add.at(edges, starts + width, -1)
+    return np.cumsum(edges[:n]) > 0
+
+
+def _sums(flags: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0.0], np.cumsum(flags)])
+
+
+def _salad(page: Page) -> tuple[np.ndarray, np.ndarray]:
+    """Words that the page repeats, and which of them are in whole windows of little else."""
+    n = len(page.codes)
+    recurring = np.zeros(n, dtype=bool)
+    if n < WINDOW_WORDS:
+        return recurring, recurring
+    _, inverse, times = np.unique(page.codes, return_inverse=True, return_counts=True)
+    recurring = times[inverse] >= REPEATS
+    dense = np.zeros(n, dtype=bool)
+    if np.count_nonzero(recurring) >= SALAD * WINDOW_WORDS:
+        total = _sums(recurring)
+        for start, width in _windows(page):
+            if width == WINDOW_WORDS:
+                dense |= _cover(start[total[start + width] - total[start] >= SALAD * width], width, n)
+    return recurring, dense & recurring
 
 
 def _marked(page: Page, known: Known | None) -> np.ndarray:
-    """Which words of the page are stuffed; without counts every repeated pair is: no more can be."""
+    """Which words of the page are stuffed; without counts every repeated pair is, and every word of what may be salad: no more can be."""
     n = len(page.codes)
     out = np.zeros(n, dtype=bool)
     at, first, second = page.neighbours()
@@ -203,33 +245,35 @@ def _marked(page: Page, known: Known | None) -> np.ndarray:
     pair = unordered(first, second)
     _, inverse, times = np.unique(pair, return_inverse=True, return_counts=True)
     often = times[inverse] >= REPEATS
-    if known is None or not often.any():
-        out[at[often]] = True
-        out[at[often] + 1] = True
-        return out
-    told, gain = known.information(first, second, pair)
-    repeated, phrases = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
-    for flags, which in ((repeated, often), (phrases, often & (told >= MIN_PMI))):
+    recurring, dense = _salad(page)
+    repeated = dense.copy()
+    repeated[at[often]] = True
+    repeated[at[often] + 1] = True
+    if known is None or not repeated.any():
+        return repeated
+    told, own, gain = known.information(first, second, pair)
+    paired, phrases = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
+    for flags, which in ((paired, often), (phrases, often & (told >= MIN_PMI))):
         flags[at[which]] = True
         flags[at[which] + 1] = True
-    gains, steps = np.zeros(n), np.zeros(n)
-    gains[at], steps[at] = gain, 1
+    gains, infos, steps = np.zeros(n), np.zeros(n), np.zeros(n)
+    gains[at], infos[at], steps[at] = gain, own, 1
     within = np.zeros(n)
     for lo, hi in page.sentences:
         within[lo:hi] = 1
     # sums up to each word; a step between two sequences counts for neither
-    sum_gain, sum_step, sum_rep, sum_phrase, sum_within = (np.concatenate([[0.0], np.cumsum(x)]) for x in (gains, steps, repeated, phrases, within))
-    bounds = [0, *(k for k in page.starts if 0 < k < n), n]
-    for lo, hi in zip(bounds, bounds[1:]):
-        width = min(WINDOW_WORDS, hi - lo)
-        start = np.arange(lo, hi - width + 1)
-        share = (sum_rep[start + width] - sum_rep[start]) / width
-        mean = (sum_gain[start + width - 1] - sum_gain[start]) / np.maximum(sum_step[start + width - 1] - sum_step[start], 1)
+    sum_gain, sum_info, sum_step, sum_pair, sum_phrase, sum_within, sum_recurring = map(_sums, (gains, infos, steps, paired, phrases, within, recurring))
+    for start, width in _windows(page):
+        share = (sum_pair[start + width] - sum_pair[start]) / width
+        words = (sum_recurring[start + width] - sum_recurring[start]) / width
+        share = np.where((words >= SALAD) & (width == WINDOW_WORDS), np.maximum(share, words), share)
+        taken = np.maximum(sum_step[start + width - 1] - sum_step[start], 1)
+        gained, informed = ((total[start + width - 1] - total[start]) / taken for total in (sum_gain, sum_info))
         in_sentences = sum_within[start + width] - sum_within[start] > 0.5 * width
-        incoherent = mean < known.usual * share * np.where(in_sentences, SENTENCE_GAIN, 1.0)
+        asked = share * np.where(in_sentences, SENTENCE_GAIN, 1.0)
+        incoherent = (gained < known.usual * asked) | (informed < known.mutual * asked)
         excessive = ~in_sentences & (sum_phrase[start + width] - sum_phrase[start] >= EXCESS * width)
-        for k in start[incoherent | excessive].tolist():
-            out[k : k + width] = True
+        out |= _cover(start[incoherent | excessive], width, n)
     return out & repeated
 
 
@@ -308,22 +352,28 @@ def corpus_counts(read: DataFrame) -> DataFrame:
 
 
 def corpus_totals(counts: DataFrame) -> DataFrame:
-    """One row: words and pairs of the corpus, and the usual gain of a pair's order over the reverse (usual)."""
+    """One row: words and pairs of the corpus, the usual gain of a pair's order over the reverse (usual), and the mutual information of neighbours (mutual)."""
     pair = F.col("down").isNotNull()
     gain = (F.col("up") - F.col("down")) * F.log((F.col("up") + 0.5) / (F.col("down") + 0.5))
-    return counts.agg(
+    xlogx = lambda n: F.when(n > 0, n * F.log(n)).otherwise(0.0)
+    sums = counts.agg(
         F.coalesce(F.sum(F.when(~pair, F.col("up"))), F.lit(1)).alias("words"),
         F.coalesce(F.sum(F.when(pair, F.col("up") + F.col("down"))), F.lit(1)).alias("pairs"),
         F.coalesce(F.sum(F.when(pair, gain)) / F.sum(F.when(pair, F.col("up") + F.col("down"))), F.lit(0.0)).alias("usual"),
+        F.coalesce(F.sum(F.when(pair, xlogx(F.col("up")) + xlogx(F.col("down")))), F.lit(0.0)).alias("pair_sum"),
+        F.coalesce(F.sum(F.when(~pair, xlogx(F.col("up")))), F.lit(0.0)).alias("word_sum"),
     )
+    # twice the entropy of words less that of pairs
+    mutual = F.col("pair_sum") / F.col("pairs") - F.log("pairs") - 2 * (F.col("word_sum") / F.col("words") - F.log("words"))
+    return sums.select("words", "pairs", "usual", mutual.alias("mutual"))
 
 
 def find_stuffed(documents: DataFrame, min_share: float = MIN_SHARE) -> DataFrame:
     """doc_id and share of every document more than min_share of whose characters are stuffed keywords, tags or links.
 
     Words and pairs are counted over the running text and the link labels of all documents, that is all but code, tables,
-    log lines and addresses. Documents whose share is too small even if every repeated pair is stuffed are left out before
-    counts are looked up; that loses none. Null, empty and blank texts are no cases, rows with a null doc_id take no part,
+    log lines and addresses. Documents whose share is too small even if every repeated pair, and every window of repeated
+    words, is stuffed are left out before counts are looked up; that loses none. Null, empty and blank texts are no cases, rows with a null doc_id take no part,
     a doc_id is given once, with its greatest share. Texts of any length are read whole. An empty table gives no rows.
     """
     texts = spread(documents.filter(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text"))
@@ -350,15 +400,15 @@ def find_stuffed(documents: DataFrame, min_share: float = MIN_SHARE) -> DataFram
             for i, text in enumerate(batch.column(1).to_pylist()):
                 code, up, down = (np.asarray(batch.column(k)[i].values) if batch.column(k)[i].is_valid else np.zeros(0, dtype=np.int64) for k in (2, 3, 4))
                 order = np.argsort(code.view(np.uint64))
-                words, pairs, usual = (batch.column(k)[i].as_py() for k in (5, 6, 7))
-                shares.append(stuffed_share(read_page(text), Known(code.view(np.uint64)[order], up[order], down[order], words, pairs, usual)))
+                totals = (batch.column(k)[i].as_py() for k in (5, 6, 7, 8))
+                shares.append(stuffed_share(read_page(text), Known(code.view(np.uint64)[order], up[order], down[order], *totals)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shares, pa.float64())], names=["doc_id", "share"])
 
     judged = (
         suspects.select("doc_id", "text", "version")
         .join(looked_up, ["doc_id", "version"], "left")
         .crossJoin(F.broadcast(corpus_totals(counts)))
-        .select("doc_id", "text", "code", "up", "down", "words", "pairs", "usual")
+        .select("doc_id", "text", "code", "up", "down", "words", "pairs", "usual", "mutual")
         .mapInArrow(judge, "doc_id long, share double")
     )
     return judged.filter(F.col("share") > min_share).groupBy("doc_id").agg(F.max("share").alias("share"))

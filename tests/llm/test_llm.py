@@ -483,6 +483,30 @@ def test_salad_and_single_keywords(spark):
     assert rows(stuffing.find_stuffed(frame).select("doc_id")) == [(10,), (11,)]
 
 
+def test_salad_of_many_words(spark):
+    rnd = random.Random(5)
+    words = [a + b for a in ("code", "graph", "merge", "lint", "cloud", "agile") for b in ("pro", "bot", "hub", "fast", "buy", "top")]
+    prose = lambda: "".join(PROSE.format(*(rnd.choice(words) for _ in range(3))) for _ in range(40)).replace(". ", ".\n")
+    long, in_order = prose(), [" ".join(words[k : k + 12]) for k in range(0, 36, 12)]
+    salads = {1: 24, 2: 36}
+    docs = {k: " ".join(rnd.choice(words[:n]) for _ in range(8 * n)) for k, n in salads.items()}
+    for text in docs.values():
+        page = stuffing.read_page(text)
+        often = stuffing._marked(page, None)
+        _, first, second = page.neighbours()
+        times = np.unique(stuffing.unordered(first, second), return_counts=True)[1]
+        assert often.mean() > 0.9 and times[times >= stuffing.REPEATS].sum() < 0.3 * len(often)  # hardly a pair is repeated, but no word is cleared unseen
+    docs |= {10: long, 11: "".join(f"{PROSE.format('a', x, 'b')}Then {in_order[k % 3]} came. " for k, x in enumerate(words)), 12: prose()}
+    frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    assert rows(stuffing.find_stuffed(frame).select("doc_id")) == [(1,), (2,)]
+
+
+def test_mutual_information_of_the_corpus(spark):
+    frame = spark.createDataFrame([(k, " ".join("abcd"[(k + j) % 4] for j in range(4001))) for k in range(4)], "doc_id long, text string")
+    got = stuffing.corpus_totals(stuffing.corpus_counts(stuffing.read_corpus(frame, 0.5))).first()
+    assert (got.words, got.pairs) == (16004, 16000) and abs(got.mutual - np.log(4)) < 1e-3  # every word tells the next of four
+
+
 def test_links_of_any_length(spark):
     long = "x" * 9000
     page = stuffing.read_page(f'<a href="https://a.example/{long}">a b</a>\n[{"word " * 900}](https://a.example/{long})')
