@@ -10,6 +10,7 @@ recurring statements are parsed once per worker.
 from __future__ import annotations
 
 import json
+import keyword
 import re
 import tomllib
 import warnings
@@ -17,8 +18,12 @@ from collections import Counter
 from collections.abc import Callable
 
 LANGUAGES = ("python", "rust", "javascript", "typescript", "go", "java", "c", "json", "toml")
-#: Group contents remembered per language.
+#: Groups remembered per language.
 MEMO = 100_000
+#: Tokens remembered per language, and the longest one that is.
+CACHED_TOKENS, CACHED_LENGTH = 100_000, 32
+#: Levels of brackets that are reduced a level at a time; groups further out go one by one, so that depth costs no more than length.
+LEVELS = 8
 
 _BASE = {"(": 0xE000, "[": 0xE400, "{": 0xE800}
 _CLOSE = {")": "(", "]": "[", "}": "{"}
@@ -42,7 +47,7 @@ class Grammar:
         self.last = ""
         self.angles: re.Pattern[str] | None = None
         self.parts: list[tuple[re.Pattern[str], str | Callable[[re.Match[str]], str]]] = []
-        self.memo: dict[str, dict[str, str]] = {b: {} for b in _BASE}
+        self.memo: dict[str, str] = {}
         self.tests: dict[tuple[str, str], Callable[[str], object]] = {}
         self.tokens: Callable[[str], str | None] = lambda text: None
         self.top: Callable[[str], object] = lambda s: None
@@ -58,17 +63,19 @@ class Grammar:
     def any(self, bracket: str) -> str:
         return f"[{chr(_BASE[bracket])}-{chr(_BASE[bracket] + (1 << _BITS) - 1)}]"
 
-    def _group(self, bracket: str, content: str) -> str:
-        memo = self.memo[bracket]
-        found = memo.get(content)
+    def _group(self, text: str) -> str:
+        """The character for a group, given with its brackets."""
+        memo = self.memo
+        found = memo.get(text)
         if found is None:
+            bracket, content = text[0], text[1:-1]
             body = content.replace("\n", "") if self.soft and bracket != "{" else content
             mask = 0
             for form in self._forms(body):
                 mask = mask or sum(1 << self.bit[bracket, name] for name in self.groups[bracket] if self.tests[bracket, name](form))
             if len(memo) >= MEMO:
                 memo.clear()
-            found = memo[content] = chr(_BASE[bracket] + mask)
+            found = memo[text] = chr(_BASE[bracket] + mask)
         return found
 
     def _forms(self, body: str) -> list[str]:
@@ -106,6 +113,21 @@ class Grammar:
         parts: list[str] = []
         at = 0
         strict = not any(c in flat for c in self.loose)
+        known, whole = self.memo.get, self._group
+
+        def group_of(m: re.Match[str]) -> str:
+            group = known(m[0]) or whole(m[0])
+            if strict and group in _NOTHING:
+                raise _NoProduction
+            return group
+
+        try:
+            for _ in range(LEVELS):
+                flat, n = _INNERMOST.subn(group_of, flat)
+                if not n:
+                    break
+        except _NoProduction:
+            return None
         for m in _BRACKETS.finditer(flat):
             c, k = m[0], m.start()
             parts.append(flat[at:k])
@@ -118,7 +140,7 @@ class Grammar:
                     return None
                 content = "".join(parts)
                 bracket, parts = stack.pop()
-                group = self._group(bracket, content)
+                group = self._group(f"{bracket}{content}{c}")
                 if strict and group in _NOTHING:
                     return None
                 parts.append(group)
@@ -128,7 +150,12 @@ class Grammar:
         return "".join(parts)
 
 
+class _NoProduction(Exception):
+    pass
+
+
 _BRACKETS = re.compile(r"[()\[\]{}]")
+_INNERMOST = re.compile(r"\([^()\[\]{}]*+\)|\[[^()\[\]{}]*+\]|\{[^()\[\]{}]*+\}")
 #: Stands for a list of type arguments or parameters.
 ANGLES = "\uf700"
 #: Stand for a function or class, an arrow with a block, the head of an arrow or closure, and a block-like expression.
@@ -174,34 +201,41 @@ def _sequence(statement: str = "", prefix: str = r"(?!)", label: str = r"(?!)",
     return run
 
 
+class _Classes(dict):
+    """Token to its class, which depends on nothing but its text."""
+
+    def __init__(self, classify: Callable[[str], str]) -> None:
+        super().__init__()
+        self.classify = classify
+
+    def __missing__(self, token: str) -> str:
+        found = self.classify(token)
+        if len(token) <= CACHED_LENGTH:
+            if len(self) >= CACHED_TOKENS:
+                self.clear()
+            self[token] = found
+        return found
+
+
 def _lexer(words: dict[str, str], operators: dict[str, str], strings: str, number: str, comments: str, extra: str = r"(?!)", extra_class: str = "", word: str = r"[^\W\d]\w*"):
     """Token classes of a text, or None at a character that starts no token."""
     ops = "|".join(re.escape(o) for o in sorted(operators, key=len, reverse=True))
-    rx = re.compile(rf"[ \t\r\f]*(?:(\n)|({comments})|({extra})|({word})|({number})|({strings})|((?!/\*)(?:{ops}))|([^ \t\r\f]))", re.S)
+    tokens = f"(?!/\\*)(?:{ops})"
+    # a character that starts no token takes the rest of the text with it
+    rx = re.compile(rf"[ \t\r\f]*(?:(\n|{comments}|{extra}|{word}|{number}|{strings}|{tokens})|[^ \t\r\f].*)", re.S)
+    kinds = re.compile(rf"(\n)|({comments})|({extra})|({word})|({number})|({strings})|({tokens})", re.S)
 
-    def run(text: str) -> list[tuple[int, str]] | None:
-        out = []
-        add = out.append
-        for m in rx.finditer(text):
-            k = m.lastindex
-            if k == 4:
-                add(words.get(m[4], "i"))
-            elif k == 7:
-                add(operators[m[7]])
-            elif k == 1:
-                add("\n")
-            elif k == 6:
-                add("s")
-            elif k == 5:
-                add("0")
-            elif k == 3:
-                add(extra_class)
-            elif k == 2:
-                if "\n" in m[2]:
-                    add("\n")
-            elif k == 8:
-                return None
-        return out
+    def classify(token: str) -> str:
+        k = kinds.match(token).lastindex
+        if k == 2:
+            return "\n" if "\n" in token else ""
+        return words.get(token, "i") if k == 4 else operators[token] if k == 7 else {1: "\n", 3: extra_class, 5: "0", 6: "s"}[k]
+
+    classes = _Classes(classify)
+
+    def run(text: str) -> list[str] | None:
+        found = rx.findall(text)
+        return None if found and not found[-1] else [classes[t] for t in found]
 
     return run
 
@@ -388,10 +422,9 @@ def _js_tokens():
     ops = _ops("( ) [ ] { } , ; : ? . + - * & | = < > @", {"++": "p", "--": "p", "!": "!", "~": "!", "...": "V", "=>": "Z", "?.": "."})
     ops |= dict.fromkeys("/ % ^ << <= >= == != === !== && || ?? **".split(), "o") | dict.fromkeys("+= -= *= /= %= &= |= ^= <<= **= &&= ||= ??=".split(), "A")
     names = "|".join(re.escape(o) for o in sorted(ops, key=len, reverse=True))
-    rx = re.compile(
-        rf"[ \t\r\f﻿\xa0]*(?:(\n)|({_COMMENTS})|(\#?[^\W\d][\w$]*|\#?\$[\w$]*)|({_NUMBER.format('n?')})|({_STRING}|'(?:[^'\\\n]|\\.)*')|(`)|({_REGEX})|((?!/\*)(?:{names}))|([^ \t\r\f﻿\xa0]))",
-        re.S,
-    )
+    blank = "[ \\t\\r\\f\ufeff\\xa0]"
+    kinds = [r"\n", _COMMENTS, r"\#?[^\W\d][\w$]*|\#?\$[\w$]*", _NUMBER.format("n?"), rf"{_STRING}|'(?:[^'\\\n]|\\.)*'", "`", _REGEX, rf"(?!/\*)(?:{names})"]
+    rx = re.compile(rf"{blank}*(?:{'|'.join(f'({kind})' for kind in kinds)}|([^{blank[1:]}))", re.S)
     ends = frozenset("i0s)]}p%")
     division = re.compile("/=?")
 
@@ -465,13 +498,47 @@ def _js_tokens():
     # a line end means nothing beside these tokens
     drop = re.compile(r"\n+(?=[.,?:=o*&|A<>)\]ZNlj])|(?<=[-.,?:=o*+&|A<>(\[Z!uvKnNxVfac])\n+|^\n+")
 
+    # A text is read at once if its tokens tell their classes: no template holds more than plain expressions, and nothing
+    # that looks like a regular expression may be a division. slow marks tokens that don't, pattern is a regular expression;
+    # instanceof after a point is a name, but another operator isn't.
+    plain = r"`(?:[^`\\$]|\\.|\$(?!\{)|\$\{[^{}`'\"/\n]*\})*+`"
+    whole = re.compile(rf"{blank}*(?:({'|'.join([plain, *kinds])})|[^{blank[1:]}.*)", re.S)
+    pattern, slow, instanceof = "\uf7fd", "\uf7fe", "\uf7ff"
+    named = re.compile(f"(?<=\\.)[{''.join(sorted(set(words.values()) - {'o'}))}{instanceof}]")
+    divided = re.compile(f"[{re.escape(''.join(sorted(ends)))}{pattern}]\n*{pattern}")
+    lines = re.compile(r"\n{2,}")
+
+    def classify(token: str) -> str:
+        k = rx.match(token).lastindex
+        if k == 2:
+            return "\n" if "\n" in token else ""
+        if k == 3:
+            return instanceof if words.get(token) == "o" else words.get(token, "i")
+        if k == 6:
+            out: list[str] = []
+            return "".join(out) if len(token) > 1 and scan(token, 0, out, False) >= 0 else slow
+        return ops[token] if k == 8 else {1: "\n", 4: "0", 5: "s", 7: pattern}[k]
+
+    classes = _Classes(classify)
+
+    def read(text: str) -> str | None:
+        found = whole.findall(text)
+        failed = bool(found) and not found[-1]
+        if failed:
+            found.pop()
+        flat = named.sub("i", "".join([classes[t] for t in found]))
+        if slow not in flat and not (pattern in flat and divided.search(flat)):
+            return None if failed else lines.sub("\n", flat.replace(instanceof, "o").replace(pattern, "s")).lstrip("\n")
+        out: list[str] = []
+        return None if scan(text, 0, out, False) < 0 else "".join(out)
+
     last: list = [None, None]  # the text read last: both languages read it one after the other
 
     def run(text: str) -> str | None:
         if last[0] is not text:
             body = text[text.find("\n") if "\n" in text else len(text) :] if text.startswith("#!") else text
-            out: list[str] = []
-            last[:] = text, None if scan(body, 0, out, False) < 0 else drop.sub("", "".join(out))
+            flat = read(body)
+            last[:] = text, None if flat is None else drop.sub("", flat)
         return last[1]
 
     return run
@@ -665,27 +732,27 @@ def _rust() -> Grammar:
     strings = strings.replace("(#*)", "(?P<raw>#*)")
     number = r"(?:0x[\da-fA-F_]+|0b[01_]+|0o[0-7_]+|\d[\d_]*(?:\.\d[\d_]*|\.(?![\w.]))?(?:[eE][+-]?\d+)?)(?:[iuf](?:8|16|32|64|128|size))?(?!\w)"
     names = "|".join(re.escape(o) for o in sorted(ops, key=len, reverse=True))
-    rx = re.compile(rf"\s*(?:({_NESTED})|({strings})|('[^\W\d]\w*(?!'))|((?:r\#)?[^\W\d]\w*)|({number})|((?!/\*)(?:{names}))|(\S))", re.S)
+    kinds = re.compile(rf"({_NESTED})|({strings})|('[^\W\d]\w*(?!'))|((?:r\#)?[^\W\d]\w*)|({number})|((?!/\*)(?:{names}))", re.S)
+    rx = re.compile(rf"\s*(?:({_NESTED}|{strings}|'[^\W\d]\w*(?!')|(?:r\#)?[^\W\d]\w*|{number}|(?!/\*)(?:{names}))|\S.*)", re.S)
+    maybe_union = "\uf7fe"
+
+    def classify(token: str) -> str:
+        m = kinds.match(token)
+        if m[5] is not None:
+            return maybe_union if token == "union" else words.get(token, "i")
+        return ops[token] if m[7] is not None else "s" if m[2] is not None else "0" if m[6] is not None else "l" if m[4] is not None else ""
+
+    classes = _Classes(classify)
 
     def tokens(text: str) -> str | None:
         if text.startswith("#!") and not text.startswith("#!["):
             text = text[text.find("\n") if "\n" in text else len(text) :]
-        out = []
-        add = out.append
-        for m in rx.finditer(text):
-            if m[5] is not None:
-                add("S" if m[5] == "union" and union.match(text, m.end()) else words.get(m[5], "i"))
-            elif m[7] is not None:
-                add(ops[m[7]])
-            elif m[2] is not None:
-                add("s")
-            elif m[6] is not None:
-                add("0")
-            elif m[4] is not None:
-                add("l")
-            elif m[8] is not None:
-                return None
-        flat = "".join(out)
+        found = rx.findall(text)
+        if found and not found[-1][0]:
+            return None
+        flat = "".join([classes[t] for t, _ in found])
+        if maybe_union in flat:
+            flat = "".join("S" if m[1] == "union" and union.match(text, m.end()) else "i" if m[1] == "union" else classes[m[1]] for m in rx.finditer(text))
         return None if "dd" in flat else flat  # no range follows a range
 
     args, params, types = (g.cls("(", n) for n in ("args", "params", "types"))
@@ -802,6 +869,12 @@ def _deep_json(text: str) -> bool:
     return before == "v" and not stack
 
 
+# Beginnings that no Python file has, after comments: another comment mark, a name after a name, an import of no name. The
+# interpreter's parser finds them, too, but reads the whole text for its message. A declared encoding may change the text.
+_RESERVED = "|".join(keyword.kwlist + keyword.softkwlist)
+_NO_PYTHON = re.compile(rf"(?:[ \t]*(?:#(?![^\n]*coding)[^\n]*)?\r?\n)*+(?://|/\*|import[ \t]*[{{*\"']|(?!(?:{_RESERVED})\b)[A-Za-z_]\w*[ \t]+(?!(?:{_RESERVED})\b)[A-Za-z_]\w*(?![\w\"']))", re.A)
+
+
 def check_all(raw: bytes, order: list[str]) -> dict[str, bool | None]:
     """check() of every language in order. The syntax of typescript includes that of javascript, so what the latter accepts isn't parsed again."""
     try:
@@ -818,6 +891,8 @@ def check(raw: bytes, language: str, text: str | None = None) -> bool | None:
     """Whether raw (text, if it is utf-8 and decoded before) is a syntactically valid file of the language; an empty file is, except in json. None if the parser ran out of its means."""
     try:
         if language == "python":
+            if text is not None and _NO_PYTHON.match(text):
+                return False
             with warnings.catch_warnings():
                 warnings.simplefilter("ignore")
                 compile(raw, "file", "exec", dont_inherit=True)
@@ -855,14 +930,19 @@ MARKERS: dict[str, frozenset[bytes]] = {
     "json": frozenset(b"true false null".split()),
     "toml": frozenset(b"true false".split()),
 }
-_WORDS = re.compile(rb"[A-Za-z_]+")
+_OWNERS = {w: [lang for lang, marks in MARKERS.items() if w in marks] for w in frozenset().union(*MARKERS.values())}
+#: Bytes that no word has, as blanks.
+_LETTERS = bytes(c if chr(c).isascii() and (chr(c).isalpha() or c == ord("_")) else ord(" ") for c in range(256))
 
 
 def ranked(raw: bytes) -> list[str]:
     """Languages by the share of their marker words among the tokens, best first; ties in the order of LANGUAGES."""
-    words = _WORDS.findall(raw)
+    words = raw.translate(_LETTERS).split()
     held = Counter(words)
-    score = {lang: sum(held[w] for w in marks & held.keys()) for lang, marks in MARKERS.items()}
+    score = dict.fromkeys(LANGUAGES, 0)
+    for w in _OWNERS.keys() & held.keys():
+        for lang in _OWNERS[w]:
+            score[lang] += held[w]
     start = raw.lstrip()[:1]
     if start in (b"{", b"["):
         score["json" if start == b"{" or b"=" not in raw else "toml"] += len(words) + 1

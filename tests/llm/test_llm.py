@@ -204,6 +204,35 @@ def test_every_grammar_and_means_that_run_out():
     assert grammars.check(b"x = " + b"-" * 2_000_000 + b"1\n", "python") is None
 
 
+def test_texts_are_read_at_once():
+    js = grammars.grammar("javascript")
+    for text, flat in {
+        "a.instanceof.if / b.c / 2": "i.i.ioi.io0",
+        "x = `a\\`${b.of}` + /[/]`/g.test(y)": "i=s(i.i)+s.i(i)",
+        "a\n/b/g": "ioioi",
+        "a = {b: /c/, d: `${{e: 1}.e}`}": "i={i:s,i:s({i:0}.i)}",
+        "x\n\n/* a\n */ y 1a": None,
+        "f(`${'`'}`": "i(s(s)",
+    }.items():
+        assert js.tokens(text) == flat, text
+    assert grammars.grammar("rust").tokens("union U { a: u8 } union(r#\"\"#, 'a, 'b')") == "Si{i:i}i(s,l,s)"
+    for language, text, flat in (("c", "a /* \n */ += L'x' .5f;", "ias0;"), ("go", "a &^= `b\n` <- 'c'", "itshs;"), ("java", "a >>= $b instanceof C", "i>oiwi")):
+        assert grammars.grammar(language).tokens(text) == flat, language
+    deep = "(" * 5000 + ")" * 5000
+    assert len(js.reduce(deep)) == 1 and js.reduce(deep[:-1]) is None and len(js.reduce("f" + deep[4990:5010] + "s")) == 3
+
+
+def test_what_no_python_file_begins_with(monkeypatch):
+    read = []
+    monkeypatch.setattr(grammars, "compile", lambda *a, **k: read.append(a[0]) or compile(*a, **k), raising=False)
+    for text in ("package main\n", "// a\nx = 1\n", "# a\n\n  # b\nimport {a} from 'b'\n", "pub use std::fmt;\nx = 1\n"):
+        assert grammars.check(text.encode(), "python", text) is False
+    assert not read
+    for text in ("match x:\n case y: pass\n", "type X = int\n", "import os\n", "a in b\n", "not a\n", "# coding: latin-1\nx\n", "''\n", "print\n"):
+        assert grammars.check(text.encode(), "python", text) is True
+    assert len(read) == 8
+
+
 def test_toml_and_json_under_other_extensions():
     day = b"day = 1979-05-27T07:32:00Z\n"  # no other grammar reads that
     for raw in (day, b"# a list\n[[p]]\n" + day, b"\xef\xbb\xbfa.b = {c = 'x'}\n" + day):
