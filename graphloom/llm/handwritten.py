@@ -22,6 +22,7 @@ from graphloom.llm.parsecheck import language_of
 from graphloom.session import cut_lineage, spread
 
 #: Tokens in a hashed k-gram, and k-grams in a winnowing window: any copied run of K + WINDOW - 1 tokens shares a fingerprint.
+#: Both are 16: sums and minima are doubled four times.
 K = 16
 WINDOW = 16
 #: Repositories that must hold a fingerprint for it to recur, share of a file's windows that must, and fewest distinct fingerprints that tell a copy from a common phrase.
@@ -76,9 +77,11 @@ _ANYWHERE_VENDOR = re.compile(rb"^\W*(?:this file (?:was|is) )?(?:imported uncha
 _BANNER_WORDS = re.compile(
     rb"generat|do not (?:edit|modify)|machine[- ]|(?:be|are) (?:lost|overwritten)|automatisch|automatiquement|autom\xc3\xa1ticamente|upstream|imported|vendored|\(c\) the|copyright|released under|redistribution in"
 )
+_BANNER_PARTS = (b"generat", b"do not ", b"machine", b"lost", b"overwritten", b"autom", b"upstream", b"imported", b"vendored", b"(c) the", b"copyright", b"released under", b"redistribution in")
 _LOCK_JSON = re.compile(rb'\A\s*\{\s*(?:"[^"]*"\s*:\s*(?:"[^"]*"|\d+|true|false)\s*,\s*)*"lockfileVersion"\s*:')
 _LOCK_TOML = re.compile(rb'^\[\[package\]\]\s*\r?\nname = "[^"\n]*"\r?\nversion = "[^"\n]*"\r?\n(?:source = "[^"\n]*"\r?\n)?checksum = ', re.M)
-_LONG_STRING = re.compile(rb"[A-Za-z0-9+/=_-]{40,}|(?:\\x[0-9a-fA-F]{2}){12,}")
+# A shorter run is passed over as a whole.
+_LONG_STRING = re.compile(rb"([A-Za-z0-9+/=_-]{40,}|(?:\\x[0-9a-fA-F]{2}){12,})|[A-Za-z0-9+/=_-]++")
 _NUMBER = re.compile(rb"(?<![\w.])-?(?:0[xX][0-9a-fA-F]+|\d[\d_]*(?:\.\d+)?(?:[eE][+-]?\d+)?)(?:[uUlLfF]|[iuf]\d+)?(?![\w.])")
 _DIGITS = b"0123456789"
 _BLANKS = b" \t\r\n\f"
@@ -162,7 +165,8 @@ def banner(raw: bytes, language: str | None) -> str | None:
     Before the first and after the last line of code every banner counts; between lines of code the ones that name the whole
     file. A comment mark within a string begins no comment.
     """
-    if not _BANNER_WORDS.search(raw.lower()):
+    lower = raw.lower()
+    if not any(part in lower for part in _BANNER_PARTS) or not _BANNER_WORDS.search(lower):
         return None
     ends, inner = _comments(raw, language)
     if language in _COMMENTS:
@@ -249,12 +253,17 @@ def _comment_head(head: bytes) -> list[bytes]:
     return out
 
 
+# Every alternative begins with a character or class, by which others are passed over; blanks go with the token
+# before them unless a # follows.
 _TOKEN = re.compile(
-    rb"//[^\n]*|/\*.*?(?:\*/|\Z)|(?:^|(?<=\n))[ \t]*#(?!include|define|if|end|else|\[)[^\n]*"
-    rb"|(\"(?:\\.|[^\"\\\n])*+\"(?:\s*:)?|'(?:\\.|[^'\\\n(){}\[\];<>])*+'|-?\d[\w.]*|[A-Za-z_]\w*|[^\s\w])",
+    rb"(?://[^\n]*|/\*.*?(?:\*/|\Z)|#(?<![^\n]#)(?!include|define|if|end|else|\[)[^\n]*|[ \t](?<![^\n][ \t])[ \t]*#(?!include|define|if|end|else|\[)[^\n]*"
+    rb"|(\"(?:\\.|[^\"\\\n])*+\"(?:\s*:)?|'(?:\\.|[^'\\\n(){}\[\];<>])*+'|-?\d[\w.]*|[A-Za-z_]\w*|[^\s\w]))(?:\s*+(?!#))?",
     re.S,
 )
-_POWERS = np.array([pow(0x9E3779B97F4A7C15, i, 1 << 64) for i in range(K)], dtype=np.uint64)
+#: Stands for a comment; no token has this code.
+_NO_TOKEN = 1 << 63
+_POWERS = {step: np.uint64(pow(0x9E3779B97F4A7C15, step, 1 << 64)) for step in (1, 2, 4, 8)}
+_FIRST = np.ones(1, dtype=bool)
 _IS_NUMBER = re.compile(rb"\s*-?\d[\w.]*\s*\Z")
 
 
@@ -262,7 +271,9 @@ class _Codes(dict):
     """Token to number: all numbers alike, all strings but keys alike."""
 
     def __missing__(self, token: bytes) -> int:
-        if token[:1].isdigit() or token[:1] == b"-" and len(token) > 1:
+        if not token:
+            code = _NO_TOKEN
+        elif token[:1].isdigit() or token[:1] == b"-" and len(token) > 1:
             code = zlib.crc32(b"0")
         elif token[:1] in (b'"', b"'") and len(token) > 1 and token[-1:] != b":":
             code = zlib.crc32(b'""')
@@ -285,21 +296,25 @@ def _record(found: re.Match) -> bytes:
 
 def winnow(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Distinct winnowed fingerprints (int64) of the token stream without comments and blanks, and how many windows chose each."""
-    tokens = [t for t in _TOKEN.findall(_RECORD.sub(_record, raw)) if t]
-    if len(tokens) < K:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    tokens = _TOKEN.findall(_RECORD.sub(_record, raw))
     codes = np.fromiter(map(_CODES.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
-    grams = np.zeros(len(codes) - K + 1, dtype=np.uint64)
-    for i in range(K):
-        grams += codes[i : i + len(grams)] * _POWERS[i]
+    codes = codes[codes != _NO_TOKEN]
+    if len(codes) < K:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    # sums over K tokens and minima over WINDOW sums, both from those over half as many
+    grams = codes
+    for step, power in _POWERS.items():
+        grams = grams[:-step] + grams[step:] * power
     grams ^= grams >> np.uint64(31)
     grams *= np.uint64(0xBF58476D1CE4E5B9)
     if len(grams) > WINDOW:
-        grams = np.lib.stride_tricks.sliding_window_view(grams, WINDOW).min(axis=1)
+        for step in (1, 2, 4, 8):
+            grams = np.minimum(grams[:-step], grams[step:])
     else:
         grams = grams.min(keepdims=True)
-    prints, windows = np.unique(grams, return_counts=True)
-    return prints.view(np.int64), windows
+    grams.sort()
+    starts = np.flatnonzero(np.concatenate([_FIRST, grams[1:] != grams[:-1]]))
+    return grams[starts].view(np.int64), np.diff(starts, append=len(grams))
 
 
 def fingerprints(raw: bytes) -> np.ndarray:

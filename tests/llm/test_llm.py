@@ -336,6 +336,26 @@ def test_dumps_are_decided_by_fingerprints(spark):
     assert handwritten.form_of(b"path,kind,score\n" + b"a.go,fn name,3 pts\n" * 40, "python") is None
 
 
+def test_winnowing_by_doubling_and_short_runs():
+    rnd = random.Random(2)
+    for n in (0, 15, 16, 17, 31, 32, 33, 200):
+        words = [rnd.choice("abcdefgh") for _ in range(n)]
+        raw = "  # note\n#x\n" + " /* c */ ".join(words) + "\n  # end\n\t#include\n// z"
+        tokens = [*words, "#", "include"]
+        codes = [handwritten._CODES[w.encode()] for w in tokens]
+        power, mod = 0x9E3779B97F4A7C15, 1 << 64
+        grams = []
+        for i in range(len(codes) - handwritten.K + 1):
+            h = sum(c * pow(power, j, mod) for j, c in enumerate(codes[i : i + handwritten.K])) % mod
+            grams.append((h ^ h >> 31) * 0xBF58476D1CE4E5B9 % mod)
+        width = min(handwritten.WINDOW, len(grams))
+        least = collections.Counter(min(grams[i : i + width]) for i in range(len(grams) - width + 1)) if grams else collections.Counter()
+        prints, windows = handwritten.winnow(raw.encode())
+        assert dict(zip(prints.view(np.uint64).tolist(), windows.tolist())) == least and len(prints) == len(least)
+    # a run that is too short is not tried again from each of its characters
+    assert handwritten._LONG_STRING.findall(b"ab cd" + rb"\x41" * 12 + b"E" * 40) == [b"", b"", rb"\x41" * 12, b"E" * 40]
+
+
 def test_winnowing_guarantee():
     rnd = random.Random(2)
     text = lambda n: b" ".join(b"w%d" % rnd.randint(0, 10**6) for _ in range(n))
